@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,12 @@ def normalize_header(v: Column) -> Column:
     return strip(F.regexp_replace(spaced, r"(?U)[^\w\s]", ""))
 
 
+def normalize_header_text(text: str) -> str:
+    """``normalize_header`` for a constant known on the driver."""
+    spaced = re.sub(r"[\s_\-.#()/&]+", " ", text.lower().strip())
+    return re.sub(r"[^\w\s]", "", spaced).strip()
+
+
 def normalize_memory_header(v: Column) -> Column:
     """Header form used as mapping-memory key (M18): only blanks, "_", "-" and "." separate."""
     spaced = F.regexp_replace(strip(F.lower(v)), r"(?U)[\s_\-.]+", " ")
