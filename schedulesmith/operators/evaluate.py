@@ -41,7 +41,7 @@ def detected_types(issues: DataFrame) -> DataFrame:
     """Anomaly types reported per file, found by keyword in the finding's text."""
     text = F.lower(F.concat_ws(" ", "evidence", "suggested_operation", "issue_type"))
     found = F.array_compact(F.array(*[
-        F.when(F.expr("false") if not words else _contains_any(text, words), F.lit(kind))
+        F.when(_contains_any(text, words), F.lit(kind))
         for kind, words in ANOMALY_KEYWORDS.items()]))
     return issues.select("file_id", F.explode(found).alias("anomaly")).distinct()
 

@@ -287,65 +287,49 @@ def mapping_accuracy(recs: DataFrame) -> DataFrame:
         F.coalesce(ok * 100.0 / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("mapping_accuracy"))
 
 
-# Reviewer texts per operation as (title, summary, reason, impact).
+# Reviewer texts per operation as (title, summary, reason, impact).
 TEXTS = {
     "strip_currency": (
-        "Clean currency format in '{tgt}'",
-        "Removes currency symbols ($) and commas to store values as pure numeric floats.",
-        "Found currency symbols in {n} row(s) for monetary field '{tgt}'.",
-        "Converts formatted strings (e.g. '$1,500,000') into pure decimal numbers (1500000.0) required for underwriting models.",
+        "Clean amounts in '{tgt}'", "Drops $ signs and thousands commas so that amounts are plain numbers.",
+        "{n} row(s) of '{tgt}' are written as currency.", "'$1,500,000' becomes 1500000.0.",
     ),
     "normalize_sprinkler_code": (
-        "Standardize sprinkler indicators in '{tgt}'",
-        "Converts informal fire protection text to canonical insurance codes (Y, N, Y13, Y13R).",
-        "Detected {n} non-standard sprinkler value(s) in '{src}'.",
-        "Replaces informal entries (e.g. 'Yes', 'No') with standardized codes.",
+        "Unify sprinkler codes in '{tgt}'", "Rewrites informal wording as Y, N, Y13 or Y(13R).",
+        "{n} value(s) of '{src}' are not a known code.", "'Yes' becomes Y and 'No' becomes N.",
     ),
     "state_to_abbrev": (
-        "Standardize US state code in '{tgt}'",
-        "Converts full state names or lowercase entries into standard 2-letter postal abbreviations.",
-        "Detected non-abbreviated state name in {n} row(s).",
-        "Standardizes values to 2-letter ISO state codes (e.g. 'California' &rarr; 'CA').",
+        "Unify state codes in '{tgt}'", "Rewrites state names and dotted codes as two-letter codes.",
+        "{n} row(s) hold something other than a state code.", "'California' becomes CA.",
     ),
     "to_year_int": (
-        "Standardize construction year in '{tgt}'",
-        "Converts year values to clean 4-digit integers.",
-        "Detected non-integer or decimal year formatting in {n} row(s).",
-        "Ensures Year Built is stored as a valid integer year.",
+        "Unify years in '{tgt}'", "Takes the four-digit year out of each value.",
+        "{n} row(s) do not hold a plain valid year.", "Years are stored as whole numbers.",
     ),
     "to_float": (
-        "Format '{tgt}' as numeric float",
-        "Ensures numerical consistency for property exposure amounts.",
-        "Detected string-encoded numbers in {n} row(s).",
-        "Casts text representations into standard floating point numbers.",
+        "Store '{tgt}' as numbers", "Reads amounts written as text as numbers.",
+        "{n} row(s) hold numbers written as text.", "Text amounts become decimal numbers.",
     ),
     "to_int": (
-        "Format '{tgt}' as integer",
-        "Ensures values in this column are clean whole numbers.",
-        "Detected float or string representations in {n} row(s).",
-        "Stores whole-number values as integers. Fractional values (e.g. 1.5) are left unchanged for review, never truncated.",
+        "Store '{tgt}' as whole numbers", "Reads whole numbers written as decimals or text.",
+        "{n} row(s) are not written as whole numbers.", "Whole values become integers; 1.5 stays 1.5 and is never cut.",
     ),
     "flag_for_review": (
-        "Review data quality flag on '{tgt}'",
-        "Flagged finding: {n} row(s) have data quality concerns (such as missing values or out-of-range figures).",
-        "{why}",
-        "No automated data alteration is made. Approving confirms reviewer awareness; rejecting dismisses this alert.",
+        "Check '{tgt}'", "{n} row(s) need a look, for example missing or impossible values.",
+        "{why}", "No value changes: approving notes the finding, rejecting dismisses it.",
     ),
     "": (
-        "Apply {op_title} to '{tgt}'",
-        "Executes whitelisted transformation '{op}' on column '{tgt}'.",
-        "{why}",
-        "Updates {n} row(s) deterministically.",
+        "Apply {op_title} to '{tgt}'", "Runs the whitelisted operation '{op}' on '{tgt}'.",
+        "{why}", "Up to {n} row(s) change.",
     ),
 }
-# Reviewer texts for column mappings; the reason depends on the confidence.
+# Reviewer texts for column mappings; the reason depends on the confidence.
 MAPPING_TEXTS = (
-    "Map column '{src}' &rarr; '{tgt}'",
-    "Assigns input column '{src}' to standard target field '{tgt}'.",
-    [(0.95, "Exact match: '{src}' is a recognized synonym for '{tgt}' in commercial property SOVs."),
-     (0.85, "High similarity: Column header and sample values match expected patterns for '{tgt}'."),
-     (0.0, "Moderate similarity match: Please verify that '{src}' represents '{tgt}'.")],
-    "In the finalized dataset, this column will be renamed to '{tgt}'.",
+    "Map column '{src}' → '{tgt}'",
+    "Uses source column '{src}' as the standard field '{tgt}'.",
+    [(0.95, "'{src}' is a known name of '{tgt}'."),
+     (0.85, "The header and the values of '{src}' both look like '{tgt}'."),
+     (0.0, "'{src}' resembles '{tgt}' only moderately; please check it.")],
+    "The column is called '{tgt}' in the cleaned table.",
 )
 
 
