@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..schema import (
     INTEGER_FIELDS, MONETARY_FIELDS, SPRINKLER_ALIASES, SPRINKLER_CODES, STATE_CODES, STATE_NAMES,
 )
-from .text import double_text, lookup, number, number_text, strip, to_double
+from .text import double_text, in_list, lookup, number, number_text, strip, to_double
 
 
 def strip_currency(v: Column) -> Column:
@@ -50,8 +50,8 @@ def state_to_abbrev(v: Column) -> Column:
     s = strip(v)
     compact = F.upper(F.regexp_replace(s, r"(?U)[\s.]", ""))
     return (
-        F.when(F.upper(s).isin(STATE_CODES), F.upper(s))
-        .when(compact.isin(STATE_CODES), compact)
+        F.when(in_list(F.upper(s), STATE_CODES), F.upper(s))
+        .when(in_list(compact, STATE_CODES), compact)
         .otherwise(F.coalesce(lookup(STATE_NAMES, F.lower(s)), s))
     )
 

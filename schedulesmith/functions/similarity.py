@@ -100,9 +100,10 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
     def compare(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        names = [query_id, corpus_id, "similarity"] + ([best_per] if best_per else [])
         if qs.empty or cs.empty:
-            return pd.DataFrame({n: [] for n in names})
+            none = {query_id: qs[query_id].to_numpy()[:0], corpus_id: cs[corpus_id].to_numpy()[:0],
+                    "similarity": np.zeros(0)}
+            return pd.DataFrame(none | ({best_per: cs[best_per].to_numpy()[:0]} if best_per else {}))
         cs = cs.sort_values([corpus_id], kind="stable")
         c = np.stack(cs["vector"].to_numpy()).astype("float64")
         ids, groups = cs[corpus_id].to_numpy(), cs[group].to_numpy()

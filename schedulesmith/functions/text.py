@@ -88,10 +88,19 @@ def file_safe_name(v: Column) -> Column:
     return F.btrim(F.regexp_replace(strip(v), r"(?U)[^\w\-.]+", "_"), F.lit("_"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Value of a small fixed mapping, null when absent."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(_quoted(x) for kv in mapping.items() for x in kv)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
+def in_list(v: Column, names: list[str]) -> Column:
+    """Is the value one of a fixed list of names; no name holds a comma."""
+    return F.find_in_set(v, F.lit(",".join(names))) > 0
 
 
 def py_percent(ratio: Column, digits: int = 0) -> Column:

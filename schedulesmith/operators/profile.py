@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ops import suggest_operation
-from ..functions.text import number, strip
+from ..functions.text import in_list, number, strip
 from ..schema import (
     CODE_FIELDS, MONETARY_FIELDS, PLACE_FIELDS, SPRINKLER_LOOKALIKES, STATE_CODES, STREET_WORDS, TARGET_FIELDS,
 )
@@ -32,13 +32,13 @@ def _predicates(v: Column, current_year: int) -> dict[str, Column]:
         "year_ratio": v.rlike(r"^\d{4}$") & v.try_cast("int").between(1700, current_year + 1),
         "zip_ratio": v.rlike(r"^\d{5}(-\d{4}|\.0)?$"),
         "short_zip_ratio": v.rlike(r"^\d{3,4}(\.0)?$"),
-        "state_ratio": F.upper(F.regexp_replace(v, r"(?U)[\s.]", "")).isin(STATE_CODES),
-        "sprinkler_ratio": F.upper(v).isin(SPRINKLER_LOOKALIKES),
+        "state_ratio": in_list(F.upper(F.regexp_replace(v, r"(?U)[\s.]", "")), STATE_CODES),
+        "sprinkler_ratio": in_list(F.upper(v), SPRINKLER_LOOKALIKES),
         "yn_ratio": F.upper(v).isin("Y", "N", "YES", "NO"),
         "storey_ratio": F.coalesce(storeys.between(1, 200) & (storeys == F.floor(storeys)), F.lit(False)),
         "monetary_ratio": F.coalesce(F.abs(amount) >= 100, F.lit(False)),
         "address_ratio": v.rlike(r"(?U)\d+\s+\w+")
-        | F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in STREET_WORDS])),
+        | F.arrays_overlap(tokens, F.split(F.lit(" ".join(STREET_WORDS)), " ")),
     }
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import number, strip
+from ..functions.text import in_list, number, strip
 from ..schema import INTEGER_FIELDS, KEYS, MONETARY_FIELDS, SPRINKLER_CODES, STATE_CODES, TARGET_FIELDS
 from ..session import attach, first_rows, settle
 
@@ -69,7 +69,7 @@ def row_rules(current_year: int, fields: list[str] | None = None) -> list[Rule]:
         ~F.upper(strip(F.col("`Fire Sprinklers (Y/N)`"))).isin(SPRINKLER_CODES), "format", "medium",
         "normalize_sprinkler_code", 0.95,
         "Fire Sprinklers (Y/N): {n} rows have non-standard codes: {values}.")
-    add("State", "state_code", ~F.upper(strip(F.col("State"))).isin(STATE_CODES), "format", "medium",
+    add("State", "state_code", ~in_list(F.upper(strip(F.col("State"))), STATE_CODES), "format", "medium",
         "state_to_abbrev", 0.90, "State: {n} rows have non-standard values: {values}.")
     zip_digits = F.regexp_replace(F.substring_index(F.regexp_replace(strip(F.col("Zip")), ",", ""), ".", 1), r"\D", "")
     add("Zip", "zip_length", F.length(zip_digits) != 5, "format", "low", "to_zip", 0.90,
@@ -203,37 +203,9 @@ def detect_issues(mapped: DataFrame, current_year: int, mapping: DataFrame | Non
     order = _order(rules)
     counts = settle(rule_counts(mapped, rules))
 
-    items = F.array(*[
-        F.struct(F.lit(i).alias("rule"), F.lit(order[f"{r.name}/{r.field}"]).alias("ord"),
-                 F.lit(r.issue_type).alias("issue_type"), F.lit(r.severity).alias("severity"),
-                 F.lit(r.field).alias("affected_field"), F.col(f"rule_{i}").alias("affected_row_count"),
-                 F.lit(r.evidence).alias("evidence"), F.lit(r.operation).alias("suggested_operation"),
-                 F.lit(r.confidence).alias("confidence"), F.lit(r.lists_rows).alias("_lists"))
-        for i, r in enumerate(rules)
-    ])
-    found = counts.select(*KEYS, F.inline(items)).where("affected_row_count > 0")
-    named_rules = [i for i, r in enumerate(rules) if "{values}" in r.evidence]
-    examples = first_broken_rows(mapped, rules)
-    broken = found.join(examples, [*KEYS, "rule"], "left")
-    if named_rules:
-        # Other rules keep their place in the numbering but match no row here.
-        only = [r if i in named_rules else None for i, r in enumerate(rules)]
-        named = _named_values(mapped, only)
-        broken = broken.join(named, [*KEYS, "rule"], "left")
-    else:
-        broken = broken.withColumn("named", F.lit(None).cast("string"))
-    evidence = F.replace(
-        F.replace("evidence", F.lit("{n}"), F.col("affected_row_count").cast("string")),
-        F.lit("{values}"), F.coalesce("named", F.lit("")))
-    none = F.array().cast("array<bigint>")
-    parts = [
-        completeness_issues(counts, present),
-        broken.select(
-            *KEYS, "ord", "issue_type", "severity", "affected_field",
-            F.when(F.col("_lists"), F.col("affected_rows").cast("array<bigint>")).otherwise(none).alias("affected_rows"),
-            "affected_row_count", evidence.alias("evidence"), F.col("example").alias("before_example"),
-            "suggested_operation", "confidence"),
-    ]
+    parts = [completeness_issues(counts, present)]
+    if rules:
+        parts.append(_rule_issues(mapped, counts, rules, order))
     if "Reference" in present:
         duplicates = settle(duplicate_references(mapped))
         text = F.concat(F.format_string("Reference: %d rows have duplicate IDs: ", "affected_row_count"), "named", F.lit("."))
@@ -255,11 +227,34 @@ def detect_issues(mapped: DataFrame, current_year: int, mapping: DataFrame | Non
         "evidence", "before_example", "suggested_operation", "confidence")
 
 
-def _named_values(mapped: DataFrame, rules: list[Rule | None]) -> DataFrame:
-    kept = [(i, r) for i, r in enumerate(rules) if r is not None]
-    named = first_distinct_values(mapped, [r for _, r in kept])
-    back = F.array(*[F.lit(i) for i, _ in kept])
-    return named.withColumn("rule", F.get(back, F.col("rule")))
+def _rule_issues(mapped: DataFrame, counts: DataFrame, rules: list[Rule], order: dict[str, int]) -> DataFrame:
+    """Findings of the row rules, with examples, row lists and named values."""
+    items = F.array(*[
+        F.struct(F.lit(i).alias("rule"), F.lit(order[f"{r.name}/{r.field}"]).alias("ord"),
+                 F.lit(r.issue_type).alias("issue_type"), F.lit(r.severity).alias("severity"),
+                 F.lit(r.field).alias("affected_field"), F.col(f"rule_{i}").alias("affected_row_count"),
+                 F.lit(r.evidence).alias("evidence"), F.lit(r.operation).alias("suggested_operation"),
+                 F.lit(r.confidence).alias("confidence"), F.lit(r.lists_rows).alias("_lists"))
+        for i, r in enumerate(rules)
+    ])
+    found = counts.select(*KEYS, F.inline(items)).where("affected_row_count > 0")
+    broken = found.join(first_broken_rows(mapped, rules), [*KEYS, "rule"], "left")
+    named = [i for i, r in enumerate(rules) if "{values}" in r.evidence]
+    if named:
+        values = first_distinct_values(mapped, [rules[i] for i in named])
+        place = F.get(F.array(*[F.lit(i) for i in named]), F.col("rule"))
+        broken = broken.join(values.withColumn("rule", place), [*KEYS, "rule"], "left")
+    else:
+        broken = broken.withColumn("named", F.lit(None).cast("string"))
+    evidence = F.replace(
+        F.replace("evidence", F.lit("{n}"), F.col("affected_row_count").cast("string")),
+        F.lit("{values}"), F.coalesce("named", F.lit("")))
+    none = F.array().cast("array<bigint>")
+    return broken.select(
+        *KEYS, "ord", "issue_type", "severity", "affected_field",
+        F.when(F.col("_lists"), F.col("affected_rows").cast("array<bigint>")).otherwise(none).alias("affected_rows"),
+        "affected_row_count", evidence.alias("evidence"), F.col("example").alias("before_example"),
+        "suggested_operation", "confidence")
 
 
 # --- completeness, score, grade ---------------------------------------------------------

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import looks_numeric, strip
+from ..functions.text import in_list, looks_numeric, strip
 from ..schema import KEYS, TARGET_FIELDS, TARGET_SYNONYMS, TOTAL_WORDS
 from ..session import attach, is_small, settle
 
@@ -68,8 +68,8 @@ def header_scores(rows: DataFrame, dims: DataFrame, max_rows: int = MAX_HEADER_R
 
     def matches(v: Column) -> Column:
         low = F.lower(v)
-        hit = strip(F.regexp_replace(low, scorer["separators"], " ")).isin(known)
-        return hit | low.isin(known) if scorer["blank_rows_score"] else hit
+        hit = in_list(strip(F.regexp_replace(low, scorer["separators"], " ")), known)
+        return hit | in_list(low, known) if scorer["blank_rows_score"] else hit
 
     text = text_cells(F.col("values"), F.col("types"))
     counted = (
