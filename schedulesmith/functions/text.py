@@ -103,5 +103,13 @@ def in_list(v: Column, names: list[str]) -> Column:
     return F.find_in_set(v, F.lit(",".join(names))) > 0
 
 
-def py_percent(ratio: Column, digits: int = 0) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", ratio * 100), F.lit("%"))
+def fixed(x: Column | str, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded from the exact binary value, ties to even."""
+    x = F.col(x) if isinstance(x, str) else x
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", x.cast("double"), F.lit(pattern))
+
+
+def rounded(x: Column, digits: int | None) -> Column:
+    """Number rounded like ``fixed``; unchanged when ``digits`` is None. For per-sheet figures."""
+    return x if digits is None else fixed(x, digits).cast("double")

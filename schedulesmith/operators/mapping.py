@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import fuzzy_hits, similarity_topk
-from ..functions.text import normalize_header, normalize_header_text
+from ..functions.text import fixed, normalize_header, normalize_header_text, rounded
 from ..schema import KEYS, TARGET_FIELDS, corpus
 from ..session import first_rows
 from .memory import memory_matches
@@ -53,7 +53,7 @@ def confidence(name_similarity: Column, fit: Column, agreement: Column, memory_h
     hit = F.lit(memory_hit) if isinstance(memory_hit, bool) else memory_hit
     score = F.when(hit, F.least(F.lit(MEMORY_CAP), score * 1.1)).otherwise(score)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
-    return score if digits is None else F.bround(score, digits)
+    return rounded(score, digits)
 
 
 # --- name evidence per distinct header --------------------------------------------------
@@ -88,7 +88,7 @@ def fuzzy_matches(headers: DataFrame, limit: int = TOP) -> DataFrame:
         (F.col("score") / 100.0 * FUZZY_DISCOUNT).alias("name_similarity"),
         F.array(
             F.concat(F.lit("Fuzzy match: '"), "source_column", F.lit("' ≈ '"), "text",
-                     F.format_string("' (score=%.1f%%)", "score")),
+                     F.lit("' (score="), fixed("score", 1), F.lit("%)")),
             F.concat(F.lit("Matched target: '"), "target", F.lit("'")),
         ).alias("evidence"))
 
@@ -107,7 +107,7 @@ def semantic_matches(header_vectors: DataFrame, corpus_vectors: DataFrame, limit
         (F.col("similarity") * SEMANTIC_DISCOUNT).alias("name_similarity"),
         F.array(
             F.concat(F.lit("Semantic similarity: '"), "source_column", F.lit("' ↔ '"), "text",
-                     F.format_string("' = %.3f", "similarity")),
+                     F.lit("' = "), fixed("similarity", 3)),
             F.concat(F.lit("Matched target: '"), "target", F.lit("'")),
         ).alias("evidence"))
 
@@ -155,8 +155,8 @@ def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | No
             sim.alias("name_similarity"), F.lit(1.0).alias("method_agreement"),
             F.array(
                 F.concat(F.lit("Previously approved mapping: '"), "memory_source", F.lit("' → '"), "target", F.lit("'")),
-                F.format_string("Similarity: %.3f", "similarity"),
-                F.format_string("Original confidence: %.3f", "memory_confidence"),
+                F.concat(F.lit("Similarity: "), fixed("similarity", 3)),
+                F.concat(F.lit("Original confidence: "), fixed("memory_confidence", 3)),
             ).alias("evidence")))
     parts.append(exact_matches(headers).select(
         "source_column", "target", F.lit(1).alias("tier"), F.lit(0).alias("cand_order"), F.lit("exact").alias("method"),
@@ -176,7 +176,7 @@ def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | No
 
 def veto_reasons(candidates: DataFrame) -> DataFrame:
     """Candidates ruled out by the column's values, with the text kept as evidence (M7)."""
-    fit = F.format_string("%.2f", "value_profile_fit")
+    fit = fixed("value_profile_fit", 2)
     text = (
         F.when(F.col("tier") == 0, F.concat(F.lit("Memory suggested '"), "target",
                                             F.lit("' but values contradict it (VPF="), fit, F.lit(").")))
@@ -193,7 +193,7 @@ def veto_reasons(candidates: DataFrame) -> DataFrame:
 def viable_candidates(candidates: DataFrame) -> DataFrame:
     """Candidates that may be assigned, in the order a column tries them (M7, M9)."""
     ok = ~F.col("contradicts") & ((F.col("tier") < 2) | (F.col("confidence") >= MIN_CONFIDENCE))
-    fit = F.format_string("%.2f", "value_profile_fit")
+    fit = fixed("value_profile_fit", 2)
     rationale = (
         F.when(F.col("tier") == 0, F.concat(F.lit("Retrieved from approved memory: "), F.get("evidence", F.lit(0))))
         .when(F.col("tier") == 1, F.concat(F.lit("Exact normalized match. VPF="), fit, F.lit(".")))
@@ -238,9 +238,9 @@ def proposal_candidates(proposals: DataFrame, columns: DataFrame, fits: DataFram
         F.lit("llm").alias("method"), sim.alias("name_similarity"), F.col("map_fit").alias("value_profile_fit"),
         F.lit(0.7).alias("method_agreement"),
         confidence(sim, F.col("map_fit"), F.lit(0.7)).alias("confidence"), F.lit(0.0).alias("bid"),
-        F.array(F.concat(F.lit("LLM reasoning: "), "_why"), F.format_string("LLM confidence: %.3f", "confidence"))
+        F.array(F.concat(F.lit("LLM reasoning: "), "_why"), F.concat(F.lit("LLM confidence: "), fixed("confidence", 3)))
         .alias("evidence"),
-        F.concat(F.lit("LLM reasoning. VPF="), F.format_string("%.2f", "map_fit"), F.lit(".")).alias("rationale"),
+        F.concat(F.lit("LLM reasoning. VPF="), fixed("map_fit", 2), F.lit(".")).alias("rationale"),
         F.lit(True).alias("review_required"))
 
 
@@ -372,7 +372,7 @@ def mapping_summary(mapping: DataFrame, digits: int | None = 4) -> DataFrame:
         F.count(F.lit(1)).alias("n_columns"),
         F.count("target").alias("n_mapped"),
         F.count(F.when(F.col("confidence") >= HIGH_CONFIDENCE, 1)).alias("n_high_confidence"),
-        (mean if digits is None else F.bround(mean, digits)).alias("mean_confidence"),
+        rounded(mean, digits).alias("mean_confidence"),
         by_position.getField("source_column").alias("unmapped_columns"),
         F.array_except(targets, F.collect_set("target")).alias("unmapped_targets"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ops import suggest_operation
-from ..functions.text import in_list, number, strip
+from ..functions.text import in_list, number, rounded, strip
 from ..schema import (
     CODE_FIELDS, MONETARY_FIELDS, PLACE_FIELDS, SPRINKLER_LOOKALIKES, STATE_CODES, STREET_WORDS, TARGET_FIELDS,
 )
@@ -120,9 +120,7 @@ def fit(target: str, current_year: int, digits: int | None = 4) -> Column:
     else:
         raise ValueError(f"unknown target field {target!r}")
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
-    if digits is not None:
-        score = F.bround(score, digits)
-    return F.when(c("empty"), F.lit(0.0)).otherwise(score)
+    return F.when(c("empty"), F.lit(0.0)).otherwise(rounded(score, digits))
 
 
 def profile_fits(profiles: DataFrame, keys: list[str], current_year: int,

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import in_list, number, strip
+from ..functions.text import fixed, in_list, number, rounded, strip
 from ..schema import INTEGER_FIELDS, KEYS, MONETARY_FIELDS, SPRINKLER_CODES, STATE_CODES, TARGET_FIELDS
 from ..session import attach, first_rows, settle
 
@@ -186,8 +186,8 @@ def completeness_issues(counts: DataFrame, present: list[str]) -> DataFrame:
     return flat.withColumn("severity", severity).where("severity is not null").select(
         *KEYS, "ord", F.lit("completeness").alias("issue_type"), "severity", "affected_field",
         F.array().cast("array<bigint>").alias("affected_rows"), F.col("missing").alias("affected_row_count"),
-        F.concat("affected_field", F.format_string(": %d/%d (%.1f%%) values are null/empty.", "missing", "n_rows", pct))
-        .alias("evidence"),
+        F.concat("affected_field", F.format_string(": %d/%d (", "missing", "n_rows"), fixed(pct, 1),
+                 F.lit("%) values are null/empty.")).alias("evidence"),
         F.lit("<null>").alias("before_example"), F.lit("flag_for_review").alias("suggested_operation"),
         F.lit(1.0).alias("confidence"))
 
@@ -269,7 +269,7 @@ def completeness(mapped: DataFrame, digits: int | None = 2) -> DataFrame:
         if f not in present:
             return F.lit(0.0)
         share = F.col(f"_c{present.index(f)}") / F.col("_n") * 100
-        return share if digits is None else F.bround(share, digits)
+        return rounded(share, digits)
 
     items = F.array(*[
         F.struct(F.lit(i).alias("field_pos"), F.lit(f).alias("field"), pct(f).alias("completeness"))
@@ -317,7 +317,7 @@ def quality_score(sheets: DataFrame, mapping: DataFrame | None = None, complete:
         part = issues.groupBy(*KEYS).agg(F.greatest(F.lit(0.0), 1 - penalty).alias("anomaly_score"))
         out = out.join(part, KEYS, "left").fillna(1.0, ["anomaly_score"])
     score = (F.col("mapping_score") * 0.35 + F.col("completeness_score") * 0.30 + F.col("anomaly_score") * 0.35) * 100
-    out = out.withColumn("score", score if digits is None else F.bround(score, digits))
+    out = out.withColumn("score", rounded(score, digits))
     return out.withColumn("grade", grade(F.col("score"))).withColumn("label", grade_label(F.col("score")))
 
 

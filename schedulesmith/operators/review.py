@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ops import WHITELIST, apply_named
-from ..functions.text import py_percent
+from ..functions.text import fixed
 from ..schema import KEYS, TARGET_FIELDS
 from .mapping import HIGH_CONFIDENCE
 
@@ -62,7 +62,7 @@ def mapping_recommendations(mapping: DataFrame) -> DataFrame:
     conf = F.col("confidence")
     why = F.concat(
         F.lit("Map '"), "source_column", F.lit("' → '"), "target", F.lit("' (method="), "method",
-        F.lit(", confidence="), F.format_string("%.2f", conf), F.lit("). "),
+        F.lit(", confidence="), fixed(conf, 2), F.lit("). "),
         F.array_join(F.slice("evidence", 1, 2), "; "))
     return _pending(mapping.where("target is not null").select(
         *KEYS, _rec_id("MAP-", "source_column").alias("rec_id"), F.col("col_idx").cast("int").alias("rec_order"),
@@ -72,7 +72,7 @@ def mapping_recommendations(mapping: DataFrame) -> DataFrame:
         F.concat(F.lit("Renamed to: '"), "target", F.lit("'")).alias("after_example"), why.alias("rationale"),
         "confidence",
         F.when(conf >= HIGH_CONFIDENCE, "").otherwise(
-            F.concat(F.lit("Confidence "), py_percent(conf), F.lit(" — review recommended."))).alias("uncertainty"),
+            F.concat(F.lit("Confidence "), fixed(conf * 100, 0), F.lit("% — review recommended."))).alias("uncertainty"),
         F.lit(0).cast("bigint").alias("affected_rows"), F.array().cast("array<bigint>").alias("affected_row_indices"),
         F.lit("").alias("issue_type"), (F.col("review_required") | (conf < HIGH_CONFIDENCE)).alias("review_required")))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import in_list, looks_numeric, strip
+from ..functions.text import fixed, in_list, looks_numeric, rounded, strip
 from ..schema import KEYS, TARGET_FIELDS, TARGET_SYNONYMS, TOTAL_WORDS
 from ..session import attach, is_small, settle
 
@@ -132,9 +132,9 @@ def sheet_profile(rows: DataFrame) -> DataFrame:
     data = F.nullif(F.col("_b"), F.lit(0))
     return sums.select(
         *KEYS, "row_count", "col_count",
-        F.coalesce(F.bround(F.col("_f") / F.nullif(cells, F.lit(0)), 4), F.lit(0.0)).alias("non_null_ratio"),
-        F.coalesce(F.bround((F.col("_b") - F.col("_n")) / data, 4), F.lit(0.0)).alias("text_density"),
-        F.coalesce(F.bround(F.col("_n") / data, 4), F.lit(0.0)).alias("numeric_density"),
+        F.coalesce(rounded(F.col("_f") / F.nullif(cells, F.lit(0)), 4), F.lit(0.0)).alias("non_null_ratio"),
+        F.coalesce(rounded((F.col("_b") - F.col("_n")) / data, 4), F.lit(0.0)).alias("text_density"),
+        F.coalesce(rounded(F.col("_n") / data, 4), F.lit(0.0)).alias("numeric_density"),
         (F.col("row_count") - F.col("_filled_rows")).alias("blank_row_count"),
     )
 
@@ -188,15 +188,17 @@ def score_sheets(rows: DataFrame, headers: DataFrame, merges: DataFrame | None =
         "classification",
         F.when((composite >= 0.45) & (matches >= 3), PRIMARY)
         .when((composite >= 0.25) | (matches >= 1), SECONDARY).otherwise(REJECT),
-    ).withColumn("confidence", F.bround(composite, 4)).withColumn(
+    ).withColumn("confidence", rounded(composite, 4)).withColumn(
         "reasoning",
         F.array_compact(F.array(
             F.format_string("Header row detected at row %d (0-indexed).", F.col("header_row").cast("bigint")),
             F.format_string("Synonym field matches: %d out of 17 target fields.", matches.cast("bigint")),
-            F.format_string("Header match score: %.2f, Data density: %.2f.", "header_match", "non_null_ratio"),
-            F.format_string("Type consistency: %.2f, Data continuity: %.2f.", "type_consistency", "data_continuity"),
+            F.concat(F.lit("Header match score: "), fixed("header_match", 2), F.lit(", Data density: "), fixed("non_null_ratio", 2),
+                     F.lit(".")),
+            F.concat(F.lit("Type consistency: "), fixed("type_consistency", 2), F.lit(", Data continuity: "),
+                     fixed("data_continuity", 2), F.lit(".")),
             F.format_string("Data rows below header: %d.", below.cast("bigint")),
-            F.format_string("Composite score: %.3f → %s.", composite, F.col("classification")),
+            F.concat(F.lit("Composite score: "), fixed(composite, 3), F.lit(" → "), F.col("classification"), F.lit(".")),
             F.when(F.col("merged_cell_count") > 0, F.format_string(
                 "Merged cells detected (%d ranges) — unmerged for processing.", "merged_cell_count")),
         )),

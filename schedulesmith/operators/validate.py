@@ -142,4 +142,4 @@ def validation_rollup(errors: DataFrame, sheets: DataFrame) -> DataFrame:
 
 def zip_display(zip_code: Column) -> Column:
     """Zip as shown on export: five digits with leading zeros."""
-    return F.format_string("%05d", zip_code.cast("bigint"))
+    return F.lpad(zip_code.cast("string"), 5, "0")

@@ -27,6 +27,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "schedu
         .config("spark.driver.memory", "12g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
