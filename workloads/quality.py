@@ -9,7 +9,7 @@ from schedulesmith.schema import INTEGER_FIELDS, KEYS, MONETARY_FIELDS, SPRINKLE
 from schedulesmith.session import settle
 
 from . import duck as d
-from .inputs import CURRENT_YEAR, MAPPED_DUCK, mapped, spark_sql
+from .inputs import CURRENT_YEAR, MAPPED_DUCK, mapped, table
 
 Q, SQL = {}, {}
 K = "file_id, sheet_name"
@@ -116,7 +116,13 @@ MAPPING_DUCK = MAPPING.replace("{", "").replace("}", "")
 
 
 def mapping(spark, sf):
-    return spark_sql(spark, sf, MAPPING)
+    pos, field = F.col("col_idx"), F.array(*[F.lit(f) for f in TARGET_FIELDS])
+    none = (pos + F.length("sheet_name")) % 5 == 0
+    return table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("file_id"), F.col("o_orderpriority").alias("sheet_name")).distinct().select(
+        *KEYS, F.posexplode(field).alias("col_idx", "field")).select(
+        *KEYS, "col_idx", F.concat(F.lit("col "), pos.cast("string")).alias("source_column"),
+        F.when(~none, F.col("field")).alias("target"), F.when(none, 0.0).otherwise(0.5 + pos / 64.0).alias("confidence"))
 
 
 def score(spark, sf):
