@@ -258,46 +258,54 @@ def rejected_proposals(proposals: DataFrame, columns: DataFrame, fits: DataFrame
 
 # --- assignment -------------------------------------------------------------------------
 
-def _claim_targets(sheet: pd.DataFrame) -> pd.DataFrame:
-    """Commit the strongest pending column of one sheet, again and again.
+def _claim_targets(col_idx, tier, cand_order, target, confidence, bid) -> list[int]:
+    """Positions of the candidates that win when the strongest pending column commits first.
 
     Every column bids its first candidate whose target is still free. A claimed target is
     never given back, and a column that lost its target bids its next one at that bid.
     """
     import heapq
 
-    def sort_key(c):
-        return (c["tier"], -c["confidence"] if c["tier"] == 2 else 0.0, c["cand_order"])
+    def turn(i):
+        return tier[i], -confidence[i] if tier[i] == 2 else 0.0, cand_order[i]
 
-    options = {}
-    for c in sheet.to_dict("records"):
-        options.setdefault(int(c["col_idx"]), []).append(c)
-    for col in options:
-        options[col].sort(key=sort_key)
-    queue = [(-cands[0]["bid"], col, 0) for col, cands in options.items()]
+    options: dict[int, list[int]] = {}
+    for i in sorted(range(len(col_idx)), key=turn):
+        options.setdefault(int(col_idx[i]), []).append(i)
+    queue = [(-bid[mine[0]], col, 0) for col, mine in options.items()]
     heapq.heapify(queue)
     claimed, won = set(), []
     while queue:
         _, col, at = heapq.heappop(queue)
-        cands = options[col]
-        if cands[at]["target"] not in claimed:
-            claimed.add(cands[at]["target"])
-            won.append(cands[at])
+        mine = options[col]
+        if target[mine[at]] not in claimed:
+            claimed.add(target[mine[at]])
+            won.append(mine[at])
             continue
-        while at < len(cands) and cands[at]["target"] in claimed:
+        while at < len(mine) and target[mine[at]] in claimed:
             at += 1
-        if at < len(cands):
-            heapq.heappush(queue, (-cands[at]["bid"], col, at))
-    return pd.DataFrame(won, columns=list(sheet.columns))
+        if at < len(mine):
+            heapq.heappush(queue, (-bid[mine[at]], col, at))
+    return won
 
 
 def assign_targets(viable: DataFrame) -> DataFrame:
     """1:1 assignment within every sheet.
 
-    A group holds the candidates of one sheet, at most a dozen per column, never data rows.
+    Each sheet is one array of its candidates, at most a dozen per column and never data
+    rows, so thousands of sheets are settled per batch.
     """
-    columns = [c.split()[0] for c in CANDIDATE_SCHEMA.split(", ")]
-    return viable.select(*columns).groupBy(*KEYS).applyInPandas(_claim_targets, CANDIDATE_SCHEMA)
+    @F.pandas_udf("array<int>")
+    def winners(col_idx: pd.Series, tier: pd.Series, cand_order: pd.Series, target: pd.Series,
+                confidence: pd.Series, bid: pd.Series) -> pd.Series:
+        sheets = zip(col_idx, tier, cand_order, target, confidence, bid)
+        return pd.Series([_claim_targets(*sheet) for sheet in sheets])
+
+    body = [f.name for f in viable.schema if f.name not in KEYS]
+    packed = viable.groupBy(*KEYS).agg(F.collect_list(F.struct(*body)).alias("c"))
+    judged = ["col_idx", "tier", "cand_order", "target", "confidence", "bid"]
+    won = packed.withColumn("w", winners(*[F.col(f"c.{x}") for x in judged]))
+    return won.select(*KEYS, F.inline(F.transform("w", lambda i: F.get("c", i))))
 
 
 def mapping_table(columns: DataFrame, assigned: DataFrame, vetoes: DataFrame | None = None,
