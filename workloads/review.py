@@ -37,7 +37,7 @@ RECS = f"""select o_orderstatus as file_id, concat('sheet ', cast(o_custkey as s
   concat('REC-', cast(o_orderkey as string)) as rec_id, cast(o_orderkey as int) as rec_order,
   {_pick('o_orderkey', KINDS)} as action_type, concat('col ', cast(o_orderkey % 7 as string)) as source_column,
   {_pick('o_orderkey * 3', TARGET_FIELDS)} as target_column,
-  case when o_orderkey % 4 = 0 then 'trim_whitespace' else {_pick('o_orderkey * 5', OPS)} end as operation,
+  case when o_orderkey % 4 = 0 then 'trim_whitespace' else {_pick('o_orderkey * 5 + o_custkey', OPS)} end as operation,
   concat('$', cast(o_orderkey as string)) as before_example, 'after' as after_example,
   case when o_orderkey % 10 = 0 then '' else concat('because of ', cast(o_orderkey as string)) end as rationale,
   cast(o_orderkey % 60 + 40 as double) / 100 as confidence, '' as uncertainty, cast(o_orderkey % 31 as bigint) as affected_rows,
