@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from ..schema import (
     INTEGER_FIELDS, MONETARY_FIELDS, SPRINKLER_ALIASES, SPRINKLER_CODES, STATE_CODES, STATE_NAMES,
 )
-from .text import double_text, in_list, lookup, number, number_text, strip, to_double
+from .text import double_text, in_list, let, lookup, number, strip
 
 
 def strip_currency(v: Column) -> Column:
     """Amount without "$" and ","; "(" reads as minus; anything else non-numeric is null (G1)."""
-    return number(strip(v), "$,", parens="minus")
+    return number(v, "$,", parens="minus")
 
 
 def to_float(v: Column) -> Column:
@@ -29,8 +29,8 @@ def to_float(v: Column) -> Column:
 
 def to_int(v: Column) -> Column:
     """Whole numbers as integer text, fractions unchanged, anything else null."""
-    d = number(v, ",")
-    return F.when(d == F.floor(d), F.floor(d).cast("decimal(38,0)").cast("string")).when(d.isNotNull(), v)
+    return let(number(v, ","), lambda d: F.when(
+        d == F.floor(d), F.floor(d).cast("decimal(38,0)").cast("string")).when(d.isNotNull(), v))
 
 
 def to_str(v: Column) -> Column:
@@ -47,20 +47,13 @@ def normalize_spaces(v: Column) -> Column:
 
 def state_to_abbrev(v: Column) -> Column:
     """State code for codes, dotted codes and full names; otherwise the stripped value."""
-    s = strip(v)
-    compact = F.upper(F.regexp_replace(s, r"(?U)[\s.]", ""))
-    return (
-        F.when(in_list(F.upper(s), STATE_CODES), F.upper(s))
-        .when(in_list(compact, STATE_CODES), compact)
-        .otherwise(F.coalesce(lookup(STATE_NAMES, F.lower(s)), s))
-    )
+    compact = let(F.upper(F.regexp_replace(v, r"(?U)[\s.]", "")), lambda c: F.when(in_list(c, STATE_CODES), c))
+    return F.coalesce(compact, let(strip(v), lambda s: F.coalesce(lookup(STATE_NAMES, F.lower(s)), s)))
 
 
 def normalize_sprinkler_code(v: Column) -> Column:
-    s = strip(v)
-    return F.when(F.upper(s).isin(SPRINKLER_CODES), F.upper(s)).otherwise(
-        F.coalesce(lookup(SPRINKLER_ALIASES, F.lower(s)), s)
-    )
+    return let(strip(v), lambda s: F.when(F.upper(s).isin(SPRINKLER_CODES), F.upper(s)).otherwise(
+        F.coalesce(lookup(SPRINKLER_ALIASES, F.lower(s)), s)))
 
 
 # Date spellings in the order they are tried, as (shape, pattern).
@@ -75,11 +68,13 @@ PACKED_DATE = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
 
 def normalize_date(v: Column) -> Column:
     """ISO date for the first spelling that gives a real date, else the value unchanged."""
-    s = strip(v)
-    packed = F.regexp_replace(s, PACKED_DATE, "$1-$2-$3")
-    tries = [F.when(s.rlike(shape), F.try_to_date(s, pattern)) for shape, pattern in DATE_FORMATS]
-    tries.append(F.when(s.rlike(PACKED_DATE), F.try_to_date(packed, "yyyy-M-d")))
-    return F.coalesce(F.date_format(F.coalesce(*tries), "yyyy-MM-dd"), v)
+    def first_real(s: Column) -> Column:
+        packed = F.regexp_replace(s, PACKED_DATE, "$1-$2-$3")
+        tries = [F.when(s.rlike(shape), F.try_to_date(s, pattern)) for shape, pattern in DATE_FORMATS]
+        tries.append(F.when(s.rlike(PACKED_DATE), F.try_to_date(packed, "yyyy-M-d")))
+        return F.date_format(F.coalesce(*tries), "yyyy-MM-dd")
+
+    return F.coalesce(let(strip(v), first_real), v)
 
 
 def to_year_int(v: Column) -> Column:
@@ -90,10 +85,8 @@ def to_year_int(v: Column) -> Column:
 def to_zip(v: Column) -> Column:
     """Five-digit postal code; three or four digits are codes that lost leading zeros."""
     head = F.substring_index(F.substring_index(strip(v), "-", 1), ".", 1)
-    digits = F.regexp_replace(head, r"\D", "")
-    return F.when(F.length(digits) >= 5, F.substring(digits, 1, 5).cast("int")).when(
-        F.length(digits) >= 3, digits.cast("int")
-    )
+    return let(F.regexp_replace(head, r"\D", ""), lambda digits: F.when(
+        F.length(digits) >= 5, F.substring(digits, 1, 5).cast("int")).when(F.length(digits) >= 3, digits.cast("int")))
 
 
 def flag_for_review(v: Column) -> Column:
@@ -105,13 +98,11 @@ def _as_text(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
 
 
 def _strip_currency_text(v: Column) -> Column:
-    text = number_text(strip(v), "$,", parens="minus")
-    return double_text(to_double(text), text)
+    return double_text(strip_currency(v))
 
 
 def _to_float_text(v: Column) -> Column:
-    text = number_text(v, ",$")
-    return double_text(to_double(text), text)
+    return double_text(to_float(v))
 
 
 # Operation name -> text-to-text form used inside the lossless table.

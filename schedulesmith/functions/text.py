@@ -20,49 +20,47 @@ def strip(v: Column) -> Column:
     return F.btrim(v, F.lit(WHITESPACE))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_double(text: Column) -> Column:
     """Guarded cast: null unless the whole text is a finite decimal literal."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def number_text(v: Column, drop: str = "", parens: str | None = None) -> Column:
-    """Text left after removing symbols.
+    """Text left after removing symbols; every step uses its input once.
 
     ``parens="minus"`` turns "(" into "-" and removes ")" anywhere; ``parens="wrapped"``
     negates only values fully wrapped in parentheses; ``None`` leaves them in place.
     """
     if parens == "minus":
-        text = F.translate(v, "(" + drop + ")", "-")
-    else:
-        text = F.translate(v, drop, "") if drop else v
-    text = strip(text)
-    if parens == "wrapped":
-        inner = F.substring(text, F.lit(2), F.length(text) - 2)
-        wrapped = text.startswith("(") & text.endswith(")") & (F.length(text) >= 2)
-        text = F.when(wrapped, F.concat(F.lit("-"), inner)).otherwise(text)
-        text = strip(text)
-    return text
+        return strip(F.translate(v, "(" + drop + ")", "-"))
+    text = strip(F.translate(v, drop, "") if drop else v)
+    return F.regexp_replace(text, r"(?Us)^\((.*?)\s*\)$", "-$1") if parens == "wrapped" else text
 
 
 def number(v: Column, drop: str = "", parens: str | None = None) -> Column:
     return to_double(number_text(v, drop, parens))
 
 
+# The same literal with ",", "$" and "%" anywhere and blanks around it, as one pattern.
+LOOSE_NUMBER = (
+    r"(?U)^[\s,$%]*[+-]?[,$%]*(?:(?:[0-9][,$%]*+)++(?:\.[,$%]*(?:[0-9][,$%]*+)*+)?|\.[,$%]*(?:[0-9][,$%]*+)++)"
+    r"(?:[eE][,$%]*[+-]?[,$%]*(?:[0-9][,$%]*+)++)?[\s,$%]*$"
+)
+
+
 def looks_numeric(v: Column) -> Column:
     """True when the value is a number after dropping thousands commas, "$" and "%" (R3)."""
-    return number_text(v, ",$%").rlike(NUMBER)
-
-
-def double_text(d: Column, source: Column) -> Column:
-    """Lossless text of a parsed number: "5.0" for whole values, else the digits as written."""
-    whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
-    plain = source.rlike(r"^[+-]?\d*\.\d+$")
-    return (
-        F.when(d.isNull(), F.lit(None).cast("string"))
-        .when(whole, F.concat(F.floor(d).cast("bigint").cast("string"), F.lit(".0")))
-        .when(plain, F.regexp_replace(source, r"0+$", ""))
-        .otherwise(d.cast("string"))
-    )
+    return v.rlike(LOOSE_NUMBER)
+
+
+def double_text(d: Column) -> Column:
+    """Text of a parsed number without exponent: "5.0" for whole values."""
+    return F.call_function("format_number", d, F.lit("0.0###############"))
 
 
 def normalize_header(v: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import fuzzy_hits, similarity_topk
 from ..functions.text import fixed, normalize_header, normalize_header_text, rounded
 from ..schema import KEYS, TARGET_FIELDS, corpus
-from ..session import first_rows
+from ..session import attach, first_rows, settle
 from .memory import memory_matches
 
 W_NAME, W_VALUE, W_METHOD = 0.45, 0.35, 0.20
@@ -167,7 +167,8 @@ def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | No
     names = parts[0]
     for part in parts[1:]:
         names = names.unionByName(part)
-    joined = named.join(names, "source_column").join(
+    # One header text may sit on a large share of all sheets: size-checked broadcast, else salted.
+    joined = attach(named, settle(names), ["source_column"], spread=F.struct(*KEYS, "col_idx")).join(
         fits.select(*KEYS, "col_idx", "target", "map_fit", "contradicts"), [*KEYS, "col_idx", "target"])
     return joined.withColumn("value_profile_fit", F.col("map_fit")).withColumn(
         "confidence", confidence(F.col("name_similarity"), F.col("map_fit"), F.col("method_agreement"),

@@ -36,8 +36,21 @@ class Rule:
     lists_rows: bool = True
 
 
+def with_numbers(mapped: DataFrame) -> DataFrame:
+    """Parsed numbers of the numeric fields as ``_n <field>``, once for all rules that use them."""
+    def parsed(f: str) -> Column:
+        cell = F.col(f"`{f}`")
+        return number(cell, "$,", parens="wrapped") if f in MONETARY_FIELDS else number(cell, ",")
+
+    fields = [f for f in MONETARY_FIELDS + INTEGER_FIELDS if f in mapped.columns]
+    return mapped.select("*", *[parsed(f).alias(f"_n {f}") for f in fields])
+
+
 def row_rules(current_year: int, fields: list[str] | None = None) -> list[Rule]:
-    """All rules that judge one cell at a time (Q2-Q9, Q11, Q12), in reporting order."""
+    """All rules that judge one cell at a time (Q2-Q9, Q11, Q12), in reporting order.
+
+    They read the columns of ``with_numbers``.
+    """
     fields = TARGET_FIELDS if fields is None else fields
     rules: list[Rule] = []
 
@@ -48,22 +61,22 @@ def row_rules(current_year: int, fields: list[str] | None = None) -> list[Rule]:
 
     for f in MONETARY_FIELDS:
         cell = F.col(f"`{f}`")
-        amount = number(cell, "$,", parens="wrapped")
+        amount = F.col(f"`_n {f}`")
         add(f, "currency_format", cell.rlike(r"[$,]"), "format", "medium", "strip_currency", 0.98,
             f"{f}: {{n}} rows contain currency symbols/commas.", lists_rows=False)
         add(f, "negative_amount", F.coalesce(amount < 0, F.lit(False)), "logical_error", "high", "flag_for_review", 1.0,
             f"{f}: {{n}} rows have negative monetary values.")
         add(f, "non_numeric_amount", amount.isNull(), "type_error", "medium", "flag_for_review", 1.0,
             f"{f}: {{n}} rows contain non-numeric values.")
-    year = number(F.col("`Year Built`"), ",")
+    year = F.col("`_n Year Built`")
     # The year is cut to a whole number towards zero before the comparison.
     whole_year = F.when(year >= 0, F.floor(year)).otherwise(F.ceil(year))
     add("Year Built", "year_range", (whole_year > current_year) | (whole_year < 1700), "logical_error", "high",
         "to_year_int", 1.0, f"Year Built: {{n}} rows have invalid years (expected 1700–{current_year}).")
-    add("Storeys", "storeys_below_one", number(F.col("Storeys"), ",") < 1, "logical_error", "medium",
+    add("Storeys", "storeys_below_one", F.col("`_n Storeys`") < 1, "logical_error", "medium",
         "flag_for_review", 0.95, "Storeys: {n} rows have values < 1.")
     add("Number of Buildings", "buildings_below_one",
-        F.coalesce(number(F.col("`Number of Buildings`"), ",") < 1, F.lit(False)), "logical_error", "medium",
+        F.coalesce(F.col("`_n Number of Buildings`") < 1, F.lit(False)), "logical_error", "medium",
         "flag_for_review", 0.95, "Number of Buildings: {n} rows have values < 1.")
     add("Fire Sprinklers (Y/N)", "sprinkler_code",
         ~F.upper(strip(F.col("`Fire Sprinklers (Y/N)`"))).isin(SPRINKLER_CODES), "format", "medium",
@@ -75,7 +88,7 @@ def row_rules(current_year: int, fields: list[str] | None = None) -> list[Rule]:
     add("Zip", "zip_length", F.length(zip_digits) != 5, "format", "low", "to_zip", 0.90,
         "Zip: {n} rows have non-5-digit ZIP codes.")
     for f in INTEGER_FIELDS:
-        d = number(F.col(f"`{f}`"), ",")
+        d = F.col(f"`_n {f}`")
         add(f, "non_integer", d != F.floor(d), "type_error", "low", "to_int", 0.95,
             f"{f}: {{n}} rows have non-integer values.")
     return rules
@@ -97,7 +110,7 @@ def rule_counts(mapped: DataFrame, rules: list[Rule], keys: list[str] = KEYS) ->
     """Rows, empty cells per field and broken cells per rule: one row per sheet, one pass."""
     present = [f for f in TARGET_FIELDS if f in mapped.columns]
     # Each rule is tested once per row; the aggregate only adds up booleans.
-    tested = mapped.select(
+    tested = with_numbers(mapped).select(
         *keys,
         *[F.col(f"`{f}`").isNull().alias(f"null_{i}") for i, f in enumerate(present)],
         *[F.coalesce(F.col(f"`{f}`") == "", F.lit(False)).alias(f"blank_{i}") for i, f in enumerate(present)],
@@ -122,7 +135,7 @@ def _listed_cells(mapped: DataFrame, rules: list[Rule]) -> DataFrame:
             F.when(r.broken, F.struct(F.lit(i).alias("rule"), F.col(f"`{r.field}`").alias("value")))
             for i, r in enumerate(rules)
         ]), lambda x: x.isNotNull())
-    return mapped.select(*KEYS, "row_idx", F.explode(hits).alias("_h")).select(
+    return with_numbers(mapped).select(*KEYS, "row_idx", F.explode(hits).alias("_h")).select(
         *KEYS, "row_idx", F.col("_h.rule").alias("rule"), F.col("_h.value").alias("value"))
 
 

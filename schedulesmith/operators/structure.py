@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fixed, in_list, looks_numeric, rounded, strip
+from ..functions.text import fixed, in_list, let, looks_numeric, rounded, strip
 from ..schema import KEYS, TARGET_FIELDS, TARGET_SYNONYMS, TOTAL_WORDS
 from ..session import attach, is_small, settle
 
@@ -273,19 +273,24 @@ def header_names(rows: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def is_total_row(values: Column) -> Column:
-    """Any cell is exactly a total or footer word."""
-    return F.exists(values, lambda v: F.coalesce(F.lower(strip(v)).isin(TOTAL_WORDS), F.lit(False)))
+def visible_cells(values: Column) -> Column:
+    """Stripped cells that show something."""
+    return F.filter(F.transform(values, strip), lambda v: v != "")
 
 
-def is_note_row(values: Column, types: Column) -> Column:
-    """No visible cell, or a single visible cell that is free text."""
-    kinds = F.coalesce(types, F.transform(values, lambda v: F.lit("s")))
-    visible = F.filter(F.arrays_zip(values.alias("v"), kinds.alias("t")), lambda c: strip(c["v"]) != "")
-    only = F.get(visible, F.lit(0))
-    return (F.size(visible) == 0) | (
-        (F.size(visible) == 1) & (F.coalesce(only["t"], F.lit("s")) == "s") & ~looks_numeric(only["v"])
-    )
+def is_total_row(visible: Column) -> Column:
+    """Any visible cell is exactly a total or footer word."""
+    longest = max(len(w) for w in TOTAL_WORDS)
+    return F.exists(visible, lambda v: (F.length(v) <= longest) & F.lower(v).isin(TOTAL_WORDS))
+
+
+def is_note_row(visible: Column, values: Column, types: Column) -> Column:
+    """No visible cell, or a single visible cell that is free text.
+
+    Blank rows count as notes, so this also drops them (R16).
+    """
+    texts = F.filter(text_cells(values, types), lambda v: strip(v) != "")
+    return (F.size(visible) == 0) | ((F.size(visible) == 1) & (F.size(texts) == 1) & ~looks_numeric(F.get(visible, F.lit(0))))
 
 
 def extract_records(rows: DataFrame, headers: DataFrame) -> DataFrame:
@@ -294,10 +299,10 @@ def extract_records(rows: DataFrame, headers: DataFrame) -> DataFrame:
     Narrow apart from the lookup of the sheet's header row.
     """
     values, types = F.col("values"), F.col("types")
+    is_data = let(visible_cells(values), lambda seen: ~is_note_row(seen, values, types) & ~is_total_row(seen))
     return (
         attach(rows, headers.select(*KEYS, "header_row"), KEYS)
-        .where((F.col("row_idx") > F.col("header_row")) & ~is_blank_row(values))
-        .where(~is_total_row(values) & ~is_note_row(values, types))
+        .where((F.col("row_idx") > F.col("header_row")) & is_data)
         .drop("header_row")
     )
 

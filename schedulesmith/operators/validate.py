@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import number
+from ..functions.text import let, number
 from ..schema import INTEGER_FIELDS, KEYS, MONETARY_FIELDS, TARGET_DTYPES, TARGET_FIELDS, spark_type
 from ..session import attach, settle
 
@@ -39,9 +39,9 @@ def schema_errors(columns: list[str]) -> list[str]:
 def nonconforming_cell(field: str) -> Column:
     """A non-null cell that is not the number its field asks for."""
     cell = F.col(f"`{field}`")
-    d = number(cell)
-    bad = d.isNull() | (d != F.floor(d)) if field in INTEGER_FIELDS else d.isNull()
-    return cell.isNotNull() & bad
+    if field in INTEGER_FIELDS:
+        return cell.isNotNull() & let(number(cell), lambda d: d.isNull() | (d != F.floor(d)))
+    return cell.isNotNull() & number(cell).isNull()
 
 
 def typed_table(cleaned: DataFrame, keep: list[str] = ("file_id", "sheet_name", "row_idx")) -> DataFrame:
@@ -52,11 +52,10 @@ def typed_table(cleaned: DataFrame, keep: list[str] = ("file_id", "sheet_name",
         cell = F.col(f"`{field}`")
         if TARGET_DTYPES[field] == "str":
             return cell.alias(field)
-        d = number(cell)
         if field in INTEGER_FIELDS:
-            whole = (d == F.floor(d)) & F.abs(d).between(0, MAX_INT)
-            return F.when(whole, F.floor(d)).try_cast(spark_type(field)).alias(field)
-        return d.alias(field)
+            return let(number(cell), lambda d: F.when(
+                (d == F.floor(d)) & (F.abs(d) <= MAX_INT), F.floor(d)).try_cast(spark_type(field))).alias(field)
+        return number(cell).alias(field)
 
     return cleaned.select(*keep, *[typed(f) for f in TARGET_FIELDS])
 
@@ -65,7 +64,9 @@ def nonconforming(cleaned: DataFrame) -> DataFrame:
     """Cells the typed table cannot hold: (keys, row_idx, field, value)."""
     def lost(field: str) -> Column:
         if field in INTEGER_FIELDS:
-            return nonconforming_cell(field) | (F.abs(number(F.col(f"`{field}`"))) > MAX_INT)
+            cell = F.col(f"`{field}`")
+            return cell.isNotNull() & let(
+                number(cell), lambda d: d.isNull() | (d != F.floor(d)) | (F.abs(d) > MAX_INT))
         return nonconforming_cell(field)
 
     items = F.array(*[
@@ -105,12 +106,14 @@ def conformance_report(cleaned: DataFrame) -> DataFrame:
         cell = F.col(f"`{f}`")
         cols = [F.count(cell).alias(f"n{i}")]
         if f in CHECKED_FIELDS:
-            d = number(cell)
+            d = F.col(f"_n{i}")
             cols.append(F.count(F.when(cell.isNotNull() & d.isNull(), 1)).alias(f"x{i}"))
             cols.append(F.count(F.when(d != F.floor(d), 1)).alias(f"f{i}"))
         return cols
 
-    sums = cleaned.groupBy(*KEYS).agg(*[c for i, f in enumerate(TARGET_FIELDS) for c in parts(i, f)])
+    parsed = cleaned.select("*", *[number(F.col(f"`{f}`")).alias(f"_n{i}") for i, f in enumerate(TARGET_FIELDS)
+                                   if f in CHECKED_FIELDS])
+    sums = parsed.groupBy(*KEYS).agg(*[c for i, f in enumerate(TARGET_FIELDS) for c in parts(i, f)])
 
     def verdict(i: int, f: str) -> Column:
         out = F.when(F.col(f"n{i}") == 0, "Empty")
