@@ -24,7 +24,7 @@ def add(name, fn, sql=None):
 
 def export(spark, sf):
     """Discover, map and assess all sheets, approve everything, clean and validate."""
-    found = pf.discover(rows(spark, sf))
+    found = pf.discover(settle(rows(spark, sf)))
     mapped = pf.map_columns(found, CURRENT_YEAR)
     checked = pf.assess(found, mapped.mapping, CURRENT_YEAR)
     return pf.transform(found, pf.approve_all(checked.recommendations), stamp="2024-01-01T00:00:00")
@@ -45,7 +45,7 @@ add("portfolio_export", lambda spark, sf: export(spark, sf).typed.where("sheet_n
 
 
 def mapped_json(spark, sf):
-    found = pf.discover(rows(spark, sf))
+    found = pf.discover(settle(rows(spark, sf)))
     return sinks.mapping_json(settle(pf.map_columns(found, CURRENT_YEAR).mapping.select(*KEYS, "col_idx", "source_column", "target", "method")))
 
 

@@ -31,6 +31,12 @@ def headers(spark, sf, settled=True):
     return settle(found) if settled else found
 
 
+def stored(spark, sf):
+    """Sheets computed once with their header rows, for queries that read them repeatedly."""
+    data = settle(sheets(spark, sf))
+    return data, settle(s.detect_headers(data, s.sheet_dims(data)))
+
+
 K = "file_id, sheet_name"
 
 
@@ -104,14 +110,14 @@ add("header_rows", lambda spark, sf: headers(spark, sf, settled=False),
     BASE + f" select {K}, n_rows, n_cols::int as n_cols, header_row, header_score, field_matches::int as field_matches from headers")
 add("sheet_profile", lambda spark, sf: s.sheet_profile(sheets(spark, sf)),
     BASE + ", " + _profile + " select * from profile")
-add("type_consistency", lambda spark, sf: s.type_consistency(sheets(spark, sf), headers(spark, sf)),
+add("type_consistency", lambda spark, sf: s.type_consistency(*stored(spark, sf)),
     BASE + ", " + _steady + " select * from consistency")
-add("data_continuity", lambda spark, sf: s.data_continuity(sheets(spark, sf), headers(spark, sf)),
+add("data_continuity", lambda spark, sf: s.data_continuity(*stored(spark, sf)),
     BASE + ", " + _continuity + " select * from continuity")
 
 
 def scored(spark, sf):
-    return s.score_sheets(sheets(spark, sf), headers(spark, sf))
+    return s.score_sheets(*stored(spark, sf))
 
 
 add("sheet_scores",
@@ -142,7 +148,7 @@ RANGES = """select o_orderstatus as file_id, o_orderpriority as sheet_name, cast
 _ranges = RANGES.replace("{", "").replace("}", "")
 
 add("sheet_manifest",
-    lambda spark, sf: s.sheet_manifest(s.rank_sheets(s.score_sheets(sheets(spark, sf), headers(spark, sf), ranges(spark, sf))))
+    lambda spark, sf: s.sheet_manifest(s.rank_sheets(s.score_sheets(*stored(spark, sf), ranges(spark, sf))))
     .drop("sheet_rank", "confidence").withColumn("non_null_ratio", F.round("non_null_ratio", 4)),
     BASE + ", " + _scored + f""" select {K}, classification, header_row, greatest(0, rows_below) as data_rows, field_matches::int as field_matches,
       round(non_null_ratio, 4) as non_null_ratio, coalesce(n, 0) as merged_cell_count
@@ -157,7 +163,7 @@ add("fill_down",
         select {K}, row_idx, col_idx, value from fills
         union all select c.* from cells c anti join fills f on c.file_id = f.file_id and c.sheet_name = f.sheet_name and c.row_idx = f.row_idx and c.col_idx = f.col_idx)
       where value is not null""")
-add("header_names", lambda spark, sf: s.header_names(sheets(spark, sf), headers(spark, sf)),
+add("header_names", lambda spark, sf: s.header_names(*stored(spark, sf)),
     BASE + f""", slots as (select {K}, header_row, unnest(range(n_cols)) as col_idx from headers),
       raw_names as (select slots.{K.split(', ')[0]}, slots.sheet_name, slots.col_idx, trim(regexp_replace(value, '[\\r\\n\\t]+', ' ', 'g')) as n
         from slots left join cells c on c.file_id = slots.file_id and c.sheet_name = slots.sheet_name and c.row_idx = header_row and c.col_idx = slots.col_idx),
@@ -172,7 +178,7 @@ _kept = f"""kept as (select c.file_id, c.sheet_name, c.row_idx from cells c join
 
 
 def records(spark, sf):
-    return s.extract_records(sheets(spark, sf), headers(spark, sf))
+    return s.extract_records(*stored(spark, sf))
 
 
 add("record_rows",
@@ -191,7 +197,7 @@ add("cells_to_rows",
       from (select *, max(case when value is not null then col_idx end) over (partition by {K}, row_idx) as last from cells)
       where col_idx <= last group by all""")
 add("column_lineage",
-    lambda spark, sf: s.column_lineage(s.header_names(sheets(spark, sf), headers(spark, sf))).select(
+    lambda spark, sf: s.column_lineage(s.header_names(*stored(spark, sf))).select(
         "file_id", "source_column", F.array_join("sheets", "|").alias("sheets")),
     "select file_id, source_column, string_agg(sheet_name, '|' order by sheet_name) as sheets from (" + SQL["header_names"] + ") group by all")
 add("concat_sheets",
