@@ -8,6 +8,8 @@ by the operations; ``validate.typed_table`` casts it afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -326,10 +328,11 @@ def audit_trail(claims: DataFrame, rejected: DataFrame, changes: DataFrame, assi
 
 
 def apply_approved(records: DataFrame, columns: DataFrame, recs: DataFrame, decisions: DataFrame | None = None,
-                   stamp: str = "") -> tuple[DataFrame, DataFrame]:
-    """Cleaned lossless table and audit trail of everything the reviewers approved.
+                   stamp: str = "") -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """Cleaned lossless table of everything the reviewers approved, and its audit trail.
 
-    ``recs`` carry their status; ``decisions`` are scoped unclaimed-column decisions.
+    ``recs`` carry their status; ``decisions`` are scoped unclaimed-column decisions. The
+    audit trail needs its own pass over the data, so it is a function called when wanted.
     """
     claims = settle(claim_targets(recs, columns))
     rejected = settle(rejected_columns(recs, columns, claims))
@@ -348,8 +351,12 @@ def apply_approved(records: DataFrame, columns: DataFrame, recs: DataFrame, deci
     plan = settle(sheets.join(cleaning_plan(claims, steps, assigned), KEYS, "left").withColumn(
         "positions", F.coalesce("positions", nowhere)))
     cleaned = clean_records(records, plan, choices)
-    changes = change_counts(records, plan, steps, choices)
-    return cleaned, audit_trail(claims, rejected, changes, assigned, dropped, stamp)
+
+    def audit() -> DataFrame:
+        changes = change_counts(records, plan, steps, choices)
+        return audit_trail(claims, rejected, changes, assigned, dropped, stamp)
+
+    return cleaned, audit
 
 
 def preview(records: DataFrame, columns: DataFrame, recs: DataFrame, n: int = 15) -> DataFrame:

@@ -6,7 +6,9 @@ results (headers, mappings, findings) are settled between stages; data rows are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,13 +89,27 @@ def assess(found: Discovery, mapping: DataFrame, current_year: int) -> Assessmen
     return Assessment(issues, complete, scores, settle(r.all_recommendations(mapping, issues)))
 
 
-@dataclass
 class Output:
-    cleaned: DataFrame
-    typed: DataFrame
-    nonconforming: DataFrame
-    audit: DataFrame
-    validation: DataFrame
+    """Results of the transformation; each is computed only when it is asked for."""
+
+    def __init__(self, cleaned: DataFrame, audit: Callable[[], DataFrame], sheets: DataFrame):
+        self.cleaned, self._audit, self._sheets = cleaned, audit, sheets
+
+    @property
+    def typed(self) -> DataFrame:
+        return v.typed_table(self.cleaned)
+
+    @property
+    def nonconforming(self) -> DataFrame:
+        return v.nonconforming(self.cleaned)
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return self._audit()
+
+    @cached_property
+    def validation(self) -> DataFrame:
+        return v.validation_rollup(v.conformance_errors(self.cleaned), self._sheets)
 
 
 def transform(found: Discovery, recs: DataFrame, decisions: DataFrame | None = None, stamp: str = "",
@@ -107,9 +123,7 @@ def transform(found: Discovery, recs: DataFrame, decisions: DataFrame | None = N
     columns = settle(columns)
     records = attach(records, columns.select(*KEYS).distinct(), KEYS)
     cleaned, audit = t.apply_approved(records, columns, recs, decisions, stamp)
-    errors = v.conformance_errors(cleaned)
-    rollup = v.validation_rollup(errors, columns.select(*KEYS).distinct())
-    return Output(cleaned, v.typed_table(cleaned), v.nonconforming(cleaned), audit, rollup)
+    return Output(cleaned, audit, columns.select(*KEYS).distinct())
 
 
 def re_reason(recs: DataFrame, mapped: Mapped, found: Discovery, current_year: int) -> tuple[DataFrame, DataFrame]:

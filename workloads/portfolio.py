@@ -53,3 +53,11 @@ add("portfolio_mapping_json",
     lambda spark, sf: mapped_json(spark, sf).select(*KEYS, F.get_json_object("json", "$.target").alias("target")).where("target is not null"),
     "select o_orderstatus as file_id, o_orderpriority as sheet_name, t.target from (select distinct o_orderstatus, o_orderpriority from orders), (select * from "
     + d.values_table([(f,) for f in TARGET_FIELDS], "target") + ") t")
+
+
+add("portfolio_validation",
+    lambda spark, sf: export(spark, sf).validation.withColumn("n_errors", F.size("errors")).select("file_id", "passed", "n_errors"),
+    f"""with r as materialized ({RAW_DUCK}), bad as (
+        select distinct file_id, sheet_name, 'BI' as field from r where bi_raw is not null and {d.plain('bi_raw', '')} is null
+        union select distinct file_id, sheet_name, 'Storeys' from r where {_storeys} <> floor({_storeys}))
+      select file_id, false as passed, count(*)::int as n_errors from bad group by all""")

@@ -149,7 +149,7 @@ CLEANED = f"(select {K}, row_idx, " + ", ".join(f'{CLEAN.get(f, _source[f])} as
 
 
 def cleaned(spark, sf):
-    """(cleaned, audit) of the dirty schedule."""
+    """Cleaned table and audit function of the dirty schedule."""
     return t.apply_approved(schedule_records(spark, sf), schedule_columns(spark, sf), schedule_recs(spark, sf),
                             schedule_decisions(spark, sf), STAMP)
 
@@ -200,9 +200,9 @@ AUDIT = CHANGES + f""", renames as ({" union all ".join(f"select {K}, {d.quoted(
     union all select {K}, 'date_raw', '', 'unclaimed_reject', 'Column ''date_raw''', 'Dropped (rejected by reviewer)', 1.0 from {_sheets} where file_id = 'O'
     union all select {K}, 'date_raw', 'Occupancy', 'unclaimed_manual_assign', 'Unmapped column(s): date_raw', 'Merged into ''Occupancy'' (space-separated)', 1.0 from {_sheets} where file_id <> 'O')"""
 _AUDITED = ["source_column", "target_column", "transformation_applied", "before_value", "after_value", "confidence"]
-add("audit_trail", lambda spark, sf: cleaned(spark, sf)[1].select(*KEYS, *_AUDITED), AUDIT + " select * from audit")
+add("audit_trail", lambda spark, sf: cleaned(spark, sf)[1]().select(*KEYS, *_AUDITED), AUDIT + " select * from audit")
 add("audit_export",
-    lambda spark, sf: sinks.audit_export(cleaned(spark, sf)[1], STAMP).drop("Entry ID", "Recommendation ID"),
+    lambda spark, sf: sinks.audit_export(cleaned(spark, sf)[1](), STAMP).drop("Entry ID", "Recommendation ID"),
     AUDIT + f""" select source_column as "Source Column", target_column as "Target Column", transformation_applied as "Transformation Applied", before_value as "Before Value",
       after_value as "After Value", case confidence when 1 then '1.0' else confidence::varchar end as "Confidence", 'human' as "Approved By", '{STAMP}' as "Timestamp", '' as "Row Index" from audit""")
 add("refused_operations",
