@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from helpers import YEAR
 from schedulesmith.operators import profile as p
 

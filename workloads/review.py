@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from schedulesmith.functions.ops import WHITELIST
 from schedulesmith.operators import review as r
 from schedulesmith.schema import KEYS, TARGET_FIELDS
 from schedulesmith.session import settle
@@ -15,7 +16,8 @@ from schedulesmith.session import settle
 from . import duck as d
 from . import mapping as mp
 from . import quality as ql
-from .inputs import CURRENT_YEAR, duck_sql, mapped, spark_sql, table
+from . import values as vl
+from .inputs import duck_sql, spark_sql, table
 from .mapping import _pick
 
 Q, SQL = {}, {}
@@ -70,8 +72,6 @@ def _over_example(sql: str, column: str) -> str:
     return sql.replace(column, "before_example")
 
 
-from . import values as vl  # noqa: E402
-
 _cur = d.currency("before_example")
 _int = d.plain("before_example", ",")
 _year = _over_example(vl.YEAR_SQL, "year_raw")
@@ -243,8 +243,6 @@ add("recommendation_texts", lambda spark, sf: r.describe(recs(spark, sf)).select
 SUGGESTIONS = f"""select concat('REC-', cast(l_orderkey as string)) as rec_id, {_pick('max(l_partkey)', OPS)} as s_operation,
   {_pick('max(l_suppkey)', ['clear', None])} as s_rationale, {_pick('max(l_suppkey)', [None, 'unsure'])} as s_uncertainty,
   case when max(l_partkey) % 5 = 0 then null else max(l_discount) * 12 - 0.1 end as s_confidence from {{lineitem}} group by l_orderkey"""
-from schedulesmith.functions.ops import WHITELIST  # noqa: E402
-
 add("merged_suggestions",
     lambda spark, sf: r.merge_suggestions(recs(spark, sf), spark_sql(spark, sf, SUGGESTIONS)).select(
         "rec_id", "operation", "rationale", "uncertainty", F.round("confidence", 9).alias("confidence"), "review_required"),
@@ -272,4 +270,3 @@ add("unclaimed_columns",
       array_to_string(list_transform(range(4), lambda i: substr(concat(m.source_column, ' sample value number ', i), 1, 30)), '|') as samples, u.decision,
       case when u.decision = '__rejected__' then 'REJECTED' when coalesce(u.decision, '') <> '' then concat('ASSIGNED → ', u.decision) else 'No action' end as state
       from mapping m left join ({duck_sql(UNCLAIMED)}) u using ({K}, source_column) where m.target is null""")
-assert CURRENT_YEAR and mapped

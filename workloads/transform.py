@@ -12,8 +12,9 @@ from schedulesmith.sources import sinks
 
 from . import duck as d
 from . import mapping as mp
+from . import review as rv
 from . import values as vl
-from .inputs import MAPPED_DUCK, RAW_COLUMNS, RAW_DUCK, RAW_FIELDS, duck_sql, mapped, raw, spark_sql, table
+from .inputs import MAPPED_DUCK, RAW_COLUMNS, RAW_DUCK, RAW_FIELDS, duck_sql, mapped, raw, table
 from .mapping import _pick
 
 Q, SQL = {}, {}
@@ -206,17 +207,11 @@ add("audit_export",
     AUDIT + f""" select source_column as "Source Column", target_column as "Target Column", transformation_applied as "Transformation Applied", before_value as "Before Value",
       after_value as "After Value", case confidence when 1 then '1.0' else confidence::varchar end as "Confidence", 'human' as "Approved By", '{STAMP}' as "Timestamp", '' as "Row Index" from audit""")
 add("refused_operations",
-    lambda spark, sf: t.refused_operations(_review_items(spark, sf)).select(*KEYS, "rec_id", "operation"),
-    f"""select {K}, rec_id, operation from ({duck_sql(__import__('workloads.review', fromlist=['RECS']).RECS)})
+    lambda spark, sf: t.refused_operations(rv.recs(spark, sf)).select(*KEYS, "rec_id", "operation"),
+    f"""select {K}, rec_id, operation from ({rv.RECS_DUCK})
       where action_type in ('standardisation', 'data_correction') and status = 'approved' and operation = 'drop_table'""")
 
 
-def _review_items(spark, sf):
-    from .review import recs
-
-    return recs(spark, sf)
-
-
 add("preview",
     lambda spark, sf: t.preview(schedule_records(spark, sf), schedule_columns(spark, sf), schedule_recs(spark, sf)),
     f"""select * exclude (k) replace (case when length("Occupancy") > 9 then split_part("Occupancy", ' ', 1) else "Occupancy" end as "Occupancy") from (
@@ -259,4 +254,3 @@ _report = " union all ".join(
     + (f"""when count(case when {_n[f]} <> floor({_n[f]}) then 1 end) > 0 then concat(count(case when {_n[f]} <> floor({_n[f]}) then 1 end), ' non-integer') """ if f in INTEGER_FIELDS else "")
     + "else 'OK' end as values from m group by all" for i, f in enumerate(TARGET_FIELDS)).replace("as values", 'as "values"')
 add("conformance_report", lambda spark, sf: v.conformance_report(mapped(spark, sf)), f"with m as materialized ({MAPPED_DUCK}) {_report}")
-assert spark_sql
