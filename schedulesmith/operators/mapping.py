@@ -138,19 +138,23 @@ def combine_matches(fuzzy: DataFrame, semantic: DataFrame | None) -> DataFrame:
 # --- candidates per sheet column --------------------------------------------------------
 
 def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | None = None,
-                   memory: DataFrame | None = None) -> DataFrame:
+                   memory: DataFrame | None = None, nearest: DataFrame | None = None) -> DataFrame:
     """All name-based candidates of every named column with fit, veto and confidence (M2-M9).
 
-    ``columns(keys, col_idx, source_column)``; ``fits`` from ``profile_fits`` per (keys, col_idx).
+    ``columns(keys, col_idx, source_column)``; ``fits`` from ``profile_fits`` per (keys, col_idx);
+    ``memory`` is the memory table, ``nearest`` adds vector hits for headers it does not hold.
     Memory and exact candidates outrank fuzzy and semantic ones by ``tier``.
     """
     named = columns.where(~F.col("source_column").startswith(UNMAPPED_PREFIX))
     headers = named.select("source_column").distinct()
     parts = []
-    if memory is not None:
-        hit = memory_matches(headers, memory)
+    remembered = None if memory is None else memory_matches(headers, memory)
+    if nearest is not None:
+        remembered = nearest if remembered is None else remembered.unionByName(
+            nearest.join(remembered, "source_column", "left_anti"))
+    if remembered is not None:
         sim = F.least(F.col("memory_confidence"), F.lit(MEMORY_CAP))
-        parts.append(hit.select(
+        parts.append(remembered.select(
             "source_column", "target", F.lit(0).alias("tier"), F.lit(0).alias("cand_order"), F.lit("memory").alias("method"),
             sim.alias("name_similarity"), F.lit(1.0).alias("method_agreement"),
             F.array(

@@ -56,3 +56,14 @@ def memory_matches(headers: DataFrame, memory: DataFrame) -> DataFrame:
         F.col("confidence").alias("memory_confidence"))
     return keyed.join(best, "normalized_source").select(
         "source_column", "memory_source", "target", "memory_confidence", F.lit(1.0).alias("similarity"))
+
+
+def nearest_matches(header_vectors: DataFrame, memory_vectors: DataFrame) -> DataFrame:
+    """Nearest remembered mapping per header when its similarity exceeds 0.85 (M3).
+
+    ``header_vectors(source_column, vector)``; ``memory_vectors(memory_id, memory_source, target,
+    memory_confidence, vector)``. Same columns as ``memory_matches``.
+    """
+    hits = similarity_topk(header_vectors, memory_vectors, "source_column", "memory_id", 1, TRUSTED_SIMILARITY, metric="l2")
+    return hits.join(memory_vectors.drop("vector"), "memory_id").select(
+        "source_column", "memory_source", "target", "memory_confidence", "similarity")

@@ -53,13 +53,14 @@ class Mapped:
 
 
 def map_columns(found: Discovery, current_year: int, semantic: DataFrame | None = None,
-                memory: DataFrame | None = None, proposals: DataFrame | None = None) -> Mapped:
+                memory: DataFrame | None = None, proposals: DataFrame | None = None,
+                nearest: DataFrame | None = None) -> Mapped:
     keys = [*KEYS, "col_idx"]
     profiles = p.column_profiles(s.column_values(found.records), keys, current_year)
     # A column with no cell at all in any record still gets an (empty) profile.
     profiles = settle(found.columns.select(*keys).join(profiles, keys, "left").fillna(True, ["empty"]))
     fits = settle(p.profile_fits(profiles, keys, current_year))
-    candidates = settle(m.map_candidates(found.columns, fits, semantic, memory))
+    candidates = settle(m.map_candidates(found.columns, fits, semantic, memory, nearest))
     viable = m.viable_candidates(candidates)
     if proposals is not None:
         viable = viable.unionByName(m.proposal_candidates(proposals, found.columns, fits))

@@ -337,3 +337,34 @@ add("semantic_matches",
       best as (select vec_id, target, max(similarity) as similarity from s group by all),
       top as (select *, row_number() over (partition by vec_id order by similarity desc) as semantic_order from best where similarity >= 0.70)
       select vec_id::varchar as source_column, target, round(similarity, 5) as similarity, round(similarity * 0.90::double, 5) as name_similarity, semantic_order::int as semantic_order from top where semantic_order <= 5""")
+
+
+def remembered_vectors(spark, sf):
+    return centroids(spark, sf).select(
+        F.col("idx").alias("memory_id"), F.col("text").alias("memory_source"), "target",
+        ((F.col("idx") % 10 + 1) / 10).alias("memory_confidence"), "vector")
+
+
+add("memory_nearest",
+    lambda spark, sf: mem.nearest_matches(
+        leaning(spark, sf).select(F.col("vec_id").cast("string").alias("source_column"), "vector"),
+        remembered_vectors(spark, sf)).withColumn("similarity", F.round("similarity", 5)),
+    f"""with {_vectors}, s as (select vec_id, label, greatest(0, 1 - pow(list_distance(h.v, c.v), 2) / 2) as similarity from h, c)
+      select vec_id::varchar as source_column, concat('label ', label) as memory_source, concat('group ', label // 2) as target,
+        (label % 10 + 1) / 10 as memory_confidence, round(similarity, 5) as similarity
+      from (select * from s qualify row_number() over (partition by vec_id order by similarity desc, label) = 1) where similarity > 0.85""")
+# Approved headers of the memory come from the same spellings, two targets per header.
+REMEMBERED = f"""select {_pick('c_custkey', HEADERS)} as source_column, {_pick('c_custkey * 3', TARGET_FIELDS)} as target_field,
+  cast(c_custkey % 60 + 41 as double) / 100 as confidence, cast(concat('2024-01-01 00:00:', lpad(cast(c_nationkey as string), 2, '0')) as timestamp) as ts from {{customer}}"""
+add("memory_candidates",
+    lambda spark, sf: m.map_candidates(
+        columns(spark, sf).drop("k"), fits(spark, sf),
+        memory=mem.upsert_memory(mem.memory_entries(spark_sql(spark, sf, REMEMBERED).where("false")), mem.memory_entries(spark_sql(spark, sf, REMEMBERED))))
+    .where("tier = 0").select(*COL, "source_column", "target", "confidence", "contradicts"),
+    BASE + f""", e as (select {d.normalize_memory('source_column')} as norm, * from ({duck_sql(REMEMBERED)})),
+      latest as (select * from e qualify row_number() over (partition by norm, target_field order by ts desc, source_column desc, confidence desc) = 1),
+      hit as (select * from latest qualify row_number() over (partition by norm order by ts desc, confidence desc, target_field) = 1)
+      select n.file_id, n.sheet_name, n.col_idx, n.source_column, f.target,
+        printf('%.4f', least(0.99::double, (least(hit.confidence, 0.99::double) * 0.45::double + f.map_fit * 0.35::double + 0.2::double) * 1.1::double))::double as confidence, f.contradicts
+      from named n join hit on hit.norm = {d.normalize_memory('n.source_column')}
+        join fits f on f.file_id = n.file_id and f.sheet_name = n.sheet_name and f.col_idx = n.col_idx and f.target = hit.target_field""")
