@@ -18,6 +18,7 @@ DROPPED_NAMES = frozenset(
     "breadcrumb breadcrumbs notice notices cookie cookies consent popup modal overlay alert newsletter subscribe subscription share sharing "
     "social related recommended comment comments commentlist reply replies discussion footer header masthead login signup search pagination "
     "pager widget toolbar".split())
+ARTICLE_NAMES = frozenset(["header"])  # an article's own head is text
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset(
@@ -43,9 +44,12 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in DROPPED_ROLES):
             return True
-        if name in ("class", "id") and tag not in ("article", "main") and any(
-                w in DROPPED_NAMES or any(p in DROPPED_NAMES for p in re.split(r"[-_]+", w)) for w in value.split()):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
+        if name in ("class", "id") and tag not in ("article", "main"):
+            words = {p for w in value.split() for p in (w, *re.split(r"[-_]+", w))} - (ARTICLE_NAMES if in_article else set())
+            if words & DROPPED_NAMES:
+                return True
         if name in ("class", "id") and tag == "article" and any(w.startswith("comment") for w in value.split()):
             return True
     return False

@@ -47,11 +47,12 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
         seed: int = SEED, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every row of ``docs`` as ``row`` with size (words of the text by default), source_size, target and copies.
 
-    Within a source the rows are put in the order of (size, md5 of doc_id, doc_id), nulls
-    first. Each expects target / source_size copies; the prefix sum of these plus one random
-    offset (from ``seed``) crosses integer boundaries, and a row is taken once per boundary.
-    Ordering by size keeps the words taken within about the largest document of the target.
-    Reruns agree: only identical rows can trade places.
+    Within a source the rows are ranked by (size, md5 of doc_id, doc_id), nulls first, and put in
+    an order that rises over the even ranks and falls over the odd ones. Each expects target /
+    source_size copies; the prefix sum of these plus one random offset (from ``seed``) crosses
+    integer boundaries, and a row is taken once per boundary. Neighbours of like size and the two
+    slopes cancel most of what rounding to whole copies adds or leaves out, so the words taken stay
+    well within the largest document of the target. Reruns agree: only identical rows can trade places.
 
     The rank inside a source is the sum of three parts, so no source is ranked in one task:
     rows of smaller sizes, rows of the same size in lower hash ranges, and the place within the
@@ -68,7 +69,10 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
 
     same = narrow.groupBy("source", "size").count()
     lower = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    totals = stored(source_targets(same.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("total")), weights, share, limit), "mix-targets")
+    totals = same.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("total"), F.sum("count").alias("n"))
+    targets = source_targets(totals, weights, share, limit)
+    totals = totals.select(F.col("source").alias("t"), F.col("n").alias("source_rows"))
+    totals = stored(targets.join(totals, F.col("source").eqNullSafe(F.col("t"))).drop("t"), "mix-targets")
     sizes = stored(same.select(
         F.col("source").alias("s"), F.col("size").alias("z"), F.coalesce(F.sum("count").over(lower), F.lit(0)).alias("below"),
         F.ceil(F.col("count") / group_rows).alias("ranges")), "mix-sizes-below")
@@ -90,9 +94,9 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
 
 
 def _take(keyed: DataFrame, ranked: DataFrame, totals: DataFrame, offset: float) -> DataFrame:
-    target = totals.select(F.col("source").alias("s"), "source_size", "target")
+    target = totals.select(F.col("source").alias("s"), "source_size", "source_rows", "target")
     ranked = attach(ranked, target, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("rs"), F.col("size").alias("rz"), F.col("doc_id").alias("rd"), F.col("count").alias("same"), "rank", "source_size", "target")
+        F.col("source").alias("rs"), F.col("size").alias("rz"), F.col("doc_id").alias("rd"), F.col("count").alias("same"), "rank", "source_size", "source_rows", "target")
     on = F.col("source").eqNullSafe(F.col("rs")) & (F.col("size") == F.col("rz")) & F.col("doc_id").eqNullSafe(F.col("rd"))
     rows = keyed.join(ranked, on)
     again = Window.partitionBy("source", "size", "doc_id").orderBy("row")
@@ -100,10 +104,10 @@ def _take(keyed: DataFrame, ranked: DataFrame, totals: DataFrame, offset: float)
     repeated = rows.where("same > 1").withColumn("rank", F.col("rank") + F.row_number().over(again) - 1)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
-    def crossed(rank: Column) -> Column:
-        return F.floor((rank + 1) * rate + offset) - F.floor(rank * rate + offset)
-
-    return single.unionByName(repeated).select("row", "doc_id", "size", "source_size", "target", crossed(F.col("rank")).cast("long").alias("copies"))
+    half = F.floor(F.col("rank") / 2)
+    place = F.when(F.col("rank") % 2 == 0, half).otherwise(F.col("source_rows") - 1 - half)
+    crossed = F.floor((F.col("place") + 1) * rate + offset) - F.floor(F.col("place") * rate + offset)
+    return single.unionByName(repeated).withColumn("place", place).select("row", "doc_id", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def take_copies(mixed: DataFrame) -> DataFrame:

@@ -119,10 +119,10 @@ def thresholds(sketches: DataFrame, fences: tuple[Fence, ...] = FENCES, min_docs
             *[(of(f, "q1") - reach(f)).alias(f"{f.measure}_min") for f in fences if f.lower]).alias("limits"))
     own, language = limits.where("level = 0"), limits.where("level = 1").select(
         F.col("lang_").alias("l"), F.col("total").alias("language_total"), F.col("limits").alias("language_limits"))
-    corpus = limits.where("level = 2").select(F.col("limits").alias("corpus_limits"))
-    chosen = own.join(language, F.col("lang_").eqNullSafe(F.col("l"))).join(F.broadcast(corpus), how="left")
+    corpus = limits.where("level = 2").select("limits").scalar()  # one row, none without usable documents
+    chosen = own.join(language, F.col("lang_").eqNullSafe(F.col("l")))
     return chosen.select("lang_", "source_", F.when(F.col("total") >= min_docs, F.col("limits")).when(
-        F.col("language_total") >= min_docs, F.col("language_limits")).otherwise(F.col("corpus_limits")).alias("limits"))
+        F.col("language_total") >= min_docs, F.col("language_limits")).otherwise(corpus).alias("limits"))
 
 
 def judge(scored: DataFrame, fences: tuple[Fence, ...] = FENCES, min_docs: int = MIN_DOCS) -> DataFrame:

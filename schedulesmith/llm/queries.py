@@ -168,13 +168,14 @@ leveled as (select *, sum(source_size) over () * cast({mix.SHARE} as double) - c
     window before as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 level as (select arg_min(rest / weights, level_order) filter (rest / weights * weight < cap) as part from leveled),
 targets as (select source, source_size, least(coalesce(part * weight, cap), cap) as target from leveled, level),
-placed as (select s.*, source_size, target, case when source_size > 0 then target / source_size else 0.0 end as rate,
-    row_number() over (partition by s.source order by size, coalesce(md5(cast(doc_id as varchar)), ''), doc_id) - 1 as rank
-    from sized s join targets t on s.source is not distinct from t.source)"""
+ranked_rows as (select s.*, source_size, target, case when source_size > 0 then target / source_size else 0.0 end as rate,
+    row_number() over (partition by s.source order by size, coalesce(md5(cast(doc_id as varchar)), ''), doc_id) - 1 as rank, count(*) over (partition by s.source) as n
+    from sized s join targets t on s.source is not distinct from t.source),
+placed as (select *, case when rank % 2 = 0 then rank // 2 else n - 1 - rank // 2 end as place from ranked_rows)"""
 _OFFSET = repr(__import__("random").Random(mix.SEED).random())
 add("op8_mix_sources", op8, f"""with {MIX_CTES.replace('DOCUMENTS', 'documents')}
 select doc_id, size, source_size, cast(target as double) as target,
-    cast(size * (floor((rank + 1) * rate + cast({_OFFSET} as double)) - floor(rank * rate + cast({_OFFSET} as double))) as bigint) as taken from placed""")
+    cast(size * (floor((place + 1) * rate + cast({_OFFSET} as double)) - floor(place * rate + cast({_OFFSET} as double))) as bigint) as taken from placed""")
 
 
 # 9: WARC

@@ -27,6 +27,12 @@ def test_broken_markup():
     assert main_text("<main><p>x\n\t y&nbsp;z</p></main>") == "x y z"
 
 
+def test_boilerplate_by_attribute():
+    html = "<article><header class='entry-header'><h1>H</h1></header><p>a</p><p style='display: none'>b</p><div id='ad-slot'>c</div><div class=share-bar>d</div><p>e</p></article>"
+    assert main_text(html) == "H a e"
+    assert main_text("<main><div class='site_notice'>x<div>y</div></div><p>kept</p></main><div role=contentinfo>z</div>") == "kept"
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article>é €</article>"), (1, "u", "<article>é €</article>"), (None, None, None), (2, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
