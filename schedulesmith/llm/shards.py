@@ -10,7 +10,9 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import attach, n_partitions, shared_folder, stored
 
-SHARDS, SEED, BUCKET_BYTES = 16, 7, 32 << 20
+SHARDS, SEED, BUCKET_BYTES = 16, 7, 16 << 20
+# Buckets per shuffle partition at least, so that hashing them to partitions comes out even.
+SPREAD = 4
 
 
 def text_size(text: Column) -> Column:
@@ -37,7 +39,7 @@ def shuffle_into_shards(docs: DataFrame, text: str = "text", shards: int = SHARD
     code = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.struct("*").alias("row"), code.alias("code"), text_size(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("at"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(-(-total // bucket_bytes), n_partitions(spark), shards)
+    buckets = max(-(-total // bucket_bytes), SPREAD * n_partitions(spark), shards)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "code"), F.lit(buckets)))
 
     large = 2 * max(total / buckets, 1 << 20)
