@@ -145,6 +145,8 @@ def _parse_workbook(file_id: str, content: bytes):
 def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All sheets of all .xlsx files, hidden ones included, with cached values only.
 
+    The rows of a sheet count once the whole sheet was read; one that fails half way leaves an error.
+
     Parse once and store the result; sheets hold at most 1,048,576 rows, so a file is a
     bounded unit of work.
     """

@@ -48,19 +48,74 @@ def test_csv_files(spark, tmp_path):
     assert got["b.csv"] == [["Loc #", "City"], ["L1", "Orléans"]]
 
 
-def test_large_csv_is_split_and_numbered(spark, tmp_path):
-    lines = [f'L{i},"{i} Main, St",{i}' for i in range(5000)]
-    (tmp_path / "big.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    (tmp_path / "old.csv").write_bytes("a,b\nOrl\xe9ans,\n".encode("latin-1"))
+def csv_rows(spark, path, split=None):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        rows = files.read_large_csv(spark, str(tmp_path)).collect()
+        found = {}
+        for r in files.sheet_rows(files.read_csv_files(spark, str(path))).collect():
+            found.setdefault(r.file_id.split("/")[-1], []).append((r.row_idx, r["values"]))
+        return {k: sorted(v) for k, v in found.items()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    big = sorted((r.row_idx, r["values"][:3]) for r in rows if r.file_id.endswith("big.csv"))
-    assert big == [(i, [f"L{i}", f"{i} Main, St", str(i)]) for i in range(5000)]
-    assert [r["values"][:2] for r in rows if r.file_id.endswith("old.csv")][1] == ["Orléans", None]
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def expected_rows(data):
+    import csv
+    import io
+
+    csv.field_size_limit(10 ** 9)
+    try:
+        text = data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+    cells = [c for c in csv.reader(io.StringIO(text, newline="")) if c]
+    return [(i, [x or None for x in c]) for i, c in enumerate(cells)]
+
+
+def test_csv_files_split_and_unsplit(spark, tmp_path):
+    import random
+
+    rnd = random.Random(4)
+    parts = ["a", "", '"q, uoted"', '"two\nlines"', '"a ""b"" c"', '5" pipe', '"closed" tail', " ", "é", '"cr\r\nlf\n\n"', 'x"y"z']
+    contents = {
+        "long.csv": b"a,b\n" + b"1," + b"x" * 200_000 + b"\n" + b"".join(b"%d,z\n" % i for i in range(60)),
+        "broken.csv": b'a,b\n1,2\n3,4,5,6\n"7\n \n\n\r\n8,9\n',
+        "narrow.csv": b'a,b\n1,"x,y,z"\n', "old.csv": "a,b\nOrl\xe9ans,\n".encode("latin-1"), "blank.csv": b"\n\r\n",
+        "cr.csv": b'a,b\r1,"x\ry"\r2,"p\nq"\r3,4\n5,6\rtail', "bom.csv": "\ufeffé,b\n1,2".encode(), "open.csv": b'a,b\n1,"never\nclosed\n' * 1,
+        "random.csv": "".join(",".join(rnd.choices(parts, k=rnd.randrange(1, 5))) + rnd.choice(["\n", "\r\n"]) for _ in range(900)).encode(),
+        "text.csv": ("a,b\n" + '1,"' + "line, of ""text""\n" * 900 + '"\n2,3\n').encode(),
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    want = {k: rows for k, v in contents.items() if (rows := expected_rows(v))}
+    assert csv_rows(spark, tmp_path) == want
+    assert csv_rows(spark, tmp_path, split=1500) == want
+    parsed = files.read_csv_files(spark, str(tmp_path))
+    assert {r.file_id.split("/")[-1] for r in files.sheets(parsed).collect()} == set(contents) and files.bad_files(parsed).count() == 0
+
+
+def test_mixed_folder_loses_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    book = h.xlsx_bytes({"Good": [["Loc ID", "Value"], ["L1", 5]], "Half": [["x"]] * 20})
+    (tmp_path / "in/book.xlsx").write_bytes(book)
+    (tmp_path / "in/half.xlsx").write_bytes(h.cut_sheet(book, "Half"))
+    (tmp_path / "in/a b.csv").write_text("x,y\n1,2\n")
+    for name in ("old.xls", "notes.pdf", "none", "bad.xlsx"):
+        (tmp_path / "in" / name).write_bytes(b"x")
+    parsed = files.read_files(spark, str(tmp_path)).cache()
+    rows, bad = files.sheet_rows(parsed), files.bad_files(parsed)
+    read = {(r.file_id.split("/")[-1], r.sheet_name) for r in files.sheets(parsed).collect()}
+    failed = {(r.file_id.split("/")[-1], r.sheet_name): r.error for r in bad.collect()}
+    assert read == {("book.xlsx", "Good"), ("book.xlsx", "Half"), ("half.xlsx", "Good"), ("a%20b.csv", "Sheet1")}
+    assert set(failed) == {("half.xlsx", "Half"), ("old.xls", None), ("notes.pdf", None), ("none", None), ("bad.xlsx", None)}
+    assert {(r.file_id.split("/")[-1], r.sheet_name) for r in rows.select("file_id", "sheet_name").distinct().collect()} == read
+    assert "no reader for '.xls'" in failed["old.xls", None] and "Unsupported" in failed["notes.pdf", None]
+    parsed.unpersist()
 
 
 def test_reindex_and_cells_round_trip(spark):
