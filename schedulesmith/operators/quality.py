@@ -140,8 +140,12 @@ def _listed_cells(mapped: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def first_broken_rows(mapped: DataFrame, rules: list[Rule], n: int = LISTED_ROWS) -> DataFrame:
-    """Example and first ``n`` row positions per rule (at most ``n`` entries are collected)."""
-    first = first_rows(_listed_cells(mapped, rules), [*KEYS, "rule"], n)
+    """Example and first ``n`` row positions per rule (at most ``n`` entries are collected).
+
+    A rule that lists no rows only keeps its first.
+    """
+    bound = F.when(F.col("rule").isin([i for i, r in enumerate(rules) if not r.lists_rows]), F.lit(1)).otherwise(F.lit(n))
+    first = first_rows(_listed_cells(mapped, rules), [*KEYS, "rule"], bound)
     packed = first.groupBy(*KEYS, "rule").agg(F.array_sort(F.collect_list(F.struct("_rank", "row_idx"))).alias("_r"),
                                               F.max(F.when(F.col("_rank") == 1, F.col("value"))).alias("example"))
     return packed.select(*KEYS, "rule", F.col("_r.row_idx").alias("affected_rows"), "example")
@@ -205,16 +209,16 @@ def completeness_issues(counts: DataFrame, present: list[str]) -> DataFrame:
         F.lit(1.0).alias("confidence"))
 
 
-def detect_issues(mapped: DataFrame, current_year: int, mapping: DataFrame | None = None) -> DataFrame:
+def detect_issues(mapped: DataFrame, current_year: int, mapping: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """All findings of every sheet, numbered in reporting order (Q1-Q13).
 
     ``mapping(keys, target)`` limits the findings to fields the sheet really maps; without
-    it every field column of the table counts as mapped.
+    it every field column of the table counts as mapped. ``counts`` are stored ``rule_counts``.
     """
     present = [f for f in TARGET_FIELDS if f in mapped.columns]
     rules = row_rules(current_year, present)
     order = _order(rules)
-    counts = settle(rule_counts(mapped, rules))
+    counts = settle(rule_counts(mapped, rules)) if counts is None else counts
 
     parts = [completeness_issues(counts, present)]
     if rules:
@@ -272,8 +276,11 @@ def _rule_issues(mapped: DataFrame, counts: DataFrame, rules: list[Rule], order:
 
 # --- completeness, score, grade ---------------------------------------------------------
 
-def completeness(mapped: DataFrame, digits: int | None = 2) -> DataFrame:
-    """Share of non-null cells per sheet and target, 0 for absent fields (Q14); 17 rows per sheet."""
+def completeness(mapped: DataFrame, digits: int | None = 2, sheets: DataFrame | None = None) -> DataFrame:
+    """Share of non-null cells per sheet and target, 0 for absent fields (Q14); 17 rows per sheet.
+
+    ``sheets`` adds those without any record; all their fields are 0.
+    """
     present = [f for f in TARGET_FIELDS if f in mapped.columns]
     sums = mapped.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{f}`")).alias(f"_c{i}") for i, f in enumerate(present)])
@@ -281,15 +288,27 @@ def completeness(mapped: DataFrame, digits: int | None = 2) -> DataFrame:
     def pct(f: str) -> Column:
         if f not in present:
             return F.lit(0.0)
-        share = F.col(f"_c{present.index(f)}") / F.col("_n") * 100
+        share = F.coalesce(F.col(f"_c{present.index(f)}") / F.col("_n") * 100, F.lit(0.0))
         return rounded(share, digits)
 
+    if sheets is not None:
+        sums = sheets.select(*KEYS).distinct().join(sums, KEYS, "left")
     items = F.array(*[
         F.struct(F.lit(i).alias("field_pos"), F.lit(f).alias("field"), pct(f).alias("completeness"))
         for i, f in enumerate(TARGET_FIELDS)])
     return sums.select(*KEYS, F.inline(items))
 
 
+def counted_completeness(counts: DataFrame, sheets: DataFrame, digits: int | None = 2) -> DataFrame:
+    """The same from ``rule_counts`` of all fields: no pass of its own. Sheets without records are 0 throughout."""
+    joined = sheets.select(*KEYS).distinct().join(counts, KEYS, "left")
+    share = lambda i: (F.col("n_rows") - F.col(f"null_{i}")) / F.nullif("n_rows", F.lit(0)) * 100
+    items = F.array(*[
+        F.struct(F.lit(i).alias("field_pos"), F.lit(f).alias("field"), rounded(F.coalesce(share(i), F.lit(0.0)), digits).alias("completeness"))
+        for i, f in enumerate(TARGET_FIELDS)])
+    return joined.select(*KEYS, F.inline(items))
+
+
 def completeness_status(complete: DataFrame, mapping: DataFrame) -> DataFrame:
     """Completeness of all 17 fields with their mapping status (Q19)."""
     mapped = mapping.where("target is not null").select(*KEYS, F.col("target").alias("field")).distinct()
@@ -306,7 +325,8 @@ def quality_score(sheets: DataFrame, mapping: DataFrame | None = None, complete:
                   issues: DataFrame | None = None, digits: int | None = 1) -> DataFrame:
     """Score 0..100 and grade per sheet (Q15, Q16).
 
-    Unknown parts count as in the definition: no mapping 0, no completeness 0.5, no report 1.0.
+    Parts that were not computed count as in the definition: no mapping 0, no completeness 0.5,
+    no report 1.0. A sheet that is missing from a computed part has nothing there.
     """
     out = sheets.select(*KEYS).distinct()
     if mapping is None:
@@ -321,7 +341,7 @@ def quality_score(sheets: DataFrame, mapping: DataFrame | None = None, complete:
         out = out.withColumn("completeness_score", F.lit(0.5))
     else:
         part = complete.groupBy(*KEYS).agg((F.avg("completeness") / 100).alias("completeness_score"))
-        out = out.join(part, KEYS, "left").fillna(0.5, ["completeness_score"])
+        out = out.join(part, KEYS, "left").fillna(0.0, ["completeness_score"])
     if issues is None:
         out = out.withColumn("anomaly_score", F.lit(1.0))
     else:

@@ -16,8 +16,8 @@ from ..functions.text import fixed, in_list, let, looks_numeric, rounded, strip
 from ..schema import KEYS, TARGET_FIELDS, TARGET_SYNONYMS, TOTAL_WORDS
 from ..session import attach, is_small, settle
 
+# Rows of a sheet that may hold its header; a larger bound can be given to ``detect_headers``.
 MAX_HEADER_ROWS = 30
-SAMPLE_ROWS = 200
 PRIMARY, SECONDARY, REJECT = "Primary", "Secondary", "Reject"
 
 # Header scorers as (match, text, fill, numeric below) weights and the characters read as blanks.
@@ -139,40 +139,43 @@ def sheet_profile(rows: DataFrame) -> DataFrame:
     )
 
 
-def _below_header(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    near = rows.where(F.col("row_idx") < MAX_HEADER_ROWS + SAMPLE_ROWS)
-    offset = F.col("row_idx") - F.col("header_row")
-    return near.join(headers, KEYS).where(offset.between(1, SAMPLE_ROWS))
+def below_header(rows: DataFrame, headers: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """Type consistency and data continuity of every sheet below its header, in one pass.
+
+    The whole sheet counts, or its first ``sample_rows`` rows there. Cells are added up per
+    column on the map side; the first filled cell of a row stands for the row.
+    """
+    below = attach(rows.select(*KEYS, "row_idx", "values"), headers.select(*KEYS, "header_row"), KEYS).where("row_idx > header_row")
+    if sample_rows is not None:
+        below = below.where(F.col("row_idx") - F.col("header_row") <= sample_rows)
+    first = F.array_position(F.transform("values", lambda v: v.isNotNull()), F.lit(True)) - 1
+    cells = below.select(*KEYS, first.alias("_first"), F.posexplode("values").alias("col_idx", "value")).where("value is not null")
+    by_column = cells.groupBy(*KEYS, "col_idx").agg(
+        F.avg(looks_numeric(F.col("value")).cast("int")).alias("_ratio"), F.sum((F.col("col_idx") == F.col("_first")).cast("bigint")).alias("_rows"))
+    steady = (F.col("_ratio") > 0.80) | (F.col("_ratio") < 0.20)
+    by_sheet = by_column.groupBy(*KEYS).agg(F.sum(steady.cast("int")).alias("_steady"), F.sum("_rows").alias("_filled"))
+    height = F.col("n_rows") - F.col("header_row") - 1
+    window = height if sample_rows is None else F.least(F.lit(sample_rows), height)
+    return headers.join(by_sheet, KEYS, "left").select(
+        *KEYS, F.coalesce(F.col("_steady") / F.nullif("n_cols", F.lit(0)), F.lit(0.0)).alias("type_consistency"),
+        F.coalesce(F.col("_filled") / F.nullif(window, F.lit(0)), F.lit(0.0)).alias("data_continuity"))
 
 
-def type_consistency(rows: DataFrame, headers: DataFrame) -> DataFrame:
+def type_consistency(rows: DataFrame, headers: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Share of columns that are mostly numeric or mostly text below the header."""
-    cells = _below_header(rows, headers).select(*KEYS, "n_cols", F.posexplode("values").alias("col_idx", "value"))
-    ratio = F.avg(looks_numeric(F.col("value")).cast("int"))
-    by_column = cells.where("value is not null").groupBy(*KEYS, "n_cols", "col_idx").agg(ratio.alias("_ratio"))
-    steady = (F.col("_ratio") > 0.80) | (F.col("_ratio") < 0.20)
-    by_sheet = by_column.groupBy(*KEYS).agg(
-        (F.sum(steady.cast("int")) / F.max("n_cols")).alias("type_consistency")
-    )
-    return headers.select(*KEYS).join(by_sheet, KEYS, "left").fillna(0.0, ["type_consistency"])
+    return below_header(rows, headers, sample_rows).drop("data_continuity")
 
 
-def data_continuity(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Share of non-blank rows among the first rows below the header."""
-    filled = _below_header(rows, headers).where(~is_blank_row(F.col("values"))).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("_filled"))
-    window = F.least(F.lit(SAMPLE_ROWS), F.col("n_rows") - F.col("header_row") - 1)
-    return headers.join(filled, KEYS, "left").select(
-        *KEYS, F.coalesce(F.col("_filled") / F.nullif(window, F.lit(0)), F.lit(0.0)).alias("data_continuity"))
+def data_continuity(rows: DataFrame, headers: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """Share of non-blank rows below the header."""
+    return below_header(rows, headers, sample_rows).drop("type_consistency")
 
 
-def score_sheets(rows: DataFrame, headers: DataFrame, merges: DataFrame | None = None) -> DataFrame:
-    """Composite score, class, reasons and issues per sheet."""
-    joined = (
-        headers.join(sheet_profile(rows), KEYS)
-        .join(type_consistency(rows, headers), KEYS)
-        .join(data_continuity(rows, headers), KEYS)
-    )
+def score_sheets(rows: DataFrame, headers: DataFrame, merges: DataFrame | None = None, sample_rows: int | None = None,
+                 profile: DataFrame | None = None) -> DataFrame:
+    """Composite score, class, reasons and issues per sheet (R10, R11, R13). ``profile`` is a stored ``sheet_profile``."""
+    profile = sheet_profile(rows) if profile is None else profile
+    joined = headers.join(profile, KEYS).join(below_header(rows, headers, sample_rows), KEYS)
     if merges is None:
         joined = joined.withColumn("merged_cell_count", F.lit(0).cast("bigint"))
     else:
@@ -255,9 +258,8 @@ def sheet_manifest(ranked: DataFrame) -> DataFrame:
 
 def header_names(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Source column names: cleaned, positional when unnamed, unique within the sheet."""
-    at_header = headers.join(
-        rows.where(F.col("row_idx") < MAX_HEADER_ROWS)
-        .select(*KEYS, F.col("row_idx").alias("header_row"), "values"), [*KEYS, "header_row"], "left")
+    names = attach(rows.select(*KEYS, "row_idx", "values"), headers.select(*KEYS, "header_row"), KEYS).where("row_idx = header_row")
+    at_header = headers.join(names.select(*KEYS, "values"), KEYS, "left")
     cells = at_header.where("n_cols > 0").select(
         *KEYS, "values", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col_idx"))
     raw = strip(F.regexp_replace(F.get("values", F.col("col_idx")), r"[\r\n\t]+", " "))
@@ -328,6 +330,23 @@ def reindex_rows(records: DataFrame, band: int = 65536, name: str = "data_idx")
     )
 
 
+def positions_of(records: DataFrame, wanted: DataFrame, band: int = 65536, name: str = "data_idx") -> DataFrame:
+    """Dense positions of a few rows ``wanted(keys, row_idx)`` among the records of their sheets.
+
+    Rows are counted per band of ``row_idx``; only bands that hold a wanted row are numbered. No
+    cells move, and no row outside those bands.
+    """
+    banded = records.select(*KEYS, "row_idx", F.floor(F.col("row_idx") / band).alias("_band"))
+    before = Window.partitionBy(*KEYS).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = banded.groupBy(*KEYS, "_band").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    spots = settle(wanted.select(*KEYS, "row_idx", F.floor(F.col("row_idx") / band).alias("_band")).distinct())
+    bands = settle(starts.join(spots.select(*KEYS, "_band").distinct(), [*KEYS, "_band"]))
+    inside = Window.partitionBy(*KEYS, "_band").orderBy("row_idx")
+    numbered = attach(banded, bands, [*KEYS, "_band"]).withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
+    return numbered.select(*KEYS, "row_idx", name).join(spots.select(*KEYS, "row_idx"), [*KEYS, "row_idx"])
+
+
 def rows_to_cells(rows: DataFrame) -> DataFrame:
     """Rows -> long cells, non-null only."""
     kinds = F.coalesce(F.col("types"), F.transform("values", lambda v: F.lit("s")))

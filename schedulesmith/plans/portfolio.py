@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mapping as m
+from ..operators import memory as mem
 from ..operators import profile as p
 from ..operators import quality as q
 from ..operators import review as r
@@ -33,12 +34,22 @@ class Discovery:
     records: DataFrame
 
 
-def discover(rows: DataFrame, sheets: DataFrame | None = None, ranges: DataFrame | None = None) -> Discovery:
+def discover(rows: DataFrame, sheets: DataFrame | None = None, ranges: DataFrame | None = None,
+             max_header_rows: int = s.MAX_HEADER_ROWS, sample_rows: int | None = None) -> Discovery:
+    """Headers, sheet classes, column names and records.
+
+    ``rows`` are read once for the profile, once for the header rows, once for the figures below
+    the headers and then for each use of the records, so they should be stored (``session.store``).
+    ``max_header_rows`` bounds the search for the header, ``sample_rows`` the rows below it that
+    are judged (all by default).
+    """
     rows = s.nullify_blanks(rows)
     if ranges is not None:
         rows = s.fill_down(rows, ranges)
-    headers = settle(s.detect_headers(rows, s.sheet_dims(rows)))
-    ranked = settle(s.rank_sheets(s.score_sheets(rows, headers, ranges), sheets))
+    profile = settle(s.sheet_profile(rows))
+    dims = profile.select(*KEYS, F.col("row_count").alias("n_rows"), F.col("col_count").alias("n_cols"))
+    headers = settle(s.detect_headers(rows, dims, max_header_rows))
+    ranked = settle(s.rank_sheets(s.score_sheets(rows, headers, ranges, sample_rows, profile), sheets))
     data = ranked.where("is_data and n_rows > 0").select(*KEYS)
     own = headers.join(data, KEYS, "left_semi")
     columns = settle(s.header_names(rows, own))
@@ -59,14 +70,15 @@ def map_columns(found: Discovery, current_year: int, semantic: DataFrame | None
     profiles = p.column_profiles(s.column_values(found.records), keys, current_year)
     # A column with no cell at all in any record still gets an (empty) profile.
     profiles = settle(found.columns.select(*keys).join(profiles, keys, "left").fillna(True, ["empty"]))
-    fits = settle(p.profile_fits(profiles, keys, current_year))
+    fits = settle(p.packed_fits(profiles, keys, current_year))
     candidates = settle(m.map_candidates(found.columns, fits, semantic, memory, nearest))
     viable = m.viable_candidates(candidates)
     if proposals is not None:
         viable = viable.unionByName(m.proposal_candidates(proposals, found.columns, fits))
     viable = settle(viable)
-    table = m.mapping_table(found.columns, m.assign_targets(viable), m.veto_reasons(candidates), m.shortlist(fits))
-    return Mapped(settle(table), viable, fits)
+    assigned = settle(m.assign_targets(viable))
+    table = m.mapping_table(found.columns, assigned, m.veto_reasons(candidates), m.plausible_targets(fits))
+    return Mapped(settle(table), viable, p.unpack_fits(fits, keys))
 
 
 @dataclass
@@ -80,16 +92,27 @@ class Assessment:
 def assess(found: Discovery, mapping: DataFrame, current_year: int) -> Assessment:
     """Findings, completeness, score and recommendations.
 
-    Row positions in the findings are dense positions within the extracted records.
+    The rules run on the records as they are, without a copy or a shuffle; only the listed rows,
+    at most 50 per finding, are then numbered by their dense position within the records.
     """
-    positions = settle(t.positions_from_mapping(mapping))
-    table = settle(t.mapped_table(s.reindex_rows(found.records), positions, index="data_idx"))
-    issues = settle(q.detect_issues(table, current_year, mapping))
-    complete = settle(q.completeness(table))
+    table = t.mapped_table(found.records, settle(t.positions_from_mapping(mapping)))
+    counts = settle(q.rule_counts(table, q.row_rules(current_year)))
+    sparse = settle(q.detect_issues(table, current_year, mapping, counts))
+    listed = sparse.select(*KEYS, F.explode("affected_rows").alias("row_idx")).distinct()
+    issues = settle(_number_rows(sparse, s.positions_of(found.records, listed)))
+    complete = settle(q.counted_completeness(counts, mapping))
     scores = q.quality_score(mapping, mapping, complete, issues)
     return Assessment(issues, complete, scores, settle(r.all_recommendations(mapping, issues)))
 
 
+def _number_rows(issues: DataFrame, positions: DataFrame) -> DataFrame:
+    """Findings with dense positions instead of sheet rows in their row lists."""
+    rows = issues.select(*KEYS, "issue_id", F.explode("affected_rows").alias("row_idx")).join(positions, [*KEYS, "row_idx"])
+    lists = rows.groupBy(*KEYS, "issue_id").agg(F.sort_array(F.collect_list("data_idx")).alias("_dense"))
+    none = F.array().cast("array<bigint>")
+    return issues.join(lists, [*KEYS, "issue_id"], "left").withColumn("affected_rows", F.coalesce("_dense", none)).drop("_dense")
+
+
 class Output:
     """Results of the transformation; each is computed only when it is asked for."""
 
@@ -127,6 +150,18 @@ def transform(found: Discovery, recs: DataFrame, decisions: DataFrame | None = N
     return Output(cleaned, audit, columns.select(*KEYS).distinct())
 
 
+def apply_review(recs: DataFrame, decisions: DataFrame, mapping: DataFrame,
+                 memory: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recommendations, mapping and memory after the reviewers' decisions.
+
+    Only decisions newer than those an item has seen count, so the same table may be applied
+    again. Edited targets reach the mapping, approved and edited mappings the memory.
+    """
+    decided = settle(r.apply_decisions(recs, decisions))
+    entries = r.approved_entries(decided)
+    return decided, settle(r.edited_mapping(mapping, decided)), entries if memory is None else mem.upsert_memory(memory, entries)
+
+
 def re_reason(recs: DataFrame, mapped: Mapped, found: Discovery, current_year: int) -> tuple[DataFrame, DataFrame]:
     """One review round: withdrawn or replaced items and the mapping that follows from them."""
     rejected = settle(r.to_rereason(recs))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,11 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "schedu
     )
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a stage result once and cut its lineage with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, shared by all executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder.
+    Only a local session without that setting gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,9 +46,22 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="schedulesmith-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a stage result once and cut its lineage with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write rows once as Parquet below the checkpoint folder; readers of the result prune its columns."""
+    path = f"{checkpoint_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than one row past that."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
@@ -59,19 +71,26 @@ def attach(data: DataFrame, side: DataFrame, keys: list[str], how: str = "inner"
            spread: Column | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join per-sheet facts (one row per key) onto data rows.
 
-    ``side`` is broadcast only after its row count was checked. A larger side is joined
-    on the keys plus a salt, because one sheet may hold a large share of all rows; the
-    salt also keeps a following ``groupBy(keys)`` from inheriting a skewed partitioning.
+    ``side`` is broadcast only after its row count was checked. A larger side is sort-merged.
+    Only keys that a count shows to hold more than a 1/``SALTS`` share of the data are split by
+    a salt, because one sheet may hold a large share of all rows; their few plan rows are
+    repeated, all others are not. The salt also keeps a following ``groupBy(keys)`` from inheriting a
+    skewed partitioning.
     """
     if is_small(side, max_rows):
         return data.join(F.broadcast(side), keys, how)
-    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = F.col("row_idx") if spread is None else spread
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    return data.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
-
-
-def first_rows(flagged: DataFrame, group: list[str], n: int, order: str = "row_idx",
+    counts = data.groupBy(*keys).count()
+    total = data.count()
+    hot = settle(counts.where(F.col("count") * SALTS > total).select(*keys, F.lit(SALTS).alias("_salts")))  # fewer than SALTS rows
+    spread = F.struct(*data.columns) if spread is None and "row_idx" not in data.columns else F.col("row_idx") if spread is None else spread
+    salt = F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = side.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    spread_out = data.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    return spread_out.join(salted.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+def first_rows(flagged: DataFrame, group: list[str], n: int | Column, order: str = "row_idx",
                rank: str = "_rank") -> DataFrame:
     """The ``n`` lowest rows of every group, ranked from 1.
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from schedulesmith.operators import structure as s
 from schedulesmith.operators import transform as t
 from schedulesmith.schema import KEYS, TOTAL_WORDS
-from schedulesmith.session import settle
+from schedulesmith.session import settle, store
 
 from . import duck as d
-from .inputs import RAW_DUCK, ROWS_DUCK, raw, rows, spark_sql
+from .inputs import RAW_DUCK, ROWS_DUCK, duck_sql, raw, rows, spark_sql
 
 Q, SQL = {}, {}
 
@@ -32,8 +32,8 @@ def headers(spark, sf, settled=True):
 
 
 def stored(spark, sf):
-    """Sheets computed once with their header rows, for queries that read them repeatedly."""
-    data = settle(sheets(spark, sf))
+    """Sheets stored once with their header rows, for queries that read them repeatedly."""
+    data = store(sheets(spark, sf))
     return data, settle(s.detect_headers(data, s.sheet_dims(data)))
 
 
@@ -80,12 +80,12 @@ _profile = f"""profile as (select {K}, max(n_rows)::bigint as row_count, max(n_c
   from cells join dims using ({K}) group by all)"""
 _steady = f"""consistency as (select {K}, coalesce(sum(case when ratio > 0.8 or ratio < 0.2 then 1 else 0 end) / max(n_cols), 0.0) as type_consistency
     from headers left join (select {K}, col_idx, avg(case when {d.looks_numeric('value')} then 1 else 0 end) as ratio
-      from cells join headers using ({K}) where value is not null and row_idx between header_row + 1 and header_row + 200
+      from cells join headers using ({K}) where value is not null and row_idx > header_row
       group by all) using ({K}) group by all)"""
 _continuity = f"""continuity as (select {K}, coalesce(count(distinct case when value is not null then row_idx end)
-      / nullif(max(least(200, n_rows - header_row - 1)), 0), 0.0) as data_continuity
+      / nullif(max(n_rows - header_row - 1), 0), 0.0) as data_continuity
     from headers left join (select * from cells) c using ({K})
-    where row_idx is null or row_idx between header_row + 1 and header_row + 200 group by all)"""
+    where row_idx is null or row_idx > header_row group by all)"""
 _scored = f"""{_profile}, {_steady}, {_continuity},
   composite as (select {K}, headers.*, non_null_ratio, type_consistency, data_continuity,
       least(1.0::double, field_matches / 17::double * 3) as header_match, n_rows - header_row - 1 as rows_below,
@@ -157,11 +157,14 @@ add("merged_range_names", lambda spark, sf: s.merged_range_names(ranges(spark, s
     f"select {K}, concat('C', min_row + 1, ':', case max_col when 2 then 'C' else 'AE' end, max_row + 1) as range_name from ({_ranges})")
 add("fill_down",
     lambda spark, sf: s.rows_to_cells(s.fill_down(sheets(spark, sf), ranges(spark, sf))).drop("cell_type"),
-    BASE + f""", r as ({_ranges}), fills as (select r.file_id, r.sheet_name, unnest(range(r.min_row, r.max_row + 1)) as row_idx, 2 as col_idx, c.value
-        from r join cells c on c.file_id = r.file_id and c.sheet_name = r.sheet_name and c.row_idx = r.min_row and c.col_idx = 2)
+    f"""with sheet_rows as materialized ({ROWS_DUCK}), r as ({_ranges}),
+      corner as materialized (select r.*, nullif(s.cells[3], '') as value from r join sheet_rows s on s.file_id = r.file_id and s.sheet_name = r.sheet_name and s.row_idx = r.min_row),
+      fills as materialized (select file_id, sheet_name, unnest(range(min_row, max_row + 1)) as row_idx, value from corner),
+      cells as (select {K}, row_idx, unnest(cells) as value, generate_subscripts(cells, 1) - 1 as col_idx from sheet_rows)
       select {K}, row_idx, col_idx::int as col_idx, value from (
-        select {K}, row_idx, col_idx, value from fills
-        union all select c.* from cells c anti join fills f on c.file_id = f.file_id and c.sheet_name = f.sheet_name and c.row_idx = f.row_idx and c.col_idx = f.col_idx)
+        select {K}, row_idx, 2 as col_idx, value from fills
+        union all select {K}, row_idx, col_idx, nullif(value, '') from cells where col_idx <> 2
+        union all select {K}, row_idx, col_idx, nullif(value, '') from cells anti join fills using ({K}, row_idx) where col_idx = 2)
       where value is not null""")
 add("header_names", lambda spark, sf: s.header_names(*stored(spark, sf)),
     BASE + f""", slots as (select {K}, header_row, unnest(range(n_cols)) as col_idx from headers),
@@ -170,6 +173,28 @@ add("header_names", lambda spark, sf: s.header_names(*stored(spark, sf)),
       named as (select {K}, col_idx, case when n is null or n = '' or lower(n) = 'nan' or lower(n) like 'unnamed:%' then concat('_col_', col_idx) else n end as n from raw_names),
       numbered as (select *, row_number() over (partition by {K}, n order by col_idx) - 1 as k from named)
       select {K}, col_idx::int as col_idx, case when k > 0 then concat(n, ' (', k, ')') else n end as source_column from numbered""")
+# The same sheets under a banner of forty rows: the header is found below row 30 when the search reaches it.
+def deep_header_names(spark, sf):
+    data = store(sheets(spark, sf).where("sheet_name <> 'Summary'").withColumn("row_idx", F.col("row_idx") + 40))
+    return s.header_names(data, settle(s.detect_headers(data, s.sheet_dims(data), max_rows=60)))
+
+
+add("deep_header_names", deep_header_names, "select * from (" + SQL["header_names"] + ") where sheet_name <> 'Summary'")
+# One column that turns from numbers to text after the two hundredth order, and one that stays text.
+LATE = """select o_orderstatus as file_id, o_orderpriority as sheet_name, cast(row_number() over (partition by o_orderstatus, o_orderpriority order by o_orderkey) as bigint) as row_idx,
+  concat('clerk ', cast(o_custkey as string)) as clerk, case when row_number() over (partition by o_orderstatus, o_orderpriority order by o_orderkey) <= 200 then '100' else 'open' end as amount from {orders}"""
+
+
+def late_change(spark, sf):
+    data = store(spark_sql(spark, sf, LATE).select(*KEYS, "row_idx", F.array("clerk", "amount").alias("values"), F.lit(None).cast("array<string>").alias("types")))
+    heads = s.sheet_dims(data).withColumns({"header_row": F.lit(0), "field_matches": F.lit(0)})
+    first = s.type_consistency(data, heads, sample_rows=200).withColumnRenamed("type_consistency", "first_rows")
+    return s.type_consistency(data, heads).join(first, KEYS)
+
+
+add("late_type_change", late_change,
+    f"""with r as ({duck_sql(LATE)}), n as (select {K}, avg(case when amount = '100' then 1 else 0 end) as share from r group by all)
+      select {K}, case when share > 0.8 or share < 0.2 then 1.0::double else 0.5::double end as type_consistency, 1.0::double as first_rows from n""")
 _kept = f"""kept as (select c.file_id, c.sheet_name, c.row_idx from cells c join headers using ({K}) where c.row_idx > header_row
     group by all
     having count(value) > 0 and count(case when lower(trim(value)) in {d.in_list(TOTAL_WORDS)} then 1 end) = 0
