@@ -15,6 +15,7 @@ from ..functions.text import fixed, normalize_header, normalize_header_text, rou
 from ..schema import KEYS, TARGET_FIELDS, corpus
 from ..session import attach, first_rows, settle
 from .memory import memory_matches
+from .profile import contradicts, map_fit, unpack_fits
 
 W_NAME, W_VALUE, W_METHOD = 0.45, 0.35, 0.20
 EXACT_SIMILARITY = 0.97
@@ -31,7 +32,7 @@ UNMAPPED_PREFIX = "_col_"
 CANDIDATE_SCHEMA = (
     "file_id string, sheet_name string, col_idx int, source_column string, tier int, cand_order int, target string, "
     "method string, name_similarity double, value_profile_fit double, method_agreement double, confidence double, "
-    "bid double, evidence array<string>, rationale string, review_required boolean"
+    "bid double, evidence array<string>, rationale string, review_required boolean, plausible array<string>"
 )
 MAPPING_SCHEMA = (
     "file_id string, sheet_name string, col_idx int, source_column string, target string, confidence double, "
@@ -141,7 +142,7 @@ def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | No
                    memory: DataFrame | None = None, nearest: DataFrame | None = None) -> DataFrame:
     """All name-based candidates of every named column with fit, veto and confidence (M2-M9).
 
-    ``columns(keys, col_idx, source_column)``; ``fits`` from ``profile_fits`` per (keys, col_idx);
+    ``columns(keys, col_idx, source_column)``; ``fits`` from ``profile.packed_fits`` per (keys, col_idx);
     ``memory`` is the memory table, ``nearest`` adds vector hits for headers it does not hold.
     Memory and exact candidates outrank fuzzy and semantic ones by ``tier``.
     """
@@ -173,14 +174,20 @@ def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | No
         names = names.unionByName(part)
     # One header text may sit on a large share of all sheets: size-checked broadcast, else salted.
     joined = attach(named, settle(names), ["source_column"], spread=F.struct(*KEYS, "col_idx")).join(
-        fits.select(*KEYS, "col_idx", "target", "map_fit", "contradicts"), [*KEYS, "col_idx", "target"])
-    return joined.withColumn("value_profile_fit", F.col("map_fit")).withColumn(
-        "confidence", confidence(F.col("name_similarity"), F.col("map_fit"), F.col("method_agreement"),
-                                 F.col("tier") == 0)).drop("map_fit")
+        fits.select(*KEYS, "col_idx", "empty", "fits"), [*KEYS, "col_idx"])
+    place = F.array_position(F.array(*[F.lit(t) for t in TARGET_FIELDS]), F.col("target")) - 1
+    own = joined.withColumn("_fit", F.get("fits", place.cast("int"))).drop("fits")
+    return own.withColumns({
+        "value_profile_fit": map_fit(F.col("empty"), F.col("_fit")), "contradicts": contradicts(F.col("empty"), F.col("_fit"))}).withColumn(
+        "confidence", confidence(F.col("name_similarity"), F.col("value_profile_fit"), F.col("method_agreement"),
+                                 F.col("tier") == 0)).drop("_fit", "empty")
 
 
 def veto_reasons(candidates: DataFrame) -> DataFrame:
-    """Candidates ruled out by the column's values, with the text kept as evidence (M7)."""
+    """Candidates ruled out by the column's values, with the text kept as evidence (M7).
+
+    Which of them a column met depends on the targets claimed by then; see ``mapping_table``.
+    """
     fit = fixed("value_profile_fit", 2)
     text = (
         F.when(F.col("tier") == 0, F.concat(F.lit("Memory suggested '"), "target",
@@ -191,7 +198,7 @@ def veto_reasons(candidates: DataFrame) -> DataFrame:
                             F.lit(") vetoed: values contradict it (VPF="), fit, F.lit(").")))
     )
     packed = candidates.where("contradicts").groupBy(*KEYS, "col_idx").agg(
-        F.array_sort(F.collect_list(F.struct("tier", "cand_order", text.alias("text")))).alias("_v"))
+        F.array_sort(F.collect_list(F.struct("tier", "cand_order", "target", text.alias("text")))).alias("_v"))
     return packed.select(*KEYS, "col_idx", F.col("_v").alias("vetoed"))
 
 
@@ -207,7 +214,8 @@ def viable_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.where(ok).select(
         *KEYS, "col_idx", "source_column", "tier", "cand_order", "target", "method", "name_similarity",
         "value_profile_fit", "method_agreement", "confidence", F.col("confidence").alias("bid"), "evidence",
-        rationale.alias("rationale"), (F.col("confidence") < HIGH_CONFIDENCE).alias("review_required"))
+        rationale.alias("rationale"), (F.col("confidence") < HIGH_CONFIDENCE).alias("review_required"),
+        F.lit(None).cast("array<string>").alias("plausible"))
 
 
 def best_candidate(viable: DataFrame) -> DataFrame:
@@ -217,28 +225,40 @@ def best_candidate(viable: DataFrame) -> DataFrame:
     return viable.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def shortlist(fits: DataFrame, n: int = TOP) -> DataFrame:
-    """Targets whose values alone look plausible for a column, best first."""
+def shortlist(fits: DataFrame, n: int = TOP, blocked: DataFrame | None = None) -> DataFrame:
+    """Targets whose values alone look plausible for a column, best first.
+
+    ``blocked(keys, col_idx, blocked)`` takes out the targets other columns had claimed.
+    """
+    plausible = fits.where(F.col("fit") > SHORTLIST_FIT)
+    if blocked is not None:
+        plausible = plausible.join(blocked, [*KEYS, "col_idx"], "left").where(
+            ~F.coalesce(F.array_contains("blocked", F.col("target")), F.lit(False)))
     order = Window.partitionBy(*KEYS, "col_idx").orderBy(F.desc("fit"), "target_pos")
-    return (
-        fits.where(F.col("fit") > SHORTLIST_FIT).withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= n).select(*KEYS, "col_idx", "rank", "target", "fit")
-    )
+    return plausible.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(
+        *KEYS, "col_idx", "rank", "target", "fit")
+
+
+def plausible_targets(fits: DataFrame) -> DataFrame:
+    """Per column the targets above the shortlist limit: (keys, col_idx, plausible); ``fits`` are packed."""
+    pairs = F.zip_with("fits", F.array(*[F.lit(t) for t in TARGET_FIELDS]), lambda f, t: F.when(f > SHORTLIST_FIT, t))
+    return fits.select(*KEYS, "col_idx", F.array_sort(F.array_compact(pairs)).alias("plausible")).where(F.size("plausible") > 0)
 
 
 def proposal_candidates(proposals: DataFrame, columns: DataFrame, fits: DataFrame) -> DataFrame:
     """Externally proposed targets that pass the acceptance rules, as last-resort candidates.
 
-    ``proposals(keys, source_column, target, confidence, rationale)``. Unknown targets and
+    ``proposals(keys, source_column, target, confidence, rationale)``, ``fits`` packed. Unknown targets and
     targets the values contradict are left out; see ``rejected_proposals`` for the reasons.
+    ``plausible`` are the targets of which one must still be free when the column's turn comes.
     """
     sim = F.col("confidence") * EXTERNAL_DISCOUNT
+    fits, packed = unpack_fits(fits, [*KEYS, "col_idx"]), fits
     valid = proposals.where(F.col("target").isin(TARGET_FIELDS)).select(
         *KEYS, "source_column", "target", F.col("confidence"), F.col("rationale").alias("_why"))
     fitted = valid.join(columns, [*KEYS, "source_column"]).join(
         fits.select(*KEYS, "col_idx", "target", "map_fit", "contradicts"), [*KEYS, "col_idx", "target"])
-    plausible = fits.where(F.col("fit") > SHORTLIST_FIT).select(*KEYS, "col_idx")
-    return fitted.where("not contradicts").join(plausible, [*KEYS, "col_idx"], "left_semi").select(
+    return fitted.where("not contradicts").join(plausible_targets(packed), [*KEYS, "col_idx"]).select(
         *KEYS, "col_idx", "source_column", F.lit(9).alias("tier"), F.lit(0).alias("cand_order"), "target",
         F.lit("llm").alias("method"), sim.alias("name_similarity"), F.col("map_fit").alias("value_profile_fit"),
         F.lit(0.7).alias("method_agreement"),
@@ -246,7 +266,7 @@ def proposal_candidates(proposals: DataFrame, columns: DataFrame, fits: DataFram
         F.array(F.concat(F.lit("LLM reasoning: "), "_why"), F.concat(F.lit("LLM confidence: "), fixed("confidence", 3)))
         .alias("evidence"),
         F.concat(F.lit("LLM reasoning. VPF="), fixed("map_fit", 2), F.lit(".")).alias("rationale"),
-        F.lit(True).alias("review_required"))
+        F.lit(True).alias("review_required"), "plausible")
 
 
 def rejected_proposals(proposals: DataFrame, columns: DataFrame, fits: DataFrame) -> DataFrame:
@@ -263,11 +283,12 @@ def rejected_proposals(proposals: DataFrame, columns: DataFrame, fits: DataFrame
 
 # --- assignment -------------------------------------------------------------------------
 
-def _claim_targets(col_idx, tier, cand_order, target, confidence, bid) -> list[int]:
-    """Positions of the candidates that win when the strongest pending column commits first.
+def _claim_targets(col_idx, tier, cand_order, target, confidence, bid, plausible) -> list[dict]:
+    """Candidates that win when the strongest pending column commits first, with the targets blocked at their turn.
 
     Every column bids its first candidate whose target is still free. A claimed target is
-    never given back, and a column that lost its target bids its next one at that bid.
+    never given back, and a column that lost its target looks again with all targets claimed
+    by then blocked. A proposal only counts while some plausible target of its column is free.
     """
     import heapq
 
@@ -277,61 +298,84 @@ def _claim_targets(col_idx, tier, cand_order, target, confidence, bid) -> list[i
     options: dict[int, list[int]] = {}
     for i in sorted(range(len(col_idx)), key=turn):
         options.setdefault(int(col_idx[i]), []).append(i)
-    queue = [(-bid[mine[0]], col, 0) for col, mine in options.items()]
+    queue = [(-bid[mine[0]], col, 0, ()) for col, mine in options.items()]
     heapq.heapify(queue)
-    claimed, won = set(), []
+    claimed: set[str] = set()
+    won = []
     while queue:
-        _, col, at = heapq.heappop(queue)
+        _, col, at, blocked = heapq.heappop(queue)
         mine = options[col]
-        if target[mine[at]] not in claimed:
-            claimed.add(target[mine[at]])
-            won.append(mine[at])
+        i = mine[at]
+        shut = plausible[i] is not None and claimed.issuperset(plausible[i])
+        if target[i] not in claimed and not shut:
+            won.append({"at": i, "blocked": list(blocked)})
+            claimed.add(target[i])
             continue
-        while at < len(mine) and target[mine[at]] in claimed:
+        while at < len(mine) and (target[mine[at]] in claimed or shut):
             at += 1
         if at < len(mine):
-            heapq.heappush(queue, (-bid[mine[at]], col, at))
+            heapq.heappush(queue, (-bid[mine[at]], col, at, tuple(sorted(claimed))))
     return won
 
 
 def assign_targets(viable: DataFrame) -> DataFrame:
-    """1:1 assignment within every sheet.
+    """1:1 assignment within every sheet (M11), with the targets blocked at each column's turn.
 
     Each sheet is one array of its candidates, at most a dozen per column and never data
     rows, so thousands of sheets are settled per batch.
     """
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<at:int,blocked:array<string>>>")
     def winners(col_idx: pd.Series, tier: pd.Series, cand_order: pd.Series, target: pd.Series,
-                confidence: pd.Series, bid: pd.Series) -> pd.Series:
-        sheets = zip(col_idx, tier, cand_order, target, confidence, bid)
+                confidence: pd.Series, bid: pd.Series, plausible: pd.Series) -> pd.Series:
+        sheets = zip(col_idx, tier, cand_order, target, confidence, bid, plausible)
         return pd.Series([_claim_targets(*sheet) for sheet in sheets])
 
     body = [f.name for f in viable.schema if f.name not in KEYS]
     packed = viable.groupBy(*KEYS).agg(F.collect_list(F.struct(*body)).alias("c"))
-    judged = ["col_idx", "tier", "cand_order", "target", "confidence", "bid"]
-    won = packed.withColumn("w", winners(*[F.col(f"c.{x}") for x in judged]))
-    return won.select(*KEYS, F.inline(F.transform("w", lambda i: F.get("c", i))))
+    judged = ["col_idx", "tier", "cand_order", "target", "confidence", "bid", "plausible"]
+    won = packed.withColumn("w", F.explode(winners(*[F.col(f"c.{x}") for x in judged])))
+    return won.select(*KEYS, F.get("c", F.col("w.at")).alias("_c"), F.col("w.blocked").alias("blocked")).select(
+        *KEYS, "_c.*", "blocked").drop("plausible")
+
+
+def blocked_targets(columns: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(keys, col_idx, blocked): the targets a column could not take any more when it was settled.
+
+    A column that found its target blocked what was claimed when it last had to look again.
+    One that found none is settled after all others, in column order: all claims of its sheet
+    are blocked but proposals accepted for later columns.
+    """
+    claims = assigned.groupBy(*KEYS).agg(F.collect_list(F.struct("target", "tier", "col_idx")).alias("_claims"))
+    own = columns.select(*KEYS, "col_idx").join(assigned.select(*KEYS, "col_idx", "blocked"), [*KEYS, "col_idx"], "left").join(claims, KEYS, "left")
+    rest = F.transform(F.filter("_claims", lambda c: (c["tier"] < 9) | (c["col_idx"] < F.col("col_idx"))), lambda c: c["target"])
+    return own.select(*KEYS, "col_idx", F.coalesce("blocked", F.array_sort(rest), F.array().cast("array<string>")).alias("blocked"))
 
 
 def mapping_table(columns: DataFrame, assigned: DataFrame, vetoes: DataFrame | None = None,
-                  shortlisted: DataFrame | None = None) -> DataFrame:
-    """One mapping row per source column, unmapped ones included."""
-    won = assigned.drop("source_column", "tier", "bid")
+                  plausible: DataFrame | None = None) -> DataFrame:
+    """One mapping row per source column, unmapped ones included.
+
+    ``vetoes`` from ``veto_reasons``, ``plausible`` from ``plausible_targets``; of both, targets
+    that were blocked when the column was settled do not count.
+    """
+    won = assigned.drop("source_column", "tier", "bid", "blocked")
     out = columns.select(*KEYS, "col_idx", "source_column").join(won, [*KEYS, "col_idx"], "left")
     none = F.array().cast("array<string>")
+    out = out.join(blocked_targets(columns, assigned), [*KEYS, "col_idx"], "left")
+    free = lambda target: ~F.array_contains("blocked", target)
     if vetoes is None:
         out = out.withColumn("vetoed", none)
     else:
         # A mapped column lists only the vetoes it met before its own target.
-        met = F.filter("vetoed", lambda x: F.col("cand_order").isNull() | (x["tier"] < 2)
-                       | (x["cand_order"] < F.col("cand_order")))
+        met = F.filter("vetoed", lambda x: free(x["target"]) & (
+            F.col("cand_order").isNull() | (x["tier"] < 2) | (x["cand_order"] < F.col("cand_order"))))
         out = out.join(vetoes, [*KEYS, "col_idx"], "left").withColumn(
             "vetoed", F.coalesce(met.getField("text"), none))
-    if shortlisted is None:
+    if plausible is None:
         out = out.withColumn("_plausible", F.lit(True))
     else:
-        some = shortlisted.select(*KEYS, "col_idx").distinct().withColumn("_plausible", F.lit(True))
-        out = out.join(some, [*KEYS, "col_idx"], "left").fillna(False, ["_plausible"])
+        out = out.join(plausible, [*KEYS, "col_idx"], "left").withColumn(
+            "_plausible", F.coalesce(F.exists("plausible", free), F.lit(False)))
     unnamed = F.col("source_column").startswith(UNMAPPED_PREFIX)
     mapped = F.col("target").isNotNull()
     zero = F.lit(0.0)

@@ -123,22 +123,34 @@ def fit(target: str, current_year: int, digits: int | None = 4) -> Column:
     return F.when(c("empty"), F.lit(0.0)).otherwise(rounded(score, digits))
 
 
-def profile_fits(profiles: DataFrame, keys: list[str], current_year: int,
-                 digits: int | None = 4) -> DataFrame:
-    """Long table (keys, target, fit, map_fit, contradicts): 17 rows per profile, no join.
+def packed_fits(profiles: DataFrame, keys: list[str], current_year: int, digits: int | None = 4) -> DataFrame:
+    """One row per profile: (keys, empty, fits) with the 17 fits in the order of the target fields."""
+    return profiles.select(*keys, "empty", F.array(*[fit(t, current_year, digits) for t in TARGET_FIELDS]).alias("fits"))
+
+
+def unpack_fits(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """Long table (keys, empty, target_pos, target, fit, map_fit, contradicts) of packed fits.
 
     ``map_fit`` is the fit the mapper uses, neutral for an empty column (F11).
     """
-    pairs = F.array(*[
-        F.struct(F.lit(i).alias("target_pos"), F.lit(t).alias("target"), fit(t, current_year, digits).alias("fit"))
-        for i, t in enumerate(TARGET_FIELDS)
-    ])
-    return (
-        profiles.select(*keys, "empty", F.explode(pairs).alias("_p"))
-        .select(*keys, "empty", "_p.target_pos", "_p.target", "_p.fit")
-        .withColumn("map_fit", F.when(F.col("empty"), F.lit(EMPTY_FIT)).otherwise(F.col("fit")))
-        .withColumn("contradicts", ~F.col("empty") & (F.col("fit") < VETO_FIT))
-    )
+    targets = F.array(*[F.lit(t) for t in TARGET_FIELDS])
+    long = packed.select(*keys, "empty", F.posexplode("fits").alias("target_pos", "fit"))
+    return long.select(*keys, "empty", "target_pos", F.get(targets, F.col("target_pos")).alias("target"), "fit",
+                       map_fit(F.col("empty"), F.col("fit")).alias("map_fit"), contradicts(F.col("empty"), F.col("fit")).alias("contradicts"))
+
+
+def map_fit(empty: Column, value: Column) -> Column:
+    return F.when(empty, F.lit(EMPTY_FIT)).otherwise(value)
+
+
+def contradicts(empty: Column, value: Column) -> Column:
+    return ~empty & (value < VETO_FIT)
+
+
+def profile_fits(profiles: DataFrame, keys: list[str], current_year: int,
+                 digits: int | None = 4) -> DataFrame:
+    """Long table of fits: 17 rows per profile, no join."""
+    return unpack_fits(packed_fits(profiles, keys, current_year, digits), keys)
 
 
 def suggested_operations(profiles: DataFrame, keys: list[str]) -> DataFrame:

@@ -122,7 +122,7 @@ def test_assignment_against_the_plain_rule(spark):
             opts.sort(key=lambda o: (o[2], -o[1] if o[2] == 2 else 0, o[3]))
             columns[col] = [(o[0], o[1]) for o in opts]
             for t, conf, tier, order in opts:
-                rows.append(("f", f"s{sheet}", col, f"c{col}", tier, order, t, "fuzzy", 0.9, 0.9, 0.7, conf, conf, [], "", False))
+                rows.append(("f", f"s{sheet}", col, f"c{col}", tier, order, t, "fuzzy", 0.9, 0.9, 0.7, conf, conf, [], "", False, None))
         want.update({(f"s{sheet}", c): t for c, t in greedy(columns).items()})
     got = m.assign_targets(spark.createDataFrame(rows, m.CANDIDATE_SCHEMA)).collect()
     assert {(r.sheet_name, r.col_idx): r.target for r in got} == want

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from schedulesmith.functions.text import normalize_header
 from schedulesmith.operators import mapping as m
 from schedulesmith.operators import memory as mem
+from schedulesmith.operators import profile as p
 from schedulesmith.schema import KEYS, TARGET_FIELDS
 from schedulesmith.session import settle
 
@@ -62,20 +63,20 @@ def columns(spark, sf):
     ).select("file_id", "sheet_name", "col_idx", "k", _choice(k * 5 + j * 7, HEADERS).alias("source_column"))
 
 
+def packed(spark, sf):
+    """One row per column with its 17 fits, computed from its keys."""
+    k, j = F.col("k"), F.col("col_idx")
+    empty = (k + j) % 29 == 0
+    values = F.array(*[F.when(empty, 0.0).otherwise(((k * 13 + j * 5 + F.lit(i * 7)) % 101) / 100.0) for i in range(len(TARGET_FIELDS))])
+    return columns(spark, sf).select(*COL, empty.alias("empty"), values.alias("fits"))
+
+
 def fits(spark, sf):
-    targets = F.array(*[F.lit(t) for t in TARGET_FIELDS])
-    raw = columns(spark, sf).select(*COL, "k", F.posexplode(targets).alias("target_pos", "target"))
-    fit = ((F.col("k") * 13 + F.col("col_idx") * 5 + F.col("target_pos") * 7) % 101) / 100.0
-    empty = (F.col("k") + F.col("col_idx")) % 29 == 0
-    return (
-        raw.withColumn("empty", empty).withColumn("fit", F.when(empty, 0.0).otherwise(fit))
-        .withColumn("map_fit", F.when(empty, 0.5).otherwise(F.col("fit")))
-        .withColumn("contradicts", ~empty & (F.col("fit") < 0.25))
-    )
+    return p.unpack_fits(packed(spark, sf), COL)
 
 
 _targets = d.values_table(list(enumerate(TARGET_FIELDS)), "target_pos, target")
-_fits = f"""fits as (select {K}, col_idx, target_pos, target, empty, case when empty then 0.0 else f end as fit,
+_fits = f"""fits as materialized (select {K}, col_idx, target_pos, target, empty, case when empty then 0.0 else f end as fit,
     case when empty then 0.5::double else f end as map_fit, not empty and f < 0.25 as contradicts
   from (select *, ((k * 13 + col_idx * 5 + target_pos * 7) % 101) / 100.0::double as f, (k + col_idx) % 29 = 0 as empty
     from cols, (select * from {_targets}) x))"""
@@ -128,17 +129,12 @@ CANDS = BASE + ", " + _candidates
 
 
 def candidates(spark, sf):
-    return m.map_candidates(columns(spark, sf).drop("k"), fits(spark, sf))
+    return m.map_candidates(columns(spark, sf).drop("k"), packed(spark, sf))
 
 
 add("mapping_candidates",
     lambda spark, sf: candidates(spark, sf).select(*COL, "source_column", "target", "tier", "method", "confidence", "contradicts"),
     CANDS + f" select {K}, col_idx, source_column, target, tier, method, confidence, contradicts from rated")
-add("mapping_veto_reasons",
-    lambda spark, sf: m.veto_reasons(candidates(spark, sf)).select(*COL, F.array_join(F.col("vetoed.text"), "|").alias("reasons")),
-    CANDS + f""" select {K}, col_idx, string_agg(case tier when 1 then concat('Header matches ''', target, ''' but values contradict it (VPF=', printf('%.2f', map_fit), ').')
-      else concat('''', target, ''' (', method, ') vetoed: values contradict it (VPF=', printf('%.2f', map_fit), ').') end, '|' order by tier, cand_order) as reasons
-      from rated where contradicts group by all""")
 add("best_candidates",
     lambda spark, sf: m.best_candidate(m.viable_candidates(candidates(spark, sf))).select(
         *COL, "source_column", "target", "method", "confidence", "review_required", "rationale"),
@@ -168,19 +164,41 @@ add("assigned_targets",
 
 def mapping(spark, sf):
     cands = settle(candidates(spark, sf))
-    won = m.assign_targets(m.viable_candidates(cands))
-    return m.mapping_table(columns(spark, sf).drop("k"), won, m.veto_reasons(cands), m.shortlist(fits(spark, sf)))
+    won = settle(m.assign_targets(m.viable_candidates(cands)))
+    return m.mapping_table(columns(spark, sf).drop("k"), won, m.veto_reasons(cands), m.plausible_targets(packed(spark, sf)))
 
 
-_mapping = f"""mapping as (select c.file_id, c.sheet_name, c.col_idx, c.source_column, a.target, coalesce(a.confidence, 0) as confidence,
+_mapping = f"""free as materialized (select f.* from fits f anti join assigned x on x.file_id = f.file_id and x.sheet_name = f.sheet_name and x.target = f.target where f.fit > 0.35),
+  mapping as (select c.file_id, c.sheet_name, c.col_idx, c.source_column, a.target, coalesce(a.confidence, 0) as confidence,
     coalesce(a.method, 'unresolved') as method, case when a.target is not null then a.confidence < 0.9 else not starts_with(c.source_column, '_col_') end as review_required,
     case when a.tier = 1 then concat('Exact normalized match. VPF=', printf('%.2f', a.map_fit), '.') when a.tier = 2 then concat('Matched via fuzzy. VPF=', printf('%.2f', a.map_fit), '.')
       when starts_with(c.source_column, '_col_') then 'Unnamed/index column — skipped.'
       when p.col_idx is not null then 'Could not confidently map this column to any target field.'
       else 'No candidate fields met minimum similarity threshold.' end as rationale
   from cols c left join assigned a on c.file_id = a.file_id and c.sheet_name = a.sheet_name and c.col_idx = a.col_idx
-    left join (select distinct {K}, col_idx from fits where fit > 0.35) p on c.file_id = p.file_id and c.sheet_name = p.sheet_name and c.col_idx = p.col_idx)"""
+    left join (select distinct {K}, col_idx from free) p on c.file_id = p.file_id and c.sheet_name = p.sheet_name and c.col_idx = p.col_idx)"""
 MAPPED = ASSIGNED + ", " + _mapping
+# Evidence of the columns that found no target: vetoes of targets that other columns hold do not count.
+add("mapping_veto_reasons",
+    lambda spark, sf: mapping(spark, sf).where("target is null and size(evidence) > 1").select(
+        *COL, F.array_join(F.slice("evidence", 2, 1000), "|").alias("reasons")),
+    MAPPED + f""" select r.file_id, r.sheet_name, r.col_idx, string_agg(case r.tier when 1 then concat('Header matches ''', r.target, ''' but values contradict it (VPF=', printf('%.2f', r.map_fit), ').')
+      else concat('''', r.target, ''' (', r.method, ') vetoed: values contradict it (VPF=', printf('%.2f', r.map_fit), ').') end, '|' order by r.tier, r.cand_order) as reasons
+      from rated r anti join assigned a on a.file_id = r.file_id and a.sheet_name = r.sheet_name and a.col_idx = r.col_idx
+      anti join assigned x on x.file_id = r.file_id and x.sheet_name = r.sheet_name and x.target = r.target where r.contradicts group by all""")
+
+
+def free_targets(spark, sf):
+    """Shortlists of the columns without a target, over the targets no other column holds."""
+    own = columns(spark, sf).drop("k")
+    won = settle(m.assign_targets(m.viable_candidates(settle(candidates(spark, sf)))))
+    open_ = m.blocked_targets(own, won).join(won.select(*COL), COL, "left_anti")
+    return m.shortlist(fits(spark, sf).join(open_.select(*COL), COL, "left_semi"), blocked=open_)
+
+
+add("free_targets", lambda spark, sf: free_targets(spark, sf).select(*COL, "rank", "target"),
+    MAPPED + f""" select {K}, col_idx, rank::int as rank, target from (select f.*, row_number() over (partition by {K}, col_idx order by fit desc, target_pos) as rank
+      from free f anti join assigned a on a.file_id = f.file_id and a.sheet_name = f.sheet_name and a.col_idx = f.col_idx) where rank <= 5""")
 add("mapping_table",
     lambda spark, sf: mapping(spark, sf).select(*COL, "source_column", "target", "confidence", "method", "review_required", "rationale"),
     MAPPED + " select * from mapping")
@@ -251,18 +269,39 @@ PROPOSALS = (f"select c_mktsegment as file_id, c_name as sheet_name, {_pick('c_c
              f"{_pick('c_custkey', [*TARGET_FIELDS, 'Elevation', 'Notes'])} as target, cast(c_custkey % 60 + 40 as double) / 100 as confidence, "
              "'looks right' as rationale from {customer}")
 _proposed = f"""props as ({duck_sql(PROPOSALS)}),
-  judged as (select p.*, c.col_idx, f.map_fit, f.contradicts from props p
+  judged as materialized (select p.*, c.col_idx, f.map_fit, f.contradicts from props p
     left join cols c on p.file_id = c.file_id and p.sheet_name = c.sheet_name and p.source_column = c.source_column
     left join fits f on c.file_id = f.file_id and c.sheet_name = f.sheet_name and c.col_idx = f.col_idx and f.target = p.target)"""
+# Headers that match exactly claim their targets first; one proposal per sheet then takes what is still free.
+_EXACT = f"""with cols as materialized ({COLUMNS_DUCK}), {_fits}, known as (select *, {d.normalize('text')} as norm_text from {d.CORPUS} c),
+  heads as materialized (select distinct source_column, {d.normalize('source_column')} as norm from cols where not starts_with(source_column, '_col_')),
+  exact as materialized (select source_column, any_value(target) as target from heads join known on norm = norm_text and kind <> 'definition' group by all),
+  rated as materialized (select c.file_id, c.sheet_name, c.col_idx, x.target, f.map_fit,
+      printf('%.4f', least(1, greatest(0, 0.97::double * 0.45::double + f.map_fit * 0.35::double + 0.20::double)))::double as confidence
+    from cols c join exact x using (source_column) join fits f on c.file_id = f.file_id and c.sheet_name = f.sheet_name and c.col_idx = f.col_idx and f.target = x.target
+    where not f.contradicts),
+  assigned as materialized (select * from rated qualify row_number() over (partition by {K}, target order by confidence desc, col_idx) = 1),
+  free as materialized (select distinct f.file_id, f.sheet_name, f.col_idx from fits f anti join assigned x on x.file_id = f.file_id and x.sheet_name = f.sheet_name and x.target = f.target
+    where f.fit > 0.35)"""
+
+
+def accepted(spark, sf):
+    own, fit = columns(spark, sf).drop("k"), settle(packed(spark, sf))
+    viable = m.viable_candidates(m.map_candidates(own, fit).where("tier = 1"))
+    return m.assign_targets(viable.unionByName(m.proposal_candidates(spark_sql(spark, sf, PROPOSALS), own, fit))).where("method = 'llm'")
+
+
 add("accepted_proposals",
-    lambda spark, sf: m.proposal_candidates(spark_sql(spark, sf, PROPOSALS), columns(spark, sf).drop("k"), fits(spark, sf)).select(
+    lambda spark, sf: accepted(spark, sf).select(
         *COL, "source_column", "target", F.round("name_similarity", 9).alias("name_similarity"), "confidence", "review_required"),
-    BASE + f""", {_proposed} select {K}, col_idx, source_column, target, round(confidence * 0.85::double, 9) as name_similarity,
-      printf('%.4f', confidence * 0.85::double * 0.45::double + map_fit * 0.35::double + 0.7::double * 0.20::double)::double as confidence, true as review_required
-      from judged j where not contradicts and exists (select 1 from fits x where x.file_id = j.file_id and x.sheet_name = j.sheet_name and x.col_idx = j.col_idx and x.fit > 0.35)""")
+    f"""{_EXACT}, {_proposed} select j.file_id, j.sheet_name, j.col_idx, j.source_column, j.target, round(j.confidence * 0.85::double, 9) as name_similarity,
+      printf('%.4f', j.confidence * 0.85::double * 0.45::double + j.map_fit * 0.35::double + 0.7::double * 0.20::double)::double as confidence, true as review_required
+      from judged j semi join free x on x.file_id = j.file_id and x.sheet_name = j.sheet_name and x.col_idx = j.col_idx
+      anti join assigned a on a.file_id = j.file_id and a.sheet_name = j.sheet_name and a.col_idx = j.col_idx
+      anti join assigned t on t.file_id = j.file_id and t.sheet_name = j.sheet_name and t.target = j.target where not j.contradicts""")
 add("rejected_proposals",
     lambda spark, sf: m.rejected_proposals(spark_sql(spark, sf, PROPOSALS), columns(spark, sf).drop("k"), fits(spark, sf)),
-    BASE + f""", {_proposed} select {K}, source_column, target, case when target in ('Elevation', 'Notes') then concat('invalid target: ', target)
+    f"""{_EXACT}, {_proposed} select {K}, source_column, target, case when target in ('Elevation', 'Notes') then concat('invalid target: ', target)
       when col_idx is null then 'unknown source column' else 'values contradict the target' end as reason
       from judged where target in ('Elevation', 'Notes') or col_idx is null or contradicts""")
 
@@ -307,19 +346,23 @@ def centroids(spark, sf):
         unit(F.col("v.x")).alias("vector"))
 
 
-def leaning(spark, sf):
+def leaning(spark, sf, pull=1.0):
     """Every embedding pulled towards its label's centroid, as header vectors."""
     c = settle(centroids(spark, sf)).select(F.col("idx").alias("label"), F.col("vector").alias("c"))
-    mixed = F.zip_with(F.col("embedding"), F.col("c"), lambda x, y: x.cast("double") + y)
+    mixed = F.zip_with(F.col("embedding"), F.col("c"), lambda x, y: x.cast("double") + y * pull)
     return table(spark, sf, "embeddings").join(F.broadcast(c), "label").select("vec_id", unit(mixed).alias("vector"))
 
 
-_vectors = """e as (select vec_id, label, embedding::double[] as v from embeddings),
+def _vectors_sql(pull=1.0):
+    return f"""e as (select vec_id, label, embedding::double[] as v from embeddings),
   means as (select label, pos, avg(x) as x from (select label, unnest(v) as x, generate_subscripts(v, 1) as pos from e) group by all),
   raw_c as (select label, list(x order by pos) as v from means group by all),
   c as (select label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from raw_c),
-  mixed as (select vec_id, list_transform(range(1, len(e.v) + 1), lambda i: e.v[i] + c.v[i]) as v from e join c using (label)),
+  mixed as (select vec_id, list_transform(range(1, len(e.v) + 1), lambda i: e.v[i] + c.v[i] * {pull}::double) as v from e join c using (label)),
   h as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from mixed)"""
+
+
+_vectors = _vectors_sql()
 add("memory_search",
     lambda spark, sf: mem.search_memory(
         leaning(spark, sf).select(F.col("vec_id").alias("header_id"), "vector"),
@@ -347,9 +390,9 @@ def remembered_vectors(spark, sf):
 
 add("memory_nearest",
     lambda spark, sf: mem.nearest_matches(
-        leaning(spark, sf).select(F.col("vec_id").cast("string").alias("source_column"), "vector"),
+        leaning(spark, sf, 3.0).select(F.col("vec_id").cast("string").alias("source_column"), "vector"),
         remembered_vectors(spark, sf)).withColumn("similarity", F.round("similarity", 5)),
-    f"""with {_vectors}, s as (select vec_id, label, greatest(0, 1 - pow(list_distance(h.v, c.v), 2) / 2) as similarity from h, c)
+    f"""with {_vectors_sql(3.0)}, s as (select vec_id, label, greatest(0, 1 - pow(list_distance(h.v, c.v), 2) / 2) as similarity from h, c)
       select vec_id::varchar as source_column, concat('label ', label) as memory_source, concat('group ', label // 2) as target,
         (label % 10 + 1) / 10 as memory_confidence, round(similarity, 5) as similarity
       from (select * from s qualify row_number() over (partition by vec_id order by similarity desc, label) = 1) where similarity > 0.85""")
@@ -358,7 +401,7 @@ REMEMBERED = f"""select {_pick('c_custkey', HEADERS)} as source_column, {_pick('
   cast(c_custkey % 60 + 41 as double) / 100 as confidence, cast(concat('2024-01-01 00:00:', lpad(cast(c_nationkey as string), 2, '0')) as timestamp) as ts from {{customer}}"""
 add("memory_candidates",
     lambda spark, sf: m.map_candidates(
-        columns(spark, sf).drop("k"), fits(spark, sf),
+        columns(spark, sf).drop("k"), packed(spark, sf),
         memory=mem.upsert_memory(mem.memory_entries(spark_sql(spark, sf, REMEMBERED).where("false")), mem.memory_entries(spark_sql(spark, sf, REMEMBERED))))
     .where("tier = 0").select(*COL, "source_column", "target", "confidence", "contradicts"),
     BASE + f""", e as (select {d.normalize_memory('source_column')} as norm, * from ({duck_sql(REMEMBERED)})),
