@@ -13,12 +13,13 @@ MIN_SIMILARITY = 0.5
 TRUSTED_SIMILARITY = 0.85
 
 
-def memory_entries(approved: DataFrame, method: str = "human_approved", approved_by: Column | None = None) -> DataFrame:
-    """Memory rows for approved mappings ``(source_column, target_field, confidence, ts)``."""
+def memory_entries(approved: DataFrame, method: str = "human_approved", approved_by: Column | None = None,
+                   keep: list[str] = ()) -> DataFrame:
+    """Memory rows for approved mappings ``(source_column, target_field, confidence, ts)``; ``keep`` names further columns."""
     return approved.select(
         normalize_memory_header(F.col("source_column")).alias("normalized_source"), "source_column", "target_field",
         "confidence", F.lit(method).alias("method"),
-        (F.lit("human") if approved_by is None else approved_by).alias("approved_by"), "ts",
+        (F.lit("human") if approved_by is None else approved_by).alias("approved_by"), "ts", *keep,
     )
 
 

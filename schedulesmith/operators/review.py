@@ -3,7 +3,8 @@
 Recommendation rows: (keys, rec_id, rec_order, action_type, source_column, target_column,
 operation, before_example, after_example, rationale, confidence, uncertainty, affected_rows,
 affected_row_indices, status, rejection_note, re_reason_count, feedback_processed,
-issue_type, severity, review_required). They number a few dozen per sheet at most.
+issue_type, review_required, decided_until). They number a few dozen per sheet at most.
+``decided_until`` is the time of the newest decision an item has seen.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ MAX_REREASON = 2
 REC_COLUMNS = [
     *KEYS, "rec_id", "rec_order", "action_type", "source_column", "target_column", "operation", "before_example",
     "after_example", "rationale", "confidence", "uncertainty", "affected_rows", "affected_row_indices", "status",
-    "rejection_note", "re_reason_count", "feedback_processed", "issue_type", "review_required",
+    "rejection_note", "re_reason_count", "feedback_processed", "issue_type", "review_required", "decided_until",
 ]
+# Fixed value: the remark on an item whose target a reviewer chose.
+EDITED = "User manually assigned target (saved as human feedback)."
 
 
 def _rec_id(prefix: str, *parts: Column | str) -> Column:
@@ -32,7 +35,8 @@ def _rec_id(prefix: str, *parts: Column | str) -> Column:
 def _pending(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("status", F.lit("pending")).withColumn("rejection_note", F.lit(""))
-        .withColumn("re_reason_count", F.lit(0)).withColumn("feedback_processed", F.lit(False)).select(*REC_COLUMNS)
+        .withColumn("re_reason_count", F.lit(0)).withColumn("feedback_processed", F.lit(False))
+        .withColumn("decided_until", F.lit(None).cast("timestamp")).select(*REC_COLUMNS)
     )
 
 
@@ -98,7 +102,7 @@ def carry_over(new: DataFrame, previous: DataFrame) -> DataFrame:
     fresh = new.withColumn("_key", key).withColumn("_nth", nth)
     old = previous.withColumn("_key", key).withColumn("_nth", nth)
     kept = ["rec_id", "status", "rejection_note", "re_reason_count", "feedback_processed", "target_column",
-            "confidence", "uncertainty"]
+            "confidence", "uncertainty", "decided_until"]
     side = old.select(*on, *[F.col(c).alias(f"_old_{c}") for c in kept])
     joined = fresh.join(side, on, "left")
     found = F.col("_old_rec_id").isNotNull()
@@ -108,7 +112,7 @@ def carry_over(new: DataFrame, previous: DataFrame) -> DataFrame:
     def take(c: str, cond: Column) -> Column:
         return F.when(cond, F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c)
 
-    always = {"rec_id", "status", "rejection_note", "re_reason_count", "feedback_processed"}
+    always = {"rec_id", "status", "rejection_note", "re_reason_count", "feedback_processed", "decided_until"}
     cols = []
     for c in REC_COLUMNS:
         if c in always:
@@ -136,10 +140,13 @@ def apply_decisions(recs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Apply the newest decision per recommendation (H4).
 
     ``decisions(keys, rec_id, decision, note, new_target, ts)`` with decision approve, revert,
-    reject or edit. Every rejection counts towards the re-reasoning limit.
+    reject or edit. Every rejection counts towards the re-reasoning limit. Decisions up to
+    ``decided_until`` of an item are left out, so the whole history can be given every time.
     """
     on = [*KEYS, "rec_id"]
-    counts = decisions.groupBy(*on).agg(
+    new = decisions.withColumn("ts", F.col("ts").cast("timestamp")).join(recs.select(*on, "decided_until"), on).where(
+        F.col("decided_until").isNull() | (F.col("ts") > F.col("decided_until")))
+    counts = new.groupBy(*on).agg(
         F.max(F.struct("ts", "decision", "note", "new_target")).alias("_d"),
         F.count(F.when(F.col("decision") == "reject", 1)).cast("int").alias("_rejections"))
     joined = recs.join(counts, on, "left")
@@ -152,11 +159,34 @@ def apply_decisions(recs: DataFrame, decisions: DataFrame) -> DataFrame:
         "re_reason_count": F.col("re_reason_count") + F.coalesce("_rejections", F.lit(0)),
         "target_column": F.when(edit, F.col("_d.new_target")).otherwise(F.col("target_column")),
         "confidence": F.when(edit, 1.0).otherwise(F.col("confidence")),
-        "uncertainty": F.when(edit, "User manually assigned target (saved as human feedback).")
-        .otherwise(F.col("uncertainty")),
+        "uncertainty": F.when(edit, EDITED).otherwise(F.col("uncertainty")),
+        "decided_until": F.coalesce(F.col("_d.ts"), F.col("decided_until")),
     }).select(*REC_COLUMNS)
 
 
+def edited_mapping(mapping: DataFrame, recs: DataFrame) -> DataFrame:
+    """The mapping with the targets that reviewers chose (H4)."""
+    edits = recs.where((F.col("action_type") == "column_mapping") & (F.col("status") == "approved") & (F.col("uncertainty") == EDITED)).select(
+        *KEYS, "source_column", F.col("target_column").alias("_new"))
+    joined = mapping.join(edits, [*KEYS, "source_column"], "left")
+    hit = F.col("_new").isNotNull()
+    return joined.select(*[{
+        "target": F.coalesce("_new", "target"),
+        "confidence": F.when(hit, 1.0).otherwise(F.col("confidence")),
+        "rationale": F.when(hit, F.concat(F.lit("Manually assigned by reviewer to '"), "_new", F.lit("' (feedback)."))).otherwise(F.col("rationale")),
+    }.get(c, F.col(c)).alias(c) for c in mapping.columns])
+
+
+def approved_entries(recs: DataFrame) -> DataFrame:
+    """Memory rows for the column mappings that reviewers approved or edited."""
+    from .memory import memory_entries
+
+    done = recs.where("action_type = 'column_mapping' and status = 'approved' and decided_until is not null")
+    entries = memory_entries(done.select("source_column", F.col("target_column").alias("target_field"), "confidence", F.col("decided_until").alias("ts"),
+                                         (F.col("uncertainty") == EDITED).alias("_edited")), keep=["_edited"])
+    return entries.withColumn("method", F.when(F.col("_edited"), "human_feedback").otherwise("human_approved")).drop("_edited")
+
+
 def to_rereason(recs: DataFrame) -> DataFrame:
     """Rejected with a note, not processed, and still within the limit (H5)."""
     return recs.where(

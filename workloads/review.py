@@ -51,14 +51,14 @@ RECS_DUCK = duck_sql(RECS)
 
 
 def recs(spark, sf):
-    return spark_sql(spark, sf, RECS).withColumn("affected_row_indices", F.array().cast("array<bigint>"))
+    return _queue(spark, sf, RECS)
 
 
 def flat(df):
-    return df.drop("affected_row_indices")
+    return df.drop("affected_row_indices", "decided_until")
 
 
-_FLAT = [c for c in r.REC_COLUMNS if c != "affected_row_indices"]
+_FLAT = [c for c in r.REC_COLUMNS if c not in ("affected_row_indices", "decided_until")]
 
 # --- H1, H2 -----------------------------------------------------------------------------
 _after = (
@@ -106,7 +106,8 @@ FRESH = f"select * from ({RECS}) where operation <> 'drop_table'"
 
 
 def _queue(spark, sf, sql):
-    return spark_sql(spark, sf, sql).withColumn("affected_row_indices", F.array().cast("array<bigint>"))
+    return spark_sql(spark, sf, sql).withColumn("affected_row_indices", F.array().cast("array<bigint>")).withColumn(
+        "decided_until", F.lit(None).cast("timestamp"))
 
 
 _key = "case when action_type = 'column_mapping' then concat_ws('|', action_type, source_column) else concat_ws('|', action_type, source_column, target_column, operation, issue_type) end"
@@ -141,6 +142,41 @@ add("apply_decisions",
         case when decision = 'reject' then coalesce(note, '') else rejection_note end as rejection_note, (re_reason_count + coalesce(rejections, 0))::int as re_reason_count,
         case when edit then new_target else target_column end as target_column, case when edit then 1.0::double else confidence end as confidence,
         case when edit then 'User manually assigned target (saved as human feedback).' else uncertainty end as uncertainty from j""")
+# The same history applied to its own result changes nothing.
+add("decisions_replayed",
+    lambda spark, sf: r.apply_decisions(settle(r.apply_decisions(recs(spark, sf), spark_sql(spark, sf, DECISIONS))), spark_sql(spark, sf, DECISIONS)).select(
+        *KEYS, "rec_id", "status", "rejection_note", "re_reason_count", "target_column", "confidence", "uncertainty"), SQL["apply_decisions"])
+
+
+def _reviewed(spark, sf):
+    """A decision on every mapped column: approved, edited to Other, or rejected, by position."""
+    mapping = settle(mp.mapping(spark, sf))
+    items = settle(r.mapping_recommendations(mapping))
+    decisions = items.select(
+        *KEYS, "rec_id", _pick_by(F.col("rec_order"), ["approve", "edit", "reject"]).alias("decision"), F.lit("").alias("note"), F.lit("Other").alias("new_target"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("rec_order")).alias("ts"))
+    return mapping, r.apply_decisions(items, decisions)
+
+
+def _pick_by(index, options):
+    return F.get(F.array(*[F.lit(o) for o in options]), (index % len(options)).cast("int"))
+
+
+def _edited(spark, sf):
+    mapping, decided = _reviewed(spark, sf)
+    return r.edited_mapping(mapping, decided)
+
+
+add("edited_mapping", lambda spark, sf: _edited(spark, sf).select(*KEYS, "col_idx", "target", "confidence", "method", "rationale"),
+    mp.MAPPED + f""" select {K}, col_idx, case when target is not null and col_idx % 3 = 1 then 'Other' else target end as target,
+      case when target is not null and col_idx % 3 = 1 then 1.0::double else confidence end as confidence, method,
+      case when target is not null and col_idx % 3 = 1 then 'Manually assigned by reviewer to ''Other'' (feedback).' else rationale end as rationale from mapping""")
+add("remembered_approvals",
+    lambda spark, sf: r.approved_entries(_reviewed(spark, sf)[1]).select(
+        "normalized_source", "source_column", "target_field", "confidence", "method", F.date_format("ts", "ss").alias("second")),
+    mp.MAPPED + f""" select {d.normalize_memory('source_column')} as normalized_source, source_column, case when col_idx % 3 = 1 then 'Other' else target end as target_field,
+      case when col_idx % 3 = 1 then 1.0::double else confidence end as confidence, case when col_idx % 3 = 1 then 'human_feedback' else 'human_approved' end as method,
+      lpad(col_idx::varchar, 2, '0') as second from mapping where target is not null and col_idx % 3 < 2""")
 add("latest_decisions",
     lambda spark, sf: r.latest_decisions(
         table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"]).select(
