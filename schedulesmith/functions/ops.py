@@ -1,7 +1,10 @@
 """The whitelist of column operations.
 
-Each typed function below returns the value the operation defines. ``apply_operation``
-runs an operation by name inside the lossless cleaned table, where every field is text.
+Each typed function below returns the value the operation defines. An operation that uses a
+parsed form of the cell several times takes it as a second argument, so that a plan can compute
+it in a projection before (``PREPARED``); without it the function parses for itself.
+``apply_operation`` runs an operation by name inside the lossless cleaned table, where every
+field is text.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from ..schema import (
     INTEGER_FIELDS, MONETARY_FIELDS, SPRINKLER_ALIASES, SPRINKLER_CODES, STATE_CODES, STATE_NAMES,
 )
-from .text import double_text, in_list, let, lookup, number, strip
+from .text import double_text, in_list, lookup, number, strip
 
 
 def strip_currency(v: Column) -> Column:
@@ -27,10 +30,10 @@ def to_float(v: Column) -> Column:
     return number(v, ",$")
 
 
-def to_int(v: Column) -> Column:
+def to_int(v: Column, parsed: Column | None = None) -> Column:
     """Whole numbers as integer text, fractions unchanged, anything else null."""
-    return let(number(v, ","), lambda d: F.when(
-        d == F.floor(d), F.floor(d).cast("decimal(38,0)").cast("string")).when(d.isNotNull(), v))
+    d = number(v, ",") if parsed is None else parsed
+    return F.when(d == F.floor(d), F.floor(d).cast("decimal(38,0)").cast("string")).when(d.isNotNull(), v)
 
 
 def to_str(v: Column) -> Column:
@@ -45,15 +48,19 @@ def normalize_spaces(v: Column) -> Column:
     return F.regexp_replace(strip(v), r"(?U)\s+", " ")
 
 
-def state_to_abbrev(v: Column) -> Column:
+def _compact_state(v: Column) -> Column:
+    return F.upper(F.regexp_replace(v, r"(?U)[\s.]", ""))
+
+
+def state_to_abbrev(v: Column, parsed: Column | None = None) -> Column:
     """State code for codes, dotted codes and full names; otherwise the stripped value."""
-    compact = let(F.upper(F.regexp_replace(v, r"(?U)[\s.]", "")), lambda c: F.when(in_list(c, STATE_CODES), c))
-    return F.coalesce(compact, let(strip(v), lambda s: F.coalesce(lookup(STATE_NAMES, F.lower(s)), s)))
+    compact = _compact_state(v) if parsed is None else parsed
+    return F.coalesce(F.when(in_list(compact, STATE_CODES), compact), lookup(STATE_NAMES, F.lower(strip(v))), strip(v))
 
 
-def normalize_sprinkler_code(v: Column) -> Column:
-    return let(strip(v), lambda s: F.when(F.upper(s).isin(SPRINKLER_CODES), F.upper(s)).otherwise(
-        F.coalesce(lookup(SPRINKLER_ALIASES, F.lower(s)), s)))
+def normalize_sprinkler_code(v: Column, parsed: Column | None = None) -> Column:
+    s = strip(v) if parsed is None else parsed
+    return F.when(F.upper(s).isin(SPRINKLER_CODES), F.upper(s)).otherwise(F.coalesce(lookup(SPRINKLER_ALIASES, F.lower(s)), s))
 
 
 # Date spellings in the order they are tried, as (shape, pattern).
@@ -66,15 +73,13 @@ DATE_FORMATS = [
 PACKED_DATE = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
 
 
-def normalize_date(v: Column) -> Column:
+def normalize_date(v: Column, parsed: Column | None = None) -> Column:
     """ISO date for the first spelling that gives a real date, else the value unchanged."""
-    def first_real(s: Column) -> Column:
-        packed = F.regexp_replace(s, PACKED_DATE, "$1-$2-$3")
-        tries = [F.when(s.rlike(shape), F.try_to_date(s, pattern)) for shape, pattern in DATE_FORMATS]
-        tries.append(F.when(s.rlike(PACKED_DATE), F.try_to_date(packed, "yyyy-M-d")))
-        return F.date_format(F.coalesce(*tries), "yyyy-MM-dd")
-
-    return F.coalesce(let(strip(v), first_real), v)
+    s = strip(v) if parsed is None else parsed
+    packed = F.regexp_replace(s, PACKED_DATE, "$1-$2-$3")
+    tries = [F.when(s.rlike(shape), F.try_to_date(s, pattern)) for shape, pattern in DATE_FORMATS]
+    tries.append(F.when(s.rlike(PACKED_DATE), F.try_to_date(packed, "yyyy-M-d")))
+    return F.coalesce(F.date_format(F.coalesce(*tries), "yyyy-MM-dd"), v)
 
 
 def to_year_int(v: Column) -> Column:
@@ -82,19 +87,22 @@ def to_year_int(v: Column) -> Column:
     return F.nullif(F.regexp_extract(strip(v), r"\b(1[7-9]\d{2}|20[0-2]\d)\b", 1), F.lit("")).cast("int")
 
 
-def to_zip(v: Column) -> Column:
+def _zip_digits(v: Column) -> Column:
+    return F.regexp_replace(F.substring_index(F.substring_index(strip(v), "-", 1), ".", 1), r"\D", "")
+
+
+def to_zip(v: Column, parsed: Column | None = None) -> Column:
     """Five-digit postal code; three or four digits are codes that lost leading zeros."""
-    head = F.substring_index(F.substring_index(strip(v), "-", 1), ".", 1)
-    return let(F.regexp_replace(head, r"\D", ""), lambda digits: F.when(
-        F.length(digits) >= 5, F.substring(digits, 1, 5).cast("int")).when(F.length(digits) >= 3, digits.cast("int")))
+    digits = _zip_digits(v) if parsed is None else parsed
+    return F.when(F.length(digits) >= 5, F.substring(digits, 1, 5).cast("int")).when(F.length(digits) >= 3, digits.cast("int"))
 
 
 def flag_for_review(v: Column) -> Column:
     return v
 
 
-def _as_text(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda v: fn(v).cast("string")
+def _as_text(fn: Callable[..., Column]) -> Callable[..., Column]:
+    return lambda v, *parsed: fn(v, *parsed).cast("string")
 
 
 def _strip_currency_text(v: Column) -> Column:
@@ -122,12 +130,23 @@ REGISTRY: dict[str, Callable[[Column], Column]] = {
 }
 WHITELIST = frozenset(REGISTRY)
 
+# What an operation reads several times; a plan computes it in a projection of its own.
+PREPARED: dict[str, Callable[[Column], Column]] = {
+    "to_int": lambda v: number(v, ","),
+    "to_zip": _zip_digits,
+    "state_to_abbrev": _compact_state,
+    "normalize_sprinkler_code": strip,
+    "normalize_date": strip,
+}
+# Operations whose result is a number; to_int leaves fractions as they were.
+NUMERIC = frozenset({"strip_currency", "to_float", "to_int", "to_year_int", "to_zip"})
+
 
-def apply_operation(operation: str, v: Column) -> Column:
+def apply_operation(operation: str, v: Column, parsed: Column | None = None) -> Column:
     """Run one whitelisted operation by name (G13); an unknown name is an error."""
     if operation not in REGISTRY:
         raise ValueError(f"operation '{operation}' is not in the whitelist: {sorted(WHITELIST)}")
-    return REGISTRY[operation](v)
+    return REGISTRY[operation](v) if parsed is None else REGISTRY[operation](v, parsed)
 
 
 def apply_operations(operations: list[str], v: Column) -> Column:

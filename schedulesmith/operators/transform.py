@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ops import WHITELIST, apply_operation
+from ..functions.ops import NUMERIC, PREPARED, WHITELIST, apply_operation
 from ..functions.text import number
 from ..schema import KEYS, TARGET_FIELDS
 from ..session import attach, settle
@@ -43,10 +43,19 @@ def claim_targets(recs: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def positions_from_mapping(mapping: DataFrame) -> DataFrame:
-    """Per sheet the source position of every target, from a mapping table (Q18)."""
+    """Per sheet the source position of every target, from a mapping table (Q18).
+
+    A sheet none of whose columns is mapped has no position, but is there: its records count.
+    """
     order = Window.partitionBy(*KEYS, "target").orderBy(F.desc("confidence"), "col_idx")
     best = mapping.where("target is not null").withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    return _positions(best)
+    return every_sheet(mapping, _positions(best))
+
+
+def every_sheet(sheets: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with a row for every sheet; the targets of sheets it lacks come from nowhere."""
+    nowhere = F.array(*[F.lit(None).cast("int") for _ in TARGET_FIELDS])
+    return sheets.select(*KEYS).distinct().join(plan, KEYS, "left").withColumn("positions", F.coalesce("positions", nowhere))
 
 
 def _positions(claims: DataFrame) -> DataFrame:
@@ -191,35 +200,45 @@ def step_choices(steps: DataFrame) -> dict[tuple[str, int], list[str]]:
     return out
 
 
-def changed(before: Column, after: Column) -> Column:
-    """Null-safe difference; two spellings of the same number are no change (T5)."""
-    same_number = F.coalesce(number(before) == number(after), F.lit(False))
-    return ~before.eqNullSafe(after) & ~same_number
+def changed(before: Column, after: Column, was_number: Column, is_number: Column) -> Column:
+    """Null-safe difference; a number that stays the same number is no change in any spelling (T5).
+
+    Text that becomes a number, or a number that becomes text, has changed.
+    """
+    both = was_number & is_number
+    same_number = both & F.coalesce(number(before) == number(after), F.lit(False))
+    same = (before.isNull() & after.isNull()) | same_number | (before.eqNullSafe(after) & (was_number == is_number))
+    return ~same
 
 
 def _staged(records: DataFrame, plan: DataFrame, choices: dict[tuple[str, int], list[str]]) -> tuple[DataFrame, dict]:
-    """Records with every intermediate value as a column ``v{target}_{step}``."""
+    """Records with every intermediate value as a column ``v{target}_{step}``, and whether it is a number as ``k...``."""
     out = attach(records, plan, KEYS)
-    base = {i: F.get("values", F.get("positions", F.lit(i))) for i in range(len(TARGET_FIELDS))}
-    out = out.select("*", *[base[i].alias(f"v{i}_0") for i in base])
-    last = {i: 0 for i in base}
+    place = {i: F.get("positions", F.lit(i)) for i in range(len(TARGET_FIELDS))}
+    out = out.select("*", *[F.get("values", place[i]).alias(f"v{i}_0") for i in place],
+                     *[F.coalesce(F.get("types", place[i]) == "n", F.lit(False)).alias(f"k{i}_0") for i in place])
+    last = {i: 0 for i in place}
     depth = max((s for _, s in choices), default=-1) + 1
     for step in range(depth):
+        spots = [(i, choices[t, step]) for i, t in enumerate(TARGET_FIELDS) if choices.get((t, step))]
+        prepared = {(i, name): PREPARED[name](F.col(f"v{i}_{last[i]}")) for i, names in spots for name in names if name in PREPARED}
+        out = out.select("*", *[c.alias(f"p{i}_{name}") for (i, name), c in prepared.items()])
         added = []
-        for i, t in enumerate(TARGET_FIELDS):
-            names = choices.get((t, step))
-            if not names:
-                continue
-            before = F.col(f"v{i}_{last[i]}")
+        for i, names in spots:
+            before, number_before = F.col(f"v{i}_{last[i]}"), F.col(f"k{i}_{last[i]}")
             wanted = F.get(F.get("ops", F.lit(i)), F.lit(step))
-            after = before
+            after, is_number = before, number_before
             for name in names:
-                after = F.when(wanted == name, apply_operation(name, before)).otherwise(after)
-            added.append(after.alias(f"v{i}_{step + 1}"))
-        out = out.select("*", *added)
-        for i, t in enumerate(TARGET_FIELDS):
-            if (t, step) in choices:
-                last[i] = step + 1
+                parsed = F.col(f"p{i}_{name}") if (i, name) in prepared else None
+                after = F.when(wanted == name, apply_operation(name, before, parsed)).otherwise(after)
+                turns = F.lit(name in NUMERIC) if name != "to_int" else number_before | (parsed == F.floor(parsed))
+                if name == "normalize_date":  # what is no date stays what it was
+                    turns = number_before & apply_operation(name, before, parsed).eqNullSafe(before)
+                is_number = F.when(wanted == name, F.coalesce(turns, F.lit(False))).otherwise(is_number)
+            added += [after.alias(f"v{i}_{step + 1}"), is_number.alias(f"k{i}_{step + 1}")]
+        out = out.select("*", *added).drop(*[f"p{i}_{name}" for i, name in prepared])
+        for i, _ in spots:
+            last[i] = step + 1
     return out, last
 
 
@@ -243,8 +262,9 @@ def change_counts(records: DataFrame, plan: DataFrame, steps: DataFrame,
                   choices: dict[tuple[str, int], list[str]]) -> DataFrame:
     """Changed rows and the first changed value per approved operation (T5).
 
-    One aggregate adds up the changes and the lowest changed row; the values of that row
-    are then looked up, so no text is carried through the aggregate.
+    One aggregate adds up the changes and the lowest changed row. Only those rows, one per
+    operation at most, are read again for their values, so no text is carried through the
+    aggregate and the operations run once over the data.
     """
     staged, _ = _staged(records, plan, choices)
     spots = sorted(((TARGET_FIELDS.index(t), s) for t, s in choices))
@@ -257,10 +277,10 @@ def change_counts(records: DataFrame, plan: DataFrame, steps: DataFrame,
         return steps.withColumn("n_changed", F.lit(0).cast("bigint")).withColumn(
             "before_sample", F.lit("")).withColumn("after_sample", F.lit(""))
 
-    def pair(i: int, s: int) -> tuple[Column, Column]:
-        return F.col(f"v{i}_{previous[(i, s)]}"), F.col(f"v{i}_{s + 1}")
+    def pair(kind: str, i: int, s: int) -> tuple[Column, Column]:
+        return F.col(f"{kind}{i}_{previous[(i, s)]}"), F.col(f"{kind}{i}_{s + 1}")
 
-    flags = staged.select(*KEYS, "row_idx", *[changed(*pair(i, s)).alias(f"c{i}_{s}") for i, s in spots])
+    flags = staged.select(*KEYS, "row_idx", *[changed(*pair("v", i, s), *pair("k", i, s)).alias(f"c{i}_{s}") for i, s in spots])
     sums = flags.groupBy(*KEYS).agg(
         F.min("row_idx").alias("_first"),
         *[F.sum(F.col(f"c{i}_{s}").cast("bigint")).alias(f"n{i}_{s}") for i, s in spots],
@@ -271,11 +291,10 @@ def change_counts(records: DataFrame, plan: DataFrame, steps: DataFrame,
         for i, s in spots])
     totals = sums.select(*KEYS, F.inline(items))
     counted = settle(steps.join(totals, [*KEYS, "target", "step"]))
-    where = counted.select(*KEYS, "row_idx").distinct()
-    picked = attach(staged, where, [*KEYS, "row_idx"])
+    picked, _ = _staged(attach(records, counted.select(*KEYS, "row_idx").distinct(), [*KEYS, "row_idx"]), plan, choices)
     pairs = F.array(*[
         F.struct(F.lit(TARGET_FIELDS[i]).alias("target"), F.lit(s).alias("step"),
-                 pair(i, s)[0].alias("before_sample"), pair(i, s)[1].alias("after_sample")) for i, s in spots])
+                 pair("v", i, s)[0].alias("before_sample"), pair("v", i, s)[1].alias("after_sample")) for i, s in spots])
     samples = picked.select(*KEYS, "row_idx", F.inline(pairs))
     return counted.join(samples, [*KEYS, "row_idx", "target", "step"], "left")
 
@@ -346,10 +365,7 @@ def apply_approved(records: DataFrame, columns: DataFrame, recs: DataFrame, deci
     assigned, dropped = settle(assigned), settle(dropped)
     choices = step_choices(steps)
     # Sheets without any approved mapping still produce their (empty) 17 columns.
-    sheets = columns.select(*KEYS).distinct()
-    nowhere = F.array(*[F.lit(None).cast("int") for _ in TARGET_FIELDS])
-    plan = settle(sheets.join(cleaning_plan(claims, steps, assigned), KEYS, "left").withColumn(
-        "positions", F.coalesce("positions", nowhere)))
+    plan = settle(every_sheet(columns, cleaning_plan(claims, steps, assigned)))
     cleaned = clean_records(records, plan, choices)
 
     def audit() -> DataFrame:
@@ -362,12 +378,13 @@ def apply_approved(records: DataFrame, columns: DataFrame, recs: DataFrame, deci
 def preview(records: DataFrame, columns: DataFrame, recs: DataFrame, n: int = 15) -> DataFrame:
     """Approved changes on the first ``n`` records of every sheet, nothing written.
 
-    Like the export except that manual decisions on unclaimed columns are not applied.
+    Like the export, sheets with nothing approved included, except that manual decisions on
+    unclaimed columns are not applied.
     """
     from ..session import first_rows
 
     head = first_rows(records, KEYS, n).drop("_rank")
     claims = claim_targets(recs, columns)
     steps = settle(operation_steps(recs))
-    plan = settle(cleaning_plan(claims, steps))
+    plan = settle(every_sheet(columns, cleaning_plan(claims, steps)))
     return clean_records(head, plan, step_choices(steps))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, number
+from ..functions.text import number
 from ..schema import INTEGER_FIELDS, KEYS, MONETARY_FIELDS, TARGET_DTYPES, TARGET_FIELDS, spark_type
-from ..session import attach, settle
 
 CHECKED_FIELDS = [f for f in TARGET_FIELDS if f in MONETARY_FIELDS + INTEGER_FIELDS]
 MAX_INT = 2**31 - 1
@@ -36,12 +35,30 @@ def schema_errors(columns: list[str]) -> list[str]:
     return errors
 
 
+def schema_check(outputs: DataFrame) -> DataFrame:
+    """The same messages for a table of column lists ``columns``, one list per output."""
+    wanted = F.array(*[F.lit(f) for f in TARGET_FIELDS])
+    shown = lambda x: F.concat(F.lit("["), F.array_join(F.transform(x, lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]"))
+    missing, extra = F.array_except(wanted, "columns"), F.array_except("columns", wanted)
+    complete = (F.size(missing) == 0) & (F.size(extra) == 0)
+    return outputs.withColumn("errors", F.array_compact(F.array(
+        F.when(F.size("columns") != len(TARGET_FIELDS), F.concat(
+            F.lit(f"Expected {len(TARGET_FIELDS)} columns, got "), F.size("columns").cast("string"), F.lit(": "), shown(F.col("columns")))),
+        F.when(F.size(missing) > 0, F.concat(F.lit("Missing columns: "), shown(missing))),
+        F.when(F.size(extra) > 0, F.concat(F.lit("Extra columns: "), shown(extra))),
+        F.when(complete & (F.col("columns") != wanted), F.concat(F.lit("Columns in wrong order. Expected: "), shown(wanted))))))
+
+
+def with_numbers(cleaned: DataFrame) -> DataFrame:
+    """The number of every checked cell as ``_n <field>``, parsed once for all that read it."""
+    return cleaned.select("*", *[number(F.col(f"`{f}`")).alias(f"_n {f}") for f in CHECKED_FIELDS])
+
+
 def nonconforming_cell(field: str) -> Column:
-    """A non-null cell that is not the number its field asks for."""
-    cell = F.col(f"`{field}`")
-    if field in INTEGER_FIELDS:
-        return cell.isNotNull() & let(number(cell), lambda d: d.isNull() | (d != F.floor(d)))
-    return cell.isNotNull() & number(cell).isNull()
+    """A non-null cell that is not the number its field asks for (T13); reads ``with_numbers``."""
+    d = F.col(f"`_n {field}`")
+    odd = d.isNull() | (d != F.floor(d)) if field in INTEGER_FIELDS else d.isNull()
+    return F.col(f"`{field}`").isNotNull() & odd
 
 
 def typed_table(cleaned: DataFrame, keep: list[str] = ("file_id", "sheet_name", "row_idx")) -> DataFrame:
@@ -49,55 +66,44 @@ def typed_table(cleaned: DataFrame, keep: list[str] = ("file_id", "sheet_name",
     listed by ``nonconforming``, so nothing is lost between the two tables."""
 
     def typed(field: str) -> Column:
-        cell = F.col(f"`{field}`")
         if TARGET_DTYPES[field] == "str":
-            return cell.alias(field)
+            return F.col(f"`{field}`").alias(field)
+        d = F.col(f"`_n {field}`")
         if field in INTEGER_FIELDS:
-            return let(number(cell), lambda d: F.when(
-                (d == F.floor(d)) & (F.abs(d) <= MAX_INT), F.floor(d)).try_cast(spark_type(field))).alias(field)
-        return number(cell).alias(field)
+            return F.when((d == F.floor(d)) & (F.abs(d) <= MAX_INT), F.floor(d)).try_cast(spark_type(field)).alias(field)
+        return d.alias(field)
 
-    return cleaned.select(*keep, *[typed(f) for f in TARGET_FIELDS])
+    return with_numbers(cleaned).select(*keep, *[typed(f) for f in TARGET_FIELDS])
+
+
+def _bad_cells(cleaned: DataFrame, bad) -> DataFrame:
+    """Cells for which ``bad(field)`` holds as (keys, row_idx, field, value)."""
+    items = F.array(*[F.when(bad(f), F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("value"))) for f in CHECKED_FIELDS])
+    return with_numbers(cleaned).select(*KEYS, "row_idx", F.inline(F.array_compact(items)))
 
 
 def nonconforming(cleaned: DataFrame) -> DataFrame:
     """Cells the typed table cannot hold: (keys, row_idx, field, value)."""
     def lost(field: str) -> Column:
         if field in INTEGER_FIELDS:
-            cell = F.col(f"`{field}`")
-            return cell.isNotNull() & let(
-                number(cell), lambda d: d.isNull() | (d != F.floor(d)) | (F.abs(d) > MAX_INT))
+            return nonconforming_cell(field) | (F.col(f"`{field}`").isNotNull() & (F.abs(F.col(f"`_n {field}`")) > MAX_INT))
         return nonconforming_cell(field)
 
-    items = F.array(*[
-        F.when(lost(f), F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("value"))) for f in CHECKED_FIELDS])
-    bad = F.filter(items, lambda x: x.isNotNull())
-    return cleaned.select(*KEYS, "row_idx", F.inline(bad))
+    return _bad_cells(cleaned, lost)
 
 
 def conformance_errors(cleaned: DataFrame) -> DataFrame:
     """Fields with non-conforming cells: count, first example and message.
 
-    Counts and the lowest bad row come from one map-side-combined aggregate; the example
-    values are looked up afterwards.
+    One pass: only bad cells leave their row, and their counts and first values are added up
+    on the map side.
     """
-    flags = cleaned.select(*KEYS, "row_idx", *[nonconforming_cell(f).alias(f"b{i}") for i, f in enumerate(CHECKED_FIELDS)])
-    sums = flags.groupBy(*KEYS).agg(
-        *[F.sum(F.col(f"b{i}").cast("bigint")).alias(f"n{i}") for i in range(len(CHECKED_FIELDS))],
-        *[F.min(F.when(F.col(f"b{i}"), F.col("row_idx"))).alias(f"r{i}") for i in range(len(CHECKED_FIELDS))])
-    items = F.array(*[
-        F.struct(F.lit(TARGET_FIELDS.index(f)).alias("field_pos"), F.lit(f).alias("field"),
-                 F.lit("integer" if f in INTEGER_FIELDS else "numeric").alias("kind"),
-                 F.col(f"n{i}").alias("n_bad"), F.col(f"r{i}").alias("row_idx")) for i, f in enumerate(CHECKED_FIELDS)])
-    found = settle(sums.select(*KEYS, F.inline(items)).where("n_bad > 0"))
-    spots = found.select(*KEYS, "row_idx").distinct()
-    picked = attach(cleaned.select(*KEYS, "row_idx", *[F.col(f"`{f}`") for f in CHECKED_FIELDS]), spots, [*KEYS, "row_idx"])
-    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("example")) for f in CHECKED_FIELDS])
-    examples = picked.select(*KEYS, "row_idx", F.inline(values))
-    message = F.concat("field", F.lit(": "), F.col("n_bad").cast("string"), F.lit(" non-"), "kind",
-                       F.lit(" value(s), e.g. '"), "example", F.lit("'"))
-    return found.join(examples, [*KEYS, "row_idx", "field"]).select(
-        *KEYS, "field_pos", "field", "kind", "n_bad", "example", message.alias("message"))
+    first = F.min(F.struct("row_idx", "value"))
+    found = _bad_cells(cleaned, nonconforming_cell).groupBy(*KEYS, "field").agg(F.count("*").alias("n_bad"), first["value"].alias("example"))
+    place = F.create_map(*[F.lit(x) for i, f in enumerate(TARGET_FIELDS) for x in (f, i)])
+    kind = F.when(F.col("field").isin(INTEGER_FIELDS), "integer").otherwise("numeric")
+    message = F.concat("field", F.lit(": "), F.col("n_bad").cast("string"), F.lit(" non-"), kind, F.lit(" value(s), e.g. '"), "example", F.lit("'"))
+    return found.select(*KEYS, place[F.col("field")].alias("field_pos"), "field", kind.alias("kind"), "n_bad", "example", message.alias("message"))
 
 
 def conformance_report(cleaned: DataFrame) -> DataFrame:
@@ -106,14 +112,12 @@ def conformance_report(cleaned: DataFrame) -> DataFrame:
         cell = F.col(f"`{f}`")
         cols = [F.count(cell).alias(f"n{i}")]
         if f in CHECKED_FIELDS:
-            d = F.col(f"_n{i}")
+            d = F.col(f"`_n {f}`")
             cols.append(F.count(F.when(cell.isNotNull() & d.isNull(), 1)).alias(f"x{i}"))
             cols.append(F.count(F.when(d != F.floor(d), 1)).alias(f"f{i}"))
         return cols
 
-    parsed = cleaned.select("*", *[number(F.col(f"`{f}`")).alias(f"_n{i}") for i, f in enumerate(TARGET_FIELDS)
-                                   if f in CHECKED_FIELDS])
-    sums = parsed.groupBy(*KEYS).agg(*[c for i, f in enumerate(TARGET_FIELDS) for c in parts(i, f)])
+    sums = with_numbers(cleaned).groupBy(*KEYS).agg(*[c for i, f in enumerate(TARGET_FIELDS) for c in parts(i, f)])
 
     def verdict(i: int, f: str) -> Column:
         out = F.when(F.col(f"n{i}") == 0, "Empty")

@@ -14,7 +14,7 @@ from . import duck as d
 from . import mapping as mp
 from . import review as rv
 from . import values as vl
-from .inputs import MAPPED_DUCK, RAW_COLUMNS, RAW_DUCK, RAW_FIELDS, duck_sql, mapped, raw, table
+from .inputs import MAPPED_DUCK, RAW_COLUMNS, RAW_DUCK, RAW_FIELDS, duck_sql, mapped, raw, spark_sql, table
 from .mapping import _pick
 
 Q, SQL = {}, {}
@@ -70,7 +70,7 @@ add("renamed_cells",
 _pivot = ", ".join(f'max(case when target = {d.quoted(f)} then value end) as "{f}"' for f in TARGET_FIELDS)
 add("mapped_table",
     lambda spark, sf: t.mapped_table(customer_records(spark, sf), settle(t.positions_from_mapping(mp.mapping(spark, sf)))),
-    mp.MAPPED + f""", {_cells} select {K}, row_idx, {_pivot} from cells semi join (select distinct {K} from mapping where target is not null) using ({K})
+    mp.MAPPED + f""", {_cells} select {K}, row_idx, {_pivot} from cells semi join (select distinct {K} from mapping) using ({K})
       left join (select {K}, col_idx, target from mapping where target is not null) m using ({K}, col_idx) group by all""")
 add("fullest_duplicates",
     lambda spark, sf: t.resolve_duplicates(
@@ -158,27 +158,29 @@ def cleaned(spark, sf):
 add("cleaned_table", lambda spark, sf: cleaned(spark, sf)[0], f"select * from {CLEANED}")
 # Changes per operation: before and after text of every step.
 _year = f"cast({vl.YEAR_SQL} as varchar)"
+# All cells are text: what becomes a number has changed in any spelling, fractions of to_int stay text.
+_TEXT, _NUMBER = "before_v is distinct from after_v", "before_v is not null"
 _STEP_SQL = [
-    ("Building Value", "strip_currency", "building_raw", CLEAN["Building Value"], "true"),
-    ("Contents", "strip_currency", "contents_raw", _text(d.currency("contents_raw")), "sheet_name <> '1-URGENT'"),
-    ("Year Built", "to_year_int", "year_raw", _year, "true"),
-    ("Fire Sprinklers (Y/N)", "normalize_sprinkler_code", "sprinkler_raw", vl.SPRINKLER_SQL, "true"),
-    ("State", "state_to_abbrev", "state_raw", vl.STATE_SQL, "sheet_name <> '2-HIGH'"),
-    ("Zip", "to_zip", "zip_raw", _zip2, "true"),
-    ("Storeys", "to_int", "storeys_raw", CLEAN["Storeys"], "true"),
-    ("Zip", "to_int", _zip2, _zip2, "true"),
-    ("City", "trim_whitespace", "city_raw", "trim(city_raw)", "true"),
-    ("City", "normalize_spaces", "trim(city_raw)", CLEAN["City"], "true"),
+    ("Building Value", "strip_currency", "building_raw", CLEAN["Building Value"], "true", _NUMBER),
+    ("Contents", "strip_currency", "contents_raw", _text(d.currency("contents_raw")), "sheet_name <> '1-URGENT'", _NUMBER),
+    ("Year Built", "to_year_int", "year_raw", _year, "true", _NUMBER),
+    ("Fire Sprinklers (Y/N)", "normalize_sprinkler_code", "sprinkler_raw", vl.SPRINKLER_SQL, "true", _TEXT),
+    ("State", "state_to_abbrev", "state_raw", vl.STATE_SQL, "sheet_name <> '2-HIGH'", _TEXT),
+    ("Zip", "to_zip", "zip_raw", _zip2, "true", _NUMBER),
+    ("Storeys", "to_int", "storeys_raw", CLEAN["Storeys"], "true", f"coalesce({_int} = floor({_int}), before_v is not null and after_v is null)"),
+    ("Zip", "to_int", _zip2, _zip2, "true", _TEXT),
+    ("City", "trim_whitespace", "city_raw", "trim(city_raw)", "true", _TEXT),
+    ("City", "normalize_spaces", "trim(city_raw)", CLEAN["City"], "true", _TEXT),
 ]
 _steps = " union all ".join(
-    f"select {K}, row_idx, {100 + i} as rec_order, {d.quoted(f)} as target, {d.quoted(op)} as operation, {b} as before_v, {a} as after_v from r where {w}"
-    for i, (f, op, b, a, w) in enumerate(_STEP_SQL))
-CHANGES = f"""with r as materialized ({RAW_DUCK}), steps as ({_steps}),
-  marked as (select *, before_v is distinct from after_v and not coalesce({d.num("trim(before_v)")} = {d.num("trim(after_v)")}, false) as hit from steps),
+    f"select {K}, row_idx, {100 + i} as rec_order, {d.quoted(f)} as target, {d.quoted(op)} as operation, before_v, after_v, {h} as hit "
+    f"from (select *, {b} as before_v, {a} as after_v from r where {w})"
+    for i, (f, op, b, a, w, h) in enumerate(_STEP_SQL))
+CHANGES = f"""with r as materialized ({RAW_DUCK}), steps as materialized ({_steps}),
   totals as (select {K}, rec_order, target, operation, count(case when hit then 1 end) as n_changed,
-      coalesce(min(case when hit then row_idx end), min(row_idx)) as row_idx from marked group by all),
+      coalesce(min(case when hit then row_idx end), min(row_idx)) as row_idx from steps group by all),
   changes as (select {K}, rec_order, target, operation, n_changed, before_v as before_sample, after_v as after_sample
-    from totals join marked using ({K}, rec_order, target, operation, row_idx))"""
+    from totals join steps using ({K}, rec_order, target, operation, row_idx))"""
 
 
 def changes(spark, sf):
@@ -217,6 +219,12 @@ add("preview",
     f"""select * exclude (k) replace (case when length("Occupancy") > 9 then split_part("Occupancy", ' ', 1) else "Occupancy" end as "Occupancy") from (
       select *, row_number() over (partition by {K} order by row_idx) as k from {CLEANED}) where k <= 15""")
 
+# Sheets of which nothing is approved are shown too, with empty fields.
+add("preview_nothing_approved",
+    lambda spark, sf: t.preview(schedule_records(spark, sf), schedule_columns(spark, sf), schedule_recs(spark, sf).withColumn("status", F.lit("pending"))),
+    f"""select {K}, row_idx, {", ".join(f'cast(null as varchar) as "{f}"' for f in TARGET_FIELDS)} from (
+      select {K}, row_idx, row_number() over (partition by {K} order by row_idx) as k from ({RAW_DUCK})) where k <= 15""")
+
 # --- validation ---------------------------------------------------------------------------
 _n = {f: d.plain(f'"{f}"', "") for f in MONETARY_FIELDS + INTEGER_FIELDS}
 _bad = {f: (f'"{f}" is not null and ({_n[f]} is null or {_n[f]} <> floor({_n[f]}))' if f in INTEGER_FIELDS else f'"{f}" is not null and {_n[f]} is null') for f in _n}
@@ -240,6 +248,24 @@ add("nonconforming_cells", lambda spark, sf: v.nonconforming(mapped(spark, sf)),
 ERRORS = f"""with m as materialized ({MAPPED_DUCK}), bad as ({_lost}),
   errors as (select {K}, field, case when field in {d.in_list(INTEGER_FIELDS)} then 'integer' else 'numeric' end as kind, count(*) as n_bad, arg_min(value, row_idx) as example from bad group by all),
   told as (select *, concat(field, ': ', n_bad, ' non-', kind, ' value(s), e.g. ''', example, '''') as message, list_position([{', '.join(d.quoted(f) for f in TARGET_FIELDS)}], field) as pos from errors)"""
+# Column lists as if they were outputs: every user's events name fields in the order of first use.
+SHEET_COLUMNS = f"select concat('sheet ', cast(user_id as string)) as sheet_name, {_pick('event_id', [*TARGET_FIELDS, 'Notes'])} as field, min(event_id) as pos from {{events}} group by 1, 2"
+
+
+def schema_checks(spark, sf):
+    """Schema messages per sheet."""
+    lists = spark_sql(spark, sf, SHEET_COLUMNS).groupBy("sheet_name").agg(F.array_sort(F.collect_list(F.struct("pos", "field")))["field"].alias("columns"))
+    return v.schema_check(lists).select("sheet_name", F.array_join("errors", "|").alias("errors"))
+
+
+_fields = "[" + ", ".join(d.quoted(f) for f in TARGET_FIELDS) + "]"
+_shown = lambda x: f"concat('[', array_to_string(list_transform({x}, lambda c: concat(chr(39), c, chr(39))), ', '), ']')"
+add("schema_errors", schema_checks,
+    f"""with l as (select sheet_name, list(field order by pos, field) as columns from ({duck_sql(SHEET_COLUMNS)}) group by 1),
+      e as (select sheet_name, columns, list_filter({_fields}, lambda f: not list_contains(columns, f)) as missing, list_filter(columns, lambda c: not list_contains({_fields}, c)) as extra from l)
+      select sheet_name, concat_ws('|', case when len(columns) <> 17 then concat('Expected 17 columns, got ', len(columns), ': ', {_shown('columns')}) end,
+        case when len(missing) > 0 then concat('Missing columns: ', {_shown('missing')}) end, case when len(extra) > 0 then concat('Extra columns: ', {_shown('extra')}) end,
+        case when len(missing) = 0 and len(extra) = 0 and columns <> {_fields} then concat('Columns in wrong order. Expected: ', {_shown(_fields)}) end) as errors from e""")
 add("conformance_errors",
     lambda spark, sf: v.conformance_errors(mapped(spark, sf)).select(*KEYS, "field", "n_bad", "example", "message"),
     ERRORS + f" select {K}, field, n_bad, example, message from told")
