@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 # Vectors compared by one task at a time.
 BLOCK = 4096
+# Queries of one block, on average; more queries make more blocks.
+QUERY_BLOCK = 16_384
+# Pivots around which a large corpus is cut into cells.
+PIVOTS = 1024
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -63,23 +67,87 @@ def fuzzy_hits(header: Column, texts: list[str], threshold: float) -> Column:
     return score(header)
 
 
+def _angles(vectors, pivots):
+    """Angles between rows of two matrices; a zero vector is at a right angle to all."""
+    import numpy as np
+
+    a, b = np.linalg.norm(vectors, axis=1)[:, None], np.linalg.norm(pivots, axis=1)[None, :]
+    return np.arccos(np.clip(vectors @ pivots.T / np.where(a * b == 0, 1.0, a * b), -1.0, 1.0))
+
+
+def _cells(corpus: DataFrame, corpus_id: str, block: int) -> tuple[DataFrame, list]:
+    """The corpus with its cell and chunk, and per cell (pivot, radius, least squared norm, chunks).
+
+    Cells are the surroundings of at most ``PIVOTS`` pivots, a sample that only shapes the cells:
+    every entry is in one. A cell of more than ``block`` entries is cut into chunks.
+    """
+    import numpy as np
+
+    n = max(1, -(-corpus.count() // block))
+    picked = corpus.select(corpus_id, "vector").orderBy(F.xxhash64(corpus_id), corpus_id).limit(min(n, PIVOTS)).collect() if n > 1 else []
+    if not picked:
+        return corpus.select("*", F.lit(0).alias("_cell"), F.lit(0).alias("_chunk")), [(None, 0.0, 0.0, 1)]
+    pivots = np.array([r["vector"] for r in picked], "float64")
+
+    @F.pandas_udf("struct<cell:int,angle:double,norm:double>")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        rows = np.stack(vectors.to_numpy()).astype("float64")
+        angles = _angles(rows, pivots)
+        cell = angles.argmin(axis=1)
+        return pd.DataFrame({"cell": cell, "angle": angles[np.arange(len(cell)), cell], "norm": (rows ** 2).sum(axis=1)})
+
+    placed = corpus.withColumn("_p", nearest("vector"))
+    sizes = {r["cell"]: r for r in placed.groupBy("_p.cell").agg(
+        F.max("_p.angle").alias("radius"), F.min("_p.norm").alias("norm"), F.count("*").alias("n")).collect()}
+    facts = [(pivots[i], sizes[i]["radius"], sizes[i]["norm"], -(-sizes[i]["n"] // block)) if i in sizes else (pivots[i], 0.0, 0.0, 0)
+             for i in range(len(pivots))]
+    chunks = F.get(F.array(*[F.lit(f[3]) for f in facts]), F.col("_p.cell"))
+    out = placed.withColumn("_chunk", F.pmod(F.xxhash64(corpus_id), chunks).cast("int")).withColumn("_cell", F.col("_p.cell"))
+    return out.drop("_p"), facts
+
+
+def _reachable(facts: list, min_similarity: float, metric: str):
+    """The (cell, chunk) pairs that can hold an entry similar enough to a query vector.
+
+    The angle to an entry is at least the angle to its pivot less the radius of the cell; cells
+    whose best possible similarity is below the limit are left out, and only those.
+    """
+    import numpy as np
+
+    if facts[0][0] is None:
+        return F.array(F.struct(F.lit(0).alias("_cell"), F.lit(0).alias("_chunk")))
+    pivots = np.stack([f[0] for f in facts])
+    radius, norm = np.array([f[1] for f in facts]), np.array([f[2] for f in facts])
+
+    @F.pandas_udf("array<struct<_cell:int,_chunk:int>>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        rows = np.stack(vectors.to_numpy()).astype("float64")
+        best = np.cos(np.maximum(0.0, _angles(rows, pivots) - radius))
+        if metric != "cosine":
+            best = 1 - ((rows ** 2).sum(axis=1)[:, None] + norm) / 2 * (1 - best)
+        return pd.Series([[{"_cell": int(c), "_chunk": k} for c in np.flatnonzero(row >= min_similarity - 1e-6) for k in range(facts[c][3])] for row in best])
+
+    return cells("vector")
+
+
 def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, k: int,
-                    min_similarity: float, metric: str = "cosine", best_per: str | None = None) -> DataFrame:
+                    min_similarity: float, metric: str = "cosine", best_per: str | None = None, block: int | None = None) -> DataFrame:
     """Exact top ``k`` corpus entries per query by vector similarity.
 
-    Both inputs carry ``vector``. Queries and corpus are cut into blocks and every pair of
-    blocks is compared by one matrix product that returns at most ``k`` entries per query,
-    so no task holds more than two blocks and candidate pairs are never written out.
-    ``metric="cosine"`` keeps similarities of at least ``min_similarity``;
+    Both inputs carry ``vector``. The corpus is cut into cells around pivots; a query goes only
+    to the cells that can hold an entry above the limit by the triangle inequality of angles.
+    Queries and cells are compared in blocks by matrix products that return at most ``k`` entries
+    per query, so no task holds more than two blocks at a time and candidate pairs are never
+    written out. ``metric="cosine"`` keeps similarities of at least ``min_similarity``;
     ``metric="l2"`` uses ``max(0, 1 - d/2)`` of the squared distance and keeps those above it.
     ``best_per`` names a corpus column of which only the best entry per value counts.
     """
     spark = queries.sparkSession
-    n_queries = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_corpus = max(1, -(-corpus.count() // BLOCK))
+    n_queries = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-queries.count() // QUERY_BLOCK))
     group = best_per or "_own"
     if best_per is None:
         corpus = corpus.withColumn("_own", F.col(corpus_id))
+    celled, facts = _cells(corpus, corpus_id, block or BLOCK)
 
     def field(df: DataFrame, name: str) -> str:
         return f"{name} {df.schema[name].dataType.simpleString()}"
@@ -89,13 +157,11 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
         schema += ", " + field(corpus, best_per)
 
     left = queries.select(
-        F.col(query_id), F.col("vector"),
-        F.pmod(F.xxhash64(query_id), F.lit(n_queries)).cast("int").alias("_q"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_corpus - 1))).alias("_c"))
-    right = corpus.select(
-        F.col(corpus_id), F.col(group), F.col("vector").alias("vector"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("_q"),
-        F.pmod(F.xxhash64(corpus_id), F.lit(n_corpus)).cast("int").alias("_c"))
+        F.col(query_id), F.col("vector"), F.pmod(F.xxhash64(query_id), F.lit(n_queries)).cast("int").alias("_q"),
+        F.inline(_reachable(facts, min_similarity, metric)))
+    right = celled.select(
+        F.col(corpus_id), F.col(group), F.col("vector").alias("vector"), "_cell", "_chunk",
+        F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("_q"))
 
     def compare(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -132,7 +198,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
             parts.append(pd.DataFrame(out))
         return pd.concat(parts)
 
-    hits = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(compare, schema)
+    hits = left.groupBy("_q", "_cell", "_chunk").cogroup(right.groupBy("_q", "_cell", "_chunk")).applyInPandas(compare, schema)
     if best_per:
         best = F.max(F.struct("similarity", (-F.col(corpus_id)).alias("neg")))
         hits = hits.groupBy(query_id, best_per).agg(best.alias("_b")).select(

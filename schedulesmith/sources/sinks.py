@@ -9,6 +9,10 @@ from ..functions.text import file_safe_name
 from ..operators.transform import AUDIT_COLUMNS
 from ..operators.validate import zip_display
 from ..schema import KEYS, TARGET_FIELDS
+from ..session import attach
+
+# Rows of one file of the cleaned table.
+FILE_ROWS = 1_000_000
 
 # Exported audit headings in column order.
 AUDIT_HEADINGS = dict(zip(AUDIT_COLUMNS, [
@@ -19,15 +23,16 @@ AUDIT_HEADINGS = dict(zip(AUDIT_COLUMNS, [
 def write_cleaned(typed: DataFrame, path: str, ranked: DataFrame | None = None, mode: str = "overwrite") -> None:
     """Cleaned table, one partition folder per file and sheet, plus the primary alias.
 
-    Rows of one sheet are spread over several tasks, so one large sheet is not written by
-    a single task; file sizes follow ``spark.sql.files.maxRecordsPerFile``.
+    The rows of a sheet meet in one task and file; a sheet of more than ``FILE_ROWS`` rows is dealt
+    by row number into as many files as it needs, so neither many small files nor one
+    large task result.
     """
-    typed.write.mode(mode).partitionBy(*KEYS).parquet(f"{path}/cleaned")
+    file = F.floor(F.col("row_idx") / FILE_ROWS)
+    by_sheet = typed.repartition(*KEYS, file)
+    by_sheet.write.mode(mode).partitionBy(*KEYS).parquet(f"{path}/cleaned")
     if ranked is not None:
         primary = ranked.where("is_primary").select(*KEYS)
-        from ..session import attach
-
-        attach(typed, primary, KEYS).write.mode(mode).partitionBy("file_id").parquet(f"{path}/primary")
+        attach(typed, primary, KEYS).repartition("file_id", file).write.mode(mode).partitionBy("file_id").parquet(f"{path}/primary")
 
 
 def write_cleaned_csv(typed: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -40,11 +45,9 @@ def write_cleaned_csv(typed: DataFrame, path: str, mode: str = "overwrite") -> N
 def audit_export(audit: DataFrame, stamp: str) -> DataFrame:
     """The 11 exported columns as text; one placeholder row when nothing was applied."""
     rows = audit.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(h) for c, h in AUDIT_HEADINGS.items()])
-    empty = {h: "" for h in AUDIT_HEADINGS.values()}
-    empty |= {"Entry ID": "No transformations applied", "Timestamp": stamp}
-    placeholder = audit.sparkSession.createDataFrame([tuple(empty.values())], list(empty))
+    empty = {h: "" for h in AUDIT_HEADINGS.values()} | {"Entry ID": "No transformations applied", "Timestamp": stamp}
     nothing = audit.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
-    return rows.unionByName(placeholder.join(F.broadcast(nothing.select(F.lit(True).alias("_x")))).drop("_x"))
+    return rows.unionByName(nothing.select(*[F.lit(v).alias(h) for h, v in empty.items()]))
 
 
 def write_audit(audit: DataFrame, path: str, stamp: str, mode: str = "append") -> None:
