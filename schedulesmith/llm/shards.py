@@ -69,7 +69,9 @@ def shuffle_into_shards(docs: DataFrame, text: str = "text", shards: int = SHARD
         return pa.table({"row": bucket.column("row").take(order), "shard": pa.array(shard.astype(np.int32)), "slot": pa.array(position - start)})
 
     schema = StructType([rows.schema["row"], StructField("shard", IntegerType()), StructField("slot", LongType())])
-    dealt = placed.select("bucket", "part", "row", "code", "at", "before").groupBy("bucket", "part").applyInArrow(fisher_yates, schema)
+    # Ranges of buckets: even tasks, each with a run of the order and so with few shards.
+    ranged = placed.select("bucket", "part", "row", "code", "at", "before").repartitionByRange(n_partitions(spark), "bucket", "part")
+    dealt = ranged.groupBy("bucket", "part").applyInArrow(fisher_yates, schema)
     path = shared_folder(spark, "shards")
     dealt.write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
