@@ -90,24 +90,25 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     ranked = entries.withColumn("place", F.sum("count").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("count"))
     ranked = attach(ranked, ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("range") == F.col("r"))).select(
         "source", "size", "doc_id", "count", (F.col("below") + F.col("earlier") + F.col("place")).alias("rank"))
-    return _take(keyed, ranked, totals, offset)
+    return _take(keyed, ranked, totals, offset, bool(entries.where("count > 1").limit(1).count()))
 
 
-def _take(keyed: DataFrame, ranked: DataFrame, totals: DataFrame, offset: float) -> DataFrame:
+def _take(keyed: DataFrame, ranked: DataFrame, totals: DataFrame, offset: float, repeats: bool) -> DataFrame:
     target = totals.select(F.col("source").alias("s"), "source_size", "source_rows", "target")
     ranked = attach(ranked, target, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("source").alias("rs"), F.col("size").alias("rz"), F.col("doc_id").alias("rd"), F.col("count").alias("same"), "rank", "source_size", "source_rows", "target")
     on = F.col("source").eqNullSafe(F.col("rs")) & (F.col("size") == F.col("rz")) & F.col("doc_id").eqNullSafe(F.col("rd"))
     rows = keyed.join(ranked, on)
-    again = Window.partitionBy("source", "size", "doc_id").orderBy("row")
-    single = rows.where("same = 1")
-    repeated = rows.where("same > 1").withColumn("rank", F.col("rank") + F.row_number().over(again) - 1)
+    if repeats:  # rows that share doc_id, source and size take the ranks of their entry in turn
+        again = Window.partitionBy("source", "size", "doc_id").orderBy("row")
+        repeated = rows.where("same > 1").withColumn("rank", F.col("rank") + F.row_number().over(again) - 1)
+        rows = rows.where("same = 1").unionByName(repeated)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
     half = F.floor(F.col("rank") / 2)
     place = F.when(F.col("rank") % 2 == 0, half).otherwise(F.col("source_rows") - 1 - half)
     crossed = F.floor((F.col("place") + 1) * rate + offset) - F.floor(F.col("place") * rate + offset)
-    return single.unionByName(repeated).withColumn("place", place).select("row", "doc_id", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return rows.withColumn("place", place).select("row", "doc_id", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def take_copies(mixed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import boilerplate, chat, decontaminate, extract, mix, neardup, quality, shards, suffixes, warc
-from .common import n_words, read, text_or_empty
+from .common import n_words, read, stored, text_or_empty
 
 Q, SQL = {}, {}
 
@@ -153,7 +153,7 @@ add("op7_near_duplicates", op7)
 
 # 8: mixing
 def op8(spark, sf):
-    sizes = read(spark, sf, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sizes = stored(read(spark, sf, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "document-sizes")
     mixed = mix.mix(sizes, size=F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
