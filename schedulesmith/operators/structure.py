@@ -9,6 +9,8 @@ may be missing from the table: a sheet has ``max(row_idx) + 1`` rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,11 +173,40 @@ def data_continuity(rows: DataFrame, headers: DataFrame, sample_rows: int | None
     return below_header(rows, headers, sample_rows).drop("type_consistency")
 
 
-def score_sheets(rows: DataFrame, headers: DataFrame, merges: DataFrame | None = None, sample_rows: int | None = None,
-                 profile: DataFrame | None = None) -> DataFrame:
-    """Composite score, class, reasons and issues per sheet (R10, R11, R13). ``profile`` is a stored ``sheet_profile``."""
-    profile = sheet_profile(rows) if profile is None else profile
-    joined = headers.join(profile, KEYS).join(below_header(rows, headers, sample_rows), KEYS)
+def sheet_figures(rows: DataFrame, headers: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """``sheet_profile`` and ``below_header`` of every sheet together: each cell is looked at once.
+
+    Cells are added up per column on the map side; the first filled cell of a row stands for it.
+    """
+    at = F.col("row_idx") - F.col("header_row")
+    judged = at > 0 if sample_rows is None else at.between(1, sample_rows)
+    first = F.array_position(F.transform("values", lambda v: v.isNotNull()), F.lit(True)) - 1
+    cells = attach(rows.select(*KEYS, "row_idx", "values"), headers.select(*KEYS, "header_row"), KEYS).select(
+        *KEYS, judged.alias("_judged"), first.alias("_first"), F.posexplode("values").alias("col_idx", "value")).where("value is not null")
+    marked = cells.select(*KEYS, "col_idx", "_judged", (F.col("col_idx") == F.col("_first")).alias("_lead"),
+                          looks_numeric(F.col("value")).alias("_number"), (strip(F.col("value")) != "").alias("_shown"))
+    count = lambda *flags: F.count(F.when(reduce(lambda x, y: x & y, [F.col(f) for f in flags]), 1))
+    by_column = marked.groupBy(*KEYS, "col_idx").agg(
+        F.count(F.lit(1)).alias("_f"), count("_number").alias("_n"), count("_shown").alias("_b"), count("_lead").alias("_filled_rows"),
+        count("_judged").alias("_jf"), count("_judged", "_number").alias("_jn"), count("_judged", "_lead").alias("_jrows"))
+    ratio = F.col("_jn") / F.nullif("_jf", F.lit(0))
+    sums = by_column.groupBy(*KEYS).agg(
+        *[F.sum(c).alias(c) for c in ("_f", "_n", "_b", "_filled_rows", "_jrows")], F.count(F.when((ratio > 0.80) | (ratio < 0.20), 1)).alias("_steady"))
+    joined = headers.join(sums, KEYS, "left").fillna(0, ["_f", "_n", "_b", "_filled_rows", "_jrows", "_steady"])
+    height = F.col("n_rows") - F.col("header_row") - 1
+    window = height if sample_rows is None else F.least(F.lit(sample_rows), height)
+    share = lambda part, of: F.coalesce(F.col(part) / F.nullif(of, F.lit(0)), F.lit(0.0))
+    return joined.select(
+        *KEYS, F.col("n_rows").alias("row_count"), F.col("n_cols").alias("col_count"),
+        rounded(share("_f", F.col("n_rows") * F.col("n_cols")), 4).alias("non_null_ratio"),
+        rounded(F.coalesce((F.col("_b") - F.col("_n")) / F.nullif("_b", F.lit(0)), F.lit(0.0)), 4).alias("text_density"),
+        rounded(share("_n", F.col("_b")), 4).alias("numeric_density"), (F.col("n_rows") - F.col("_filled_rows")).alias("blank_row_count"),
+        share("_steady", F.col("n_cols")).alias("type_consistency"), share("_jrows", window).alias("data_continuity"))
+
+
+def score_sheets(rows: DataFrame, headers: DataFrame, merges: DataFrame | None = None, sample_rows: int | None = None) -> DataFrame:
+    """Composite score, class, reasons and issues per sheet."""
+    joined = headers.join(sheet_figures(rows, headers, sample_rows), KEYS)
     if merges is None:
         joined = joined.withColumn("merged_cell_count", F.lit(0).cast("bigint"))
     else:
@@ -258,7 +289,9 @@ def sheet_manifest(ranked: DataFrame) -> DataFrame:
 
 def header_names(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Source column names: cleaned, positional when unnamed, unique within the sheet."""
-    names = attach(rows.select(*KEYS, "row_idx", "values"), headers.select(*KEYS, "header_row"), KEYS).where("row_idx = header_row")
+    lowest = headers.agg(F.max("header_row")).first()[0] or 0  # so that only the first rows are read
+    near = rows.where(F.col("row_idx") <= lowest).select(*KEYS, "row_idx", "values")
+    names = attach(near, headers.select(*KEYS, "header_row"), KEYS).where("row_idx = header_row")
     at_header = headers.join(names.select(*KEYS, "values"), KEYS, "left")
     cells = at_header.where("n_cols > 0").select(
         *KEYS, "values", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col_idx"))

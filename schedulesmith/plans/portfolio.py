@@ -22,7 +22,7 @@ from ..operators import structure as s
 from ..operators import transform as t
 from ..operators import validate as v
 from ..schema import KEYS
-from ..session import attach, settle
+from ..session import attach, settle, store
 
 
 @dataclass
@@ -38,22 +38,21 @@ def discover(rows: DataFrame, sheets: DataFrame | None = None, ranges: DataFrame
              max_header_rows: int = s.MAX_HEADER_ROWS, sample_rows: int | None = None) -> Discovery:
     """Headers, sheet classes, column names and records.
 
-    ``rows`` are read once for the profile, once for the header rows, once for the figures below
-    the headers and then for each use of the records, so they should be stored (``session.store``).
+    ``rows`` are read once for their extent, once for all figures of the cells and once for the
+    records, their first rows for headers and names, so they should be stored (``session.store``). The records
+    are stored as Parquet, in place and without a shuffle; later steps read the columns they need.
     ``max_header_rows`` bounds the search for the header, ``sample_rows`` the rows below it that
     are judged (all by default).
     """
     rows = s.nullify_blanks(rows)
     if ranges is not None:
         rows = s.fill_down(rows, ranges)
-    profile = settle(s.sheet_profile(rows))
-    dims = profile.select(*KEYS, F.col("row_count").alias("n_rows"), F.col("col_count").alias("n_cols"))
-    headers = settle(s.detect_headers(rows, dims, max_header_rows))
-    ranked = settle(s.rank_sheets(s.score_sheets(rows, headers, ranges, sample_rows, profile), sheets))
+    headers = settle(s.detect_headers(rows, s.sheet_dims(rows), max_header_rows))
+    ranked = settle(s.rank_sheets(s.score_sheets(rows, headers, ranges, sample_rows), sheets))
     data = ranked.where("is_data and n_rows > 0").select(*KEYS)
     own = headers.join(data, KEYS, "left_semi")
     columns = settle(s.header_names(rows, own))
-    return Discovery(ranked, columns, s.extract_records(rows, own))
+    return Discovery(ranked, columns, store(s.extract_records(rows, own)))
 
 
 @dataclass
