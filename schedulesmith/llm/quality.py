@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,19 +14,27 @@ from .common import SPACE, attach, stored, words
 GAMMA = 1.02
 # A language and source with fewer usable documents takes the merged sketch of its language, that the one of all.
 MIN_DOCS = 50
+# So many usable documents must lie beyond a tail, else it is that of the language, or of all.
+TAIL_DOCS = 10
 
 
 @dataclass(frozen=True)
 class Fence:
-    """A measure may lie outside the quartiles by ``spread`` quartile distances, and by ``slack`` in any case."""
+    """A measure may lie outside the quartiles by ``spread`` distances and ``slack``.
+
+    The distance is that of the quartiles. Where the first is 0 or equals the third, it says nothing
+    about the documents that have any; then it is that of the third quartile to the ``tail`` percentile.
+    A tail of 90 holds as long as less than a tenth of the documents is junk.
+    """
 
     measure: str
     slack: float
     spread: float = 3.0
     lower: bool = False
+    tail: int = 90
 
 
-FENCES = (Fence("symbols_per_word", 0.2), Fence("word_length", 1.5, lower=True), Fence("dup_line_share", 0.5), Fence("repeat_share", 0.45))
+FENCES = (Fence("symbols_per_word", 0.2), Fence("word_length", 0.5, lower=True), Fence("dup_line_share", 0.1, tail=98), Fence("repeat_share", 0.1, tail=98))
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -107,22 +116,27 @@ def thresholds(sketches: DataFrame, fences: tuple[Fence, ...] = FENCES, min_docs
     upto = group.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(F.col("bin").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
     ranked = every.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("total"), value.alias("value"))
-    quartiles = ranked.groupBy("level", "lang_", "source_", "measure").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("value"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("value"))).alias("q3"))
     of = lambda f, x: F.max(F.when(F.col("measure") == f.measure, F.col(x)))
-    reach = lambda f: F.greatest(F.lit(f.spread) * (of(f, "q3") - of(f, "q1")), F.lit(f.slack))
-    limits = quartiles.groupBy("level", "lang_", "source_").agg(
-        F.max("total").alias("total"), F.struct(
-            *[(of(f, "q3") + reach(f)).alias(f"{f.measure}_max") for f in fences],
-            *[(of(f, "q1") - reach(f)).alias(f"{f.measure}_min") for f in fences if f.lower]).alias("limits"))
-    own, language = limits.where("level = 0"), limits.where("level = 1").select(
-        F.col("lang_").alias("l"), F.col("total").alias("language_total"), F.col("limits").alias("language_limits"))
-    corpus = limits.where("level = 2").select("limits").scalar()  # one row, none without usable documents
-    chosen = own.join(language, F.col("lang_").eqNullSafe(F.col("l")))
-    return chosen.select("lang_", "source_", F.when(F.col("total") >= min_docs, F.col("limits")).when(
-        F.col("language_total") >= min_docs, F.col("language_limits")).otherwise(corpus).alias("limits"))
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("value")))
+    quantiles = ranked.withColumn("tail_", F.element_at(F.create_map(*[F.lit(x) for f in fences for x in (f.measure, f.tail)]), F.col("measure"))).groupBy(
+        "level", "lang_", "source_", "measure").agg(F.max("total").alias("total"), at(25).alias("q1"), at(75).alias("q3"), at(F.col("tail_")).alias("tail"))
+    levelled = quantiles.groupBy("level", "lang_", "source_").agg(F.max("total").alias("total"), F.struct(
+        *[of(f, x).alias(f"{f.measure}_{x}") for f in fences for x in ("q1", "q3", "tail")]).alias("q"))
+    own, language = levelled.where("level = 0"), levelled.where("level = 1").select(
+        F.col("lang_").alias("l"), F.col("total").alias("language_total"), F.col("q").alias("language_q"))
+    corpus = levelled.where("level = 2").select("q").scalar()  # one row, none without usable documents
+    chosen = own.join(language, F.col("lang_").eqNullSafe(F.col("l"))).withColumn("corpus_q", corpus)
+
+    def level(name: str, enough: Callable[[Column], Column]) -> Column:
+        return F.when(enough(F.col("total")), F.col(f"q.{name}")).when(enough(F.col("language_total")), F.col(f"language_q.{name}")).otherwise(F.col(f"corpus_q.{name}"))
+
+    limits = []
+    for f in fences:
+        q1, q3 = (level(f"{f.measure}_{x}", lambda n: n >= min_docs) for x in ("q1", "q3"))
+        tail = level(f"{f.measure}_tail", lambda n: n * (100 - f.tail) >= 100 * TAIL_DOCS)
+        reach = f.spread * F.when((q1 == 0) | (q1 == q3), F.greatest(tail - q3, F.lit(0.0))).otherwise(q3 - q1) + f.slack
+        limits += [(q3 + reach).alias(f"{f.measure}_max")] + [(q1 - reach).alias(f"{f.measure}_min")] * f.lower
+    return chosen.select("lang_", "source_", F.struct(*limits).alias("limits"))
 
 
 def judge(scored: DataFrame, fences: tuple[Fence, ...] = FENCES, min_docs: int = MIN_DOCS) -> DataFrame:
