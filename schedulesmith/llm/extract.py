@@ -25,6 +25,13 @@ BLOCK_TAGS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 
+# HTML: a start tag (key) ends open elements (value) whose end tag may be left out.
+_CELL, _ROW = {"td", "th"}, {"td", "th", "tr"}
+IMPLIED_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": _CELL, "th": _CELL, "tr": _ROW,
+                **dict.fromkeys(("tbody", "thead", "tfoot"), _ROW | {"tbody", "thead", "tfoot"})}
+TABLE_TAGS = frozenset("table tbody thead tfoot tr td th caption".split())
+HEADINGS_SECTIONS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW_TAGS})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
@@ -33,8 +40,11 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 WINDOW, SURGE = 3, 60
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """True for an element that is not main text, judged by its name, class, id and role."""
+def is_boilerplate(tag: str, attributes: str, in_article: bool, in_main: bool = False) -> bool:
+    """True for an element that is not main text, judged by its name, class, id and role.
+
+    Headings and sections of an article or ``main`` get their ids from its words, so only whole class names count there.
+    """
     if tag in DROPPED_TAGS or (tag == "header" and not in_article):
         return True
     if not attributes or attributes.isspace() or tag in ("html", "body"):
@@ -47,7 +57,10 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name in ("class", "id") and tag not in ("article", "main"):
-            words = {p for w in value.split() for p in (w, *re.split(r"[-_]+", w))} - (ARTICLE_NAMES if in_article else set())
+            own = (in_article or in_main) and tag in HEADINGS_SECTIONS
+            if own and name == "id":
+                continue
+            words = {p for w in value.split() for p in ((w,) if own else (w, *re.split(r"[-_]+", w)))} - (ARTICLE_NAMES if in_article else set())
             if words & DROPPED_NAMES:
                 return True
         if name in ("class", "id") and tag == "article" and any(w.startswith("comment") for w in value.split()):
@@ -55,6 +68,37 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def close_for_start(opened: list[str], tag: str) -> None:
+    """Drop from the open elements those that the start of ``tag`` ends."""
+    if tag in BLOCK_TAGS:
+        at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i] in BLOCK_TAGS), -1)
+        if at >= 0 and opened[at] == "p":
+            del opened[at:]
+    ended = IMPLIED_ENDS.get(tag)
+    if not ended:
+        return
+    for i in range(len(opened) - 1, -1, -1):
+        if opened[i] in ended:
+            del opened[i:]
+        elif opened[i] == "table" or (tag not in TABLE_TAGS and opened[i] in BLOCK_TAGS and opened[i] not in ("div", "p", "address")):
+            return
+
+
+def close_for_end(opened: list[str], tag: str) -> None:
+    """Drop from the open elements the nearest ``tag`` and what is open in it; an end tag reaches no further than its article, table or cell."""
+    if tag not in opened:
+        return
+    for i in range(len(opened) - 1, -1, -1):
+        name = opened[i]
+        if name == tag:
+            del opened[i:]
+            return
+        if tag in ("article", "main", "body", "html"):
+            continue
+        if name in ("article", "main", "table") or (name in TABLE_TAGS and tag not in TABLE_TAGS) or (tag not in BLOCK_TAGS and name in BLOCK_TAGS):
+            return
+
+
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """Strip markup: (text, characters in links, within article, within main) per block of the page.
 
@@ -64,7 +108,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     parts: list[str] = []
     open_tags = {"article": 0, "main": 0, "a": 0}
     linked = 0
-    skip, depth = "", 0  # the boilerplate element that is open, and how many of its name are open with it
+    opened: list[str] = []
+    skip = -1  # the place of the open boilerplate element among the open elements
 
     def flush(text: str) -> None:
         nonlocal linked
@@ -75,7 +120,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     for m in TOKEN.finditer(page):
         token = m.group()
         if token[0] != "<" or token == "<":
-            if not skip:
+            if skip < 0:
                 parts.append(token)
                 linked += len(token) * (open_tags["a"] > 0)
             continue
@@ -83,19 +128,23 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if not tag:
             continue
         closing, block = bool(m.group(2)), tag in BLOCK_TAGS
-        if skip:
-            starts_article = tag in ("article", "main") and not closing and not open_tags[tag] and not is_boilerplate(tag, m.group(4), False)
-            if skip == "p" and block and not (closing and tag == "p"):
-                skip = ""  # a paragraph's end tag may be left out
-            elif starts_article:
-                skip = ""  # an element left open ends where the article starts
-            else:
-                depth += (-1 if closing else 1) * (tag == skip)
-                if depth == 0:
-                    skip = ""
-                    if block:
-                        flush("")
+        starts_article = tag in ("article", "main") and not closing and not open_tags[tag] and not is_boilerplate(tag, m.group(4), False)
+        skipped = opened[skip] if skip >= 0 else ""
+        if skip >= 0 and starts_article:
+            del opened[skip:]  # an element left open ends where the article starts
+        (close_for_end if closing else close_for_start)(opened, tag)
+        if skip >= 0 and len(opened) <= skip:
+            itself = closing and tag == skipped and len(opened) == skip
+            skip = -1
+            if skipped in BLOCK_TAGS:
+                flush("")
+            if itself:
                 continue
+        pushed = not closing and tag not in VOID_TAGS and (block or not (m.group(4) or "").rstrip().endswith("/"))
+        if skip >= 0:
+            if pushed:
+                opened.append(tag)
+            continue
         if block:
             flush("".join(parts))
         elif tag == "br":
@@ -103,10 +152,12 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if closing:
             if open_tags.get(tag, 0) > 0:
                 open_tags[tag] -= 1
-        elif tag not in VOID_TAGS and is_boilerplate(tag, m.group(4), open_tags["article"] > 0):
-            skip, depth = tag, 1
+        elif pushed and is_boilerplate(tag, m.group(4), open_tags["article"] > 0, open_tags["main"] > 0):
+            skip = len(opened)
         elif tag in open_tags:
             open_tags[tag] += 1
+        if pushed:
+            opened.append(tag)
     flush("".join(parts))
     return out
 

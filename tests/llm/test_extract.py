@@ -33,6 +33,20 @@ def test_boilerplate_by_attribute():
     assert main_text("<main><div class='site_notice'>x<div>y</div></div><p>kept</p></main><div role=contentinfo>z</div>") == "kept"
 
 
+def test_skips_end_with_their_parent_or_an_implied_end():
+    assert main_text("<article><ul><li class=promo>Buy<li>Point two</ul><p>rest</p></article>") == "Point two rest"
+    assert main_text("<article><table><tr><td class=ad>Buy<td>Cell<tr class=ad><td>no<tr><td>Row</table><p>rest</article>") == "Cell Row rest"
+    assert main_text("<article><dl><dt class=ad>Buy<dd>Text</dl>rest</article>") == "Text rest"
+    assert main_text("<article><p>a</p><div class=ad>Buy</article><article><p>b</p></article>") == "a b"
+    assert main_text("<article><section><div class=ad><div>Buy</div></section><p>a</p></article>") == "a"
+    assert main_text("<article><p>a</p></div></div><p>b</p><p><span class=ad>Buy<p>c</p></article>") == "a b c"
+
+
+def test_headings_and_sections_of_an_article_keep_their_ids():
+    html = "<h2 id=social-impact>H</h2><section id=discussion><p>a</p></section><section class=comments>no</section><section class=discussion-part><p>b</p></section>"
+    assert main_text(f"<article>{html}</article>") == main_text(f"<main>{html}</main>") == "H a b"
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article>é €</article>"), (1, "u", "<article>é €</article>"), (None, None, None), (2, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
