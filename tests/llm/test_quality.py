@@ -40,19 +40,6 @@ def test_thresholds_adapt_and_keep_clean_documents(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
-def test_repeats_are_judged_by_the_spread_of_their_source(spark):
-    rnd = random.Random(6)
-    line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(6))
-    text = lambda n: "\n".join(x for i in range(20) for x in [line()] + ["ok"] * (i < n))  # n - 1 of 20 + n lines are repeated
-    rows = [(i, text(3 * (i % 20 == 0)), "en", "plain") for i in range(600)]  # a few documents have 2 of 23
-    rows += [(1000 + i, text(i % 20), "en", "lists") for i in range(600)]
-    rows += [(2000, text(18), "en", "plain"), (2001, text(18), "en", "lists")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    judged = quality.quality_rules(docs).select("row.doc_id", "kept", "base_failed", "dup_line_share").collect()
-    assert not any(r["base_failed"] for r in judged) and {r["dup_line_share"] for r in judged if r["doc_id"] >= 2000} == {17 / 38}
-    assert {r["doc_id"] for r in judged if not r["kept"]} == {2000}
-
-
 def test_sketches_merge_and_are_near_the_quantiles(spark):
     values = [random.Random(i).lognormvariate(0, 1) for i in range(2000)]
     names = [f.measure for f in quality.FENCES]
