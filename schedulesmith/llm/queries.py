@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import boilerplate, chat, decontaminate, extract, mix, neardup, quality, shards, suffixes, warc
+from . import boilerplate, chat, decontaminate, extract, mix, neardup, packing, quality, shards, suffixes, warc
 from .common import n_words, read, stored, text_or_empty
 
 Q, SQL = {}, {}
@@ -212,3 +212,12 @@ named as (select r, count(*) as n_items, string_agg(cast(item_id as varchar), ',
 add("op10_decontaminate", op10, f"""with {CONTAMINATION_CTES}
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
     coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from texts left join hits using (r) left join named using (r)""")
+
+
+# 11: packing
+def op11(spark, sf):
+    pieces = packing.pack(read(spark, sf, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+add("op11_hierarchical_packing", op11)
