@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import boilerplate, chat, decontaminate, extract, mix, neardup, packing, quality, shards, suffixes, warc
+from . import boilerplate, centroids, chat, decontaminate, divergence, extract, mix, neardup, packing, quality, shards, suffixes, warc
 from .common import n_words, read, stored, text_or_empty
 
 Q, SQL = {}, {}
@@ -221,3 +221,50 @@ def op11(spark, sf):
 
 
 add("op11_hierarchical_packing", op11)
+
+
+# 12: how sources differ
+def op12(spark, sf):
+    return divergence.audit(read(spark, sf, "documents").select("text", "lang", "source"))
+
+
+_SHARE = f"1 + (cast({{}} as hugeint) + {divergence.PRIOR}) * {divergence.SCALE} // ({{}} + {divergence.PRIOR} * v)"
+add("op12_source_divergence", op12, f"""with d as materialized (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_NORMAL.replace('2F', '40').replace('x3A-', 'x5B-')} as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+kept as materialized (select lang, term from t group by all having count(distinct r) >= {divergence.MIN_DOCS}),
+counts as materialized (select lang, source, term, count(*) as n from t join kept using (lang, term) group by all),
+groups as (select lang, source, cast(coalesce(total, 0) as bigint) as total, coalesce(v, 0) as v from (select distinct lang, source from d)
+    left join (select lang, source, sum(n) as total from counts group by all) using (lang, source) left join (select lang, count(*) as v from kept group by all) using (lang)),
+shares as materialized (select g.lang, g.source, k.term, coalesce(n, 0) as n, {_SHARE.format('coalesce(n, 0)', 'total')} as p
+    from groups g join kept k using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+whole as (select lang, term, {_SHARE.format('lang_n', 'lang_total')} as q from (select lang, term, sum(n) as lang_n from counts group by all)
+    join (select lang, sum(total) as lang_total, max(v) as v from groups group by all) using (lang)),
+sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from shares a join shares b using (lang, term) where a.source <> b.source group by all),
+found as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+    union all select lang, source, 'term', term, p - q from shares join whole using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from found qualify part = 'pair' or rank <= {divergence.TOP}""")
+
+
+# 13: clusters of vectors
+def op13(spark, sf):
+    return centroids.cluster(read(spark, sf, "embeddings").select("vec_id", "embedding")).drop("centroid")
+
+
+_D = centroids.DIMS
+_ROUNDS = "".join(f"""
+near{i} as materialized (select r, v, c, d from (select r, v, c, cast(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d
+    from vectors, means{i}) qualify row_number() over (partition by r order by d, c) = 1),""" + (f"""
+means{i + 1} as materialized (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as m from (
+        select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(range({_D})) as i from near{i}) group by all) group by c
+    union all select c, m from means{i} where c not in (select c from near{i})),""" if i < centroids.ROUNDS else "") for i in range(centroids.ROUNDS + 1))
+add("op13_ptolemaic_clusters", op13, f"""with vectors as materialized (
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * {centroids.SCALE}) as bigint)) as v from embeddings
+    where len(embedding) = {_D} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {_D}),
+starts as (select row_number() over (order by sha256('{centroids.SEED}:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as c, v as m from vectors),
+means0 as materialized (select c, m from starts where c < {centroids.CLUSTERS}),{_ROUNDS}
+ids as (select r, vec_id from vectors)
+select vec_id, cast(c as integer) as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+    sha256(array_to_string(m, ',')) as centroid_sha256 from near{centroids.ROUNDS} join means{centroids.ROUNDS} using (c) join ids using (r)""")
