@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, grouped, stored
+from .common import attach, grouped, shared_folder, stored
 
 # Documents of its language that a kept term needs; listed terms of a group.
 MIN_DOCS, TOP = 30, 50
@@ -27,14 +28,19 @@ HELD_BYTES = 64 << 20
 # Rows (terms times sources) of a language that are compared in one group.
 BLOCK_ROWS = 200_000
 
+# Bytes of text whose words are numbered together; a longer text is read word by word.
+CHUNK_BYTES = 6 << 20
+
 # Ends a term; no term contains it.
 END = b"\0"
-LETTER = rb"[A-Za-z\x80-\xFF]"
+# Letters in lower case, 0 for bytes that no term has (below A, between Z and a, between z and 0x80).
+LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
+TERM = re.compile(rb"[A-Za-z\x80-\xFF]+")
 
 
 def _bit(lang: Column, prefix: Column) -> Column:
-    """Place of a prefix in the filter, as ``Alive`` finds it."""
-    return F.crc32(F.concat(lang.cast("binary"), F.lit(bytearray(END)), prefix)).bitwiseAND((1 << BITS) - 1)
+    """Place of a prefix in the filter, as ``_alive`` finds it."""
+    return F.crc32(prefix).bitwiseXOR(F.crc32(lang.cast("binary"))).bitwiseAND((1 << BITS) - 1)
 
 
 def _filter(prefixes: DataFrame) -> bytes:
@@ -47,72 +53,155 @@ def _filter(prefixes: DataFrame) -> bytes:
     return bytes(whole)
 
 
-class Alive(dict):
-    """Whether a prefix of one language may be alive; remembers what it was asked."""
-
-    def __init__(self, bits: bytes, lang: str):
-        super().__init__()
-        self.bits, self.seed = bits, zlib.crc32(lang.encode() + END)
-
-    def __missing__(self, prefix: bytes) -> bool:
-        at = zlib.crc32(prefix, self.seed) & (1 << BITS) - 1
-        found = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        if len(prefix) <= 64:
-            if len(self) > 200_000:
-                self.clear()
-            self[prefix] = found
-        return found
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of (group columns…, text as bytes with A-Z in lower case), text by text."""
+def _alive(bits: bytes, prefixes: Iterable[bytes], langs: list[str]) -> list[np.ndarray]:
+    """For each language, which of the prefixes may be alive."""
+    codes = np.fromiter(map(zlib.crc32, prefixes), np.int64)
+    table = np.frombuffer(bits, np.uint8)
+    places = [(codes ^ zlib.crc32(lang.encode())) & (1 << BITS) - 1 for lang in langs]
+    return [(table[at >> 3] >> (at & 7) & 1).astype(bool) for at in places]
+
+
+class Words(NamedTuple):
+    """The words of a few texts: the text of each, and its place among the distinct words."""
+
+    text: np.ndarray
+    code: np.ndarray
+    distinct: list[bytes]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words of texts that lie one after another in ``data``."""
+    letters = LETTERS.take(data)
+    inside = letters != 0
+    # Where a word starts or ends: at a change between letters and others, or between two texts.
+    change = np.ones(len(data) + 1, bool)
+    np.not_equal(inside[1:], inside[:-1], out=change[1:-1])
+    change[offsets] = True
+    at = np.flatnonzero(change)
+    word = inside[at[:-1]]
+    starts, sizes = at[:-1][word], np.diff(at)[word]
+    packed = letters[inside]
+    bounds = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=bounds[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
+    return Words(np.searchsorted(offsets, starts, "right") - 1, words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist())
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """(first row, last row, words) of runs of texts of about ``CHUNK_BYTES`` together; a long text is one run."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, "right")) - 1)
+        if offsets[high] - offsets[low] > CHUNK_BYTES:
+            counts = Counter(m.group().lower() for m in TERM.finditer(column[low].as_py()))
+            code = np.repeat(np.arange(len(counts)), list(counts.values()))
+            yield low, high, Words(np.zeros(len(code), np.int64), code, list(counts))
+        else:
+            yield low, high, _words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+        low = high
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, sorted, and how often each occurs."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
+TABLE = "langs array<string>, sources array<string>, group_of binary, words array<binary>, text binary, code binary, times binary"
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per run of texts: its (lang, source) groups, the group of each text, the distinct words, and which text has which word how often."""
+    kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
     for batch in batches:
-        keys = list(zip(*(c.to_pylist() for c in batch.columns[:-1])))
-        for key, text in zip(keys, batch.columns[-1]):
-            yield (*key, text.as_py().lower())
+        groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for low, high, words in _chunks(batch.column(2)):
+            index: dict[tuple, int] = {}
+            group_of = np.array([index.setdefault(g, len(index)) for g in groups[low:high]], np.int32)
+            n = max(1, len(words.distinct))
+            pairs, times = _distinct(words.text * n + words.code)
+            row = ([g[0] for g in index], [g[1] for g in index], group_of.tobytes(), words.distinct,
+                   (pairs // n).astype(np.int32).tobytes(), (pairs % n).astype(np.int32).tobytes(), times.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["langs", "sources", "group_of", "words", "text", "code", "times"])
+
+
+def term_table(docs: DataFrame) -> DataFrame:
+    """The words of all texts as (text, word, times), dictionary by dictionary, in the shared folder: all that later passes read."""
+    path = shared_folder(docs.sparkSession, "term-table")
+    rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_tables, TABLE)
+    rows.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    return docs.sparkSession.read.schema(TABLE).parquet(path)
+
+
+def _read_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(groups, group of each text, words, text, code and times of each pair) of each run."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            langs, sources, words = (batch.column(k)[i].as_py() for k in (0, 1, 3))
+            arrays = [np.frombuffer(batch.column(k)[i].as_buffer(), np.int32).astype(np.int64) for k in (2, 4, 5, 6)]
+            yield list(zip(langs, sources)), arrays[0], words, *arrays[1:]
 
 
-def _counted(rows: Iterator[tuple[tuple, object]], limit: int, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Sums counts by (group, item) in the task; hands them on whenever it holds ``limit`` items."""
-    held: dict[tuple, Counter] = {}
+def _counted(rows: Iterator[tuple[tuple, list[bytes], list[int]]], limit: int, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Sums the counts of items by group in the task; hands them on whenever it holds more than ``limit`` items."""
+    held: dict[tuple, dict[bytes, int]] = {}
     size = 0
 
     def out():
-        for group, counter in held.items():
-            items = list(counter)
+        for group, counts in held.items():
+            items, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
             for a in range(0, len(items), 50_000):
                 part = items[a:a + 50_000]
                 columns = [pa.array([g] * len(part), pa.string()) for g in group]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(part, types[-2]), pa.array([counter[i] for i in part], types[-1])], names)
-
-    for group, counts in rows:
-        counter = held.setdefault(group, Counter())
-        before = len(counter)
-        counter.update(counts)
-        size += len(counter) - before
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(part, types[-2]), pa.array(n[a:a + 50_000], types[-1])], names)
+
+    for group, items, added in rows:
+        counts = held.setdefault(group, {})
+        size -= len(counts)
+        known = counts.get
+        for item, n in zip(items, added):
+            counts[item] = known(item, 0) + n
+        size += len(counts)
         if size > limit:
             yield from out()
             held, size = {}, 0
     yield from out()
 
 
+def _by_group(groups: list[tuple], keys: list[bytes], living: list[np.ndarray | None], pairs: np.ndarray, counts: np.ndarray) -> Iterator[tuple[tuple, list[bytes], list[int]]]:
+    """(group, keys, counts) of sorted pairs group * len(keys) + key, without keys that are not ``living`` in the group."""
+    n = len(keys)
+    edges = np.searchsorted(pairs, np.arange(len(groups) + 1) * n)
+    for group, alive, low, high in zip(groups, living, edges[:-1], edges[1:]):
+        key, count = pairs[low:high] % n, counts[low:high]
+        if alive is not None:
+            kept = alive[key]
+            key, count = key[kept], count[kept]
+        if len(key):
+            yield group, [keys[k] for k in key.tolist()], count.tolist()
+
+
 def _prefix_counter(short: int, width: int, alive_bits: bytes | None, held_bytes: int) -> Callable:
     """Documents by prefix of ``width`` bytes, of the terms of ``short`` bytes or more whose shorter prefix may be alive.
 
     A term counts with its end byte, so a prefix that holds the end is a complete term.
     """
-    terms = re.compile(LETTER + b"{%d,}" % max(short, 1))
-
     def prefixes(batches):
-        alive: dict[str, Alive] = {}
-        for lang, text in _rows(batches):
-            found = set(terms.findall(text))
-            if alive_bits is not None:
-                living = alive.get(lang)
-                if living is None:
-                    living = alive[lang] = Alive(alive_bits, lang)
-                found = [t for t in found if living[t[:short]]]
-            yield (lang,), {t[:width] if len(t) >= width else t + END for t in found}
+        for groups, group_of, words, text, code, _ in _read_tables(batches):
+            index: dict[bytes, int] = {}
+            prefix = np.array([index.setdefault(w[:width] if len(w) >= width else w + END, len(index)) if len(w) >= short else -1 for w in words], np.int64)
+            n, keys = len(index), list(index)
+            if not keys:
+                continue
+            of_pair = prefix[code]
+            once, _ = _distinct((text * n + of_pair)[of_pair >= 0])  # a prefix counts once in a text
+            langs = list(dict.fromkeys(g[0] for g in groups))
+            lang_of = np.array([langs.index(g[0]) for g in groups], np.int64)[group_of] if groups else group_of
+            living = [None] * len(langs) if alive_bits is None else _alive(alive_bits, (k[:short] for k in keys), langs)
+            yield from _by_group([(lang,) for lang in langs], keys, living, *_distinct(lang_of[once // n] * n + once % n))
 
     def run(batches):
         yield from _counted(prefixes(batches), held_bytes // (width + 100), ["lang", "prefix", "docs"], [pa.string(), pa.binary(), pa.int64()])
@@ -120,19 +209,18 @@ def _prefix_counter(short: int, width: int, alive_bits: bytes | None, held_bytes
     return run
 
 
-def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST, growth: int = GROWTH, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """(lang, term) of the terms in at least ``min_docs`` rows of (lang, text), found by iceberg prefixes.
+def kept_terms(table: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST, growth: int = GROWTH, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """(lang, term) of the terms in at least ``min_docs`` texts of a ``term_table``, found by iceberg prefixes.
 
-    Each level reads the texts and counts, by language, the distinct documents of byte prefixes; a prefix below
+    Each level reads the table and counts, by language, the distinct documents of byte prefixes; a prefix below
     ``min_docs`` is dropped, as no longer prefix can reach it. The next level counts only terms whose prefix is
     still alive, with ``growth`` times as many bytes, until all that live are complete terms. Tasks know the
     living prefixes by a filter of fixed size that never misses one. They add up counts in bounded tables, so the
     shuffle holds a row per task and prefix. Levels grow with the logarithm of the longest frequent term.
     """
-    rows = docs.select(F.col("lang"), F.col("text").cast("binary").alias("text"))
     complete, bits, short, width = None, None, 0, first
     while True:
-        counted = rows.mapInArrow(_prefix_counter(short, width, bits, held_bytes), "lang string, prefix binary, docs long")
+        counted = table.mapInArrow(_prefix_counter(short, width, bits, held_bytes), "lang string, prefix binary, docs long")
         level = counted.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
         level = stored(level.select("lang", "prefix", (F.substring("prefix", -1, 1) == F.lit(bytearray(END))).alias("complete")), "prefixes")
         terms = level.where("complete").select("lang", F.expr("cast(substring(prefix, 1, length(prefix) - 1) as string)").alias("term"))
@@ -143,24 +231,26 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST, gr
         bits, short, width = _filter(alive), width, width * growth
 
 
-def term_counts(docs: DataFrame, kept: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
+def term_counts(table: DataFrame, kept: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(lang, source, term, n) occurrences of the kept terms of a language in each of its sources, where there are any."""
     bits = _filter(kept.select("lang", F.col("term").cast("binary").alias("prefix")))
-    terms = re.compile(LETTER + b"+")
 
     def counts(batches):
-        alive: dict[str, Alive] = {}
-        for lang, source, text in _rows(batches):
-            living = alive.get(lang)
-            if living is None:
-                living = alive[lang] = Alive(bits, lang)
-            yield (lang, source), {t: n for t, n in Counter(terms.findall(text)).items() if living[t]}
+        for groups, group_of, words, text, code, times in _read_tables(batches):
+            if not words:
+                continue
+            langs = list(dict.fromkeys(g[0] for g in groups))
+            living = dict(zip(langs, _alive(bits, words, langs)))
+            pair = group_of[text] * len(words) + code
+            order = np.argsort(pair, kind="stable")
+            found, sizes = _distinct(pair)
+            sums = np.add.reduceat(times[order], np.append(0, np.cumsum(sizes)[:-1]))
+            yield from _by_group(groups, words, [living[g[0]] for g in groups], found, sums)
 
     def run(batches):
-        yield from _counted(counts(batches), held_bytes // 150, ["lang", "source", "term", "n"], [pa.string(), pa.string(), pa.binary(), pa.int64()])
+        yield from _counted(counts(batches), held_bytes // 120, ["lang", "source", "term", "n"], [pa.string(), pa.string(), pa.binary(), pa.int64()])
 
-    rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    counted = rows.mapInArrow(run, "lang string, source string, term binary, n long").groupBy("lang", "source", F.col("term").cast("string").alias("term"))
+    counted = table.mapInArrow(run, "lang string, source string, term binary, n long").groupBy("lang", "source", F.col("term").cast("string").alias("term"))
     known = kept.select(F.col("lang").alias("kept_lang"), F.col("term").alias("kept_term"))
     found = counted.agg(F.sum("n").alias("n"))
     return attach(found, known, (F.col("lang") == F.col("kept_lang")) & (F.col("term") == F.col("kept_term")), "left_semi")
@@ -169,7 +259,9 @@ def term_counts(docs: DataFrame, kept: DataFrame, held_bytes: int = HELD_BYTES)
 def _share(n: str, total: str, terms: str) -> Column:
     """1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * terms)) as a long, exact for any counts."""
     part = f"(cast({n} as decimal(19, 0)) + {PRIOR}) * cast({SCALE} as decimal(10, 0))"
-    return F.expr(f"1 + ({part}) div (cast({total} as decimal(19, 0)) + cast({terms} as decimal(19, 0)) * {PRIOR})")
+    exact = f"({part}) div (cast({total} as decimal(19, 0)) + cast({terms} as decimal(19, 0)) * {PRIOR})"
+    # Longs are enough, and faster, as long as the product fits.
+    return F.expr(f"1 + case when {n} < {2 ** 62 // SCALE} then ({n} + {PRIOR}) * {SCALE}L div ({total} + {terms} * {PRIOR}L) else {exact} end")
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +282,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, held_bytes:
     terms, in full. Part ``term`` gives the ``top`` kept terms whose share in the source exceeds that in the
     language most. Ranks fall with the value and rise with the item.
 
-    Texts are read once a level and once for the counts, and never shuffled. Then only kept terms times sources
+    Texts are read once, into a table of numbered words that each level and the count of the kept terms read; neither is shuffled. Then only kept terms times sources
     are: each language's terms are dealt by hash to groups of about ``block_rows``, where sources are compared as
     columns. The number of pairs of sources is the size of the result; no pair is emitted per term.
 
@@ -199,8 +291,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, held_bytes:
     rows. Other columns are not read.
     """
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    kept = kept_terms(docs, min_docs, held_bytes=held_bytes)
-    counts = stored(term_counts(docs, kept, held_bytes), "term-counts")
+    table = term_table(docs)
+    kept = kept_terms(table, min_docs, held_bytes=held_bytes)
+    counts = stored(term_counts(table, kept, held_bytes), "term-counts")
     n_terms = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(n_terms, "lang", "left").select(

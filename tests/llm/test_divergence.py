@@ -64,8 +64,9 @@ def test_audit_equals_brute_force(spark):
 def test_prefixes_below_the_threshold_are_not_extended(spark):
     rows = [(f"commonest and unique{'abcdefghij'[i]}{'klmnopqrst'[j]}xyzxyz", "en") for i in range(10) for j in range(3)]
     docs = spark.createDataFrame(rows, "text string, lang string")
-    assert {tuple(r) for r in divergence.kept_terms(docs, 30).collect()} == {("en", "commonest"), ("en", "and")}
-    counted = docs.selectExpr("lang", "cast(text as binary) as text").mapInArrow(
+    table = divergence.term_table(docs.selectExpr("text", "lang", "'s' as source"))
+    assert {tuple(r) for r in divergence.kept_terms(table, 30).collect()} == {("en", "commonest"), ("en", "and")}
+    counted = table.mapInArrow(
         divergence._prefix_counter(4, 12, divergence._filter(spark.createDataFrame([("en", bytearray(b"comm"))], "lang string, prefix binary")), 1 << 20),
         "lang string, prefix binary, docs long")
     assert {bytes(r.prefix) for r in counted.collect()} == {b"commonest\0"}
