@@ -86,7 +86,8 @@ add("op3_two_pass_shards", op3)
 # 4: repeated byte strings
 def op4(spark, sf):
     cut = suffixes.remove_repeated(read(spark, sf, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 add("op4_suffix_dedup", op4)

@@ -15,6 +15,8 @@ from .neardup import chunks, mix64, powers
 LENGTH, GRAM = 400, 64
 # Bytes compared by multikey quicksort before blind tries take over.
 SHALLOW = 48
+# Bytes of a text that are searched for anchors at a time; arrays of about 100 times as many bytes are held.
+PIECE = 1 << 20
 # Different contexts of one anchor that are sorted in one task; anchors with more are settled window by window.
 GROUP = 20_000
 
@@ -72,6 +74,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return text, anchor, first, last, roll.codes(anchor, anchor + gram), block
 
 
+def long_text_parts(data: np.ndarray, offsets: np.ndarray, length: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place in the text, bytes, offsets) to look for anchors in: a run of texts as it is, a long text in pieces.
+
+    Pieces overlap, so each window lies in one of them and none twice. A block that spans two
+    pieces becomes two blocks of one anchor; where its copies are cut elsewhere, the anchor is contested and its
+    windows are compared, so cuts cost time and lose nothing.
+    """
+    if len(offsets) != 2 or len(data) <= size + length:
+        yield 0, data, offsets
+        return
+    for start in range(0, len(data) - length + 1, size):
+        part = data[start:start + size + length - 1]
+        yield start, part, np.array([0, len(part)], offsets.dtype)
+
+
 def common_prefix(a: bytes, b: bytes) -> int:
     """Length of the longest common prefix, by halving."""
     low, high = 0, min(len(a), len(b))
@@ -197,7 +214,7 @@ def shared_windows(left: list[bytes], right: list[bytes], length: int) -> list[l
     return found
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, piece: int = PIECE) -> DataFrame:
     """(key, spans): for each distinct text, its byte ranges covered by a ``length``-byte string that also starts elsewhere.
 
     ``docs`` are (key, doc_id, text), key a hash of the text; texts without such strings are left
@@ -215,13 +232,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "doc_id", "anchor", "first", "last", "code", "block"]
         for batch in batches:
-            for low, data, offsets in chunks(batch.column(2), 1 << 20):
-                text, *columns = anchors(data, offsets, length, gram)
-                base = offsets[text] if len(text) else np.zeros(0, np.int64)
-                at = pa.array(low + text)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), *[pa.array((c - base).astype(np.int32)) for c in columns[:3]],
-                     *[pa.array(c.astype(np.int64)) for c in columns[3:]]], names)
+            for low, data, offsets in chunks(batch.column(2), piece):
+                for start, part, edges in long_text_parts(data, offsets, length, piece):
+                    text, *columns = anchors(part, edges, length, gram)
+                    base = edges[text] - start if len(text) else np.zeros(0, np.int64)
+                    at = pa.array(low + text)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(at), batch.column(1).take(at), *[pa.array((c - base).astype(np.int32)) for c in columns[:3]],
+                         *[pa.array(c.astype(np.int64)) for c in columns[3:]]], names)
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     found = stored(docs.select("key", "doc_id", "text").where(F.octet_length("text") >= length).mapInArrow(
@@ -303,16 +321,17 @@ def windows_of(contexts: DataFrame, length: int) -> DataFrame:
     return shared.select("key", (F.col("anchor") - F.col("before")).alias("start"), (F.col("anchor") - F.col("before") + length).alias("end"))
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs`` (doc_id, text).
 
     Every byte of a text (UTF-8) covered by a ``length``-byte string that also starts anywhere
     else is removed, the same document included and all copies alike; ``kept`` is what is left, as
     bytes. Matches end at document borders. Null is empty; shorter texts than ``length`` stay as
-    they are; repeated rows are copies of each other; an empty table gives none.
+    they are; repeated rows are copies of each other; an empty table gives none. A very long text is
+    searched in pieces; it must fit in a row and in the memory of a task as bytes.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    spans = repeated_spans(texts.select("key", "doc_id", "text"), length, gram, group)
+    spans = repeated_spans(texts.select("key", "doc_id", "text"), length, gram, group, piece)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,11 +38,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("group", [20_000, 3])
-def test_against_brute_force(spark, group):
+@pytest.mark.parametrize("group, piece", [(20_000, 1 << 20), (3, 1 << 20), (20_000, 64), (3, 100)])
+def test_against_brute_force(spark, group, piece):
     texts = corpus()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as key", "2 as spans").repartition(3)
-    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffixes.remove_repeated(docs, 40, 8, group).collect()}
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffixes.remove_repeated(docs, 40, 8, group, piece).collect()}
     assert got == dict(enumerate(brute(texts, 40)))
 
 
