@@ -182,15 +182,20 @@ select doc_id, size, source_size, cast(target as double) as target,
 # 9: WARC
 def op9(spark, sf):
     folder = warc.write_warc(read(spark, sf, "pages").select("page_id", "url", "html"))
-    return warc.merge_index(warc.read_warc(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.merge_index(warc.read_warc(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "index_at")
 
 
+_REST = r"regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\d*\.)?|#.*$', '', 'g')"
+_URL_KEY = rf"""array_to_string(list_reverse(string_split(regexp_extract({_REST}, '^([^/?:]*)', 1), '.')), ',') || ')'
+    || coalesce(nullif(regexp_replace({_REST}, '^[^/?]*', ''), ''), '/')"""
+_CAPTURED = f"strftime(make_timestamp(({warc.FIRST_CAPTURE} + coalesce(page_id % 1000000000, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 _QUARTERS = " || ".join(f"to_base(cast('0x' || substr(h, {10 * k + 1}, 10) as bigint), 32, 8)" for k in range(4))
-add("op9_warc_index", op9, f"""with h as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
-d as (select page_id, payload_bytes, translate({_QUARTERS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest from h),
+add("op9_warc_index", op9, f"""with h as (select page_id, {_URL_KEY} as url_key, {_CAPTURED} as captured, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+d as (select page_id, url_key, captured, payload_bytes, translate({_QUARTERS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest from h),
 m as (select *, max(page_id) over (partition by payload_digest) as latest from d)
 select page_id, payload_bytes, payload_digest, case when page_id is not distinct from latest then 'response' else 'revisit' end as record_type,
-    case when page_id is distinct from latest then latest end as refers_to from m""")
+    case when page_id is distinct from latest then latest end as refers_to, url_key, captured,
+    row_number() over (order by url_key, captured, page_id nulls first) - 1 as index_at from m""")
 
 
 # 10: benchmark decontamination

@@ -7,14 +7,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import n_partitions, shared_folder
+from .common import attach, n_partitions, shared_folder, stored
 
 # Smallest payload for which a copy becomes a revisit record.
 REVISIT_BYTES = 0
+# Records of one archive file, which is read whole; and captures of one range of the index.
+FILE_RECORDS, RANGE_ROWS = 5_000, 1_000_000
 # Parts of a WARC record.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
@@ -45,8 +47,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, revisit_bytes: int =
     page_id is the response and the others are revisits that refer to it; smaller ones are all
     responses. Null html is an empty payload. Rows that repeat the largest page_id of their
     payload are responses too; a null page_id is the smallest. Control characters in a url are
-    percent-encoded. Each file is a run sorted by URL key and capture time, gzip-compressed;
-    Spark's committer keeps it whole when executors are lost.
+    percent-encoded. Each file holds at most ``FILE_RECORDS`` records and is a run sorted by URL key and
+    capture time, gzip-compressed; Spark's committer keeps it whole when executors are lost.
     """
     payload = F.coalesce("html", F.lit(""))
     known = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload.cast("binary")).alias("digest"),
@@ -72,7 +74,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, revisit_bytes: int =
         http, F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload")))
     folder = folder or shared_folder(pages.sparkSession, "warc")
     runs = typed.select(record.alias("value"), url_key(F.col("url")).alias("key"), moment.alias("moment"), "page_id").sortWithinPartitions("key", "moment", "page_id")
-    runs.select("value").write.option("lineSep", RECORD_END).option("compression", "gzip").text(folder)
+    runs.select("value").write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
     return folder
 
 
@@ -176,14 +178,17 @@ class LoserTree:
 
 
 def merge_index(captures: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The captures in the order of URL key, time and page, as ``index_part`` and ``index_place``.
+    """The captures with ``url_key`` and ``index_at``, their place from 0 in the order of URL key, time and page.
 
     Every archive file is a sorted run. Ranges of (key, time, page) are dealt to tasks, also
-    within one key, so a URL with a third of all captures is spread; in a range, the pieces of
-    the runs keep their order and are merged by a loser tree. Parts follow one another.
+    within one key, so a URL with a third of all captures is spread; their number follows from a count, so a range
+    holds about ``RANGE_ROWS`` captures at most. In a range, the pieces of the runs keep their order and are merged by a
+    loser tree. Ranges follow one another, so the rows of those before give a capture its place; captures equal in
+    all three take places in the order of their runs.
     """
-    n = partitions or n_partitions(captures.sparkSession)
-    keyed = captures.withColumn("url_key", url_key(F.col("url")))
+    keyed = stored(captures.withColumn("url_key", url_key(F.col("url"))), "captures")
+    rows = keyed.count()
+    n = partitions or max(min(n_partitions(captures.sparkSession), -(-rows // 4096)), -(-rows // RANGE_ROWS), 1)
     ranged = keyed.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first()).sortWithinPartitions("file", "at")
     names = keyed.columns
     key = [names.index(c) for c in ("url_key", "captured", "page_id")]
@@ -204,4 +209,10 @@ def merge_index(captures: DataFrame, partitions: int | None = None) -> DataFrame
         merged = table.take(taken).append_column("index_place", pa.array(range(len(taken)), pa.int64())).combine_chunks()
         yield from merged.to_batches(max_chunksize=4096)
 
-    return ranged.select("*", F.spark_partition_id().alias("index_part")).mapInArrow(merge, schema)
+    merged = stored(ranged.select("*", F.spark_partition_id().alias("index_part")).mapInArrow(merge, schema), "merged-captures")
+    # One row per range.
+    sizes = merged.groupBy("index_part").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("index_part").alias("part"), F.coalesce(F.sum("n").over(
+        Window.orderBy("index_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = attach(merged, before, F.col("index_part") == F.col("part"))
+    return placed.withColumn("index_at", F.col("before") + F.col("index_place")).drop("part", "before", "index_part", "index_place")

@@ -25,7 +25,8 @@ def test_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(data), b32encode(sha1(data).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if first == i else ("revisit", first))
         assert r.payload == ((h or "") if first == i else "")
-    order = sorted(got.values(), key=lambda r: (r.index_part, r.index_place))
+    order = sorted(got.values(), key=lambda r: r.index_at)
+    assert [r.index_at for r in order] == list(range(200))
     assert [(r.url_key, r.captured, r.page_id) for r in order] == sorted((r.url_key, r.captured, r.page_id) for r in order)
 
 
