@@ -17,15 +17,24 @@ MIN_DOCS = 50
 
 @dataclass(frozen=True)
 class Fence:
-    """A measure may lie outside the quartiles by ``spread`` quartile distances, and by ``slack`` in any case."""
+    """How the sketch of a measure sets its limits.
+
+    ``quartiles``: the quartiles and ``spread`` times their distance beyond, both ways.
+    ``tail``: of the documents that have any, the 90th percentile and ``spread`` times its distance from the median.
+    ``rare``: the same over all documents; where nine tenths have none, ``share`` of the median of those that have any.
+    """
 
     measure: str
-    slack: float
-    spread: float = 3.0
-    lower: bool = False
+    kind: str
+    spread: float
+    share: float = 0.1
+
+    @property
+    def lower(self) -> bool:
+        return self.kind == "quartiles"
 
 
-FENCES = (Fence("symbols_per_word", 0.2), Fence("word_length", 1.5, lower=True), Fence("dup_line_share", 0.5), Fence("repeat_share", 0.45))
+FENCES = (Fence("symbols_per_word", "rare", 2.0), Fence("word_length", "quartiles", 3.0), Fence("dup_line_share", "tail", 2.0), Fence("repeat_share", "tail", 2.0))
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -94,35 +103,55 @@ def sketch(scored: DataFrame, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
         "lang_", "source_", F.col("b.measure").alias("measure"), F.col("b.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def thresholds(sketches: DataFrame, fences: tuple[Fence, ...] = FENCES, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per (lang_, source_) with a lower and an upper limit per measure."""
+def quantiles(sketches: DataFrame) -> DataFrame:
+    """Percentiles of every sketch, of those merged by language (level 1) and of all (level 2): q over all documents, s over those with any."""
     levels = sketches.select("lang_", "source_", "measure", "bin", "n")
+    none = F.lit(None).cast("string")
     per_language = levels.groupBy("lang_", "measure", "bin").agg(F.sum("n").alias("n"))
     overall = per_language.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    every = (levels.withColumn("level", F.lit(0))
-             .unionByName(per_language.select("lang_", F.lit(None).cast("string").alias("source_"), "measure", "bin", "n", F.lit(1).alias("level")))
-             .unionByName(overall.select(F.lit(None).cast("string").alias("lang_"), F.lit(None).cast("string").alias("source_"), "measure", "bin", "n",
-                                         F.lit(2).alias("level"))))
+    every = levels.withColumn("level", F.lit(0)).unionByName(
+        per_language.select("lang_", none.alias("source_"), "measure", "bin", "n", F.lit(1).alias("level"))).unionByName(
+        overall.select(none.alias("lang_"), none.alias("source_"), "measure", "bin", "n", F.lit(2).alias("level")))
     group = Window.partitionBy("level", "lang_", "source_", "measure")
     upto = group.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(F.col("bin").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
-    ranked = every.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("total"), value.alias("value"))
-    quartiles = ranked.groupBy("level", "lang_", "source_", "measure").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("value"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("value"))).alias("q3"))
-    of = lambda f, x: F.max(F.when(F.col("measure") == f.measure, F.col(x)))
-    reach = lambda f: F.greatest(F.lit(f.spread) * (of(f, "q3") - of(f, "q1")), F.lit(f.slack))
-    limits = quartiles.groupBy("level", "lang_", "source_").agg(
-        F.max("total").alias("total"), F.struct(
-            *[(of(f, "q3") + reach(f)).alias(f"{f.measure}_max") for f in fences],
-            *[(of(f, "q1") - reach(f)).alias(f"{f.measure}_min") for f in fences if f.lower]).alias("limits"))
-    own, language = limits.where("level = 0"), limits.where("level = 1").select(
-        F.col("lang_").alias("l"), F.col("total").alias("language_total"), F.col("limits").alias("language_limits"))
-    corpus = limits.where("level = 2").select("limits").scalar()  # one row, none without usable documents
-    chosen = own.join(language, F.col("lang_").eqNullSafe(F.col("l")))
-    return chosen.select("lang_", "source_", F.when(F.col("total") >= min_docs, F.col("limits")).when(
-        F.col("language_total") >= min_docs, F.col("language_limits")).otherwise(corpus).alias("limits"))
+    some = F.when(F.col("bin").isNotNull(), F.col("n"))
+    ranked = every.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("total"), value.alias("value"),
+                          F.sum(some).over(upto).alias("some_upto"), F.coalesce(F.sum(some).over(group), F.lit(0)).alias("some"))
+    at = lambda upto, total, percent: F.min(F.when(F.col(upto) * 100 >= F.col(total) * percent, F.col("value")))
+    return ranked.groupBy("level", "lang_", "source_", "measure").agg(
+        F.max("total").alias("total"), F.max("some").alias("some"), *[at("upto", "total", p).alias(f"q{p}") for p in (25, 50, 75, 90)],
+        *[at("some_upto", "some", p).alias(f"s{p}") for p in (50, 90)])
+
+
+def thresholds(sketches: DataFrame, fences: tuple[Fence, ...] = FENCES, min_docs: int = MIN_DOCS) -> DataFrame:
+    """One row per (lang_, source_) with the limits of each measure, widened by the resolution of the sketch.
+
+    Percentiles come from the sketch of the stratum if it has ``min_docs`` documents (for s: that have any), else
+    from its language's, else from that of all. A measure that no document has any of has no limit.
+    """
+    found = quantiles(sketches)
+    facts = [c for c in found.columns if c not in ("level", "lang_", "source_", "measure")]
+    side = lambda level, prefix, keys: found.where(F.col("level") == level).select(*[F.col(k).alias(prefix + k) for k in keys + facts])
+    joined = side(0, "", ["lang_", "source_", "measure"]).join(
+        side(1, "l_", ["lang_", "measure"]), F.col("lang_").eqNullSafe(F.col("l_lang_")) & (F.col("measure") == F.col("l_measure"))).join(
+        F.broadcast(side(2, "a_", ["measure"])), F.col("measure") == F.col("a_measure"))
+    level = lambda c, n: F.when(F.col(n) >= min_docs, F.col(c)).when(F.col(f"l_{n}") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
+    of = {c: level(c, "total" if c.startswith("q") else "some") for c in facts if c not in ("total", "some")}
+    highest, lowest = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for f in fences:
+        if f.kind == "quartiles":
+            high, low = of["q75"] + f.spread * (of["q75"] - of["q25"]), of["q25"] - f.spread * (of["q75"] - of["q25"])
+            lowest = F.when(F.col("measure") == f.measure, low / GAMMA).otherwise(lowest)
+        elif f.kind == "tail":
+            high = of["s90"] + f.spread * (of["s90"] - of["s50"])
+        else:
+            high = F.when(of["q90"] > 0, of["q90"] + f.spread * (of["q90"] - of["q50"])).otherwise(f.share * of["s50"])
+        highest = F.when(F.col("measure") == f.measure, high * GAMMA).otherwise(highest)
+    limits = joined.select("lang_", "source_", "measure", highest.alias("high"), lowest.alias("low"))
+    pick = lambda f, c: F.max(F.when(F.col("measure") == f.measure, F.col(c)))
+    return limits.groupBy("lang_", "source_").agg(F.struct(
+        *[pick(f, "high").alias(f"{f.measure}_max") for f in fences], *[pick(f, "low").alias(f"{f.measure}_min") for f in fences if f.lower]).alias("limits"))
 
 
 def judge(scored: DataFrame, fences: tuple[Fence, ...] = FENCES, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -135,7 +164,7 @@ def judge(scored: DataFrame, fences: tuple[Fence, ...] = FENCES, min_docs: int =
     limits = thresholds(sketch(scored, fences), fences, min_docs).withColumnsRenamed({"lang_": "l", "source_": "s"})
     inside = F.lit(True)
     for f in fences:
-        inside = inside & (F.col(f.measure) <= F.col(f"limits.{f.measure}_max"))
+        inside = inside & F.coalesce(F.col(f.measure) <= F.col(f"limits.{f.measure}_max"), F.col(f.measure) == 0)
         if f.lower:
             inside = inside & (F.col(f.measure) >= F.col(f"limits.{f.measure}_min"))
     joined = attach(scored, stored(limits, "quality-limits"), F.col("lang_").eqNullSafe(F.col("l")) & F.col("source_").eqNullSafe(F.col("s")), "left")

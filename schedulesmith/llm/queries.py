@@ -27,10 +27,19 @@ def op2(spark, sf):
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_FENCES = [(f, f"cast({f.slack} as double)", f"cast({f.spread} as double)") for f in quality.FENCES]
 _VALUE = {"symbols_per_word": "n_symbols / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)",
           "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)"}
-_INSIDE = " and ".join(f"({f.measure} <= {f.measure}_max" + (f" and {f.measure} >= {f.measure}_min" if f.lower else "") + ")" for f, _, _ in _FENCES)
+_INSIDE = " and ".join(f"(coalesce({f.measure} <= {f.measure}_max, {f.measure} = 0)" + (f" and {f.measure} >= {f.measure}_min" if f.lower else "") + ")" for f in quality.FENCES)
+
+
+def _fence(f):
+    """Upper and lower limit of a measure from the percentiles of its sketch."""
+    d = lambda x: f"cast({x} as double)"
+    high = {"quartiles": f"q75 + {d(f.spread)} * (q75 - q25)", "tail": f"s90 + {d(f.spread)} * (s90 - s50)",
+            "rare": f"case when q90 > 0 then q90 + {d(f.spread)} * (q90 - q50) else {d(f.share)} * s50 end"}[f.kind]
+    return f"({high}) * {d(quality.GAMMA)}", f"(q25 - {d(f.spread)} * (q75 - q25)) / {d(quality.GAMMA)}"
+
+
 QUALITY_CTES = rf"""words as materialized (
     select doc_id, lang, source, {_WORDS} as w, coalesce(text, '') as text,
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
@@ -55,18 +64,20 @@ levels as (select 0 as level, lang, source, measure, bin, n from bins
     union all select 2, null, null, measure, bin, sum(n) from bins group by all),
 ranked as (select *, sum(n) over (partition by level, lang, source, measure order by bin nulls first rows unbounded preceding) as upto,
     sum(n) over (partition by level, lang, source, measure) as total,
+    sum(n) filter (bin is not null) over (partition by level, lang, source, measure order by bin nulls first rows unbounded preceding) as some_upto,
+    coalesce(sum(n) filter (bin is not null) over (partition by level, lang, source, measure), 0) as some_,
     case when bin is null then 0 else 2 * power({quality.GAMMA}, bin) / ({quality.GAMMA} + 1) end as value from levels),
-quartiles as (select level, lang, source, measure, max(total) as total, min(value) filter (upto * 4 >= total) as q1,
-    min(value) filter (upto * 4 >= total * 3) as q3 from ranked group by all),
-limits as (select level, lang, source, max(total) as total, {', '.join(
-    f"max(q3 + greatest({spread} * (q3 - q1), {slack})) filter (measure = '{f.measure}') as {f.measure}_max, "
-    f"max(q1 - greatest({spread} * (q3 - q1), {slack})) filter (measure = '{f.measure}') as {f.measure}_min" for f, slack, spread in _FENCES)}
-    from quartiles group by all),
-chosen as (select own.lang, own.source, {', '.join(
-    f"case when own.total >= {quality.MIN_DOCS} then own.{c} when l.total >= {quality.MIN_DOCS} then l.{c} else a.{c} end as {c}"
-    for f, _, _ in _FENCES for c in (f'{f.measure}_max', f'{f.measure}_min'))}
-    from (select * from limits where level = 0) own join (select * from limits where level = 1) l on own.lang is not distinct from l.lang
-    cross join (select * from limits where level = 2) a),
+found as (select level, lang, source, measure, max(total) as total, max(some_) as some_,
+    {', '.join(f'min(value) filter (upto * 100 >= total * {p}) as q{p}' for p in (25, 50, 75, 90))},
+    {', '.join(f'min(value) filter (some_upto * 100 >= some_ * {p}) as s{p}' for p in (50, 90))} from ranked group by all),
+leveled as (select o.lang, o.source, o.measure, {', '.join(
+    f"case when o.{n} >= {quality.MIN_DOCS} then o.{c} when l.{n} >= {quality.MIN_DOCS} then l.{c} else a.{c} end as {c}"
+    for c, n in [(f'q{p}', 'total') for p in (25, 50, 75, 90)] + [(f's{p}', 'some_') for p in (50, 90)])}
+    from (select * from found where level = 0) o join (select * from found where level = 1) l on o.lang is not distinct from l.lang and o.measure = l.measure
+    join (select * from found where level = 2) a on o.measure = a.measure),
+chosen as (select lang, source, {', '.join(
+    f"max({limit}) filter (measure = '{f.measure}') as {f.measure}_{side}" for f in quality.FENCES for side, limit in zip(('max', 'min'), _fence(f)) if side == 'max' or f.lower)}
+    from leveled group by all),
 judged as (select m.*, not base_failed and coalesce({_INSIDE}, false) as kept from measured m
     left join chosen c on m.lang is not distinct from c.lang and m.source is not distinct from c.source)"""
 add("op2_quality_rules", op2, f"with {QUALITY_CTES} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged")

@@ -49,5 +49,38 @@ def test_sketches_merge_and_are_near_the_quantiles(spark):
     merged = parts.withColumn("source_", F.lit("s")).groupBy("lang_", "source_", "measure", "bin").agg(F.sum("n").alias("n"))
     limits = quality.thresholds(merged).first()["limits"]
     values.sort()
-    q1, q3 = values[499], values[1499]
-    assert abs(limits["dup_line_share_max"] - (q3 + 3 * (q3 - q1))) < 0.1 * q3
+    q1, q3, s50, s90 = values[499], values[1499], values[999], values[1799]
+    assert abs(limits["word_length_max"] - (q3 + 3 * (q3 - q1))) < 0.1 * q3 and abs(limits["word_length_min"] - (q1 - 3 * (q3 - q1))) < 0.1 * q3
+    for name in ("dup_line_share_max", "repeat_share_max", "symbols_per_word_max"):
+        assert abs(limits[name] - (s90 + 2 * (s90 - s50))) < 0.1 * s90
+
+
+def limits_of(spark, rows):
+    names = [f.measure for f in quality.FENCES]
+    scored = spark.createDataFrame(rows, "lang_ string, source_ string, base_failed boolean, " + ", ".join(f"{n} double" for n in names))
+    return {r.source_: r.limits for r in quality.thresholds(quality.sketch(scored)).collect()}
+
+
+def test_limits_follow_the_spread_of_the_source(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(200):
+        # Even prose, prose and code with symbols and repeats, and a source of few documents.
+        rows.append(("en", "even", False, 0.0, rnd.gauss(5, 0.1), 0.0 if i % 2 else 0.1, 0.0))
+        rows.append(("en", "code", False, abs(rnd.gauss(0.8, 0.2)), rnd.gauss(6, 0.8), 0.0 if i % 2 else rnd.uniform(0.1, 0.4), 0.0))
+    rows += [("en", "few", False, 0.0, 30.0, 0.0, 0.0)] * 3 + [("en", "spam", False, 0.0 if i % 20 else 2.0, 5.0, 0.0, 0.0) for i in range(400)]
+    got = limits_of(spark, rows)
+    assert got["code"].symbols_per_word_max > 1 > got["even"].symbols_per_word_max > 0
+    assert got["even"].word_length_max < 6 < 8 < got["code"].word_length_max
+    assert got["even"].dup_line_share_max < 0.11 < 0.4 < got["code"].dup_line_share_max
+    assert got["few"].word_length_max < 20  # three documents take the limits of their language
+    assert got["spam"].symbols_per_word_max < 0.2 and got["spam"].word_length_min < 5 < got["spam"].word_length_max
+    assert all(x.repeat_share_max is None for x in got.values())  # nobody has any
+
+
+def test_clean_labelled_documents_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
+    judged = quality.quality_rules(docs).where("not base_failed").groupBy("row.quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    shares = {r.quality: r.kept for r in judged}
+    assert shares[1] >= 0.98 and shares[0] <= 0.1
