@@ -37,20 +37,21 @@ def drop_site_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int
     Counting is a grouped sum with partial sums on the map side, so a host with a third of all
     pages, or a line on all of them, is spread over the tasks. The lines above the ratio of one
     host are at most (lines per page / ratio), whatever the number of its pages; they come back
-    to the pages as one array per host, broadcast only after a count.
+    to the pages as one array per host, broadcast only after a count of the hosts and of the lines in these arrays.
 
-    Null hosts and lines are empty, an empty table gives none, repeated rows count as pages.
+    Null hosts and lines are empty, an empty table gives none, repeated rows count as pages. A very long line is
+    one line like any other.
     """
     paged = pages.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
     paged = stored(paged.withColumn("codes", F.transform("lines", lambda x: F.xxhash64(x))), "site-lines")
     totals = paged.groupBy("host").agg(F.count("*").alias("host_pages"))
     counts = paged.select("host", F.explode(F.array_distinct("codes")).alias("code")).groupBy("host", "code").agg(F.count("*").alias("n"))
-    # Lines on one page only can pass the ratio on no site of min_pages pages unless min_pages * ratio < 1.
-    frequent = counts.where(F.col("n") >= F.lit(max(1, int(min_pages * ratio))))
-    common = frequent.join(totals, "host").where((F.col("host_pages") >= min_pages) & (F.col("n") > F.col("host_pages") * ratio))
+    # A line on no more pages than this passes the ratio on no site of min_pages pages or more.
+    frequent = counts.where(F.col("n") > F.lit(min_pages * ratio))
+    common = attach(frequent.withColumnRenamed("host", "on"), totals, F.col("on") == F.col("host")).where((F.col("host_pages") >= min_pages) & (F.col("n") > F.col("host_pages") * ratio))
     common = common.groupBy("host").agg(F.sort_array(F.collect_list("code")).alias("common"))
     side = stored(totals.join(common, "host", "left").withColumnRenamed("host", "h"), "site-common")
-    known = attach(paged, side, F.col("host") == F.col("h")).withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    known = attach(paged, side, F.col("host") == F.col("h"), weight=1 + F.coalesce(F.size("common"), F.lit(0))).withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     flagged = known.withColumn("flags", F.transform("codes", lambda c: F.array_contains(F.col("common"), c)))
     pick = lambda wanted: F.filter("lines", lambda x, i: F.get(F.col("flags"), i) == F.lit(wanted))
     return flagged.select("page_id", "host", "host_pages", pick(False).alias("kept"), pick(True).alias("removed"))

@@ -41,9 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(data: DataFrame, side: DataFrame, on: Column, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a side that is broadcast if a count shows it to be small, else sort-merged with skew handling."""
-    if side.limit(max_rows + 1).count() <= max_rows:
+def attach(data: DataFrame, side: DataFrame, on: Column, how: str = "inner", max_rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Join a side that is broadcast if a count shows it to be small, else sort-merged with skew handling.
+
+    ``weight`` says how many rows of a few short columns a row of the side stands for, where it holds arrays.
+    """
+    size = side.limit(max_rows + 1).count() if weight is None else side.agg(F.sum(weight)).first()[0] or 0
+    if size <= max_rows:
         return data.join(F.broadcast(side), on, how)
     return data.join(side.hint("merge"), on, how)
 
