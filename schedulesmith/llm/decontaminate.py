@@ -143,32 +143,35 @@ def item_parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, lis
 
 
 def scan_documents(shaped: DataFrame, part: list[tuple[str, list[str]]], width: int) -> DataFrame:
-    """Adds what one automaton finds to rows of (row, text, n_words, spans, items)."""
+    """Adds what one automaton finds to rows of (row, text, n_words, spans, items, cleaned)."""
     sent = shaped.sparkSession.sparkContext.broadcast(part)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(sent.value, width)
         for batch in batches:
-            sizes, spans, names = [], [], []
+            sizes, spans, names, cleaned = [], [], [], []
             for text, before, known in zip(*[batch.column(k).to_pylist() for k in (1, 3, 4)]):
                 tokens = normal_words(text)
                 runs, found = automaton.scan(tokens)
                 sizes.append(len(tokens))
-                spans.append([{"first": a, "end": b} for a, b in merge_runs(runs + [(x["first"], x["end"]) for x in before])])
+                runs = merge_runs(runs + [(x["first"], x["end"]) for x in before])
+                spans.append([{"first": a, "end": b} for a, b in runs])
                 names.append(sorted(found.union(known)))
+                cleaned.append(remove_spans(text, runs, width) if any(b - a >= width for a, b in runs) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(
-                spans, batch.schema.field(3).type), pa.array(names, batch.schema.field(4).type)], batch.schema.names)
+                spans, batch.schema.field(3).type), pa.array(names, batch.schema.field(4).type), pa.array(cleaned, pa.string())], batch.schema.names)
 
     return shaped.mapInArrow(scan, shaped.schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: tuple[int, int] = COVERAGE,
                        automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
-    """All columns of ``docs`` as ``row`` with text, n_words, n_hit, n_items, items_sha256, contaminated and the hit spans.
+    """All columns of ``docs`` as ``row`` with text, n_words, n_hit, n_items, items_sha256, contaminated, the hit spans and cleaned.
 
     A window is ``width`` consecutive words of an item, or a whole shorter item; a document word
     inside any occurrence of a window is hit. ``spans`` are the hit runs as (first word, end
-    word). A document is contaminated if the share of its words that are hit reaches ``coverage``.
+    word). A document is contaminated if the share of its words that are hit reaches ``coverage``;
+    ``cleaned`` is its text without the spans of ``width`` words or more, null where it has none.
 
     A task holds one automaton of at most ``automaton_words`` words. A larger benchmark is cut
     into parts that are matched in passes one after another, with the rows stored in between, so
@@ -178,14 +181,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     """
     none = F.array().cast("array<struct<first:bigint,end:bigint>>")
     found = docs.select(F.struct("*").alias("row"), "text", F.lit(0).cast("long").alias("n_words"), none.alias("spans"),
-                        F.array().cast("array<string>").alias("items"))
+                        F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("cleaned"))
     for k, part in enumerate(item_parts(benchmark, automaton_words)):
         found = scan_documents(stored(found, "contamination") if k else found, part, width)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return found.withColumn("n_hit", hit).select(
         "row", "text", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (coverage[1] * F.col("n_hit") >= coverage[0] * F.col("n_words"))).alias("contaminated"), "spans")
+        ((F.col("n_hit") > 0) & (coverage[1] * F.col("n_hit") >= coverage[0] * F.col("n_words"))).alias("contaminated"), "spans", "cleaned")
 
 
 def merge_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
