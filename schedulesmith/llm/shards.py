@@ -11,6 +11,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from .common import attach, n_partitions, shared_folder, stored
 
 SHARDS, SEED, BUCKET_BYTES = 16, 7, 16 << 20
+# So many buckets at most, since the 24 bytes that place each are broadcast; beyond this many times BUCKET_BYTES (16 TB) buckets grow.
+MAX_BUCKETS = 1_000_000
 # Buckets per shuffle partition at least, so that hashing them to partitions comes out even.
 SPREAD = 4
 
@@ -24,8 +26,8 @@ def shuffle_into_shards(docs: DataFrame, text: str = "text", shards: int = SHARD
     """All rows of ``docs`` as ``row`` in a seeded random order, cut into ``shards`` runs written as Parquet; returns what was written.
 
     Pass 1 scatters the rows into buckets of about ``bucket_bytes`` by a seeded hash of the
-    whole row; the number of buckets follows the size of the input, so a bucket fits in the
-    memory of a task. Copies of one whole row share a hash; a bucket that came out more than
+    whole row; the number of buckets follows the size of the input up to ``MAX_BUCKETS``, so a bucket fits in the
+    memory of a task (100 MB at 100 TB) and the places of the buckets can be broadcast: texts are shuffled once. Copies of one whole row share a hash; a bucket that came out more than
     twice too large is therefore split further by row number, and identical rows may go anywhere.
     Pass 2 puts the rows of a bucket in hash order, whatever order they arrived in, and
     Fisher-Yates shuffles them with a generator seeded by the bucket. Buckets stand one after
@@ -39,7 +41,7 @@ def shuffle_into_shards(docs: DataFrame, text: str = "text", shards: int = SHARD
     code = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.struct("*").alias("row"), code.alias("code"), text_size(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("at"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(-(-total // bucket_bytes), SPREAD * n_partitions(spark), shards)
+    buckets = max(min(-(-total // bucket_bytes), MAX_BUCKETS), SPREAD * n_partitions(spark), shards)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "code"), F.lit(buckets)))
 
     large = 2 * max(total / buckets, 1 << 20)
@@ -58,7 +60,7 @@ def shuffle_into_shards(docs: DataFrame, text: str = "text", shards: int = SHARD
     offsets = stored(plan.select(F.col("bucket").alias("b"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")),
                      "shard-offsets")
     count = plan.agg(F.sum("n")).first()[0] or 0
-    placed = attach(rows, offsets, (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")))
+    placed = attach(rows, offsets, (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")), max_rows=2 * MAX_BUCKETS)
 
     def fisher_yates(key: tuple[pa.Scalar, ...], bucket: pa.Table) -> pa.Table:
         order = np.lexsort((bucket.column("at").to_numpy(), bucket.column("code").to_numpy()))
