@@ -20,7 +20,7 @@ MIN_DOCS, TOP = 30, 50
 # Probabilities are whole parts of SCALE, each count raised by PRIOR.
 SCALE, PRIOR = 1_000_000_000, 5
 # Bytes of the first prefixes, and by what the length of prefixes grows from level to level.
-FIRST, GROWTH = 4, 3
+FIRST, GROWTH = 4, 6
 # Bits of the filter that tells tasks which prefixes are alive (2 MB); what passes by mistake is counted and falls out.
 BITS = 24
 # Bytes of counted prefixes that a task holds before it hands them on.
