@@ -96,6 +96,16 @@ def test_decontamination_stage(spark, folder):
     assert len(got) < len(rows)
 
 
+def test_short_passages_of_kept_documents_are_cut(spark, folder):
+    _, items = documents()
+    item, rest = items[0][1], " ".join(f"rest{i}" for i in range(600))
+    tail = (None, None, None, "x", "y", 1, 2, 3, "k", 4)
+    rows = [(1, f"{rest} {item.upper()}, {rest}", *tail), (2, rest, *tail), (3, f"{rest} {' '.join(item.split()[:12])} {rest}", *tail)]
+    _, got = run_stage(spark, folder, 2, rows)
+    assert {r[0]: r[1] for r in got} == {1: f"{rest} , {rest}", 2: rest, 3: rows[2][1]}
+    assert {r[0]: r[4] for r in got} == {1: len(rest) * 2 + 3, 2: None, 3: None}
+
+
 def test_mix_and_shard_stages(spark, folder):
     rows, _ = documents()
     columns, got = run_stage(spark, folder, 3, rows)
