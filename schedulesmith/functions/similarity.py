@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Vectors compared by one task at a time.
-BLOCK = 4096
-# Queries of one block, on average; more queries make more blocks.
-QUERY_BLOCK = 16_384
+from ..session import attach, settle, store
+
+# Corpus entries, and queries, of one block.
+BLOCK, QUERY_BLOCK = 4096, 8192
 # Pivots around which a large corpus is cut into cells.
 PIVOTS = 1024
+# Similarities that a task holds at a time; two that agree to so many digits are a tie.
+HELD, DIGITS = 1 << 22, 9
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -75,11 +77,31 @@ def _angles(vectors, pivots):
     return np.arccos(np.clip(vectors @ pivots.T / np.where(a * b == 0, 1.0, a * b), -1.0, 1.0))
 
 
+def _usable(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector is there and has only finite components."""
+    return vectors.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def _nearest_cell(pivots):
+    """Cell (nearest pivot by angle), the angle to it and the squared norm of each vector."""
+    import numpy as np
+
+    @F.pandas_udf("struct<cell:int,angle:double,norm:double>")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        rows = np.stack(vectors.to_numpy()).astype("float64")
+        angles = _angles(rows, pivots)
+        cell = angles.argmin(axis=1)
+        return pd.DataFrame({"cell": cell, "angle": angles[np.arange(len(cell)), cell], "norm": (rows ** 2).sum(axis=1)})
+
+    return nearest("vector")
+
+
 def _cells(corpus: DataFrame, corpus_id: str, block: int) -> tuple[DataFrame, list]:
     """The corpus with its cell and chunk, and per cell (pivot, radius, least squared norm, chunks).
 
     Cells are the surroundings of at most ``PIVOTS`` pivots, a sample that only shapes the cells:
-    every entry is in one. A cell of more than ``block`` entries is cut into chunks.
+    every entry is in one. A cell of more than ``block`` entries is cut into chunks. Cells are
+    found once and stored with the corpus.
     """
     import numpy as np
 
@@ -88,15 +110,7 @@ def _cells(corpus: DataFrame, corpus_id: str, block: int) -> tuple[DataFrame, li
     if not picked:
         return corpus.select("*", F.lit(0).alias("_cell"), F.lit(0).alias("_chunk")), [(None, 0.0, 0.0, 1)]
     pivots = np.array([r["vector"] for r in picked], "float64")
-
-    @F.pandas_udf("struct<cell:int,angle:double,norm:double>")
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        rows = np.stack(vectors.to_numpy()).astype("float64")
-        angles = _angles(rows, pivots)
-        cell = angles.argmin(axis=1)
-        return pd.DataFrame({"cell": cell, "angle": angles[np.arange(len(cell)), cell], "norm": (rows ** 2).sum(axis=1)})
-
-    placed = corpus.withColumn("_p", nearest("vector"))
+    placed = store(corpus.withColumn("_p", _nearest_cell(pivots)))
     sizes = {r["cell"]: r for r in placed.groupBy("_p.cell").agg(
         F.max("_p.angle").alias("radius"), F.min("_p.norm").alias("norm"), F.count("*").alias("n")).collect()}
     facts = [(pivots[i], sizes[i]["radius"], sizes[i]["norm"], -(-sizes[i]["n"] // block)) if i in sizes else (pivots[i], 0.0, 0.0, 0)
@@ -106,6 +120,40 @@ def _cells(corpus: DataFrame, corpus_id: str, block: int) -> tuple[DataFrame, li
     return out.drop("_p"), facts
 
 
+def _chain(pivots) -> list[int]:
+    """Pivots in an order in which each is followed by the nearest that is left."""
+    import numpy as np
+
+    angles = _angles(pivots, pivots)
+    order, left = [0], np.ones(len(pivots), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, angles[order[-1]], np.inf).argmin()))
+        left[order[-1]] = False
+    return order
+
+
+def _query_blocks(queries: DataFrame, query_id: str, facts: list, query_block: int) -> DataFrame:
+    """Queries with their block ``_q`` of about ``query_block``; queries of one block are near each other, so they need the same cells."""
+    import numpy as np
+
+    n = queries.count()
+    if n <= query_block:
+        return queries.withColumn("_q", F.lit(0))
+    if facts[0][0] is None:
+        return queries.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(-(-n // query_block))).cast("int"))
+    pivots = np.stack([f[0] for f in facts])
+    placed = queries.withColumn("_p", _nearest_cell(pivots)["cell"])
+    counts = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}
+    first, parts, upto = [0] * len(facts), [1] * len(facts), 0
+    for cell in _chain(pivots):
+        held = counts.get(cell, 0)
+        first[cell], upto = upto // query_block, upto + held
+        parts[cell] = max(0, upto - 1) // query_block - first[cell] + 1 if held else 1
+    at = lambda values: F.get(F.array(*[F.lit(x) for x in values]), F.col("_p"))
+    return placed.withColumn("_q", (at(first) + F.pmod(F.xxhash64(query_id), at(parts))).cast("int")).drop("_p")
+
+
 def _reachable(facts: list, min_similarity: float, metric: str):
     """The (cell, chunk) pairs that can hold an entry similar enough to a query vector.
 
@@ -130,24 +178,37 @@ def _reachable(facts: list, min_similarity: float, metric: str):
     return cells("vector")
 
 
-def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, k: int,
-                    min_similarity: float, metric: str = "cosine", best_per: str | None = None, block: int | None = None) -> DataFrame:
+def routed(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, min_similarity: float, metric: str = "cosine",
+           block: int | None = None, query_block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries and corpus entries by (_q, _cell, _chunk): block of queries, cell and chunk of the corpus.
+
+    A query is listed with each chunk that can hold an entry above the limit, by the triangle inequality of angles.
+    The distinct (block, chunk) pairs of all queries are the routes; a chunk of the corpus goes once along
+    each of its routes and nowhere else, so the rows shuffled depend on the data and not on the number of partitions.
+    """
+    celled, facts = _cells(corpus, corpus_id, block or BLOCK)
+    blocked = _query_blocks(queries, query_id, facts, query_block or QUERY_BLOCK)
+    left = blocked.select(F.col(query_id), F.col("vector"), "_q", F.inline(_reachable(facts, min_similarity, metric)))
+    routes = settle(left.select("_q", "_cell", "_chunk").distinct())
+    return left, attach(celled, routes, ["_cell", "_chunk"])
+
+
+def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, k: int, min_similarity: float,
+                    metric: str = "cosine", best_per: str | None = None, block: int | None = None, query_block: int | None = None) -> DataFrame:
     """Exact top ``k`` corpus entries per query by vector similarity.
 
-    Both inputs carry ``vector``. The corpus is cut into cells around pivots; a query goes only
-    to the cells that can hold an entry above the limit by the triangle inequality of angles.
-    Queries and cells are compared in blocks by matrix products that return at most ``k`` entries
+    Both inputs carry ``vector``; rows whose vector is null or has a null or non-finite component match nothing.
+    The corpus is cut into cells around pivots and the queries into blocks of near ones; ``routed`` brings
+    together what can match. Blocks are compared by matrix products that return at most ``k`` entries
     per query, so no task holds more than two blocks at a time and candidate pairs are never
     written out. ``metric="cosine"`` keeps similarities of at least ``min_similarity``;
     ``metric="l2"`` uses ``max(0, 1 - d/2)`` of the squared distance and keeps those above it.
-    ``best_per`` names a corpus column of which only the best entry per value counts.
+    ``best_per`` names a corpus column of which only the best entry per value counts. Similarities that
+    agree to ``DIGITS`` digits are ties; the smaller id comes first.
     """
-    spark = queries.sparkSession
-    n_queries = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-queries.count() // QUERY_BLOCK))
     group = best_per or "_own"
     if best_per is None:
         corpus = corpus.withColumn("_own", F.col(corpus_id))
-    celled, facts = _cells(corpus, corpus_id, block or BLOCK)
 
     def field(df: DataFrame, name: str) -> str:
         return f"{name} {df.schema[name].dataType.simpleString()}"
@@ -155,13 +216,9 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
     schema = ", ".join([field(queries, query_id), field(corpus, corpus_id), "similarity double"])
     if best_per:
         schema += ", " + field(corpus, best_per)
-
-    left = queries.select(
-        F.col(query_id), F.col("vector"), F.pmod(F.xxhash64(query_id), F.lit(n_queries)).cast("int").alias("_q"),
-        F.inline(_reachable(facts, min_similarity, metric)))
-    right = celled.select(
-        F.col(corpus_id), F.col(group), F.col("vector").alias("vector"), "_cell", "_chunk",
-        F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("_q"))
+    left, right = routed(_usable(queries), _usable(corpus), query_id, corpus_id, min_similarity, metric, block, query_block)
+    # Aliases, since both sides may come from one table.
+    right = right.select(*[F.col(c).alias(c) for c in dict.fromkeys((corpus_id, group, "vector", "_cell", "_chunk", "_q"))])
 
     def compare(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -175,8 +232,9 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
         ids, groups = cs[corpus_id].to_numpy(), cs[group].to_numpy()
         members = [np.flatnonzero(groups == g) for g in pd.unique(groups)] if best_per else None
         parts = []
-        for start in range(0, len(qs), BLOCK):
-            part = qs.iloc[start:start + BLOCK]
+        step = max(1, HELD // len(cs))
+        for start in range(0, len(qs), step):
+            part = qs.iloc[start:start + step]
             q = np.stack(part["vector"].to_numpy()).astype("float64")
             dots = q @ c.T
             if metric == "cosine":
@@ -186,9 +244,9 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
                 sims = np.maximum(0.0, 1.0 - ((q ** 2).sum(1)[:, None] + (c ** 2).sum(1)[None, :] - 2 * dots) / 2.0)
             at = np.tile(np.arange(len(ids)), (len(part), 1))
             if members:
-                at = np.stack([m[np.argmax(sims[:, m], axis=1)] for m in members], axis=1)
+                at = np.stack([m[np.argmax(np.round(sims[:, m], DIGITS), axis=1)] for m in members], axis=1)
                 sims = np.take_along_axis(sims, at, axis=1)
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            top = np.argsort(-np.round(sims, DIGITS), axis=1, kind="stable")[:, :k]
             sims, at = np.take_along_axis(sims, top, axis=1), np.take_along_axis(at, top, axis=1)
             keep = sims >= min_similarity if metric == "cosine" else sims > min_similarity
             row, col = np.nonzero(keep)
@@ -199,10 +257,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
         return pd.concat(parts)
 
     hits = left.groupBy("_q", "_cell", "_chunk").cogroup(right.groupBy("_q", "_cell", "_chunk")).applyInPandas(compare, schema)
+    order = [F.desc(F.round("similarity", DIGITS)), F.col(corpus_id)]
     if best_per:
-        best = F.max(F.struct("similarity", (-F.col(corpus_id)).alias("neg")))
-        hits = hits.groupBy(query_id, best_per).agg(best.alias("_b")).select(
-            query_id, (-F.col("_b.neg")).cast(corpus.schema[corpus_id].dataType).alias(corpus_id),
-            "_b.similarity", best_per)
-    order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), corpus_id)
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy(query_id, best_per).orderBy(*order))).where("_r = 1").drop("_r")
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).where(F.col("rank") <= k)
