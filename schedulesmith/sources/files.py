@@ -1,27 +1,23 @@
 """File listing, extension gate, mixed folders and CSV files.
 
-Every listed file ends up either in rows or among the bad files: readers report what they
-cannot read, and a sheet's rows leave the task only after the whole sheet was parsed. Files
-of no bytes are not listed by Spark and so appear nowhere.
+Every listed file ends up in exactly one of three places: rows and sheets, bad files, or empty files. Readers
+report what they cannot read, and a sheet's rows leave the task only if the whole sheet can be parsed.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import itertools
-import pickle
 import re
 import sys
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import is_small, settle
+from ..session import settle
 
 SUPPORTED = ["xlsx", "xls", "csv"]
 
@@ -51,9 +47,15 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return gate_files(_listing(spark, path).select(F.col("file_id").alias("path"), "length"))
 
 
+def _names(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Names of all files, in the spelling of the file metadata."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return [re.sub("^file:/+", "file:/", name) for name in files.inputFiles()]
+
+
 def _listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("_metadata.file_path").alias("file_id"), "length")
+    return files.select(F.col("_metadata.file_path").alias("file_id"), "path", "length")
 
 
 def _parsed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -62,10 +64,20 @@ def _parsed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
 
 
+def empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files of no bytes, which Spark's readers pass over, as error records.
+
+    Spark's own listing names them; it holds the names of all files on the driver for any read.
+    """
+    names = spark.createDataFrame([(name,) for name in _names(spark, path)], "file_id string")
+    empty = names.join(_listing(spark, path).select("file_id"), "file_id", "left_anti")
+    return _parsed(empty, file_id=F.col("file_id"), error=F.lit("Failed to read file: the file is empty."))
+
+
 def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All files of a mixed folder, each by the reader of its type.
 
-    A file of a type that no reader takes becomes an error record, so ``sheets`` and
+    A file of a type that no reader takes, and one of no bytes, becomes an error record, so ``sheets`` and
     ``bad_files`` of the result together name every file. Parse once and store the result.
     """
     from .workbook import read_workbooks
@@ -74,51 +86,70 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     others = list_files(spark, path).where(~ext.isin("xlsx", "csv"))
     unread = F.concat(F.lit("Failed to read file: no reader for '."), ext, F.lit("' files; save it as .xlsx or .csv."))
     refused = _parsed(others, file_id=F.col("path"), error=F.coalesce("error", unread))
-    return read_workbooks(spark, path).unionByName(read_csv_files(spark, path)).unionByName(refused)
+    return read_workbooks(spark, path).unionByName(read_csv_files(spark, path)).unionByName(refused).unionByName(empty_files(spark, path))
+
 
+def ingest(spark: SparkSession, path: str | list[str], out: str) -> tuple[DataFrame, DataFrame]:
+    """Parses a folder once into ``out`` (Parquet) and reconciles what became of its files.
 
-def read_parsed(spark: SparkSession, path: str | list[str], ext: str, parse) -> DataFrame:
+    The counts are metrics observed by the write itself, so they hold for what was written and cost no pass.
+    Returns the parsed records and one row: files_listed (by the listing), files_read, files_refused, files_empty,
+    sheets_read, sheets_refused, rows_written, and reconciled: every listed file was read, refused or empty.
+    A file counts as read if one of its sheets was reached, even a broken one.
+    """
+    is_sheet = F.col("row_idx").isNull() & F.col("sheet_name").isNotNull()
+    failed = F.col("error").isNotNull()
+    empty = failed & F.col("error").endswith("the file is empty.")
+    count = lambda c: F.count(F.when(c, 1))
+    seen = Observation()
+    parsed = read_files(spark, path).observe(
+        seen, count(is_sheet & (F.col("sheet_pos") == 0)).alias("files_read"), count(failed & F.col("sheet_name").isNull() & ~empty).alias("files_refused"),
+        count(empty).alias("files_empty"), count(is_sheet & ~failed).alias("sheets_read"), count(is_sheet & failed).alias("sheets_refused"),
+        count(F.col("row_idx").isNotNull()).alias("rows_written"))
+    parsed.write.mode("overwrite").parquet(out)
+    found = {"files_listed": len(_names(spark, path)), **seen.get}
+    names = ["files_listed", "files_read", "files_refused", "files_empty", "sheets_read", "sheets_refused", "rows_written"]
+    totals = spark.createDataFrame([tuple(int(found[n]) for n in names)], ", ".join(f"{n} long" for n in names))
+    reconciled = F.col("files_listed") == F.col("files_read") + F.col("files_refused") + F.col("files_empty")
+    return spark.read.schema(PARSED_SCHEMA).parquet(out), totals.withColumn("reconciled", reconciled)
+
+
+def read_parsed(spark: SparkSession, path: str | list[str], ext: str, parse, max_bytes: int | None = None) -> DataFrame:
     """Parse every ``.ext`` file as a whole, files spread over the tasks.
 
     ``parse(file_id, content)`` yields ``PARSED_SCHEMA`` tuples, the rows of a sheet before the
-    sheet's own record. Rows are spooled until that record arrives, so a sheet that fails half
-    way leaves its error only; an exception becomes an error record of the file (S4).
+    sheet's own record. A first run tells which sheets can be read to their end, a second one hands on the
+    rows of these, so a sheet that fails half way leaves its error only and no rows are held; an exception becomes
+    an error record of the file (S4).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
     files = files.select(F.col("_metadata.file_path").alias("path"), "content").where(extension(F.col("path")) == ext)
     columns = [c.split()[0] for c in PARSED_SCHEMA.split(", ")]
 
     def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=columns).astype({"sheet_pos": "Int32", "row_idx": "Int64"})
 
-    def whole_sheets(file_id: str, content: bytes) -> Iterator[list]:
-        with tempfile.SpooledTemporaryFile(max_size=64 << 20) as spool:
-            held: list = []
-            for row in parse(file_id, content):
-                if row[3] is not None:  # a row of the sheet
-                    held.append(row)
-                    if len(held) >= BATCH:
-                        pickle.dump(held, spool)
-                        held = []
-                    continue
-                if row[7] is None:  # the sheet is complete
-                    end = spool.tell()
-                    spool.seek(0)
-                    while spool.tell() < end:
-                        yield pickle.load(spool)
-                    yield held
-                yield [row]
+    def whole_sheets(file_id: str, content: bytes) -> Iterator[pd.DataFrame]:
+        ends = {row[2]: row for row in parse(file_id, content) if row[3] is None}
+        held: list = []
+        for row in parse(file_id, content):
+            if row[3] is None:
+                held.append(ends[row[2]])
+            elif ends[row[2]][7] is None:
+                held.append(row)
+            if len(held) >= BATCH:
+                yield frame(held)
                 held = []
-                spool.seek(0)
-                spool.truncate()
+        if held:
+            yield frame(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file_id, content in zip(batch["path"], batch["content"]):
                 try:
-                    for rows in whole_sheets(file_id, bytes(content)):
-                        if rows:
-                            yield frame(rows)
+                    yield from whole_sheets(file_id, bytes(content))
                 except Exception as e:  # noqa: BLE001 - any unreadable file is reported, not fatal
                     yield frame([(file_id, None, None, None, None, None, None, f"Failed to read file: {e}")])
 
@@ -149,173 +180,67 @@ def bad_files(parsed: DataFrame, gated: DataFrame | None = None) -> DataFrame:
 
 # --- CSV --------------------------------------------------------------------------------
 
-# A record longer than this means a quote that is never closed: the file is reported, not read.
-MAX_RECORD = 256 << 20
-_FIELD = rb'(?:"[^"]*+(?:""[^"]*+)*+"[^,\r]*+|(?!")[^,\r]*+)'
-_OPEN_LINE = re.compile(_FIELD + rb"(?:[,\r]" + _FIELD + rb")*+")
-_QUOTED_LINE = re.compile(rb'[^"]*+(?:""[^"]*+)*+"[^,\r]*+(?:[,\r]' + _FIELD + rb")*+")
-_BOM = b"\xef\xbb\xbf"
+# Files of up to this size are parsed whole in a task, larger ones by Spark's CSV reader.
+MAX_CSV_BYTES = 128 << 20
+# Columns of a larger file; a record with more makes the file a bad one.
+MAX_CSV_COLUMNS = 512
 
 
-def _records(lines: Iterator[str]) -> Iterator[list[str]]:
-    """Non-empty records of CSV text given line by line; a lone carriage return ends a line too."""
+def _parse_csv(file_id: str, content: bytes) -> Iterator[tuple]:
+    """Records of a file in UTF-8, or Latin-1 if it is not that; empty records are left out."""
     csv.field_size_limit(sys.maxsize)
-    pieces = (p for line in lines for p in (re.findall(r"[^\r]*\r\n?|[^\r]+", line) if "\r" in line[:-2] else [line]))
-    return (cells for cells in csv.reader(pieces) if cells)
-
-
-def _step(line: bytes, quoted: bool) -> tuple[bool, int]:
-    """Whether the line, begun inside quotes or not, ends inside quotes, and how many records start in it."""
-    ends_quoted = quoted if b'"' not in line else not (_QUOTED_LINE if quoted else _OPEN_LINE).fullmatch(line)
-    body = line[:-1] if line.endswith(b"\r") else line
-    if b"\r" in body:
-        text = ('"' if quoted else "") + line.decode("latin-1") + "\n"
-        return ends_quoted, sum(1 for _ in _records(iter([text]))) - quoted
-    return ends_quoted, int(bool(body) and not quoted)
-
-
-def _by_split(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[tuple, Iterator[bytes]]]:
-    """(file, split start, further columns) and the lines of every split of a task."""
-    rows = (row for batch in batches for row in zip(*[batch.column(i).to_pylist() for i in range(3 + extra)]))
-    for key, group in itertools.groupby(rows, key=lambda r: r[:2]):
-        first = next(group)
-        lines = (r[2] for r in itertools.chain([first], group))
-        if key[1] == 0:
-            head = next(lines)
-            lines = itertools.chain([head[3:] if head.startswith(_BOM) else head], lines)
-        yield (*key, *first[3:]), lines
-
-
-def _scan_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    for (file_id, block), lines in _by_split(batches):
-        quoted, rows = [False, True], [0, 0]  # begun outside and inside quotes
-        head_rows = head_bytes = 0
-        head = utf8 = True
-        for line in lines:
-            steps = [_step(line, q) for q in (quoted if quoted[0] != quoted[1] else quoted[:1])]
-            quoted = [steps[0][0], steps[-1][0]]
-            rows = [rows[0] + steps[0][1], rows[1] + steps[-1][1]]
-            if head:
-                head_bytes += len(line) + 1
-                head_rows = rows[1]
-                head = quoted[1]
-            if utf8 and not line.isascii():
-                try:
-                    line.decode("utf-8")
-                except UnicodeDecodeError:
-                    utf8 = False
-        yield pa.RecordBatch.from_pylist([{
-            "file_id": file_id, "block": block, "ends": quoted, "rows": rows, "head_rows": head_rows, "head_bytes": head_bytes,
-            "head_open": head, "utf8": utf8}], _SPLIT_ARROW)
-
-
-_SPLIT_ARROW = pa.schema([
-    ("file_id", pa.string()), ("block", pa.int64()), ("ends", pa.list_(pa.bool_())), ("rows", pa.list_(pa.int64())), ("head_rows", pa.int64()),
-    ("head_bytes", pa.int64()), ("head_open", pa.bool_()), ("utf8", pa.bool_())])
-_SPLIT_SCHEMA = ("file_id string, block bigint, ends array<boolean>, rows array<bigint>, head_rows bigint, head_bytes bigint, "
-                 "head_open boolean, utf8 boolean")
-
-
-def _chain_splits(splits: pd.DataFrame) -> pd.DataFrame:
-    """What each split of one file begins with: inside quotes or not, and with which record number."""
-    splits = splits.sort_values("block")
-    quoted, start, run, longest, out = False, 0, 0, 0, []
-    for s in splits.itertuples():
-        run = run + s.head_bytes if quoted else 0
-        longest = max(longest, run)
-        out.append((s.file_id, s.block, quoted, start + (s.head_rows if quoted else 0), bool(s.ends[int(quoted)])))
-        start += int(s.rows[int(quoted)])
-        if not s.head_open:
-            run = 0
-        quoted = bool(s.ends[int(quoted)])
-    done = pd.DataFrame(out, columns=["file_id", "block", "quoted", "start", "open_end"])
-    return done.assign(utf8=bool(splits["utf8"].all()), too_long=longest > MAX_RECORD)
-
-
-def read_csv_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV files of any size as sheets of text rows, headerless, quoted line breaks kept.
-
-    Files are read in splits. Whether a line starts inside quotes depends on all lines before it,
-    so every split is first scanned for both cases; chaining the few facts per split of a file
-    tells how each really starts and which record number it starts with. A record belongs to the
-    split it starts in, which gets the first lines of the next splits if it runs on. Small
-    and huge files, split or not, give the same rows. A file is UTF-8 if all its lines are.
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    records = (cells for cells in csv.reader(io.StringIO(text, newline="")) if cells)
+    for i, cells in enumerate(records):
+        yield (file_id, "Sheet1", 0, i, [c or None for c in cells], ["s"] * len(cells), None, None)
+    yield (file_id, "Sheet1", 0, None, None, None, [], None)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the records of each file, which follow each other; cells after the last filled one are not part of a record."""
+    last, at = None, 0
+    for batch in batches:
+        files, cells = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        places, values = [], []
+        for file_id, row in zip(files, cells):
+            last, at = file_id, at + 1 if file_id == last else 0
+            size = next((i for i in range(len(row), 0, -1) if row[i - 1] is not None), 0)
+            places.append(at)
+            values.append(row[:size])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(places, pa.int64()), pa.array(values, pa.list_(pa.string()))], ["file_id", "row_idx", "values"])
+
+
+def read_large_csv(spark: SparkSession, paths: list[str], max_columns: int = MAX_CSV_COLUMNS) -> DataFrame:
+    """CSV files of any size as (file_id, row_idx, values), by Spark's reader: one file is read as a stream in one task, in UTF-8."""
+    names = [f"c{i}" for i in range(max_columns + 1)]
+    read = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(paths, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+    return read.select(F.col("_metadata.file_path").alias("file_id"), F.array(*names).alias("values")).mapInArrow(
+        _numbered, "file_id string, row_idx bigint, values array<string>")
+
+
+def read_csv_files(spark: SparkSession, path: str | list[str], max_bytes: int = MAX_CSV_BYTES, max_columns: int = MAX_CSV_COLUMNS) -> DataFrame:
+    """CSV files as sheets of text rows, headerless, quoted line breaks kept.
+
+    Files of up to ``max_bytes`` are parsed whole, each in one task. Larger ones go through Spark's CSV reader; there a
+    record of more than ``max_columns`` cells makes the file a bad one, and empty cells at the end of a record are dropped.
     """
-    meta = F.col("_metadata")
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
-        meta["file_path"].alias("file_id"), meta["file_block_start"].alias("block"), F.col("value").cast("binary").alias("line"))
-    lines = lines.where(extension(F.col("file_id")) == "csv")
-    scanned = lines.mapInArrow(_scan_splits, _SPLIT_SCHEMA)
-    states = settle(scanned.groupBy("file_id").applyInPandas(
-        _chain_splits, "file_id string, block bigint, quoted boolean, start bigint, open_end boolean, utf8 boolean, too_long boolean"))
-    bad = states.where("too_long").select("file_id").distinct()
-    good = states.where("not too_long").drop("too_long")
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file_id, block), part in _by_split(batches):
-            quoted, taken = True, []
-            for line in part:
-                if quoted:
-                    taken.append(line)
-                    quoted, _ = _step(line, quoted)
-            yield pa.RecordBatch.from_pylist([{"file_id": file_id, "block": block, "head": b"\n".join(taken) + b"\n", "through": quoted}])
-
-    at = ["file_id", "block"]
-    inside = good.where("quoted").select(*at)
-    if inside.limit(1).count():
-        head = _with_state(lines, inside).mapInArrow(heads, "file_id string, block bigint, head binary, through boolean")
-        tails = good.select(*at, "open_end").join(settle(head), at, "left").groupBy("file_id").applyInPandas(
-            _tails, "file_id string, block bigint, tail binary")
-        good = good.join(tails, at, "left")
-    else:
-        good = good.withColumn("tail", F.lit(None).cast("binary"))
-    states = settle(good.select(*at, "quoted", "start", "utf8", "tail"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file_id, _, quoted, start, utf8, tail), part in _by_split(batches, extra=4):
-            while quoted and (line := next(part, None)) is not None:
-                quoted, _ = _step(line, True)
-            if quoted:  # all of it belongs to a record of an earlier split
-                continue
-            more = [x for x in (tail or b"").split(b"\n")][:-1]
-            text = ((x + b"\n").decode("utf-8" if utf8 else "latin-1") for x in itertools.chain(part, more))
-            numbered = enumerate(_records(text), start)
-            while held := list(itertools.islice(numbered, BATCH)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file_id] * len(held)), pa.array([i for i, _ in held], pa.int64()),
-                     pa.array([[c or None for c in cells] for _, cells in held], pa.list_(pa.string()))], ["file_id", "row_idx", "values"])
-
-    read = _with_state(lines, states).mapInArrow(rows, "file_id string, row_idx bigint, values array<string>")
+    small = read_parsed(spark, path, "csv", _parse_csv, max_bytes)
+    large = _listing(spark, path).where((extension(F.col("file_id")) == "csv") & (F.col("length") > max_bytes)).select("path").collect()
+    if not large:
+        return small
+    rows = read_large_csv(spark, [r["path"] for r in large], max_columns)
+    wide = settle(rows.groupBy("file_id").agg(F.max(F.size("values")).alias("width")))
+    bad = wide.where(F.col("width") > max_columns).select("file_id")
+    good = wide.where(F.col("width") <= max_columns).select("file_id")
     sheet = {"sheet_name": F.lit("Sheet1"), "sheet_pos": F.lit(0)}
-    files = _listing(spark, path).where(extension(F.col("file_id")) == "csv")
-    failed = F.lit("Failed to read file: a quote is never closed.")
     return (
-        _parsed(read, file_id=F.col("file_id"), row_idx=F.col("row_idx"), values=F.col("values"),
-                types=F.transform("values", lambda _: F.lit("s")), **sheet)
-        .unionByName(_parsed(files.join(bad, "file_id", "left_anti"), file_id=F.col("file_id"), merges=F.array(), **sheet))
-        .unionByName(_parsed(bad, file_id=F.col("file_id"), error=failed))
+        small
+        .unionByName(_parsed(rows.join(F.broadcast(good), "file_id"), file_id=F.col("file_id"), row_idx=F.col("row_idx"), values=F.col("values"),
+                             types=F.transform("values", lambda _: F.lit("s")), **sheet))
+        .unionByName(_parsed(good, file_id=F.col("file_id"), merges=F.array(), **sheet))
+        .unionByName(_parsed(bad, file_id=F.col("file_id"), error=F.lit(f"Failed to read file: a record has more than {max_columns} cells.")))
     )
-
-
-def _with_state(lines: DataFrame, states: DataFrame) -> DataFrame:
-    """Lines with the facts of their split, still in file order."""
-    at = ["file_id", "block"]
-    if is_small(states):
-        return lines.join(F.broadcast(states), at).select(*lines.columns, *[c for c in states.columns if c not in at])
-    ordered = lines.withColumn("_at", F.monotonically_increasing_id()).join(states, at)
-    return ordered.repartition(*at).sortWithinPartitions(*at, "_at").select(*lines.columns, *[c for c in states.columns if c not in at])
-
-
-def _tails(splits: pd.DataFrame) -> pd.DataFrame:
-    """For splits of one file that end inside a record: the rest of that record, from the splits after."""
-    splits = splits.sort_values("block").reset_index(drop=True)
-    out = []
-    for i, s in splits.iterrows():
-        tail = b""
-        if s["open_end"]:
-            for _, n in splits.iloc[i + 1:].iterrows():
-                tail += n["head"] or b""
-                if not n["through"]:
-                    break
-        out.append((s["file_id"], s["block"], tail or None))
-    return pd.DataFrame(out, columns=["file_id", "block", "tail"])

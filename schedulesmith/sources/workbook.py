@@ -106,40 +106,58 @@ def _parse_sheet(stream, strings: list[str], date_styles: set[int], epoch_1904:
         node.clear()
 
 
-def _parse_workbook(file_id: str, content: bytes):
-    import io
+def _sheets(archive) -> list[tuple[int, str, str]]:
+    """(position, name, member of the archive) of every sheet."""
     import posixpath
     import xml.etree.ElementTree as ET
+
+    book = ET.fromstring(archive.read("xl/workbook.xml"))
+    rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+    found = []
+    for pos, sheet in enumerate(book.iter(_MAIN + "sheet")):
+        target = rels.get(sheet.get(_REL + "id"), "")
+        found.append((pos, sheet.get("name"), target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))))
+    return found
+
+
+def _context(archive) -> tuple[list[str], set[int], bool]:
+    """Shared strings, styles that show dates, and whether dates count from 1904."""
+    import xml.etree.ElementTree as ET
+
+    strings = []
+    if "xl/sharedStrings.xml" in archive.namelist():
+        root = ET.fromstring(archive.read("xl/sharedStrings.xml"))
+        strings = [_texts(si) for si in root.findall(_MAIN + "si")]
+    props = ET.fromstring(archive.read("xl/workbook.xml")).find(_MAIN + "workbookPr")
+    return strings, _date_styles(archive), props is not None and props.get("date1904") in ("1", "true")
+
+
+def _sheet_records(archive, file_id: str, sheet: tuple[int, str, str], context: tuple):
+    """Rows of one sheet, then its own record with merged ranges, or with the error that ended it."""
+    pos, name, member = sheet
+    merges = []
+    try:
+        with archive.open(member) as stream:
+            for item in _parse_sheet(stream, *context):
+                if item[0] == "merge":
+                    merges.append(item[1])
+                else:
+                    _, row_at, values, types = item
+                    yield (file_id, name, pos, row_at, values, types, None, None)
+    except Exception as e:  # noqa: BLE001 - one unreadable sheet does not lose the others
+        yield (file_id, name, pos, None, None, None, None, f"Failed to read sheet: {e}")
+        return
+    yield (file_id, name, pos, None, None, None, merges, None)
+
+
+def _parse_workbook(file_id: str, content: bytes):
+    import io
     import zipfile
 
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        names = set(archive.namelist())
-        book = ET.fromstring(archive.read("xl/workbook.xml"))
-        rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
-        strings = []
-        if "xl/sharedStrings.xml" in names:
-            root = ET.fromstring(archive.read("xl/sharedStrings.xml"))
-            strings = [_texts(si) for si in root.findall(_MAIN + "si")]
-        date_styles = _date_styles(archive)
-        props = book.find(_MAIN + "workbookPr")
-        epoch_1904 = props is not None and props.get("date1904") in ("1", "true")
-        for pos, sheet in enumerate(book.iter(_MAIN + "sheet")):
-            name = sheet.get("name")
-            target = rels.get(sheet.get(_REL + "id"), "")
-            member = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-            merges = []
-            try:
-                with archive.open(member) as stream:
-                    for item in _parse_sheet(stream, strings, date_styles, epoch_1904):
-                        if item[0] == "merge":
-                            merges.append(item[1])
-                        else:
-                            _, row_at, values, types = item
-                            yield (file_id, name, pos, row_at, values, types, None, None)
-            except Exception as e:  # noqa: BLE001 - one unreadable sheet does not lose the others
-                yield (file_id, name, pos, None, None, None, None, f"Failed to read sheet: {e}")
-                continue
-            yield (file_id, name, pos, None, None, None, merges, None)
+        context = _context(archive)
+        for sheet in _sheets(archive):
+            yield from _sheet_records(archive, file_id, sheet, context)
 
 
 def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -148,6 +166,6 @@ def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     The rows of a sheet count once the whole sheet was read; one that fails half way leaves an error.
 
     Parse once and store the result; sheets hold at most 1,048,576 rows, so a file is a
-    bounded unit of work.
+    bounded unit of work. ``workbook_source`` reads sheet by sheet.
     """
     return read_parsed(spark, path, "xlsx", _parse_workbook)
