@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fixed, in_list, let, looks_numeric, rounded, strip
 from ..schema import KEYS, TARGET_FIELDS, TARGET_SYNONYMS, TOTAL_WORDS
@@ -476,13 +477,52 @@ def merged_range_names(ranges: DataFrame) -> DataFrame:
 # --- several sheets ---------------------------------------------------------------------
 
 def concat_sheets(frames: list[DataFrame]) -> DataFrame:
-    """Union of sheet tables over the union of their columns."""
+    """Union of a few tables over the union of their columns (S6); ``concat_records`` takes any number of sheets."""
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
 
 
+def concat_records(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """All sheets as one table over the union of their columns, each row with its sheet as lineage.
+
+    ``rows(keys, row_idx, values)``, ``names(keys, col_idx, source_column)``, names distinct within a sheet. Columns
+    come in the order of their first position, then by name; a column that a sheet lacks is null.
+
+    A row becomes an object of its named values, read back with the merged schema of all sheets, so the plan is
+    the same for one family of columns and for thousands: one narrow pass after the names are attached. Only the
+    distinct names, which are the schema of the result, come to the driver.
+    """
+    merged = names.groupBy("source_column").agg(F.min("col_idx").alias("at")).orderBy("at", "source_column").collect()
+    schema = T.StructType([T.StructField(r["source_column"], T.StringType()) for r in merged])
+    if not merged:
+        return rows.select(*KEYS, "row_idx")
+    packed = names.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("col_idx", "source_column"))).alias("_names"))
+    named = attach(rows.select(*KEYS, "row_idx", "values"), packed, KEYS)
+    pairs = F.transform("_names", lambda c: F.struct(c["source_column"], F.get("values", c["col_idx"])))
+    filled = F.map_from_entries(F.filter(pairs, lambda p: p["col2"].isNotNull()))
+    read = named.select(*KEYS, "row_idx", F.from_json(F.to_json(filled), schema).alias("_row"))
+    return read.select(*KEYS, "row_idx", *[F.col("_row").getField(f.name).alias(f.name) for f in schema])
+
+
+# --- one row per record, one column per field -------------------------------------------
+
+def wide_by_field(cells: DataFrame, fields: list[str], field: str = "target", value: str = "value") -> DataFrame:
+    """Long cells -> one row per record with a column per field.
+
+    ``fields`` are given, so Spark need not read the data once more for the distinct values. Of several cells of
+    one record and field the least value counts. A record without any of the fields has a row of nulls.
+    """
+    return cells.groupBy(*KEYS, "row_idx").pivot(field, fields).agg(F.min(value))
+
+
+def long_by_field(wide: DataFrame, fields: list[str], field: str = "target", value: str = "value") -> DataFrame:
+    """Wide records -> long cells, null cells left out (R20); a narrow plan."""
+    columns = [F.col(f"`{f}`") for f in fields]
+    return wide.unpivot([*KEYS, "row_idx"], columns, field, value).where(F.col(value).isNotNull())
+
+
 def column_lineage(names: DataFrame) -> DataFrame:
     """Sheets of a file that carry each source column (S6); groups hold sheets of one file."""
     return names.groupBy("file_id", "source_column").agg(F.array_sort(F.collect_set("sheet_name")).alias("sheets"))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from schedulesmith.operators import structure as s
 from schedulesmith.operators import transform as t
-from schedulesmith.schema import KEYS, TOTAL_WORDS
+from schedulesmith.schema import KEYS, TARGET_FIELDS, TOTAL_WORDS
 from schedulesmith.session import settle, store
 
 from . import duck as d
-from .inputs import RAW_DUCK, ROWS_DUCK, duck_sql, raw, rows, spark_sql
+from .inputs import MAPPED_DUCK, RAW_DUCK, ROWS_DUCK, duck_sql, mapped, raw, rows, spark_sql
 
 Q, SQL = {}, {}
 
@@ -231,6 +231,30 @@ add("concat_sheets",
         raw(spark, sf).where("file_id <> 'F'").select(*KEYS, "row_idx", "building_raw", "zip_raw")]),
     f"""select {K}, row_idx, ref_raw, building_raw, null as zip_raw from ({RAW_DUCK}) where file_id = 'F'
       union all select {K}, row_idx, null, building_raw, zip_raw from ({RAW_DUCK}) where file_id <> 'F'""")
+# Sheets of 500 families of columns, each with columns of its own.
+FAMILIES = """select 'orders' as file_id, concat('family ', cast(o_orderkey % 500 as string)) as sheet_name, o_orderkey as row_idx, cast(o_orderkey % 500 as int) as family,
+  o_orderstatus as common, case when o_orderkey % 7 = 0 then null else cast(o_custkey as string) end as own, concat(o_orderpriority, ' "quoted" ', cast(o_custkey as string)) as shared from {orders}"""
+
+
+def families(spark, sf):
+    data = spark_sql(spark, sf, FAMILIES)
+    rows = data.select(*KEYS, "row_idx", F.array("common", "own", "shared").alias("values"))
+    own = F.array(F.lit("Common"), F.concat(F.lit("a"), "family"), F.concat(F.lit("b"), (F.col("family") % 50).cast("string")))
+    names = data.select(*KEYS, "family").distinct().select(*KEYS, F.posexplode(own).alias("col_idx", "source_column"))
+    wide = s.concat_records(rows, names)
+    columns = [F.col(f"`{c}`") for c in wide.columns[3:]]
+    return wide.select("sheet_name", "row_idx", F.lit(len(columns)).alias("n_columns"), F.to_json(F.struct(*columns)).alias("record"))
+
+
+add("concat_families", families,
+    f"""with f as materialized ({duck_sql(FAMILIES)}), n as (select 1 + count(distinct family) + count(distinct family % 50) as n_columns from f)
+      select sheet_name, row_idx, n_columns::int as n_columns, concat('{{"Common":"', common, '"', case when own is not null then concat(',"a', family, '":"', own, '"') end,
+        ',"b', family % 50, '":', to_json(shared), '}}') as record from f, n""")
+# Long cells to one column per field and back.
+add("wide_by_field", lambda spark, sf: s.wide_by_field(s.long_by_field(mapped(spark, sf), TARGET_FIELDS), TARGET_FIELDS), MAPPED_DUCK)
+add("long_by_field",
+    lambda spark, sf: s.long_by_field(s.wide_by_field(s.long_by_field(mapped(spark, sf), TARGET_FIELDS), TARGET_FIELDS), TARGET_FIELDS),
+    f"select file_id, sheet_name, row_idx, target, value from (unpivot ({MAPPED_DUCK}) on " + ", ".join(f'"{f}"' for f in TARGET_FIELDS) + " into name target value value)")
 add("coalesce_sources",
     lambda spark, sf: t.coalesce_sources(
         raw(spark, sf).select("row_idx", "building_raw", "contents_raw", "bi_raw", "city_raw"),
