@@ -87,6 +87,62 @@ def column_profiles(values: DataFrame, keys: list[str], current_year: int) -> Da
     )
 
 
+# --- profiles that merge ------------------------------------------------------------------
+
+# Size of the sketches of distinct values (2^LG_K registers of a byte at most) and the error of their estimates:
+# one standard deviation of a union is 1.04 / sqrt(2^LG_K); ERROR_SIGMAS of them are taken as the bound.
+LG_K, ERROR_SIGMAS = 12, 4
+
+
+def profile_parts(values: DataFrame, keys: list[str], current_year: int, lg_k: int = LG_K) -> DataFrame:
+    """Mergeable profile state per ``keys``: counts, sums, extremes and a sketch of the distinct values.
+
+    Every cell is tested where it is read and added up in the task, so one row per task and key is shuffled
+    and no cell. Keep these rows per file; ``merge_profiles`` adds them up for any coarser key, and a new file
+    only needs its own pass.
+    """
+    v = F.col("_v")
+    num = number(v, "$,", parens="minus")
+    tested = values.select(*keys, F.nullif(strip(F.col("value")), F.lit("")).alias("_v")).select(
+        *keys, v.alias("_v"), num.alias("_num"), F.length(v).alias("_len"),
+        *[F.coalesce(p, F.lit(False)).alias(f"_{name}") for name, p in _predicates(v, current_year).items() if name != "numeric_ratio"])
+    return tested.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.count("_num").alias("n_numeric"), F.min("_num").alias("min"), F.max("_num").alias("max"),
+        F.coalesce(F.sum("_num"), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("_num") != F.floor("_num"), 1).otherwise(0)), F.lit(0)).alias("n_fractions"),
+        F.coalesce(F.sum(F.when(F.col("_num") < 0, 1).otherwise(0)), F.lit(0)).alias("n_negative"),
+        F.coalesce(F.sum("_len"), F.lit(0)).alias("chars"), F.max("_len").alias("max_length"),
+        *[F.sum(F.col(f"_{r}").cast("bigint")).alias(f"n_{r}") for r in RATIOS if r != "numeric_ratio"],
+        F.hll_sketch_agg(v, lg_k).alias("distinct"))
+
+
+def merge_profiles(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Profile state per ``keys`` from states of finer keys, or of parts of the same."""
+    added = ["n", "n_numeric", "total", "n_fractions", "n_negative", "chars", *[f"n_{r}" for r in RATIOS if r != "numeric_ratio"]]
+    return parts.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in added], F.min("min").alias("min"), F.max("max").alias("max"), F.max("max_length").alias("max_length"),
+        F.hll_union_agg("distinct").alias("distinct"))
+
+
+def finished_profiles(parts: DataFrame, keys: list[str], lg_k: int = LG_K) -> DataFrame:
+    """The columns of ``column_profiles`` from mergeable states, with estimated distinct values.
+
+    All but ``unique_ratio`` are exact. ``n_distinct`` is the estimate of the sketch and ``n_distinct_error`` the
+    bound of its error, ``ERROR_SIGMAS`` standard deviations; small counts are exact in the sketch.
+    """
+    n = F.col("n")
+    some = n > 0
+    distinct = F.hll_sketch_estimate("distinct")
+    return parts.select(
+        *keys, "n", (~some).alias("empty"), F.when(some, F.col("n_numeric") / n).alias("numeric_ratio"), "min", "max",
+        (F.col("total") / F.nullif(F.col("n_numeric"), F.lit(0))).alias("mean"),
+        ((F.col("n_numeric") > 0) & (F.col("n_fractions") == 0)).alias("all_integers"), (F.col("n_negative") > 0).alias("any_negative"),
+        F.when(some, F.col("chars") / n).alias("mean_length"), "max_length",
+        *[F.when(some, F.col(f"n_{r}") / n).alias(r) for r in RATIOS if r != "numeric_ratio"],
+        F.when(some, F.least(distinct, n) / n).alias("unique_ratio"), distinct.alias("n_distinct"),
+        F.ceil(ERROR_SIGMAS * 1.04 / 2 ** (lg_k / 2) * distinct).alias("n_distinct_error"))
+
+
 def fit(target: str, current_year: int, digits: int | None = 4) -> Column:
     """Fit of a profile row to one target, 0..1; an empty column fits nothing."""
     c = F.col

@@ -67,6 +67,23 @@ add("column_profiles", lambda spark, sf: profiles(spark, sf).withColumn("mean",
     PROFILE + " select * replace (round(mean, 4) as mean) from profiles")
 
 
+# The same from states of four parts of every column, merged; beside it the whole column's state and the exact count.
+def merged_profiles(spark, sf):
+    cells = values(spark, sf)
+    parts = p.profile_parts(cells.withColumn("part", F.pmod("row_idx", F.lit(4))), [*COL, "part"], CURRENT_YEAR)
+    merged = p.finished_profiles(p.merge_profiles(parts, COL), COL)
+    whole = p.finished_profiles(p.profile_parts(cells, COL, CURRENT_YEAR), COL).select(*COL, F.col("n_distinct").alias("whole"))
+    exact = p.column_profiles(cells, COL, CURRENT_YEAR).select(*COL, F.coalesce(F.round(F.col("unique_ratio") * F.col("n")), F.lit(0)).cast("long").alias("exact"))
+    near = lambda a, b: F.abs(a - b) <= F.col("n_distinct_error")
+    return merged.join(whole, COL).join(exact, COL).withColumns(
+        {"mean": F.round("mean", 4), "within_bound": near(F.col("n_distinct"), F.col("exact")), "parts_agree": near(F.col("n_distinct"), F.col("whole"))}).drop(
+        "unique_ratio", "n_distinct", "n_distinct_error", "whole")
+
+
+add("column_profiles_merged", merged_profiles,
+    PROFILE + " select * exclude (unique_ratio) replace (round(mean, 4) as mean), coalesce(round(unique_ratio * n), 0)::bigint as exact, true as within_bound, true as parts_agree from profiles")
+
+
 def _fit_sql(t: str) -> str:
     if t in MONETARY_FIELDS:
         return ("(monetary_ratio * 0.6::double + numeric_ratio * 0.4::double) * case when any_negative then 0.5::double else 1 end"
