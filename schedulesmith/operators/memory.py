@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_topk
@@ -37,6 +37,52 @@ def upsert_memory(memory: DataFrame, entries: DataFrame) -> DataFrame:
         "normalized_source", "_m.source_column", "target_field", "_m.confidence", "_m.method", "_m.approved_by", "_m.ts")
 
 
+# --- memory as a table ---------------------------------------------------------------------
+
+def create_memory(spark: SparkSession, table: str, path: str, buckets: int | None = None) -> None:
+    """An empty memory table, bucketed by normalized header; ``path`` is a new folder that all executors share.
+
+    Rows of one header lie in one bucket, so neither appends nor lookups shuffle the memory. ``buckets`` should
+    be no less than the shuffle partitions of the sessions that read it (the default), else Spark may prefer
+    to shuffle both sides of a join.
+    """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.sql(
+        f"create table {table} (normalized_source string, source_column string, target_field string, confidence double, method string, approved_by string, "
+        f"ts timestamp, batch bigint) using parquet clustered by (normalized_source) sorted by (normalized_source) into {buckets} buckets location '{path}'")
+
+
+def _buckets(spark: SparkSession, table: str) -> int:
+    return int(next(r["data_type"] for r in spark.sql(f"describe extended {table}").collect() if r["col_name"] == "Num Buckets"))
+
+
+def append_memory(entries: DataFrame, table: str) -> None:
+    """Adds entries as the next batch; what is there is not rewritten."""
+    spark = entries.sparkSession
+    batch = (spark.table(table).agg(F.max("batch")).first()[0] or 0) + 1
+    buckets = _buckets(spark, table)
+    rows = entries.select(*MEMORY_COLUMNS, F.lit(batch).cast("bigint").alias("batch"))
+    rows.repartition(buckets, "normalized_source").write.insertInto(table)
+
+
+def read_memory(spark: SparkSession, table: str) -> DataFrame:
+    """The latest row per (normalized header, target), of equal times that of the later batch: what ``upsert_memory`` would hold.
+
+    Rows of a header share a bucket, so the latest are found without an exchange.
+    """
+    payload = F.struct("ts", "batch", "source_column", "confidence", "method", "approved_by")
+    latest = spark.table(table).groupBy("normalized_source", "target_field").agg(F.max(payload).alias("_m"))
+    return latest.select("normalized_source", "_m.source_column", "target_field", "_m.confidence", "_m.method", "_m.approved_by", "_m.ts")
+
+
+def compact_memory(spark: SparkSession, table: str, path: str) -> None:
+    """Rewrites the table with its latest rows only, into the new folder ``path``; the table changes over when all is written."""
+    create_memory(spark, f"{table}_compact", path, _buckets(spark, table))
+    append_memory(read_memory(spark, table), f"{table}_compact")
+    spark.sql(f"drop table {table}")
+    spark.sql(f"alter table {table}_compact rename to {table}")
+
+
 def search_memory(headers: DataFrame, memory_vectors: DataFrame, k: int = 3) -> DataFrame:
     """Top ``k`` remembered entries per header vector with similarity above 0.5.
 

@@ -6,6 +6,8 @@ spellings, and value fits computed from its keys.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from schedulesmith.functions.text import normalize_header
@@ -13,7 +15,7 @@ from schedulesmith.operators import mapping as m
 from schedulesmith.operators import memory as mem
 from schedulesmith.operators import profile as p
 from schedulesmith.schema import KEYS, TARGET_FIELDS
-from schedulesmith.session import settle
+from schedulesmith.session import checkpoint_folder, settle
 
 from . import duck as d
 from .inputs import duck_sql, spark_sql, table
@@ -332,6 +334,29 @@ add("memory_matches",
     f"""with {_memory} select upper(concat(h.event_type, ' - ', h.user_id)) as source_column, m.source_column as memory_source, target_field as target, confidence as memory_confidence, 1.0::double as similarity
       from (select distinct event_type, user_id from events) h join (select * from memory qualify row_number() over (partition by normalized_source order by ts desc, confidence desc, target_field) = 1) m
       on m.normalized_source = concat(h.event_type, ' ', h.user_id)""")
+# The memory as a bucketed table: old approvals, compacted, then new ones beside them.
+def memory_table(spark, sf):
+    name = f"memory_{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/{name}"
+    old, new = memory_parts(spark, sf)
+    mem.create_memory(spark, name, f"{folder}/0")
+    mem.append_memory(old.where("target_field < 'D'"), name)
+    mem.append_memory(old.where("target_field >= 'D'"), name)
+    mem.compact_memory(spark, name, f"{folder}/1")
+    mem.append_memory(new, name)
+    return name
+
+
+add("memory_table",
+    lambda spark, sf: mem.read_memory(spark, memory_table(spark, sf)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
+    f"with {_memory} select normalized_source, source_column, target_field, confidence, 'human_approved' as method, 'human' as approved_by, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts from memory")
+add("memory_table_matches",
+    lambda spark, sf: mem.memory_matches(
+        table(spark, sf, "events").select(F.upper(F.concat("event_type", F.lit(" - "), "user_id")).alias("source_column")).distinct(),
+        mem.read_memory(spark, memory_table(spark, sf))),
+    SQL["memory_matches"])
+
+
 def unit(v):
     return F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, y: acc + y * y)))
 
@@ -371,6 +396,18 @@ add("memory_search",
     f"""with {_vectors}, s as (select vec_id, label, greatest(0, 1 - pow(list_distance(h.v, c.v), 2) / 2) as similarity from h, c)
       select vec_id as header_id, label as memory_id, round(similarity, 5) as similarity, rank::int as rank from (
         select *, row_number() over (partition by vec_id order by similarity desc, label) as rank from s where similarity > 0.5) where rank <= 3""")
+# The whole table on both sides: the nearest remembered entries of every vector, itself among them.
+def memory_all(spark, sf):
+    every = table(spark, sf, "embeddings").where("vec_id is not null").select("vec_id", unit(F.transform("embedding", lambda x: x.cast("double"))).alias("vector"))
+    hits = mem.search_memory(every.withColumnRenamed("vec_id", "header_id"), every.withColumnRenamed("vec_id", "memory_id"))
+    return hits.withColumn("similarity", F.round("similarity", 5))
+
+
+add("memory_search_all", memory_all,
+    """with u as (select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as v from embeddings),
+      s as (select q.vec_id as header_id, c.vec_id as memory_id, greatest(0, 1 - pow(list_distance(q.v, c.v), 2) / 2) as similarity from u q, u c)
+      select header_id, memory_id, round(similarity, 5) as similarity, rank::int as rank from (
+        select *, row_number() over (partition by header_id order by round(similarity, 9) desc, memory_id) as rank from s where similarity > 0.5) where rank <= 3""")
 add("semantic_matches",
     lambda spark, sf: m.semantic_matches(
         leaning(spark, sf).select(F.col("vec_id").cast("string").alias("source_column"), "vector"), centroids(spark, sf)).select(
