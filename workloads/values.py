@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from schedulesmith.functions import ops, text
+from schedulesmith.functions.sql import register_operations
 from schedulesmith.operators import validate as v
 from schedulesmith.schema import SPRINKLER_ALIASES, SPRINKLER_CODES, STATE_CODES, STATE_NAMES
 from schedulesmith.sources.files import gate_files
@@ -64,6 +65,20 @@ add("value_fold_operations",
         "row_idx", ops.apply_operations(["to_year_int", "to_int"], F.col("year_raw")).alias("year"),
         ops.apply_operations(["normalize_spaces", "state_to_abbrev"], F.col("city_raw")).alias("city")),
     f"select row_idx, cast({YEAR_SQL} as varchar) as year, case trim(city_raw) when 'New York' then 'NY' else regexp_replace(trim(city_raw), ' +', ' ', 'g') end as city from ({RAW_DUCK})")
+# The twelve operations, called by name from SQL.
+_CALLS = {
+    "strip_currency": "building_raw", "to_float": "contents_raw", "to_int": "storeys_raw", "to_str": "county_raw", "trim_whitespace": "city_raw", "flag_for_review": "bi_raw",
+    "normalize_spaces": "address_raw", "state_to_abbrev": "state_raw", "normalize_sprinkler_code": "sprinkler_raw", "normalize_date": "date_raw", "to_year_int": "year_raw", "to_zip": "zip_raw"}
+
+
+def sql_operations(spark, sf):
+    register_operations(spark)
+    return spark.sql("select row_idx, " + ", ".join(f"{f}({c}) as {f}" for f, c in _CALLS.items()) + " from {raw}", raw=raw(spark, sf))
+
+
+_same = {f: SQL[f"value_{f}"].partition("row_idx, ")[2].rpartition(" as v from (")[0] for f in _CALLS if f not in ("normalize_spaces", "flag_for_review")}
+add("sql_operations", sql_operations, "select row_idx, bi_raw as flag_for_review, regexp_replace(trim(address_raw), ' +', ' ', 'g') as normalize_spaces, "
+    + ", ".join(f"{x} as {f}" for f, x in _same.items()) + f" from ({RAW_DUCK})")
 _m = r"regexp_replace(regexp_replace(regexp_replace(text, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '<email>', 'g'), '\p{Nd}', '9', 'g')"
 add("value_mask",
     lambda spark, sf: table(spark, sf, "conversations").select(
