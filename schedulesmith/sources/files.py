@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..functions.text import folder_name
+from ..session import attach, settle
 
 SUPPORTED = ["xlsx", "xls", "csv"]
 
@@ -114,6 +116,35 @@ def ingest(spark: SparkSession, path: str | list[str], out: str) -> tuple[DataFr
     return spark.read.schema(PARSED_SCHEMA).parquet(out), totals.withColumn("reconciled", reconciled)
 
 
+def ingest_changed(spark: SparkSession, path: str | list[str], out: str) -> DataFrame:
+    """Parsed records of a folder, of which only files new or changed since the last call are parsed.
+
+    ``out`` holds the records, a folder per file, with the time the file was changed. A file whose name and time are
+    there is not read again; a changed one replaces its folder when the job commits, so a failed call
+    can be repeated. Records of files that are gone are left out of what is returned. Only the names of the files
+    to read come to the driver. Files of no bytes are not listed here; ``ingest`` names them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = settle(files.select(F.col("_metadata.file_path").alias("file_id"), "path", F.col("modificationTime").alias("modified")))
+    on = ["file_id", "modified"]
+    schema = f"{PARSED_SCHEMA}, modified timestamp, file string"
+
+    def known() -> DataFrame:
+        return spark.read.schema(schema).parquet(out)
+
+    try:
+        changed = settle(listed.join(known().where("row_idx is null").select(*on).distinct(), on, "left_anti"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        changed = listed
+    paths = [r["path"] for r in changed.select("path").collect()]
+    if paths:
+        fresh = attach(read_files(spark, paths), changed.select(*on), ["file_id"]).withColumn("file", folder_name(F.col("file_id")))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(out)
+    return attach(known().drop("file"), listed.select(*on), on).drop("modified")
+
+
 def read_parsed(spark: SparkSession, path: str | list[str], ext: str, parse, max_bytes: int | None = None) -> DataFrame:
     """Parse every ``.ext`` file as a whole, files spread over the tasks.
 

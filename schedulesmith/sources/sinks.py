@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ops import NUMERIC
-from ..functions.text import file_safe_name
+from ..functions.text import folder_name
 from ..operators.transform import AUDIT_COLUMNS
 from ..operators.validate import zip_display
 from ..schema import KEYS, TARGET_FIELDS
@@ -28,17 +28,6 @@ AUDIT_HEADINGS = dict(zip(AUDIT_COLUMNS, [
     "Confidence", "Approved By", "Timestamp", "Recommendation ID", "Row Index"]))
 
 
-def folder_name(name: Column) -> Column:
-    """Folder of a file or sheet: the name where it is file-safe, else its safe form and a hash of the exact name.
-
-    Names with one safe form thus get folders of their own, whatever is exported together or later. A name
-    that ends like such a hash gets one too.
-    """
-    safe = F.substring(file_safe_name(name), 1, 80)
-    plain = (safe == name) & (name != "") & ~name.rlike("-[0-9a-f]{12}$")
-    return F.when(plain, safe).otherwise(F.concat(F.coalesce(safe, F.lit("")), F.lit("-"), F.substring(F.md5(F.coalesce(name, F.lit("\0"))), 1, 12)))
-
-
 def _by_folder(typed: DataFrame, folders: list[str], columns: list[str] | None = None) -> DataFrameWriter:
     """A writer that replaces the folders it has rows for and leaves all others.
 

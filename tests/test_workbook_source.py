@@ -71,3 +71,22 @@ def test_large_csv_files_go_through_the_reader_of_spark(spark, tmp_path):
     assert rows(dealt) == [r for r in rows(whole) if r[0] != "wide.csv"]
     bad = files.bad_files(dealt).collect()
     assert [r.file_id.split("/")[-1] for r in bad] == ["wide.csv"] and "more than 5 cells" in bad[0].error
+
+
+def test_only_changed_files_are_parsed_again(spark, tmp_path):
+    import os
+
+    root, out = folder(tmp_path), str(tmp_path / "parsed")
+    shown = lambda df: sorted((r.file_id.split("/")[-1], str(r.sheet_name), -1 if r.row_idx is None else r.row_idx, str(r["values"])) for r in df.collect())
+    first = shown(files.ingest_changed(spark, str(root), out))
+    assert first == shown(files.read_files(spark, str(root)))
+    written = {f: f.stat().st_mtime_ns for f in (tmp_path / "parsed").rglob("*.parquet")}
+    assert shown(files.ingest_changed(spark, str(root), out)) == first
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "parsed").rglob("*.parquet")} == written
+    (root / "list.csv").write_text("a,b\n3,4\n5,6\n")
+    os.utime(root / "list.csv", (2_000_000_000, 2_000_000_000))
+    (root / "bad.xlsx").unlink()
+    (root / "new.csv").write_text("n\n")
+    assert shown(files.ingest_changed(spark, str(root), out)) == shown(files.read_files(spark, str(root)))
+    left = {f for f in (tmp_path / "parsed").rglob("*.parquet")}
+    assert sum(f in left for f in written) >= len(written) - 2
