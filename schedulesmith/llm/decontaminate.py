@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,12 +144,24 @@ def item_parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, lis
     yield part
 
 
+# The automaton that this worker process built last, under the name of its part.
+_LAST: dict[str, Automaton] = {}
+
+
+def built(name: str, part: Broadcast, width: int) -> Automaton:
+    """The automaton of a part, built once per worker process and kept for its next tasks."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Automaton(part.value, width)
+    return _LAST[name]
+
+
 def scan_documents(shaped: DataFrame, part: list[tuple[str, list[str]]], width: int) -> DataFrame:
     """Adds what one automaton finds to rows of (row, text, n_words, spans, items, cleaned)."""
-    sent = shaped.sparkSession.sparkContext.broadcast(part)
+    sent, name = shaped.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(sent.value, width)
+        automaton = built(name, sent, width)
         for batch in batches:
             sizes, spans, names, cleaned = [], [], [], []
             for text, before, known in zip(*[batch.column(k).to_pylist() for k in (1, 3, 4)]):
@@ -173,7 +187,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     word). A document is contaminated if the share of its words that are hit reaches ``coverage``;
     ``cleaned`` is its text without the spans of ``width`` words or more, null where it has none.
 
-    A task holds one automaton of at most ``automaton_words`` words. A larger benchmark is cut
+    A worker holds one automaton of at most ``automaton_words`` words. A larger benchmark is cut
     into parts that are matched in passes one after another, with the rows stored in between, so
     memory is bounded and no item is left out. Documents stream through without a shuffle. Null
     and empty texts have no words; items without words match nothing; a null item_id is an empty
