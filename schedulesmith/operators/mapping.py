@@ -6,6 +6,8 @@ against each column's value profile and settled 1:1 within every sheet.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,35 @@ SHORTLIST_FIT = 0.35
 TOP = 5
 UNMAPPED_PREFIX = "_col_"
 
+# Wording of evidence, vetoes, rationales and reasons; results are compared by it.
+MESSAGES = {
+    "exact": "Exact normalized match: '{norm}' → '{target}'",
+    "fuzzy": "Fuzzy match: '{source_column}' ≈ '{text}' (score={score}%)",
+    "semantic": "Semantic similarity: '{source_column}' ↔ '{text}' = {similarity}",
+    "matched target": "Matched target: '{target}'",
+    "memory": "Previously approved mapping: '{memory_source}' → '{target}'",
+    "memory similarity": "Similarity: {similarity}",
+    "memory confidence": "Original confidence: {memory_confidence}",
+    "memory vetoed": "Memory suggested '{target}' but values contradict it (VPF={fit}).",
+    "header vetoed": "Header matches '{target}' but values contradict it (VPF={fit}).",
+    "other vetoed": "'{target}' ({method}) vetoed: values contradict it (VPF={fit}).",
+    "from memory": "Retrieved from approved memory: {first}",
+    "from header": "Exact normalized match. VPF={fit}.",
+    "from other": "Matched via {method}. VPF={fit}.",
+    "proposal": "LLM reasoning: {_why}",
+    "proposal confidence": "LLM confidence: {confidence}",
+    "from proposal": "LLM reasoning. VPF={fit}.",
+    "invalid target": "invalid target: {target}",
+    "unknown source": "unknown source column",
+    "contradicted": "values contradict the target",
+    "unnamed": "Unnamed/index column — skipped.",
+    "not confident": "Could not confidently map this column to any target field.",
+    "no candidates": "No candidate fields met minimum similarity threshold.",
+    "all failed": "All mapping stages failed or returned no match.",
+    "all insufficient": "All mapping stages returned insufficient confidence.",
+    "demoted": "Demoted: '{target}' already claimed by '{_winner}' with higher confidence.",
+}
+
 CANDIDATE_SCHEMA = (
     "file_id string, sheet_name string, col_idx int, source_column string, tier int, cand_order int, target string, "
     "method string, name_similarity double, value_profile_fit double, method_agreement double, confidence double, "
@@ -41,6 +72,13 @@ MAPPING_SCHEMA = (
 )
 
 
+def message(name: str, **values: Column) -> Column:
+    """A message with the columns that it names, or ``values`` given for them, filled in."""
+    parts = re.split(r"\{(\w+)\}", MESSAGES[name])
+    columns = [values.get(x, F.col(x)) if i % 2 else F.lit(x) for i, x in enumerate(parts) if x]
+    return F.concat(*columns) if len(columns) > 1 else columns[0]
+
+
 def corpus_table(spark: SparkSession) -> DataFrame:
     """The fixed matching corpus: names, definitions and synonyms of all targets."""
     return spark.createDataFrame(corpus(), "idx int, text string, target string, kind string").withColumn(
@@ -68,7 +106,7 @@ def exact_matches(headers: DataFrame) -> DataFrame:
     keyed = headers.withColumn("norm", normalize_header(F.col("source_column")))
     return keyed.join(F.broadcast(known), "norm").select(
         "source_column", "target", F.lit(EXACT_SIMILARITY).alias("name_similarity"),
-        F.array(F.concat(F.lit("Exact normalized match: '"), "norm", F.lit("' → '"), "target", F.lit("'"))).alias("evidence"))
+        F.array(message("exact")).alias("evidence"))
 
 
 def fuzzy_matches(headers: DataFrame, limit: int = TOP) -> DataFrame:
@@ -88,9 +126,8 @@ def fuzzy_matches(headers: DataFrame, limit: int = TOP) -> DataFrame:
         "source_column", "target", "score", "fuzzy_order", "text",
         (F.col("score") / 100.0 * FUZZY_DISCOUNT).alias("name_similarity"),
         F.array(
-            F.concat(F.lit("Fuzzy match: '"), "source_column", F.lit("' ≈ '"), "text",
-                     F.lit("' (score="), fixed("score", 1), F.lit("%)")),
-            F.concat(F.lit("Matched target: '"), "target", F.lit("'")),
+            message("fuzzy", score=fixed("score", 1)),
+            message("matched target"),
         ).alias("evidence"))
 
 
@@ -107,9 +144,8 @@ def semantic_matches(header_vectors: DataFrame, corpus_vectors: DataFrame, limit
         "source_column", "target", "similarity", "semantic_order",
         (F.col("similarity") * SEMANTIC_DISCOUNT).alias("name_similarity"),
         F.array(
-            F.concat(F.lit("Semantic similarity: '"), "source_column", F.lit("' ↔ '"), "text",
-                     F.lit("' = "), fixed("similarity", 3)),
-            F.concat(F.lit("Matched target: '"), "target", F.lit("'")),
+            message("semantic", similarity=fixed("similarity", 3)),
+            message("matched target"),
         ).alias("evidence"))
 
 
@@ -159,9 +195,9 @@ def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | No
             "source_column", "target", F.lit(0).alias("tier"), F.lit(0).alias("cand_order"), F.lit("memory").alias("method"),
             sim.alias("name_similarity"), F.lit(1.0).alias("method_agreement"),
             F.array(
-                F.concat(F.lit("Previously approved mapping: '"), "memory_source", F.lit("' → '"), "target", F.lit("'")),
-                F.concat(F.lit("Similarity: "), fixed("similarity", 3)),
-                F.concat(F.lit("Original confidence: "), fixed("memory_confidence", 3)),
+                message("memory"),
+                message("memory similarity", similarity=fixed("similarity", 3)),
+                message("memory confidence", memory_confidence=fixed("memory_confidence", 3)),
             ).alias("evidence")))
     parts.append(exact_matches(headers).select(
         "source_column", "target", F.lit(1).alias("tier"), F.lit(0).alias("cand_order"), F.lit("exact").alias("method"),
@@ -189,14 +225,8 @@ def veto_reasons(candidates: DataFrame) -> DataFrame:
     Which of them a column met depends on the targets claimed by then; see ``mapping_table``.
     """
     fit = fixed("value_profile_fit", 2)
-    text = (
-        F.when(F.col("tier") == 0, F.concat(F.lit("Memory suggested '"), "target",
-                                            F.lit("' but values contradict it (VPF="), fit, F.lit(").")))
-        .when(F.col("tier") == 1, F.concat(F.lit("Header matches '"), "target",
-                                           F.lit("' but values contradict it (VPF="), fit, F.lit(").")))
-        .otherwise(F.concat(F.lit("'"), "target", F.lit("' ("), "method",
-                            F.lit(") vetoed: values contradict it (VPF="), fit, F.lit(").")))
-    )
+    text = F.when(F.col("tier") == 0, message("memory vetoed", fit=fit)).when(F.col("tier") == 1, message("header vetoed", fit=fit)).otherwise(
+        message("other vetoed", fit=fit))
     packed = candidates.where("contradicts").groupBy(*KEYS, "col_idx").agg(
         F.array_sort(F.collect_list(F.struct("tier", "cand_order", "target", text.alias("text")))).alias("_v"))
     return packed.select(*KEYS, "col_idx", F.col("_v").alias("vetoed"))
@@ -206,11 +236,8 @@ def viable_candidates(candidates: DataFrame) -> DataFrame:
     """Candidates that may be assigned, in the order a column tries them (M7, M9)."""
     ok = ~F.col("contradicts") & ((F.col("tier") < 2) | (F.col("confidence") >= MIN_CONFIDENCE))
     fit = fixed("value_profile_fit", 2)
-    rationale = (
-        F.when(F.col("tier") == 0, F.concat(F.lit("Retrieved from approved memory: "), F.get("evidence", F.lit(0))))
-        .when(F.col("tier") == 1, F.concat(F.lit("Exact normalized match. VPF="), fit, F.lit(".")))
-        .otherwise(F.concat(F.lit("Matched via "), "method", F.lit(". VPF="), fit, F.lit(".")))
-    )
+    rationale = F.when(F.col("tier") == 0, message("from memory", first=F.get("evidence", F.lit(0)))).when(
+        F.col("tier") == 1, message("from header", fit=fit)).otherwise(message("from other", fit=fit))
     return candidates.where(ok).select(
         *KEYS, "col_idx", "source_column", "tier", "cand_order", "target", "method", "name_similarity",
         "value_profile_fit", "method_agreement", "confidence", F.col("confidence").alias("bid"), "evidence",
@@ -263,9 +290,8 @@ def proposal_candidates(proposals: DataFrame, columns: DataFrame, fits: DataFram
         F.lit("llm").alias("method"), sim.alias("name_similarity"), F.col("map_fit").alias("value_profile_fit"),
         F.lit(0.7).alias("method_agreement"),
         confidence(sim, F.col("map_fit"), F.lit(0.7)).alias("confidence"), F.lit(0.0).alias("bid"),
-        F.array(F.concat(F.lit("LLM reasoning: "), "_why"), F.concat(F.lit("LLM confidence: "), fixed("confidence", 3)))
-        .alias("evidence"),
-        F.concat(F.lit("LLM reasoning. VPF="), fixed("map_fit", 2), F.lit(".")).alias("rationale"),
+        F.array(message("proposal"), message("proposal confidence", confidence=fixed("confidence", 3))).alias("evidence"),
+        message("from proposal", fit=fixed("map_fit", 2)).alias("rationale"),
         F.lit(True).alias("review_required"), "plausible")
 
 
@@ -274,9 +300,8 @@ def rejected_proposals(proposals: DataFrame, columns: DataFrame, fits: DataFrame
     known = F.col("target").isin(TARGET_FIELDS)
     joined = proposals.join(columns, [*KEYS, "source_column"], "left").join(
         fits.select(*KEYS, "col_idx", "target", "contradicts"), [*KEYS, "col_idx", "target"], "left")
-    reason = F.when(~known, F.concat(F.lit("invalid target: "), "target")).when(
-        F.col("col_idx").isNull(), F.lit("unknown source column")).when(
-        F.col("contradicts"), F.lit("values contradict the target"))
+    reason = F.when(~known, message("invalid target")).when(F.col("col_idx").isNull(), message("unknown source")).when(
+        F.col("contradicts"), message("contradicted"))
     return joined.withColumn("reason", reason).where("reason is not null").select(
         *KEYS, "source_column", "target", "reason")
 
@@ -383,13 +408,12 @@ def mapping_table(columns: DataFrame, assigned: DataFrame, vetoes: DataFrame | N
         *KEYS, "col_idx", "source_column", "target",
         F.coalesce("confidence", zero).alias("confidence"),
         F.coalesce("method", F.lit("unresolved")).alias("method"),
-        F.when(mapped, F.col("rationale")).when(unnamed, "Unnamed/index column — skipped.")
-        .when(F.col("_plausible"), "Could not confidently map this column to any target field.")
-        .otherwise("No candidate fields met minimum similarity threshold.").alias("rationale"),
+        F.when(mapped, F.col("rationale")).when(unnamed, message("unnamed"))
+        .when(F.col("_plausible"), message("not confident")).otherwise(message("no candidates")).alias("rationale"),
         F.when(mapped & F.col("method").isin("fuzzy", "semantic"), F.concat("evidence", "vetoed"))
         .when(mapped, F.col("evidence")).when(unnamed, none)
-        .when(F.col("_plausible"), F.concat(F.array(F.lit("All mapping stages failed or returned no match.")), "vetoed"))
-        .otherwise(F.concat(F.array(F.lit("All mapping stages returned insufficient confidence.")), "vetoed"))
+        .when(F.col("_plausible"), F.concat(F.array(message("all failed")), "vetoed"))
+        .otherwise(F.concat(F.array(message("all insufficient")), "vetoed"))
         .alias("evidence"),
         F.when(mapped, F.col("review_required")).otherwise(~unnamed).alias("review_required"),
         F.coalesce("value_profile_fit", zero).alias("value_profile_fit"),
@@ -403,8 +427,7 @@ def demote_duplicates(mapping: DataFrame) -> DataFrame:
     rank = Window.partitionBy(*KEYS, "target").orderBy(F.desc("confidence"), "col_idx")
     whole = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lost = F.col("target").isNotNull() & (F.col("_r") > 1)
-    reason = F.concat(F.lit("Demoted: '"), "target", F.lit("' already claimed by '"), "_winner",
-                      F.lit("' with higher confidence."))
+    reason = message("demoted")
     return (
         mapping.withColumn("_r", F.row_number().over(rank))
         .withColumn("_winner", F.first("source_column").over(whole))
