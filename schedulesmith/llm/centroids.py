@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -19,6 +19,10 @@ DIMS, CLUSTERS, ROUNDS, SCALE, SEED = 64, 40, 5, 256, 2
 PIVOTS, PAIRS = 8, 12
 # Whole components stay below this, so that a squared distance of 64 of them fits in a long.
 LIMIT = 1 << 27
+# Components below this, 64 of them, have squared distances that doubles hold exactly.
+FLOATS = 1 << 22
+# Vectors whose bounds are held at a time.
+AT_ONCE = 2048
 # Relative error granted to each step of a bound; double precision errs by less than a tenth of it.
 EPS = 2.0 ** -48
 
@@ -68,26 +72,44 @@ def lower_bounds(to_pivots: np.ndarray, centroids_to_pivots: np.ndarray, pivots:
     return best * (1 - EPS)
 
 
+def _exact(rows: np.ndarray, centroids: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """A function for the exact squared distances of some rows to a centroid.
+
+    Components below ``FLOATS`` keep all sums below 2^53, where doubles hold whole numbers exactly and products are fast.
+    """
+    if max(np.abs(rows).max(initial=0), np.abs(centroids).max(initial=0)) >= FLOATS:
+        return lambda at, number: squared(rows[at], centroids[number])
+    left, right = rows.astype(np.float64), centroids.astype(np.float64)
+    left_norm, right_norm = (left * left).sum(axis=1), (right * right).sum(axis=1)
+    return lambda at, number: (left_norm[at] + right_norm[number] - 2 * (left[at] @ right[number])).astype(np.int64)
+
+
 def nearest(rows: np.ndarray, to_pivots: np.ndarray, centroids: np.ndarray, pivots: Pivots) -> tuple[np.ndarray, np.ndarray, int]:
     """(number of the nearest centroid, squared distance, distances computed). Ties go to the smaller number.
 
-    Centroids are tried in the order of their bounds; a row is done when its next bound exceeds the least
-    distance found. All others are computed exactly in whole numbers.
+    The centroid with the least bound comes first; after that a centroid is only computed for the rows whose bound
+    does not exceed the least distance they have so far. All that are computed are exact whole numbers.
     """
-    bounds = lower_bounds(to_pivots, to_points(centroids, pivots.points), pivots)
-    order = np.argsort(bounds, axis=1, kind="stable")
-    floor = np.take_along_axis(bounds, order, axis=1) ** 2 * (1 - EPS)
-    label, least = np.full(len(rows), len(centroids)), np.full(len(rows), np.iinfo(np.int64).max)
-    active, computed = np.arange(len(rows)), 0
-    for turn in range(len(centroids)):
-        active = active[floor[active, turn] <= least[active] * (1 + EPS)]
-        if not len(active):
-            break
-        tried = order[active, turn]
-        distance = squared(rows[active], centroids[tried])
-        computed += len(active)
-        better = (distance < least[active]) | ((distance == least[active]) & (tried < label[active]))
-        label[active[better]], least[active[better]] = tried[better], distance[better]
+    label, least, computed = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), 0
+    between = to_points(centroids, pivots.points)
+    for low in range(0, len(rows), AT_ONCE):
+        part = slice(low, low + AT_ONCE)
+        exact = _exact(rows[part], centroids)
+        bounds = lower_bounds(to_pivots[part], between, pivots)
+        floor, first = bounds ** 2 * (1 - EPS), bounds.argmin(axis=1)
+        own, best = first.copy(), np.full(len(first), np.iinfo(np.int64).max)
+        for number in np.unique(first):
+            at = np.flatnonzero(first == number)
+            best[at] = exact(at, number)
+        computed += len(first)
+        for number in np.argsort(bounds.sum(axis=0), kind="stable"):
+            at = np.flatnonzero((floor[:, number] <= best * (1 + EPS)) & (first != number))
+            if len(at):
+                distance = exact(at, number)
+                better = (distance < best[at]) | ((distance == best[at]) & (number < own[at]))
+                own[at[better]], best[at[better]] = number, distance[better]
+                computed += len(at)
+        label[part], least[part] = own, best
     return label, least, computed
 
 
