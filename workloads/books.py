@@ -137,3 +137,24 @@ add("ingested_rows", lambda spark, sf: mixed_folder(spark, sf)[0].where("row_idx
 add("quarantined_files", lambda spark, sf: files.bad_files(mixed_folder(spark, sf)[0]).select(_file(), "sheet_name", F.regexp_extract("error", "^(Unsupported file type|Failed to read (sheet|file))", 0).alias("error")),
     f"""{_FILES} select concat(k, case kind when 'pdf' then '.pdf' when 'empty' then '.csv' when 'xls' then '.xls' else '.xlsx' end) as file, case when kind = 'half' then 'Half' end as sheet_name,
       case kind when 'pdf' then 'Unsupported file type' when 'half' then 'Failed to read sheet' else 'Failed to read file' end as error from f where kind not in ('book', 'csv')""")
+
+
+# --- a folder taken in twice, with half of its files changed in between: these are parsed again, the others are not ---
+def changed_folder(spark, sf):
+    folder, out = _folder(spark), _folder(spark)
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values("c_custkey")[["c_custkey", "c_name"]].itertuples(index=False)
+        write_file(folder, f"{group['k'].iloc[0]}.csv", "".join(f"{a},{b}\r\n" for a, b in rows).encode())
+        return pd.DataFrame({"n": [len(group)]})
+
+    customers = spark_sql(spark, sf, CUSTOMERS)
+    for part in (customers, customers.where("k % 2 = 0").withColumn("c_name", F.upper("c_name"))):
+        part.groupBy("k").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+        parsed = files.ingest_changed(spark, folder, out)
+    return parsed
+
+
+add("changed_files", lambda spark, sf: changed_folder(spark, sf).where("row_idx is not null").select(_file(), "row_idx", F.array_join("values", "|").alias("record")),
+    f"""{_FILES} select concat(k, '.csv') as file, row_number() over (partition by k order by c_custkey) - 1 as row_idx,
+      concat_ws('|', c_custkey, case when k % 2 = 0 then upper(c_name) else c_name end) as record from c""")
