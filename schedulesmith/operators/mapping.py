@@ -6,9 +6,11 @@ against each column's value profile and settled 1:1 within every sheet.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..functions.text import fixed, normalize_header, normalize_header_text, rou
 from ..schema import KEYS, TARGET_FIELDS, corpus
 from ..session import attach, first_rows, settle
 from .memory import memory_matches
-from .profile import contradicts, map_fit, unpack_fits
+from .profile import contradicts, map_fit
 
 W_NAME, W_VALUE, W_METHOD = 0.45, 0.35, 0.20
 EXACT_SIMILARITY = 0.97
@@ -209,16 +211,28 @@ def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | No
     for part in parts[1:]:
         names = names.unionByName(part)
     # One header text may sit on a large share of all sheets: size-checked broadcast, else salted.
-    joined = attach(named, settle(names), ["source_column"], spread=F.struct(*KEYS, "col_idx")).join(
-        fits.select(*KEYS, "col_idx", "empty", "fits"), [*KEYS, "col_idx"])
-    place = F.array_position(F.array(*[F.lit(t) for t in TARGET_FIELDS]), F.col("target")) - 1
-    own = joined.withColumn("_fit", F.get("fits", place.cast("int"))).drop("fits")
+    joined = _merged(attach(named, settle(names), ["source_column"], spread=F.struct(*KEYS, "col_idx")),
+                     fits.select(*KEYS, "col_idx", "empty", "fits"), [*KEYS, "col_idx"])
+    own = joined.withColumn("_fit", _fit_of("target")).drop("fits")
     return own.withColumns({
         "value_profile_fit": map_fit(F.col("empty"), F.col("_fit")), "contradicts": contradicts(F.col("empty"), F.col("_fit"))}).withColumn(
         "confidence", confidence(F.col("name_similarity"), F.col("value_profile_fit"), F.col("method_agreement"),
                                  F.col("tier") == 0)).drop("_fit", "empty")
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Sort-merge join of two sides that grow with the columns, whatever their estimated sizes; a hash leads the sort,
+    since names of files and sheets have long beginnings in common."""
+    keyed = [side.withColumn("_h", F.xxhash64(*on)) for side in (left, right)]
+    return keyed[0].join(keyed[1].hint("merge"), ["_h", *on], how).drop("_h")
+
+
+def _fit_of(target: str) -> Column:
+    """The fit of packed ``fits`` to the target that a column names; null for one that is none."""
+    place = F.array_position(F.array(*[F.lit(t) for t in TARGET_FIELDS]), F.col(target)) - 1
+    return F.get("fits", place.cast("int"))
+
+
 def veto_reasons(candidates: DataFrame) -> DataFrame:
     """Candidates ruled out by the column's values, with the text kept as evidence (M7).
 
@@ -268,8 +282,8 @@ def shortlist(fits: DataFrame, n: int = TOP, blocked: DataFrame | None = None) -
 
 def plausible_targets(fits: DataFrame) -> DataFrame:
     """Per column the targets above the shortlist limit: (keys, col_idx, plausible); ``fits`` are packed."""
-    pairs = F.zip_with("fits", F.array(*[F.lit(t) for t in TARGET_FIELDS]), lambda f, t: F.when(f > SHORTLIST_FIT, t))
-    return fits.select(*KEYS, "col_idx", F.array_sort(F.array_compact(pairs)).alias("plausible")).where(F.size("plausible") > 0)
+    names = [F.when(F.get("fits", F.lit(i)) > SHORTLIST_FIT, t) for t, i in sorted((t, i) for i, t in enumerate(TARGET_FIELDS))]
+    return fits.select(*KEYS, "col_idx", F.array_compact(F.array(*names)).alias("plausible")).where(F.size("plausible") > 0)
 
 
 def proposal_candidates(proposals: DataFrame, columns: DataFrame, fits: DataFrame) -> DataFrame:
@@ -280,12 +294,12 @@ def proposal_candidates(proposals: DataFrame, columns: DataFrame, fits: DataFram
     ``plausible`` are the targets of which one must still be free when the column's turn comes.
     """
     sim = F.col("confidence") * EXTERNAL_DISCOUNT
-    fits, packed = unpack_fits(fits, [*KEYS, "col_idx"]), fits
     valid = proposals.where(F.col("target").isin(TARGET_FIELDS)).select(
         *KEYS, "source_column", "target", F.col("confidence"), F.col("rationale").alias("_why"))
-    fitted = valid.join(columns, [*KEYS, "source_column"]).join(
-        fits.select(*KEYS, "col_idx", "target", "map_fit", "contradicts"), [*KEYS, "col_idx", "target"])
-    return fitted.where("not contradicts").join(plausible_targets(packed), [*KEYS, "col_idx"]).select(
+    named = _merged(valid, columns, [*KEYS, "source_column"])
+    fitted = _merged(named, fits.select(*KEYS, "col_idx", "empty", "fits"), [*KEYS, "col_idx"]).withColumn("_fit", _fit_of("target"))
+    judged = fitted.withColumns({"map_fit": map_fit(F.col("empty"), F.col("_fit")), "contradicts": contradicts(F.col("empty"), F.col("_fit"))})
+    return _merged(judged.where("not contradicts").drop("empty", "fits"), plausible_targets(fits), [*KEYS, "col_idx"]).select(
         *KEYS, "col_idx", "source_column", F.lit(9).alias("tier"), F.lit(0).alias("cand_order"), "target",
         F.lit("llm").alias("method"), sim.alias("name_similarity"), F.col("map_fit").alias("value_profile_fit"),
         F.lit(0.7).alias("method_agreement"),
@@ -296,10 +310,16 @@ def proposal_candidates(proposals: DataFrame, columns: DataFrame, fits: DataFram
 
 
 def rejected_proposals(proposals: DataFrame, columns: DataFrame, fits: DataFrame) -> DataFrame:
-    """Proposals refused before assignment, with the reason."""
+    """Proposals refused before assignment, with the reason (M20); ``fits`` packed, or unpacked with 17 rows per column."""
     known = F.col("target").isin(TARGET_FIELDS)
-    joined = proposals.join(columns, [*KEYS, "source_column"], "left").join(
-        fits.select(*KEYS, "col_idx", "target", "contradicts"), [*KEYS, "col_idx", "target"], "left")
+    named = _merged(proposals, columns, [*KEYS, "source_column"], "left")
+    if "fits" in fits.columns:
+        # An unknown target meets no fit.
+        own = _merged(named.withColumn("_at", F.when(known, F.col("col_idx"))),
+                      fits.select(*KEYS, F.col("col_idx").alias("_at"), "empty", "fits"), [*KEYS, "_at"], "left")
+        joined = own.withColumn("contradicts", contradicts(F.col("empty"), _fit_of("target")))
+    else:
+        joined = _merged(named, fits.select(*KEYS, "col_idx", "target", "contradicts"), [*KEYS, "col_idx", "target"], "left")
     reason = F.when(~known, message("invalid target")).when(F.col("col_idx").isNull(), message("unknown source")).when(
         F.col("contradicts"), message("contradicted"))
     return joined.withColumn("reason", reason).where("reason is not null").select(
@@ -346,21 +366,46 @@ def _claim_targets(col_idx, tier, cand_order, target, confidence, bid, plausible
 def assign_targets(viable: DataFrame) -> DataFrame:
     """1:1 assignment within every sheet (M11), with the targets blocked at each column's turn.
 
-    Each sheet is one array of its candidates, at most a dozen per column and never data
-    rows, so thousands of sheets are settled per batch.
+    The candidates of a sheet, at most a dozen per column and never data rows, lie beside each other
+    in sorted rows; a task holds one batch of them and the sheet that runs on into the next.
     """
-    @F.pandas_udf("array<struct<at:int,blocked:array<string>>>")
-    def winners(col_idx: pd.Series, tier: pd.Series, cand_order: pd.Series, target: pd.Series,
-                confidence: pd.Series, bid: pd.Series, plausible: pd.Series) -> pd.Series:
-        sheets = zip(col_idx, tier, cand_order, target, confidence, bid, plausible)
-        return pd.Series([_claim_targets(*sheet) for sheet in sheets])
-
-    body = [f.name for f in viable.schema if f.name not in KEYS]
-    packed = viable.groupBy(*KEYS).agg(F.collect_list(F.struct(*body)).alias("c"))
-    judged = ["col_idx", "tier", "cand_order", "target", "confidence", "bid", "plausible"]
-    won = packed.withColumn("w", F.explode(winners(*[F.col(f"c.{x}") for x in judged])))
-    return won.select(*KEYS, F.get("c", F.col("w.at")).alias("_c"), F.col("w.blocked").alias("blocked")).select(
-        *KEYS, "_c.*", "blocked").drop("plausible")
+    given = [f.name for f in viable.schema if f.name not in KEYS]
+    judged = [given.index(x) + len(KEYS) for x in ("col_idx", "tier", "cand_order", "target", "confidence", "bid", "plausible")]
+    kept = [i for i, x in enumerate([*KEYS, *given]) if x != "plausible"]
+
+    def settled(rows: pa.RecordBatch, firsts: list[int]) -> pa.RecordBatch:
+        """The winning rows of the sheets that begin at ``firsts``."""
+        fields = [rows.column(i).to_pylist() for i in judged]
+        fields[-1] = [None if x is None else json.loads(x) for x in fields[-1]]
+        at, blocked = [], []
+        for low, high in zip(firsts, [*firsts[1:], len(rows)]):
+            for won in _claim_targets(*[f[low:high] for f in fields]):
+                at.append(low + won["at"])
+                blocked.append(won["blocked"])
+        taken = rows.select(kept).take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(blocked, pa.list_(pa.string()))], [*taken.schema.names, "blocked"])
+
+    def by_sheet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            sheets = list(zip(*[rows.column(i).to_pylist() for i in range(len(KEYS))]))
+            firsts = [i for i, x in enumerate(sheets) if not i or x != sheets[i - 1]]
+            if firsts[1:]:
+                yield settled(rows.slice(0, firsts[-1]), firsts[:-1])
+            held = rows.slice(firsts[-1])
+        if held is not None:
+            yield settled(held, [0])
+
+    # Lists travel as JSON: Spark measures a batch anew after every row, and lists are what that takes long for.
+    fields = {f.name: f.dataType.simpleString() for f in viable.schema} | {"evidence": "string", "blocked": "array<string>"}
+    flat = [F.to_json(x).alias(x) if x in ("evidence", "plausible") else x for x in given]
+    schema = ", ".join(f"{x} {fields[x]}" for x in [*KEYS, *[g for g in given if g != "plausible"], "blocked"])
+    # Sorted by a hash first: names of files and sheets have long beginnings in common, which sorts badly.
+    won = viable.select(*KEYS, *flat).repartition(*KEYS).sortWithinPartitions(F.xxhash64(*KEYS), *KEYS).mapInArrow(by_sheet, schema)
+    return won.withColumn("evidence", F.from_json("evidence", "array<string>"))
 
 
 def blocked_targets(columns: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -370,10 +415,31 @@ def blocked_targets(columns: DataFrame, assigned: DataFrame) -> DataFrame:
     One that found none is settled after all others, in column order: all claims of its sheet
     are blocked but proposals accepted for later columns.
     """
-    claims = assigned.groupBy(*KEYS).agg(F.collect_list(F.struct("target", "tier", "col_idx")).alias("_claims"))
-    own = columns.select(*KEYS, "col_idx").join(assigned.select(*KEYS, "col_idx", "blocked"), [*KEYS, "col_idx"], "left").join(claims, KEYS, "left")
-    rest = F.transform(F.filter("_claims", lambda c: (c["tier"] < 9) | (c["col_idx"] < F.col("col_idx"))), lambda c: c["target"])
-    return own.select(*KEYS, "col_idx", F.coalesce("blocked", F.array_sort(rest), F.array().cast("array<string>")).alias("blocked"))
+    sheets = _by_sheet(columns, ["col_idx"], "_columns").join(_by_sheet(assigned, ["col_idx", "target", "tier", "blocked"], "_won").hint("merge"), KEYS, "left")
+    return _blocked(sheets).select(*KEYS, F.inline("_blocked"))
+
+
+def _by_sheet(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
+    """One row per sheet with the array ``name`` of its rows; a few dozen, one per column."""
+    return rows.groupBy(*KEYS).agg(F.collect_list(F.struct(*fields)).alias(name))
+
+
+def _own(array: str, col_idx: Column) -> Column:
+    """The entries of a sheet's array that are about one column; one null if there is none, as of an outer join."""
+    found = F.filter(array, lambda x: x["col_idx"] == col_idx)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None)))
+
+
+def _blocked(sheets: DataFrame) -> DataFrame:
+    """``sheets(keys, _columns, _won)`` with ``_blocked``, the array of (col_idx, blocked)."""
+    none = F.array().cast("array<string>")
+
+    def shut(c):
+        rest = F.transform(F.filter("_won", lambda w: (w["tier"] < 9) | (w["col_idx"] < c["col_idx"])), lambda w: w["target"])
+        return F.transform(_own("_won", c["col_idx"]), lambda w: F.struct(
+            c["col_idx"].alias("col_idx"), F.coalesce(w["blocked"], F.array_sort(rest), none).alias("blocked")))
+
+    return sheets.withColumn("_blocked", F.flatten(F.transform("_columns", shut)))
 
 
 def mapping_table(columns: DataFrame, assigned: DataFrame, vetoes: DataFrame | None = None,
@@ -383,10 +449,21 @@ def mapping_table(columns: DataFrame, assigned: DataFrame, vetoes: DataFrame | N
     ``vetoes`` from ``veto_reasons``, ``plausible`` from ``plausible_targets``; of both, targets
     that were blocked when the column was settled do not count.
     """
-    won = assigned.drop("source_column", "tier", "bid", "blocked")
-    out = columns.select(*KEYS, "col_idx", "source_column").join(won, [*KEYS, "col_idx"], "left")
+    won = [c for c in assigned.columns if c not in (*KEYS, "source_column", "bid")]
     none = F.array().cast("array<string>")
-    out = out.join(blocked_targets(columns, assigned), [*KEYS, "col_idx"], "left")
+    # Columns, winners, vetoes and plausible targets meet by sheet: one exchange each, whatever is joined.
+    sheets = _by_sheet(columns, ["col_idx", "source_column"], "_columns").join(_by_sheet(assigned, won, "_won").hint("merge"), KEYS, "left")
+    for side, field in ((vetoes, "vetoed"), (plausible, "plausible")):
+        if side is not None:
+            sheets = sheets.join(_by_sheet(side, ["col_idx", field], f"_{field}").hint("merge"), KEYS, "left")
+    sides = {"_won": "_w", "_blocked": "_b"} | ({} if vetoes is None else {"_vetoed": "_v"}) | ({} if plausible is None else {"_plausible": "_p"})
+    own = lambda c: F.struct(c.alias("_c"), *[_own(array, c["col_idx"]).alias(short) for array, short in sides.items()])
+    out = _blocked(sheets).select(*KEYS, F.inline(F.transform("_columns", own)))
+    for short in sides.values():
+        out = out.withColumn(short, F.explode(short))
+    out = out.select(
+        *KEYS, "_c.*", *[F.col(f"_w.{c}").alias(c) for c in won if c not in ("col_idx", "tier", "blocked")], F.col("_b.blocked").alias("blocked"),
+        *([] if vetoes is None else ["_v.vetoed"]), *([] if plausible is None else ["_p.plausible"]))
     free = lambda target: ~F.array_contains("blocked", target)
     if vetoes is None:
         out = out.withColumn("vetoed", none)
@@ -394,13 +471,11 @@ def mapping_table(columns: DataFrame, assigned: DataFrame, vetoes: DataFrame | N
         # A mapped column lists only the vetoes it met before its own target.
         met = F.filter("vetoed", lambda x: free(x["target"]) & (
             F.col("cand_order").isNull() | (x["tier"] < 2) | (x["cand_order"] < F.col("cand_order"))))
-        out = out.join(vetoes, [*KEYS, "col_idx"], "left").withColumn(
-            "vetoed", F.coalesce(met.getField("text"), none))
+        out = out.withColumn("vetoed", F.coalesce(met.getField("text"), none))
     if plausible is None:
         out = out.withColumn("_plausible", F.lit(True))
     else:
-        out = out.join(plausible, [*KEYS, "col_idx"], "left").withColumn(
-            "_plausible", F.coalesce(F.exists("plausible", free), F.lit(False)))
+        out = out.withColumn("_plausible", F.coalesce(F.exists("plausible", free), F.lit(False)))
     unnamed = F.col("source_column").startswith(UNMAPPED_PREFIX)
     mapped = F.col("target").isNotNull()
     zero = F.lit(0.0)
@@ -460,9 +535,11 @@ def mapping_summary(mapping: DataFrame, digits: int | None = 4) -> DataFrame:
 
 def unmapped_targets(mapping: DataFrame) -> DataFrame:
     """Targets without a source column, one row per (sheet, target)."""
-    targets = F.explode(F.array(*[F.lit(t) for t in TARGET_FIELDS])).alias("target")
-    wanted = mapping.select(*KEYS).distinct().select(*KEYS, targets)
-    return wanted.join(mapping.where("target is not null"), [*KEYS, "target"], "left_anti")
+    targets, none = F.array(*[F.lit(t) for t in TARGET_FIELDS]), F.array().cast("array<string>")
+    # A sheet without a name is like no other, so it holds none of the targets.
+    nameless = F.col(KEYS[0]).isNull() | F.col(KEYS[1]).isNull()
+    held = mapping.groupBy(*KEYS).agg(F.collect_set("target").alias("_held"))
+    return held.select(*KEYS, F.explode(F.array_except(targets, F.when(nameless, none).otherwise(F.col("_held")))).alias("target"))
 
 
 def mapping_report(mapping: DataFrame) -> DataFrame:

@@ -152,3 +152,39 @@ def test_memory_upsert_and_search(spark):
     v = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.8, 0.6]), (9, [0.0, 1.0])], "memory_id int, vector array<double>")
     found = mem.search_memory(h, v).orderBy("rank").collect()
     assert [(r.memory_id, round(r.similarity, 3)) for r in found] == [(7, 1.0), (8, 0.8)]
+
+
+def _columns_and_fits(spark):
+    from schedulesmith.schema import TARGET_FIELDS
+
+    columns = spark.createDataFrame([("f", f"s{i}", j, f"h{j}") for i in range(3) for j in range(4)], "file_id string, sheet_name string, col_idx int, source_column string")
+    fits = columns.select("file_id", "sheet_name", "col_idx", F.lit(False).alias("empty"), F.array(*[F.lit(0.1 if i % 2 else 0.9) for i in range(len(TARGET_FIELDS))]).alias("fits"))
+    return columns, fits
+
+
+def test_sides_that_grow_with_the_columns_are_not_broadcast(spark):
+    columns, fits = _columns_and_fits(spark)
+    proposals = columns.select("file_id", "sheet_name", "source_column", F.lit("Address").alias("target"), F.lit(0.9).alias("confidence"), F.lit("why").alias("rationale"))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    refused = m.rejected_proposals(proposals, columns, fits)
+    assert "BroadcastHashJoin" not in plan(refused) and refused.count() == 12
+    taken = m.proposal_candidates(proposals.withColumn("target", F.lit("Reference")), columns, fits)
+    assert "BroadcastHashJoin" not in plan(taken) and taken.count() == 12
+    won = m.assign_targets(taken)
+    assert "BroadcastHashJoin" not in plan(m.mapping_table(columns, won, plausible=m.plausible_targets(fits)))
+    # The mapping is read once for its sheets and their targets.
+    mapping = m.mapping_table(columns, won)
+    missing = m.unmapped_targets(mapping)
+    assert plan(missing).count("MapInArrow") == plan(mapping).count("MapInArrow") and missing.count() == 3 * 16
+
+
+def test_sheets_that_run_on_into_the_next_batch(spark):
+    columns, fits = _columns_and_fits(spark)
+    proposals = columns.select("file_id", "sheet_name", "source_column", F.lit("Reference").alias("target"), F.lit(0.9).alias("confidence"), F.lit("why").alias("rationale"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        won = m.assign_targets(m.proposal_candidates(proposals, columns, fits).coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted((r.sheet_name, r.col_idx, r.evidence[0], r.blocked) for r in won) == [(f"s{i}", 0, "LLM reasoning: why", []) for i in range(3)]

@@ -164,8 +164,9 @@ add("assigned_targets",
     ASSIGNED + f" select {K}, col_idx, source_column, target, method, confidence from assigned")
 
 
-def mapping(spark, sf):
-    cands = settle(candidates(spark, sf))
+def mapping(spark, sf, cands=None):
+    """The mapping table, from settled candidates if they are there."""
+    cands = settle(candidates(spark, sf)) if cands is None else cands
     won = settle(m.assign_targets(m.viable_candidates(cands)))
     return m.mapping_table(columns(spark, sf).drop("k"), won, m.veto_reasons(cands), m.plausible_targets(packed(spark, sf)))
 
@@ -302,7 +303,7 @@ add("accepted_proposals",
       anti join assigned a on a.file_id = j.file_id and a.sheet_name = j.sheet_name and a.col_idx = j.col_idx
       anti join assigned t on t.file_id = j.file_id and t.sheet_name = j.sheet_name and t.target = j.target where not j.contradicts""")
 add("rejected_proposals",
-    lambda spark, sf: m.rejected_proposals(spark_sql(spark, sf, PROPOSALS), columns(spark, sf).drop("k"), fits(spark, sf)),
+    lambda spark, sf: m.rejected_proposals(spark_sql(spark, sf, PROPOSALS), columns(spark, sf).drop("k"), packed(spark, sf)),
     f"""{_EXACT}, {_proposed} select {K}, source_column, target, case when target in ('Elevation', 'Notes') then concat('invalid target: ', target)
       when col_idx is null then 'unknown source column' else 'values contradict the target' end as reason
       from judged where target in ('Elevation', 'Notes') or col_idx is null or contradicts""")

@@ -192,8 +192,8 @@ REJECT_NOTE = "values do not fit"
 
 def _review(spark, sf):
     """Every third customer's mappings are rejected with a note."""
-    cands = settle(mp.m.viable_candidates(mp.candidates(spark, sf)))
-    mapping = settle(mp.mapping(spark, sf))
+    every = settle(mp.candidates(spark, sf))
+    cands, mapping = mp.m.viable_candidates(every), settle(mp.mapping(spark, sf, every))
     items = settle(r.mapping_recommendations(mapping).withColumns({
         "status": F.when(F.col("confidence") < 0.8, "rejected").otherwise("approved"),
         "rejection_note": F.when(F.col("confidence") < 0.8, REJECT_NOTE).otherwise("")}))
