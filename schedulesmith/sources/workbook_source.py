@@ -1,7 +1,7 @@
 """Workbooks as a data source: ``spark.read.format("workbook").load(folder)``.
 
 ``spark.dataSource.register(WorkbookSource)`` makes it known to a session. Every sheet is a partition of its
-own, and a filter on ``sheet_name`` leaves the other sheets unread (with
+own, consecutive files are one where there are many, and a filter on ``sheet_name`` leaves the other sheets unread (with
 ``spark.sql.python.filterPushdown.enabled``). Columns are those of parsed files: rows, then a record per sheet, or an
 error record where a sheet or a whole file cannot be read.
 """
@@ -19,8 +19,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from .files import PARSED_SCHEMA
 from .workbook import _context, _sheet_records, _sheets
 
-# Files whose lists of sheets the driver fetches at a time.
-LISTED_AT_ONCE = 32
+# Files whose lists of sheets the driver fetches at a time, and at most; of more files the tasks that read them do.
+LISTED_AT_ONCE, LISTED = 32, 256
+# Partitions of more files, and the bytes after which one is full however many there are.
+PARTITIONS, PARTITION_BYTES = 256, 16 << 20
+# Sheets up to this size are parsed once and held; larger ones twice.
+HELD_BYTES = 1 << 20
 
 
 def open_folder(path: str):
@@ -37,6 +41,11 @@ class SheetPartition(InputPartition):
     error: str | None = None
 
 
+@dataclass
+class FilesPartition(InputPartition):
+    paths: list[str]
+
+
 class WorkbookReader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder = folder
@@ -51,41 +60,71 @@ class WorkbookReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[SheetPartition]:
-        """A partition per sheet. Only names are fetched here: the directory of each archive and its list of sheets."""
+        """A partition per sheet. Only names are fetched here: the directory of each archive and its list of sheets.
+
+        Of more than ``LISTED`` files nothing but names and sizes is looked at: consecutive files are a partition.
+        """
         from pyarrow import fs
 
         system, folder = open_folder(self.folder)
-        files = [f.path for f in system.get_file_info(fs.FileSelector(folder, recursive=True)) if f.is_file and f.path.lower().endswith(".xlsx")]
-
-        def parts(path: str) -> list[SheetPartition]:
-            try:
-                with system.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
-                    return [SheetPartition(path, s) for s in _sheets(archive) if self.wanted is None or s[1] in self.wanted]
-            except Exception as e:  # noqa: BLE001 - any unreadable file is reported, not fatal
-                return [SheetPartition(path, None, f"Failed to read file: {e}")] if self.wanted is None else []
-
+        files = sorted((f.path, f.size or 0) for f in system.get_file_info(fs.FileSelector(folder, recursive=True)) if f.is_file and f.path.lower().endswith(".xlsx"))
+        if len(files) > LISTED:
+            full = min(PARTITION_BYTES, sum(size for _, size in files) / PARTITIONS)
+            groups, held = [], full
+            for path, size in files:
+                if held >= full:
+                    groups.append([])
+                    held = 0
+                groups[-1].append(path)
+                held += size
+            return [FilesPartition(g) for g in groups]
         with ThreadPoolExecutor(LISTED_AT_ONCE) as pool:
-            return [p for found in pool.map(parts, sorted(files)) for p in found]
+            return [p for found in pool.map(lambda f: self._listed(system, f[0]), files) for p in found]
+
+    def _listed(self, system, path: str) -> list[SheetPartition]:
+        """The sheets of a file that are wanted."""
+        try:
+            with system.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
+                return [SheetPartition(path, s) for s in _sheets(archive) if self.wanted is None or s[1] in self.wanted]
+        except Exception as e:  # noqa: BLE001 - any unreadable file is reported, not fatal
+            return [SheetPartition(path, None, f"Failed to read file: {e}")] if self.wanted is None else []
 
-    def read(self, partition: SheetPartition) -> Iterator[tuple]:
-        """The rows of a sheet that can be read to its end; the first run only finds that out, so no rows are held."""
-        if partition.sheet is None:
-            yield (partition.path, None, None, None, None, None, None, partition.error)
-            return
+    def read(self, partition: SheetPartition | FilesPartition) -> Iterator[tuple]:
         system, _ = open_folder(self.folder)
-        with system.open_input_file(partition.path) as file, zipfile.ZipFile(file) as archive:
+        files = [[partition]] if isinstance(partition, SheetPartition) else (self._listed(system, path) for path in partition.paths)
+        for sheets in files:
+            if sheets and sheets[0].sheet is None:
+                yield (sheets[0].path, None, None, None, None, None, None, sheets[0].error)
+            elif sheets:
+                yield from self._rows(system, sheets)
+
+    def _rows(self, system, sheets: list[SheetPartition]) -> Iterator[tuple]:
+        """The rows of sheets of one file that can be read to their end.
+
+        A large sheet is first read only to find that out, so no more than ``HELD_BYTES`` of a sheet are held.
+        """
+        path = sheets[0].path
+        with system.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
             try:
                 context = _context(archive)
             except Exception as e:  # noqa: BLE001
-                yield (partition.path, partition.sheet[1], partition.sheet[0], None, None, None, None, f"Failed to read sheet: {e}")
+                for part in sheets:
+                    yield (path, part.sheet[1], part.sheet[0], None, None, None, None, f"Failed to read sheet: {e}")
                 return
-            for end in _sheet_records(archive, partition.path, partition.sheet, context):
-                pass
-            if end[7] is None:
-                for record in _sheet_records(archive, partition.path, partition.sheet, context):
-                    if record[3] is not None:
-                        yield record
-            yield end
+            for part in sheets:
+                records = lambda: _sheet_records(archive, path, part.sheet, context)  # noqa: B023, E731
+                small = part.sheet[2] in archive.NameToInfo and archive.getinfo(part.sheet[2]).file_size <= HELD_BYTES
+                held = list(records()) if small else None
+                if small:
+                    end = held.pop()
+                else:
+                    for end in records():
+                        pass
+                if end[7] is None:
+                    for record in held if small else records():
+                        if record[3] is not None:
+                            yield record
+                yield end
 
 
 class WorkbookSource(DataSource):

@@ -90,3 +90,19 @@ def test_only_changed_files_are_parsed_again(spark, tmp_path):
     assert shown(files.ingest_changed(spark, str(root), out)) == shown(files.read_files(spark, str(root)))
     left = {f for f in (tmp_path / "parsed").rglob("*.parquet")}
     assert sum(f in left for f in written) >= len(written) - 2
+
+
+def test_many_files_share_partitions(spark, tmp_path, monkeypatch):
+    from schedulesmith.sources import workbook_source as ws
+
+    root = folder(tmp_path)
+    shown = lambda reader: sorted(str(r) for p in reader.partitions() for r in reader.read(p))
+    alone = shown(WorkbookReader(str(root)))
+    monkeypatch.setattr(ws, "LISTED", 2)
+    monkeypatch.setattr(ws, "PARTITIONS", 1)
+    reader = WorkbookReader(str(root))
+    assert len(reader.partitions()) == 1 and shown(reader) == alone
+    monkeypatch.setattr(ws, "HELD_BYTES", 0)
+    assert shown(reader) == alone
+    reader.wanted = {"Two"}
+    assert {str(r[1]) for p in reader.partitions() for r in reader.read(p)} == {"Two"}
