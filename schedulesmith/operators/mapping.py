@@ -458,7 +458,9 @@ def mapping_table(columns: DataFrame, assigned: DataFrame, vetoes: DataFrame | N
             sheets = sheets.join(_by_sheet(side, ["col_idx", field], f"_{field}").hint("merge"), KEYS, "left")
     sides = {"_won": "_w", "_blocked": "_b"} | ({} if vetoes is None else {"_vetoed": "_v"}) | ({} if plausible is None else {"_plausible": "_p"})
     own = lambda c: F.struct(c.alias("_c"), *[_own(array, c["col_idx"]).alias(short) for array, short in sides.items()])
-    out = _blocked(sheets).select(*KEYS, F.inline(F.transform("_columns", own)))
+    # A sheet without a name is like no other, so nothing meets its columns.
+    named = F.col(KEYS[0]).isNotNull() & F.col(KEYS[1]).isNotNull()
+    out = _blocked(sheets).withColumn("_blocked", F.when(named, F.col("_blocked"))).select(*KEYS, F.inline(F.transform("_columns", own)))
     for short in sides.values():
         out = out.withColumn(short, F.explode(short))
     out = out.select(

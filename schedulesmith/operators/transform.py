@@ -55,7 +55,7 @@ def positions_from_mapping(mapping: DataFrame) -> DataFrame:
 def every_sheet(sheets: DataFrame, plan: DataFrame) -> DataFrame:
     """``plan`` with a row for every sheet; the targets of sheets it lacks come from nowhere."""
     nowhere = F.array(*[F.lit(None).cast("int") for _ in TARGET_FIELDS])
-    return sheets.select(*KEYS).distinct().join(plan, KEYS, "left").withColumn("positions", F.coalesce("positions", nowhere))
+    return sheets.select(*KEYS).distinct().join(plan.hint("merge"), KEYS, "left").withColumn("positions", F.coalesce("positions", nowhere))
 
 
 def _positions(claims: DataFrame) -> DataFrame:

@@ -188,3 +188,21 @@ def test_sheets_that_run_on_into_the_next_batch(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert sorted((r.sheet_name, r.col_idx, r.evidence[0], r.blocked) for r in won) == [(f"s{i}", 0, "LLM reasoning: why", []) for i in range(3)]
+
+
+def test_columns_of_sheets_without_a_name_stay_single(spark):
+    rows = [("f", None, 0, "a"), ("f", None, 0, "b"), (None, "s", 0, "c"), ("f", "s", 0, "d")]
+    columns = spark.createDataFrame(rows, "file_id string, sheet_name string, col_idx int, source_column string")
+    none = spark.createDataFrame([], m.CANDIDATE_SCHEMA)
+    got = m.mapping_table(columns, m.assign_targets(none)).collect()
+    assert sorted(r.source_column for r in got) == ["a", "b", "c", "d"]
+    assert sorted(r.source_column for r in m.unmapped_targets(m.mapping_table(columns, m.assign_targets(none))).groupBy(F.coalesce("file_id", F.lit("-")).alias("source_column")).count().collect()) == ["-", "f"]
+
+
+def test_the_plan_of_every_sheet_is_not_broadcast(spark):
+    from schedulesmith.operators import transform as t
+
+    sheets = spark.range(3).select(F.lit("f").alias("file_id"), F.col("id").cast("string").alias("sheet_name"))
+    plan = sheets.limit(1).withColumn("positions", F.array(*[F.lit(0)] * 17))
+    got = t.every_sheet(sheets, plan)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString() and got.count() == 3

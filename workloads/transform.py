@@ -48,7 +48,7 @@ def customer_records(spark, sf):
     """One record per order of the customer's sheet, twelve cells each."""
     cells = F.transform(F.sequence(F.lit(0), F.lit(mp.WIDTH - 1)), lambda j: F.when(
         (F.col("o_orderkey") + j) % 5 != 0, F.concat(F.lit("v"), j.cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"))))
-    return table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+    return table(spark, sf, "orders").join(table(spark, sf, "customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_mktsegment").alias("file_id"), F.col("c_name").alias("sheet_name"), F.col("o_orderkey").alias("row_idx"),
         cells.alias("values"), F.lit(None).cast("array<string>").alias("types"))
 
