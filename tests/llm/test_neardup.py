@@ -142,3 +142,23 @@ def test_a_large_bucket_is_compared_block_by_block_only_where_needed(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for block in (3, 8):
         assert run(docs, block=block) == expected
+
+
+def test_every_shingle_weighs_by_its_document_frequency(spark):
+    rnd = random.Random(3)
+    words = lambda n: [" ".join("".join(rnd.choice("abcdefghij") for _ in range(8)) for _ in range(n))]
+    base, one, two = words(128), words(16), words(16)
+    # The two share 124 of 156 shingles, less than 0.8; those they do not share are mostly in 31 of the 200 texts.
+    texts = [" ".join(base + one), " ".join(base + two)] + [" ".join(words(30) + (one, two)[i % 2]) for i in range(60)] + [words(10)[0] for _ in range(138)]
+    bags = [features(t) for t in texts]
+    df = Counter(s for b in bags for s in b)
+    assert max(df.values()) == 31 < neardup.COMMON * len(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for parts in (1, 7):
+        signed = neardup.signatures(docs.selectExpr("md5(text) as key", "doc_id", "text"), len(texts), parts).collect()
+        got = {r.doc_id: (r.alone, sorted(r.frequencies)) for r in signed}
+        assert got == {i: (sum(df[s] == 1 for s in b), sorted(df[s] for s in b if df[s] > 1)) for i, b in enumerate(bags)}
+    weight = lambda bag: sum(c * neardup.weight_of(df[s], len(texts)) for s, c in bag.items())
+    a, b = bags[:2]
+    assert (a & b).total() / (a | b).total() < 0.8 < 0.805 < weight(a & b) / weight(a | b)
+    assert run(docs) == {(0, 0, 2), (1, 0, 2)} | {(i, i, 1) for i in range(2, len(texts))}
