@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import fuzzy_hits, similarity_topk
 from ..functions.text import fixed, normalize_header, normalize_header_text, rounded
 from ..schema import KEYS, TARGET_FIELDS, corpus
-from ..session import attach, first_rows, settle
+from ..session import attach, first_rows, is_small, settle
 from .memory import memory_matches
 from .profile import contradicts, map_fit
 
@@ -210,9 +210,14 @@ def map_candidates(columns: DataFrame, fits: DataFrame, semantic: DataFrame | No
     names = parts[0]
     for part in parts[1:]:
         names = names.unionByName(part)
-    # One header text may sit on a large share of all sheets: size-checked broadcast, else salted.
-    joined = _merged(attach(named, settle(names), ["source_column"], spread=F.struct(*KEYS, "col_idx")),
-                     fits.select(*KEYS, "col_idx", "empty", "fits"), [*KEYS, "col_idx"])
+    names, fitted, on = settle(names), fits.select(*KEYS, "col_idx", "empty", "fits"), [*KEYS, "col_idx"]
+    if is_small(names):
+        # Columns meet their fits before their candidates, so no text of a candidate is shuffled.
+        joined = _merged(named, fitted, on).join(F.broadcast(names), "source_column")
+    else:
+        # One header text may sit on a large share of all sheets, so it is salted.
+        joined = _merged(attach(named, names, ["source_column"], spread=F.struct(*on)), fitted, on)
+    joined = joined.select(*on, *names.columns, "empty", "fits")
     own = joined.withColumn("_fit", _fit_of("target")).drop("fits")
     return own.withColumns({
         "value_profile_fit": map_fit(F.col("empty"), F.col("_fit")), "contradicts": contradicts(F.col("empty"), F.col("_fit"))}).withColumn(
@@ -241,7 +246,9 @@ def veto_reasons(candidates: DataFrame) -> DataFrame:
     fit = fixed("value_profile_fit", 2)
     text = F.when(F.col("tier") == 0, message("memory vetoed", fit=fit)).when(F.col("tier") == 1, message("header vetoed", fit=fit)).otherwise(
         message("other vetoed", fit=fit))
-    packed = candidates.where("contradicts").groupBy(*KEYS, "col_idx").agg(
+    # Dealt by sheet as they are, with the texts made afterwards: ``mapping_table`` takes them by sheet too, without another exchange.
+    ruled_out = candidates.where("contradicts").select(*KEYS, "col_idx", "tier", "cand_order", "target", "method", "value_profile_fit").repartition(*KEYS)
+    packed = ruled_out.groupBy(*KEYS, "col_idx").agg(
         F.array_sort(F.collect_list(F.struct("tier", "cand_order", "target", text.alias("text")))).alias("_v"))
     return packed.select(*KEYS, "col_idx", F.col("_v").alias("vetoed"))
 

@@ -206,3 +206,19 @@ def test_the_plan_of_every_sheet_is_not_broadcast(spark):
     plan = sheets.limit(1).withColumn("positions", F.array(*[F.lit(0)] * 17))
     got = t.every_sheet(sheets, plan)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString() and got.count() == 3
+
+
+def test_texts_of_candidates_are_shuffled_once_at_most(spark, monkeypatch):
+    """Columns meet fits before their candidates; a salted join of many headers gives the same; vetoes are dealt by sheet once."""
+    columns = spark.createDataFrame([("f", f"s{i % 3}", i // 3, h) for i, h in enumerate(HEADERS * 2)], "file_id string, sheet_name string, col_idx int, source_column string")
+    fits = columns.select("file_id", "sheet_name", "col_idx", F.lit(False).alias("empty"),
+                          F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: (F.col("col_idx") * 7 + i * 3) % 20 / 20.0).alias("fits"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = m.map_candidates(columns, fits)
+    text = plan(small)
+    assert text.index("BroadcastHashJoin") < text.index("SortMergeJoin")
+    by_sheet = m.veto_reasons(small.localCheckpoint()).groupBy("file_id", "sheet_name").agg(F.count("*"))
+    assert plan(by_sheet).count("Exchange") == 1
+    monkeypatch.setattr(m, "is_small", lambda df: False)
+    salted = m.map_candidates(columns, fits)
+    assert salted.columns == small.columns and sorted(map(str, salted.collect())) == sorted(map(str, small.collect()))

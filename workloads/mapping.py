@@ -15,7 +15,7 @@ from schedulesmith.operators import mapping as m
 from schedulesmith.operators import memory as mem
 from schedulesmith.operators import profile as p
 from schedulesmith.schema import KEYS, TARGET_FIELDS
-from schedulesmith.session import checkpoint_folder, settle
+from schedulesmith.session import checkpoint_folder, settle, store
 
 from . import duck as d
 from .inputs import duck_sql, spark_sql, table
@@ -166,8 +166,8 @@ add("assigned_targets",
 
 def mapping(spark, sf, cands=None):
     """The mapping table, from settled candidates if they are there."""
-    cands = settle(candidates(spark, sf)) if cands is None else cands
-    won = settle(m.assign_targets(m.viable_candidates(cands)))
+    cands = store(candidates(spark, sf)) if cands is None else cands
+    won = store(m.assign_targets(m.viable_candidates(cands)))
     return m.mapping_table(columns(spark, sf).drop("k"), won, m.veto_reasons(cands), m.plausible_targets(packed(spark, sf)))
 
 
@@ -194,7 +194,7 @@ add("mapping_veto_reasons",
 def free_targets(spark, sf):
     """Shortlists of the columns without a target, over the targets no other column holds."""
     own = columns(spark, sf).drop("k")
-    won = settle(m.assign_targets(m.viable_candidates(settle(candidates(spark, sf)))))
+    won = store(m.assign_targets(m.viable_candidates(store(candidates(spark, sf)))))
     open_ = m.blocked_targets(own, won).join(won.select(*COL), COL, "left_anti")
     return m.shortlist(fits(spark, sf).join(open_.select(*COL), COL, "left_semi"), blocked=open_)
 

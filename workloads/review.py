@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from schedulesmith.functions.ops import WHITELIST
 from schedulesmith.operators import review as r
 from schedulesmith.schema import KEYS, TARGET_FIELDS
-from schedulesmith.session import settle
+from schedulesmith.session import settle, store
 
 from . import duck as d
 from . import mapping as mp
@@ -192,13 +192,13 @@ REJECT_NOTE = "values do not fit"
 
 def _review(spark, sf):
     """Every third customer's mappings are rejected with a note."""
-    every = settle(mp.candidates(spark, sf))
-    cands, mapping = mp.m.viable_candidates(every), settle(mp.mapping(spark, sf, every))
-    items = settle(r.mapping_recommendations(mapping).withColumns({
+    every = store(mp.candidates(spark, sf))
+    cands, mapping = mp.m.viable_candidates(every), store(mp.mapping(spark, sf, every))
+    items = store(r.mapping_recommendations(mapping).withColumns({
         "status": F.when(F.col("confidence") < 0.8, "rejected").otherwise("approved"),
         "rejection_note": F.when(F.col("confidence") < 0.8, REJECT_NOTE).otherwise("")}))
-    rejected = settle(r.to_rereason(items))
-    return items, mapping, rejected, settle(r.next_best(rejected, cands, mapping))
+    rejected = store(r.to_rereason(items))
+    return items, mapping, rejected, store(r.next_best(rejected, cands, mapping))
 
 
 _next = f"""rej as (select {K}, col_idx, source_column, target from mapping where target is not null and confidence < 0.8),
