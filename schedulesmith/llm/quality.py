@@ -177,4 +177,4 @@ def quality_rules(docs: DataFrame, fences: tuple[Fence, ...] = FENCES, keep: Col
     Null texts, texts without words and repeated rows are judged like any other; an empty table
     gives an empty result. Input columns travel in ``row`` and may have any name.
     """
-    return judge(stored(score(docs, keep=keep), "quality-scores"), fences)
+    return judge(stored(score(docs, keep=keep), "quality-scores", compression="zstd"), fences)

@@ -49,7 +49,7 @@ def shuffle_into_shards(docs: DataFrame, text: str = "text", shards: int = SHARD
     plan = stored(sizes.select("bucket", "n", F.when(F.col("bytes") > large, F.ceil(F.col("bytes") * 2 / large)).otherwise(1).cast("long").alias("parts")),
                   "shard-buckets")
     if plan.where("parts > 1").limit(1).count():
-        rows = stored(rows, "shard-rows")  # row numbers decide now, so they must not change between two readings
+        rows = stored(rows, "shard-rows", compression="zstd")  # row numbers decide now, so they must not change between two readings
         rows = attach(rows, plan.select(F.col("bucket").alias("b"), "parts"), F.col("bucket") == F.col("b"))
         rows = rows.withColumn("part", F.pmod("at", "parts")).drop("b", "parts")
         plan = stored(rows.groupBy("bucket", "part").agg(F.count("*").alias("n")), "shard-parts")
@@ -75,5 +75,5 @@ def shuffle_into_shards(docs: DataFrame, text: str = "text", shards: int = SHARD
     ranged = placed.select("bucket", "part", "row", "code", "at", "before").repartitionByRange(n_partitions(spark), "bucket", "part")
     dealt = ranged.groupBy("bucket", "part").applyInArrow(fisher_yates, schema)
     path = shared_folder(spark, "shards")
-    dealt.write.partitionBy("shard").parquet(path)
+    dealt.write.partitionBy("shard").parquet(path, compression="zstd")
     return spark.read.schema(schema).parquet(path)

@@ -157,3 +157,17 @@ def test_queries_without_sql_return_every_row(spark):
     import zlib
     assert all(r.size == len((docs[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((docs[r.doc_id] or "").encode()) for r in dealt)
     assert {r.page_id for r in queries.Q["op1_main_text"](spark, SF).collect()} == {r.page_id for r in read(spark, SF, "pages").collect()}
+
+
+def test_stages_are_stored_compressed(spark, folder):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    corpus_pipeline.run(spark, folder)
+    root = Path(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    for name, _ in corpus_pipeline.STAGES:
+        held = sorted(root.glob(f"pipeline-{name.replace(' ', '-')}-*"), key=lambda x: x.stat().st_mtime)[-1]
+        metas = [pq.ParquetFile(f).metadata for f in held.glob("*.parquet")]
+        codecs = {m.row_group(g).column(c).compression for m in metas for g in range(m.num_row_groups) for c in range(m.num_columns)}
+        assert codecs == {"ZSTD"}
