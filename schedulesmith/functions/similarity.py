@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..session import attach, settle, store
 
-# Corpus entries, and queries, of one block.
+# Corpus entries of one piece, and queries of one block.
 BLOCK, QUERY_BLOCK = 4096, 8192
+# Of large inputs pieces meet queries by units, and blocks grow: to a share of the rows, but to so many components of vectors at most.
+SHARE, HELD_COMPONENTS = 16, 1 << 21
 # Pivots around which a large corpus is cut into cells.
 PIVOTS = 1024
 # Similarities that a task holds at a time; two that agree to so many digits are a tie.
@@ -97,7 +99,7 @@ def _nearest_cell(pivots):
 
 
 def _cells(corpus: DataFrame, corpus_id: str, block: int) -> tuple[DataFrame, list]:
-    """The corpus with its cell and chunk, and per cell (pivot, radius, least squared norm, chunks).
+    """The corpus with its cell and chunk, and per cell (pivot, radius, least squared norm, chunks, entries).
 
     Cells are the surroundings of at most ``PIVOTS`` pivots, a sample that only shapes the cells:
     every entry is in one. A cell of more than ``block`` entries is cut into chunks. Cells are
@@ -108,12 +110,12 @@ def _cells(corpus: DataFrame, corpus_id: str, block: int) -> tuple[DataFrame, li
     n = max(1, -(-corpus.count() // block))
     picked = corpus.select(corpus_id, "vector").orderBy(F.xxhash64(corpus_id), corpus_id).limit(min(n, PIVOTS)).collect() if n > 1 else []
     if not picked:
-        return corpus.select("*", F.lit(0).alias("_cell"), F.lit(0).alias("_chunk")), [(None, 0.0, 0.0, 1)]
+        return corpus.select("*", F.lit(0).alias("_cell"), F.lit(0).alias("_chunk")), [(None, 0.0, 0.0, 1, 0)]
     pivots = np.array([r["vector"] for r in picked], "float64")
     placed = store(corpus.withColumn("_p", _nearest_cell(pivots)))
     sizes = {r["cell"]: r for r in placed.groupBy("_p.cell").agg(
         F.max("_p.angle").alias("radius"), F.min("_p.norm").alias("norm"), F.count("*").alias("n")).collect()}
-    facts = [(pivots[i], sizes[i]["radius"], sizes[i]["norm"], -(-sizes[i]["n"] // block)) if i in sizes else (pivots[i], 0.0, 0.0, 0)
+    facts = [(pivots[i], sizes[i]["radius"], sizes[i]["norm"], -(-sizes[i]["n"] // block), sizes[i]["n"]) if i in sizes else (pivots[i], 0.0, 0.0, 0, 0)
              for i in range(len(pivots))]
     chunks = F.get(F.array(*[F.lit(f[3]) for f in facts]), F.col("_p.cell"))
     out = placed.withColumn("_chunk", F.pmod(F.xxhash64(corpus_id), chunks).cast("int")).withColumn("_cell", F.col("_p.cell"))
@@ -133,11 +135,12 @@ def _chain(pivots) -> list[int]:
     return order
 
 
-def _query_blocks(queries: DataFrame, query_id: str, facts: list, query_block: int) -> DataFrame:
+def _query_blocks(queries: DataFrame, query_id: str, facts: list, query_block: int | None = None) -> DataFrame:
     """Queries with their block ``_q`` of about ``query_block``; queries of one block are near each other, so they need the same cells."""
     import numpy as np
 
     n = queries.count()
+    query_block = query_block or _grown(n, QUERY_BLOCK, facts)
     if n <= query_block:
         return queries.withColumn("_q", F.lit(0))
     if facts[0][0] is None:
@@ -154,8 +157,32 @@ def _query_blocks(queries: DataFrame, query_id: str, facts: list, query_block: i
     return placed.withColumn("_q", (at(first) + F.pmod(F.xxhash64(query_id), at(parts))).cast("int")).drop("_p")
 
 
-def _reachable(facts: list, min_similarity: float, metric: str):
-    """The (cell, chunk) pairs that can hold an entry similar enough to a query vector.
+def _grown(rows: int, block: int, facts: list) -> int:
+    """Rows of a large block: a ``SHARE`` of all, since a row is sent to every block of the other side, within the memory of a task."""
+    if facts[0][0] is None:
+        return block
+    return max(block, min(-(-rows // SHARE), HELD_COMPONENTS // max(1, len(facts[0][0]))))
+
+
+def _units(facts: list, block: int, unit: int) -> tuple[list[int], list[int]]:
+    """(first piece of each cell, unit of each piece): pieces are the chunks of all cells, a unit holds pieces that are near each other."""
+    import numpy as np
+
+    first = [0] * len(facts)
+    of = [0] * sum(max(1, f[3]) for f in facts)
+    held = at = upto = 0
+    for cell in _chain(np.stack([f[0] for f in facts])) if facts[0][0] is not None else range(len(facts)):
+        first[cell] = at
+        for _ in range(max(1, facts[cell][3])):
+            size = facts[cell][4] / max(1, facts[cell][3])
+            if held and held + size > unit:
+                upto, held = upto + 1, 0
+            of[at], held, at = upto, held + size, at + 1
+    return first, of
+
+
+def _reachable(facts: list, first: list[int], unit_of: list[int], min_similarity: float, metric: str):
+    """The units, each with its pieces, that can hold an entry similar enough to a query vector.
 
     The angle to an entry is at least the angle to its pivot less the radius of the cell; cells
     whose best possible similarity is below the limit are left out, and only those.
@@ -163,44 +190,58 @@ def _reachable(facts: list, min_similarity: float, metric: str):
     import numpy as np
 
     if facts[0][0] is None:
-        return F.array(F.struct(F.lit(0).alias("_cell"), F.lit(0).alias("_chunk")))
+        return F.array(F.struct(F.lit(0).alias("_unit"), F.array(F.lit(0)).alias("_pieces")))
     pivots = np.stack([f[0] for f in facts])
     radius, norm = np.array([f[1] for f in facts]), np.array([f[2] for f in facts])
 
-    @F.pandas_udf("array<struct<_cell:int,_chunk:int>>")
-    def cells(vectors: pd.Series) -> pd.Series:
+    def by_unit(cells) -> list[dict]:
+        units: dict[int, list[int]] = {}
+        for c in cells:
+            for piece in range(first[c], first[c] + facts[c][3]):
+                units.setdefault(unit_of[piece], []).append(piece)
+        return [{"_unit": u, "_pieces": pieces} for u, pieces in units.items()]
+
+    @F.pandas_udf("array<struct<_unit:int,_pieces:array<int>>>")
+    def units(vectors: pd.Series) -> pd.Series:
         rows = np.stack(vectors.to_numpy()).astype("float64")
         best = np.cos(np.maximum(0.0, _angles(rows, pivots) - radius))
         if metric != "cosine":
             best = 1 - ((rows ** 2).sum(axis=1)[:, None] + norm) / 2 * (1 - best)
-        return pd.Series([[{"_cell": int(c), "_chunk": k} for c in np.flatnonzero(row >= min_similarity - 1e-6) for k in range(facts[c][3])] for row in best])
+        return pd.Series([by_unit(np.flatnonzero(row >= min_similarity - 1e-6).tolist()) for row in best])
 
-    return cells("vector")
+    return units("vector")
 
 
 def routed(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, min_similarity: float, metric: str = "cosine",
-           block: int | None = None, query_block: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Queries and corpus entries by (_q, _cell, _chunk): block of queries, cell and chunk of the corpus.
+           block: int | None = None, query_block: int | None = None, unit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries and corpus entries by (_q, _unit): block of queries, unit of near pieces (chunks of cells) of the corpus.
 
-    A query is listed with each chunk that can hold an entry above the limit, by the triangle inequality of angles.
-    The distinct (block, chunk) pairs of all queries are the routes; a chunk of the corpus goes once along
+    A query is listed once with each unit, and with the ``_pieces`` of it that can hold an entry above the limit, by the
+    triangle inequality of angles. The distinct (block, piece) pairs of all queries are the routes; a piece of the corpus goes once along
     each of its routes and nowhere else, so the rows shuffled depend on the data and not on the number of partitions.
+    Units and blocks of queries that are not given grow with the rows, so a row is sent about ``SHARE`` times
+    until they hold ``HELD_COMPONENTS``.
     """
     celled, facts = _cells(corpus, corpus_id, block or BLOCK)
-    blocked = _query_blocks(queries, query_id, facts, query_block or QUERY_BLOCK)
-    left = blocked.select(F.col(query_id), F.col("vector"), "_q", F.inline(_reachable(facts, min_similarity, metric)))
-    routes = settle(left.select("_q", "_cell", "_chunk").distinct())
-    return left, attach(celled, routes, ["_cell", "_chunk"])
+    size = sum(f[4] for f in facts)
+    first, unit_of = _units(facts, block or BLOCK, unit or (block if block else _grown(size, BLOCK, facts)))
+    blocked = _query_blocks(queries, query_id, facts, query_block)
+    left = blocked.select(F.col(query_id), F.col("vector"), "_q", F.inline(_reachable(facts, first, unit_of, min_similarity, metric)))
+    routes = settle(left.select("_q", F.explode("_pieces").alias("_piece")).distinct())
+    at = lambda values, i: F.get(F.array(*[F.lit(x) for x in values]), i)
+    pieces = celled.withColumn("_piece", (at(first, F.col("_cell")) + F.col("_chunk")).cast("int")).withColumn("_unit", at(unit_of, F.col("_piece")))
+    return left, attach(pieces.drop("_cell", "_chunk"), routes, ["_piece"])
 
 
 def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, k: int, min_similarity: float,
-                    metric: str = "cosine", best_per: str | None = None, block: int | None = None, query_block: int | None = None) -> DataFrame:
+                    metric: str = "cosine", best_per: str | None = None, block: int | None = None, query_block: int | None = None,
+                    unit: int | None = None) -> DataFrame:
     """Exact top ``k`` corpus entries per query by vector similarity.
 
     Both inputs carry ``vector``; rows whose vector is null or has a null or non-finite component match nothing.
     The corpus is cut into cells around pivots and the queries into blocks of near ones; ``routed`` brings
-    together what can match. Blocks are compared by matrix products that return at most ``k`` entries
-    per query, so no task holds more than two blocks at a time and candidate pairs are never
+    together what can match. Pieces are compared by matrix products that return at most ``k`` entries
+    per query, so no task holds more than a block of queries and a unit of pieces at a time and candidate pairs are never
     written out. ``metric="cosine"`` keeps similarities of at least ``min_similarity``;
     ``metric="l2"`` uses ``max(0, 1 - d/2)`` of the squared distance and keeps those above it.
     ``best_per`` names a corpus column of which only the best entry per value counts. Similarities that
@@ -216,9 +257,9 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
     schema = ", ".join([field(queries, query_id), field(corpus, corpus_id), "similarity double"])
     if best_per:
         schema += ", " + field(corpus, best_per)
-    left, right = routed(_usable(queries), _usable(corpus), query_id, corpus_id, min_similarity, metric, block, query_block)
+    left, right = routed(_usable(queries), _usable(corpus), query_id, corpus_id, min_similarity, metric, block, query_block, unit)
     # Aliases, since both sides may come from one table.
-    right = right.select(*[F.col(c).alias(c) for c in dict.fromkeys((corpus_id, group, "vector", "_cell", "_chunk", "_q"))])
+    right = right.select(*[F.col(c).alias(c) for c in dict.fromkeys((corpus_id, group, "vector", "_piece", "_unit", "_q"))])
 
     def compare(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -228,21 +269,40 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
                     "similarity": np.zeros(0)}
             return pd.DataFrame(none | ({best_per: cs[best_per].to_numpy()[:0]} if best_per else {}))
         cs = cs.sort_values([corpus_id], kind="stable")
-        c = np.stack(cs["vector"].to_numpy()).astype("float64")
-        ids, groups = cs[corpus_id].to_numpy(), cs[group].to_numpy()
+        every_q, every_c = (np.stack(x["vector"].to_numpy()).astype("float64") for x in (qs, cs))
+        query_ids, ids, groups, piece_of = qs[query_id].to_numpy(), cs[corpus_id].to_numpy(), cs[group].to_numpy(), cs["_piece"].to_numpy()
+        listed = np.concatenate([np.asarray(x) for x in qs["_pieces"]])
+        whose = np.repeat(np.arange(len(qs)), qs["_pieces"].map(len).to_numpy())
+        found = []
+        for piece in np.unique(piece_of):
+            found += hits_of(every_q, whose[listed == piece], every_c, np.flatnonzero(piece_of == piece), groups)
+        row, col, sims = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        if not best_per:  # the best of all pieces; entries are in the order of their ids
+            order = np.lexsort((col, -np.round(sims, DIGITS), row))
+            row, col, sims = row[order], col[order], sims[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col, sims = row[kept], col[kept], sims[kept]
+        out = {query_id: query_ids[row], corpus_id: ids[col], "similarity": sims}
+        return pd.DataFrame(out | ({best_per: groups[col]} if best_per else {}))
+
+    def hits_of(every_q, rows, every_c, own, every_group) -> list[tuple]:
+        """(query, entry, similarity) of the best entries among ``own`` for the queries ``rows``."""
+        import numpy as np
+
+        c, groups = every_c[own], every_group[own]
         members = [np.flatnonzero(groups == g) for g in pd.unique(groups)] if best_per else None
         parts = []
-        step = max(1, HELD // len(cs))
-        for start in range(0, len(qs), step):
-            part = qs.iloc[start:start + step]
-            q = np.stack(part["vector"].to_numpy()).astype("float64")
+        step = max(1, HELD // len(own))
+        for start in range(0, len(rows), step):
+            part = rows[start:start + step]
+            q = every_q[part]
             dots = q @ c.T
             if metric == "cosine":
                 norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
                 sims = dots / np.where(norms == 0, 1.0, norms)
             else:
                 sims = np.maximum(0.0, 1.0 - ((q ** 2).sum(1)[:, None] + (c ** 2).sum(1)[None, :] - 2 * dots) / 2.0)
-            at = np.tile(np.arange(len(ids)), (len(part), 1))
+            at = np.tile(np.arange(len(own)), (len(part), 1))
             if members:
                 at = np.stack([m[np.argmax(np.round(sims[:, m], DIGITS), axis=1)] for m in members], axis=1)
                 sims = np.take_along_axis(sims, at, axis=1)
@@ -250,13 +310,10 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus
             sims, at = np.take_along_axis(sims, top, axis=1), np.take_along_axis(at, top, axis=1)
             keep = sims >= min_similarity if metric == "cosine" else sims > min_similarity
             row, col = np.nonzero(keep)
-            out = {query_id: part[query_id].to_numpy()[row], corpus_id: ids[at[row, col]], "similarity": sims[row, col]}
-            if best_per:
-                out[best_per] = groups[at[row, col]]
-            parts.append(pd.DataFrame(out))
-        return pd.concat(parts)
+            parts.append((part[row], own[at[row, col]], sims[row, col]))
+        return parts
 
-    hits = left.groupBy("_q", "_cell", "_chunk").cogroup(right.groupBy("_q", "_cell", "_chunk")).applyInPandas(compare, schema)
+    hits = left.groupBy("_q", "_unit").cogroup(right.groupBy("_q", "_unit")).applyInPandas(compare, schema)
     order = [F.desc(F.round("similarity", DIGITS)), F.col(corpus_id)]
     if best_per:
         hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy(query_id, best_per).orderBy(*order))).where("_r = 1").drop("_r")

@@ -59,3 +59,20 @@ def test_unusable_vectors_match_nothing(spark):
     got = sim.similarity_topk(q, c, "qid", "cid", 3, 0.5).collect()
     assert [(r.qid, r.cid) for r in got] == [(1, 1)]
     assert sim.similarity_topk(q, c.limit(0), "qid", "cid", 3, 0.5).count() == 0 == sim.similarity_topk(q.limit(0), c, "qid", "cid", 3, 0.5).count()
+
+
+def test_units_of_pieces_are_exact_and_send_queries_less_often(spark):
+    rng = np.random.default_rng(5)
+    q, c = rng.normal(size=(150, 8)), rng.normal(size=(400, 8))
+    c[50:60] = c[40]
+    for limit in (-1.0, 0.5):
+        hits = sim.similarity_topk(vectors(spark, "qid", q), vectors(spark, "cid", c), "qid", "cid", 4, limit, block=16, query_block=32, unit=100)
+        assert {(r.qid, r["rank"]): r.cid for r in hits.collect()} == want(q, c, 4, limit, "cosine")
+    sent = [sim.routed(vectors(spark, "qid", q), vectors(spark, "cid", c), "qid", "cid", -1.0, block=16, query_block=32, unit=u)[0].count() for u in (16, 100)]
+    assert sent[1] <= 150 * 8 < sent[0]
+
+
+def test_blocks_grow_with_the_rows_within_bounds():
+    facts = [(np.zeros(64), 0.0, 0.0, 1, 1)]
+    assert [sim._grown(n, 4096, facts) for n in (1, 65_536, 160_000, 10 ** 9)] == [4096, 4096, 10_000, 32_768]
+    assert sim._grown(10 ** 9, 4096, [(np.zeros(4096), 0.0, 0.0, 1, 1)]) == 4096
