@@ -84,7 +84,7 @@ def normalize_date(v: Column, parsed: Column | None = None) -> Column:
 
 def to_year_int(v: Column) -> Column:
     """First four-digit year between 1700 and 2029 standing as its own word."""
-    return F.nullif(F.regexp_extract(strip(v), r"\b(1[7-9]\d{2}|20[0-2]\d)\b", 1), F.lit("")).cast("int")
+    return F.get(F.regexp_extract_all(strip(v), F.lit(r"\b(1[7-9]\d{2}|20[0-2]\d)\b"), F.lit(1)), F.lit(0)).cast("int")
 
 
 def _zip_digits(v: Column) -> Column:

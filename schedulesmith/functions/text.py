@@ -26,8 +26,8 @@ def let(value: Column, body) -> Column:
 
 
 def to_double(text: Column) -> Column:
-    """Guarded cast: null unless the whole text is a finite decimal literal."""
-    return F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit("")).try_cast("double")
+    """Guarded cast: null unless the whole text is a finite decimal literal. The text is matched once."""
+    return F.get(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.lit(0)).try_cast("double")
 
 
 def number_text(v: Column, drop: str = "", parens: str | None = None) -> Column:
@@ -42,8 +42,19 @@ def number_text(v: Column, drop: str = "", parens: str | None = None) -> Column:
     return F.regexp_replace(text, r"(?Us)^\((.*?)\s*\)$", "-$1") if parens == "wrapped" else text
 
 
+def starts_as_text(v: Column) -> Column:
+    """The first character is an ASCII letter or a mark after ":": no number starts so, and nothing is stripped."""
+    return (v >= ":") & (v < "\x7f")
+
+
+# Literals of digits that need no cleaning, as most cells with numbers are.
+PLAIN_NUMBER = r"^[0-9]+(?:\.[0-9]+)?\z"
+
+
 def number(v: Column, drop: str = "", parens: str | None = None) -> Column:
-    return to_double(number_text(v, drop, parens))
+    """The number of a cell; words and plain literals, which symbols and blanks do not change, skip the cleaning."""
+    return F.when(starts_as_text(v), F.lit(None).cast("double")).when(v.rlike(PLAIN_NUMBER), v.try_cast("double")).otherwise(
+        to_double(number_text(v, drop, parens)))
 
 
 # The same literal with ",", "$" and "%" anywhere and blanks around it, as one pattern.
@@ -55,7 +66,17 @@ LOOSE_NUMBER = (
 
 def looks_numeric(v: Column) -> Column:
     """True when the value is a number after dropping thousands commas, "$" and "%" (R3)."""
-    return v.rlike(LOOSE_NUMBER)
+    return ~starts_as_text(v) & v.rlike(LOOSE_NUMBER)
+
+
+def shows(v: Column) -> Column:
+    """True when the value is more than blanks: ``strip(v) != ""``, decided by its first character where that is printable ASCII."""
+    return ((v >= "!") & (v < "\x7f")) | (strip(v) != "")
+
+
+def strip_cell(v: Column) -> Column:
+    """``strip`` of a plain column, which names it several times: a text between printable ASCII characters stays as it is."""
+    return F.when((v >= "!") & (v < "\x7f") & F.substring(v, -1, 1).between("!", "~"), v).otherwise(strip(v))
 
 
 def double_text(d: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ops import suggest_operation
-from ..functions.text import in_list, number, rounded, strip
+from ..functions.text import in_list, number, rounded, shows, strip, strip_cell
 from ..schema import (
     CODE_FIELDS, MONETARY_FIELDS, PLACE_FIELDS, SPRINKLER_LOOKALIKES, STATE_CODES, STREET_WORDS, TARGET_FIELDS,
 )
@@ -50,7 +50,7 @@ def column_profiles(values: DataFrame, keys: list[str], current_year: int) -> Da
     """One profile row per ``keys``; keys without any non-blank value have ``n = 0`` and ``empty``."""
     v = F.col("_v")
     distinct = (
-        values.select(*keys, F.nullif(strip(F.col("value")), F.lit("")).alias("_v"))
+        values.select(*keys, F.when(shows(F.col("value")), strip_cell(F.col("value"))).alias("_v"))
         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
     )
     num = number(v, "$,", parens="minus")

@@ -13,12 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fixed, in_list, number, rounded, strip
+from ..functions.text import fixed, in_list, number, rounded, strip, strip_cell
 from ..schema import INTEGER_FIELDS, KEYS, MONETARY_FIELDS, SPRINKLER_CODES, STATE_CODES, TARGET_FIELDS
 from ..session import attach, first_rows, settle
 
 LISTED_ROWS = 50
 NAMED_VALUES = 5
+# Rows below this number are one band of their sheet; from there on every doubling of the row number is one.
+BAND_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -79,12 +81,12 @@ def row_rules(current_year: int, fields: list[str] | None = None) -> list[Rule]:
         F.coalesce(F.col("`_n Number of Buildings`") < 1, F.lit(False)), "logical_error", "medium",
         "flag_for_review", 0.95, "Number of Buildings: {n} rows have values < 1.")
     add("Fire Sprinklers (Y/N)", "sprinkler_code",
-        ~F.upper(strip(F.col("`Fire Sprinklers (Y/N)`"))).isin(SPRINKLER_CODES), "format", "medium",
+        ~F.upper(strip_cell(F.col("`Fire Sprinklers (Y/N)`"))).isin(SPRINKLER_CODES), "format", "medium",
         "normalize_sprinkler_code", 0.95,
         "Fire Sprinklers (Y/N): {n} rows have non-standard codes: {values}.")
-    add("State", "state_code", ~in_list(F.upper(strip(F.col("State"))), STATE_CODES), "format", "medium",
+    add("State", "state_code", ~in_list(F.upper(strip_cell(F.col("State"))), STATE_CODES), "format", "medium",
         "state_to_abbrev", 0.90, "State: {n} rows have non-standard values: {values}.")
-    zip_digits = F.regexp_replace(F.substring_index(F.regexp_replace(strip(F.col("Zip")), ",", ""), ".", 1), r"\D", "")
+    zip_digits = F.regexp_replace(F.substring_index(F.translate(strip_cell(F.col("Zip")), ",", ""), ".", 1), r"\D", "")
     add("Zip", "zip_length", F.length(zip_digits) != 5, "format", "low", "to_zip", 0.90,
         "Zip: {n} rows have non-5-digit ZIP codes.")
     for f in INTEGER_FIELDS:
@@ -106,12 +108,48 @@ def _order(rules: list[Rule]) -> dict[str, int]:
     return out
 
 
-def rule_counts(mapped: DataFrame, rules: list[Rule], keys: list[str] = KEYS) -> DataFrame:
-    """Rows, empty cells per field and broken cells per rule: one row per sheet, one pass."""
+def row_band(row: Column) -> Column:
+    """Band of a sheet row, growing with the row number; rows without a number, which come first, are band -1."""
+    return F.when(row.isNull(), -1).when(row < BAND_ROWS, 0).otherwise(F.floor(F.log2(row / BAND_ROWS)).cast("int") + 1)
+
+
+def banded_counts(mapped: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rule_counts`` per sheet and band of rows, and the last row of the band; ``summed_counts`` adds up the bands.
+
+    They tell how far into a sheet the first broken rows of a rule reach. Their number grows with the logarithm of
+    the longest sheet.
+    """
+    banded = mapped.withColumn("_band", row_band(F.col("row_idx")))
+    return rule_counts(banded, rules, [*KEYS, "_band"], [F.max("row_idx").alias("_last")])
+
+
+def summed_counts(banded: DataFrame) -> DataFrame:
+    return banded.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in banded.columns if c not in (*KEYS, "_band", "_last")])
+
+
+def listed_until(banded: DataFrame, n_rules: int, n: int = LISTED_ROWS) -> DataFrame:
+    """Per sheet of more than one band, the row up to which each rule needs to be searched for its first ``n`` broken rows.
+
+    ``_until`` has a row per rule, null where none is broken; ``_most`` is the last of them.
+    """
+    tall = banded.where("_band > 0").select(*KEYS).distinct()
+    items = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(f"rule_{i}").alias("n")) for i in range(n_rules)])
+    found = banded.join(tall, KEYS, "left_semi").select(*KEYS, "_band", "_last", F.inline(items))
+    before = Window.partitionBy(*KEYS, "rule").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    needed = found.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).where((F.col("_before") < n) & (F.col("n") > 0))
+    ends = needed.groupBy(*KEYS, "rule").agg(F.max("_last").alias("_end")).groupBy(*KEYS).agg(
+        F.map_from_entries(F.collect_list(F.struct("rule", "_end"))).alias("_ends"), F.max("_end").alias("_most"))
+    sheets = tall.join(ends.hint("merge"), KEYS, "left")
+    return sheets.select(*KEYS, F.array(*[F.try_element_at("_ends", F.lit(i)) for i in range(n_rules)]).alias("_until"),
+                         F.coalesce("_most", F.lit(-1)).alias("_most"))
+
+
+def rule_counts(mapped: DataFrame, rules: list[Rule], keys: list[str] = KEYS, more: list[Column] = ()) -> DataFrame:
+    """Rows, empty cells per field and broken cells per rule: one row per sheet, one pass. ``more`` are further aggregates."""
     present = [f for f in TARGET_FIELDS if f in mapped.columns]
     # Each rule is tested once per row; the aggregate only adds up booleans.
     tested = with_numbers(mapped).select(
-        *keys,
+        *keys, *(["row_idx"] if more else []),
         *[F.col(f"`{f}`").isNull().alias(f"null_{i}") for i, f in enumerate(present)],
         *[F.coalesce(F.col(f"`{f}`") == "", F.lit(False)).alias(f"blank_{i}") for i, f in enumerate(present)],
         *[r.broken.alias(f"rule_{i}") for i, r in enumerate(rules)],
@@ -125,23 +163,33 @@ def rule_counts(mapped: DataFrame, rules: list[Rule], keys: list[str] = KEYS) ->
         *[total(f"null_{i}") for i in range(len(present))],
         *[total(f"blank_{i}") for i in range(len(present))],
         *[total(f"rule_{i}") for i in range(len(rules))],
+        *more,
     )
 
 
-def _listed_cells(mapped: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Broken cells as (keys, row_idx, rule, value)."""
+def _listed_cells(mapped: DataFrame, rules: list[Rule], until: DataFrame | None = None) -> DataFrame:
+    """Broken cells as (keys, row_idx, rule, value); with ``until`` (``listed_until``) only up to the row it names."""
+    wanted = lambda i: F.lit(True)
+    if until is not None:
+        mapped = attach(mapped, until, KEYS, "left").where("_most is null or row_idx is null or row_idx <= _most")
+        wanted = lambda i: F.col("_most").isNull() | F.col("row_idx").isNull() | (F.col("row_idx") <= F.get("_until", F.lit(i)))
     hits = F.filter(
         F.array(*[
-            F.when(r.broken, F.struct(F.lit(i).alias("rule"), F.col(f"`{r.field}`").alias("value")))
+            F.when(wanted(i) & r.broken, F.struct(F.lit(i).alias("rule"), F.col(f"`{r.field}`").alias("value")))
             for i, r in enumerate(rules)
         ]), lambda x: x.isNotNull())
     return with_numbers(mapped).select(*KEYS, "row_idx", F.explode(hits).alias("_h")).select(
         *KEYS, "row_idx", F.col("_h.rule").alias("rule"), F.col("_h.value").alias("value"))
 
 
-def first_broken_rows(mapped: DataFrame, rules: list[Rule], n: int = LISTED_ROWS) -> DataFrame:
-    """Example and first ``n`` row positions per rule (at most ``n`` entries are collected)."""
-    first = first_rows(_listed_cells(mapped, rules), [*KEYS, "rule"], n)
+def first_broken_rows(mapped: DataFrame, rules: list[Rule], n: int = LISTED_ROWS, banded: DataFrame | None = None) -> DataFrame:
+    """Example and first ``n`` row positions per rule (at most ``n`` entries are collected).
+
+    ``banded`` are stored ``banded_counts``: they name the rows that can be among the first, so that of a long sheet
+    only its head is tested again and the rest of its broken cells is neither sorted nor ranked.
+    """
+    until = None if banded is None else settle(listed_until(banded, len(rules), n))
+    first = first_rows(_listed_cells(mapped, rules, until), [*KEYS, "rule"], n)
     packed = first.groupBy(*KEYS, "rule").agg(F.array_sort(F.collect_list(F.struct("_rank", "row_idx"))).alias("_r"),
                                               F.max(F.when(F.col("_rank") == 1, F.col("value"))).alias("example"))
     return packed.select(*KEYS, "rule", F.col("_r.row_idx").alias("affected_rows"), "example")
@@ -209,16 +257,17 @@ def detect_issues(mapped: DataFrame, current_year: int, mapping: DataFrame | Non
     """All findings of every sheet, numbered in reporting order (Q1-Q13).
 
     ``mapping(keys, target)`` limits the findings to fields the sheet really maps; without
-    it every field column of the table counts as mapped. ``counts`` are stored ``rule_counts``.
+    it every field column of the table counts as mapped. ``counts`` are stored ``banded_counts``.
     """
     present = [f for f in TARGET_FIELDS if f in mapped.columns]
     rules = row_rules(current_year, present)
     order = _order(rules)
-    counts = settle(rule_counts(mapped, rules)) if counts is None else counts
+    banded = settle(banded_counts(mapped, rules)) if counts is None else counts
+    counts = settle(summed_counts(banded))
 
     parts = [completeness_issues(counts, present)]
     if rules:
-        parts.append(_rule_issues(mapped, counts, rules, order))
+        parts.append(_rule_issues(mapped, counts, banded, rules, order))
     if "Reference" in present:
         duplicates = settle(duplicate_references(mapped))
         text = F.concat(F.format_string("Reference: %d rows have duplicate IDs: ", "affected_row_count"), "named", F.lit("."))
@@ -240,7 +289,7 @@ def detect_issues(mapped: DataFrame, current_year: int, mapping: DataFrame | Non
         "evidence", "before_example", "suggested_operation", "confidence")
 
 
-def _rule_issues(mapped: DataFrame, counts: DataFrame, rules: list[Rule], order: dict[str, int]) -> DataFrame:
+def _rule_issues(mapped: DataFrame, counts: DataFrame, banded: DataFrame, rules: list[Rule], order: dict[str, int]) -> DataFrame:
     """Findings of the row rules, with examples, row lists and named values."""
     items = F.array(*[
         F.struct(F.lit(i).alias("rule"), F.lit(order[f"{r.name}/{r.field}"]).alias("ord"),
@@ -251,7 +300,7 @@ def _rule_issues(mapped: DataFrame, counts: DataFrame, rules: list[Rule], order:
         for i, r in enumerate(rules)
     ])
     found = counts.select(*KEYS, F.inline(items)).where("affected_row_count > 0")
-    broken = found.join(first_broken_rows(mapped, rules), [*KEYS, "rule"], "left")
+    broken = found.join(first_broken_rows(mapped, rules, banded=banded), [*KEYS, "rule"], "left")
     named = [i for i, r in enumerate(rules) if "{values}" in r.evidence]
     if named:
         values = first_distinct_values(mapped, [rules[i] for i in named])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import fixed, in_list, let, looks_numeric, rounded, strip
+from ..functions.text import fixed, in_list, let, looks_numeric, rounded, shows, strip
 from ..schema import KEYS, TARGET_FIELDS, TARGET_SYNONYMS, TOTAL_WORDS
 from ..session import attach, is_small, settle
 
@@ -152,7 +152,8 @@ def below_header(rows: DataFrame, headers: DataFrame, sample_rows: int | None =
     if sample_rows is not None:
         below = below.where(F.col("row_idx") - F.col("header_row") <= sample_rows)
     first = F.array_position(F.transform("values", lambda v: v.isNotNull()), F.lit(True)) - 1
-    cells = below.select(*KEYS, first.alias("_first"), F.posexplode("values").alias("col_idx", "value")).where("value is not null")
+    marks = below.select(*KEYS, "values", first.alias("_first"))  # below the generator: once for a row
+    cells = marks.select(*KEYS, "_first", F.posexplode("values").alias("col_idx", "value")).where("value is not null")
     by_column = cells.groupBy(*KEYS, "col_idx").agg(
         F.avg(looks_numeric(F.col("value")).cast("int")).alias("_ratio"), F.sum((F.col("col_idx") == F.col("_first")).cast("bigint")).alias("_rows"))
     steady = (F.col("_ratio") > 0.80) | (F.col("_ratio") < 0.20)
@@ -182,10 +183,12 @@ def sheet_figures(rows: DataFrame, headers: DataFrame, sample_rows: int | None =
     at = F.col("row_idx") - F.col("header_row")
     judged = at > 0 if sample_rows is None else at.between(1, sample_rows)
     first = F.array_position(F.transform("values", lambda v: v.isNotNull()), F.lit(True)) - 1
-    cells = attach(rows.select(*KEYS, "row_idx", "values"), headers.select(*KEYS, "header_row"), KEYS).select(
-        *KEYS, judged.alias("_judged"), first.alias("_first"), F.posexplode("values").alias("col_idx", "value")).where("value is not null")
+    # What holds for the row is computed below the generator, once and not for each of its cells.
+    marks = attach(rows.select(*KEYS, "row_idx", "values"), headers.select(*KEYS, "header_row"), KEYS).select(
+        *KEYS, "values", judged.alias("_judged"), first.alias("_first"))
+    cells = marks.select(*KEYS, "_judged", "_first", F.posexplode("values").alias("col_idx", "value")).where("value is not null")
     marked = cells.select(*KEYS, "col_idx", "_judged", (F.col("col_idx") == F.col("_first")).alias("_lead"),
-                          looks_numeric(F.col("value")).alias("_number"), (strip(F.col("value")) != "").alias("_shown"))
+                          looks_numeric(F.col("value")).alias("_number"), shows(F.col("value")).alias("_shown"))
     count = lambda *flags: F.count(F.when(reduce(lambda x, y: x & y, [F.col(f) for f in flags]), 1))
     by_column = marked.groupBy(*KEYS, "col_idx").agg(
         F.count(F.lit(1)).alias("_f"), count("_number").alias("_n"), count("_shown").alias("_b"), count("_lead").alias("_filled_rows"),

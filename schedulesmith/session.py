@@ -33,6 +33,18 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "schedu
     )
 
 
+def compiled_methods(spark: SparkSession) -> None:
+    """Let no stage run on a generated method that the JVM refuses to compile.
+
+    HotSpot interprets methods of over 8,000 bytes for good, and Spark by default fuses stages up to 65,535; plans of
+    17 fields with an operation each are beyond 8,000. Spark then runs such a stage operator by operator, in methods
+    small enough to be compiled. A limit that the session sets itself stays.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(limit) == "65535":
+        spark.conf.set(limit, "8000")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, shared by all executors.
 

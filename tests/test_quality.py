@@ -61,6 +61,28 @@ def test_row_lists_and_duplicates_against_brute_force(spark):
     assert got["duplicate"].evidence.endswith(": " + ", ".join(first) + ".")
 
 
+def test_only_the_head_of_a_long_sheet_is_searched_for_listed_rows(spark):
+    """Rules broken everywhere, late, rarely or only without a row number; rows past the needed bands are not looked at again."""
+    rows = [("f", "s", i, "Ontario" if i % 2 else "NY", "10001" if i < 40_000 or i % 9 else "1", "0" if i in (7, 59_999) else "2") for i in range(60_000)]
+    rows += [("f", "s", None, "Kent", "10001", "2"), ("f", "t", 5, "Uri", "1", None), (None, "s", 1, "Uri", None, None)]
+    df = table(spark, rows, ["State", "Zip", "Storeys"]).repartition(5)
+    rules = q.row_rules(YEAR, ["State", "Zip", "Storeys"])
+    at = {r.name: i for i, r in enumerate(rules)}
+    banded = q.banded_counts(df, rules).cache()
+    assert q.summed_counts(banded).count() == 3 and q.summed_counts(banded).where("n_rows = 60001 and file_id = 'f'").count() == 1
+    until = q.listed_until(banded, len(rules)).collect()
+    assert [(r.file_id, r.sheet_name) for r in until] == [("f", "s")]
+    ends = until[0]["_until"]
+    assert ends[at["state_code"]] == 4095 and ends[at["zip_length"]] == 59_999 and ends[at["storeys_below_one"]] == 59_999 and until[0]["_most"] == 59_999
+    head = q._listed_cells(df, rules, q.listed_until(banded, len(rules)))
+    assert head.where(f"rule = {at['state_code']} and sheet_name = 's' and file_id = 'f'").count() == 2048 + 1
+    got, want = ({(r.file_id, r.sheet_name, r.rule): (list(r.affected_rows), r.example) for r in q.first_broken_rows(df, rules, banded=b).collect()} for b in (banded, None))
+    assert got == want
+    assert got["f", "s", at["state_code"]] == ([None, *range(1, 99, 2)], "Kent")
+    assert got["f", "s", at["zip_length"]][0] == [i for i in range(40_000, 60_000) if i % 9 == 0][:50]
+    assert got["f", "s", at["storeys_below_one"]][0] == [7, 59_999] and got["f", "t", at["state_code"]] == ([5], "Uri")
+
+
 def test_completeness_score_and_grade(spark):
     df = table(spark, [("f", "s", i, None if i < 3 else "A", "" if i < 2 else "1 St") for i in range(10)],
                ["Reference", "Address"])

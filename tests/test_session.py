@@ -72,3 +72,26 @@ def test_fixed_values():
     assert len(ops.WHITELIST) == 12 and similarity.token_sort_ratio("", "") == 100.0
     assert similarity.token_sort_ratio("a b", "b a") == 100.0
     assert set(review.TEXTS) - {""} <= ops.WHITELIST and structure.MAX_HEADER_ROWS == 30
+
+
+def test_figures_of_a_row_are_not_computed_for_each_of_its_cells(spark):
+    """The first filled cell of a row is found below the generator of its cells."""
+    rows = spark.createDataFrame([("f", "s", i, [str(i), None, "x"]) for i in range(9)], "file_id string, sheet_name string, row_idx bigint, values array<string>")
+    headers = spark.createDataFrame([("f", "s", 9, 3, 0)], "file_id string, sheet_name string, n_rows bigint, n_cols int, header_row bigint")
+    for figures in (structure.sheet_figures(rows, headers), structure.below_header(rows, headers)):
+        plan = figures._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.index("Generate") < plan.index("array_position")
+
+
+def test_limit_of_generated_methods(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.unset(limit)
+        session.compiled_methods(spark)
+        assert spark.conf.get(limit) == "8000"
+        spark.conf.set(limit, "20000")
+        session.compiled_methods(spark)
+        assert spark.conf.get(limit) == "20000"
+    finally:
+        spark.conf.set(limit, before)
