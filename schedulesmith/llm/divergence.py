@@ -6,11 +6,13 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import attach, grouped, shared_folder, stored
@@ -23,13 +25,15 @@ SCALE, PRIOR = 1_000_000_000, 5
 FIRST, GROWTH = 4, 6
 # Bits of the filter that tells tasks which prefixes are alive (2 MB); what passes by mistake is counted and falls out.
 BITS = 24
-# Bytes of counted prefixes that a task holds before it hands them on.
-HELD_BYTES = 64 << 20
+# Bytes of counted prefixes that a task holds, as arrays, before it sums them up and hands them on.
+HELD_BYTES = 16 << 20
 # Rows (terms times sources) of a language that are compared in one group.
 BLOCK_ROWS = 200_000
 
 # Bytes of text whose words are numbered together; a longer text is read word by word.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
+# Bytes of an Arrow batch of texts or runs: each is held by the JVM, outside its heap, and by Python. A longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 # Ends a term; no term contains it.
 END = b"\0"
@@ -66,7 +70,7 @@ class Words(NamedTuple):
 
     text: np.ndarray
     code: np.ndarray
-    distinct: list[bytes]
+    distinct: pa.BinaryArray
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -84,7 +88,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
     bounds = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=bounds[1:])
     words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
-    return Words(np.searchsorted(offsets, starts, "right") - 1, words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist())
+    return Words(np.searchsorted(offsets, starts, "right") - 1, words.indices.to_numpy().astype(np.int64), words.dictionary)
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -97,7 +101,7 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         if offsets[high] - offsets[low] > CHUNK_BYTES:
             counts = Counter(m.group().lower() for m in TERM.finditer(column[low].as_py()))
             code = np.repeat(np.arange(len(counts)), list(counts.values()))
-            yield low, high, Words(np.zeros(len(code), np.int64), code, list(counts))
+            yield low, high, Words(np.zeros(len(code), np.int64), code, pa.array(list(counts), pa.binary()))
         else:
             yield low, high, _words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
         low = high
@@ -110,12 +114,12 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
-TABLE = "langs array<string>, sources array<string>, group_of binary, words array<binary>, text binary, code binary, times binary"
+TABLE = "langs array<string>, sources array<string>, group_of binary, words binary, text binary, code binary, times binary"
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per run of texts: its (lang, source) groups, the group of each text, the distinct words, and which text has which word how often."""
-    kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
+    """One row per run of texts: its (lang, source) groups, the group of each text, the distinct words, each with its end, and which text has which word how often."""
+    kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     for batch in batches:
         groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         for low, high, words in _chunks(batch.column(2)):
@@ -123,65 +127,112 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group_of = np.array([index.setdefault(g, len(index)) for g in groups[low:high]], np.int32)
             n = max(1, len(words.distinct))
             pairs, times = _distinct(words.text * n + words.code)
-            row = ([g[0] for g in index], [g[1] for g in index], group_of.tobytes(), words.distinct,
+            ended = b"".join(word + END for word in words.distinct.to_pylist())
+            row = ([g[0] for g in index], [g[1] for g in index], group_of.tobytes(), ended,
                    (pairs // n).astype(np.int32).tobytes(), (pairs % n).astype(np.int32).tobytes(), times.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["langs", "sources", "group_of", "words", "text", "code", "times"])
+    pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Runs started meanwhile send Python batches of about ``BATCH_BYTES``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def term_table(docs: DataFrame) -> DataFrame:
-    """The words of all texts as (text, word, times), dictionary by dictionary, in the shared folder: all that later passes read."""
+    """The words of all texts as (text, word, times), dictionary by dictionary, in the shared folder: all that later passes read.
+
+    Each run is a row group of its own, so a reader holds one at a time.
+    """
     path = shared_folder(docs.sparkSession, "term-table")
     rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_tables, TABLE)
-    rows.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    with _small_batches(docs.sparkSession):
+        rows.write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
     return docs.sparkSession.read.schema(TABLE).parquet(path)
 
 
-def _read_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(groups, group of each text, words, text, code and times of each pair) of each run."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            langs, sources, words = (batch.column(k)[i].as_py() for k in (0, 1, 3))
-            arrays = [np.frombuffer(batch.column(k)[i].as_buffer(), np.int32).astype(np.int64) for k in (2, 4, 5, 6)]
-            yield list(zip(langs, sources)), arrays[0], words, *arrays[1:]
+class Run(NamedTuple):
+    """A row of the table: its groups, the group of each text, the words, each with its end, and text, word and times of each pair."""
+
+    groups: list[tuple]
+    group_of: np.ndarray
+    words: pa.BinaryArray
+    text: np.ndarray
+    code: np.ndarray
+    times: np.ndarray
 
 
-def _counted(rows: Iterator[tuple[tuple, list[bytes], list[int]]], limit: int, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Sums the counts of items by group in the task; hands them on whenever it holds more than ``limit`` items."""
-    held: dict[tuple, dict[bytes, int]] = {}
+def _read_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            groups = list(zip(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()))
+            group_of, ended, text, code, times = (batch.column(k)[i].as_buffer() for k in range(2, 7))
+            ends = np.flatnonzero(np.frombuffer(ended, np.uint8) == END[0]) + 1
+            words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), ended])
+            of, *pairs = (np.frombuffer(x, np.int32).astype(np.int64) for x in (group_of, text, code, times))
+            yield Run(groups, of, words, *pairs)
+
+
+def _summed(held: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Each (group, item) once, with the sum of its counts; there is one at least."""
+    items = pa.chunked_array([x[1] for x in held]).dictionary_encode()
+    distinct = items.chunk(0).dictionary
+    n = len(distinct)
+    pair = np.concatenate([x[0] for x in held]).astype(np.int64)
+    pair *= n
+    pair += np.concatenate([chunk.indices.to_numpy() for chunk in items.chunks])
+    del items
+    order = np.argsort(pair)
+    pair = pair[order]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    counts = np.add.reduceat(np.concatenate([x[2] for x in held])[order], first)
+    pair = pair[first]
+    return (pair // n).astype(np.int32), distinct.take(pa.array((pair % n).astype(np.int32))), counts
+
+
+def _bytes(held: tuple[np.ndarray, pa.Array, np.ndarray]) -> int:
+    return sum(x.nbytes for x in held)
+
+
+def _counted(runs: Iterator[tuple[list[tuple], np.ndarray, pa.Array, np.ndarray]], limit: int, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Sums the counts of items by group in the task; hands them on whenever the sums take more than half of ``limit`` bytes.
+
+    A run gives its groups, and the group, item and count of each of its counts.
+    """
+    known: dict[tuple, int] = {}
+    held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
     size = 0
 
-    def out():
-        for group, counts in held.items():
-            items, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-            for a in range(0, len(items), 50_000):
-                part = items[a:a + 50_000]
-                columns = [pa.array([g] * len(part), pa.string()) for g in group]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(part, types[-2]), pa.array(n[a:a + 50_000], types[-1])], names)
-
-    for group, items, added in rows:
-        counts = held.setdefault(group, {})
-        size -= len(counts)
-        known = counts.get
-        for item, n in zip(items, added):
-            counts[item] = known(item, 0) + n
-        size += len(counts)
+    def out(group, items, counts):
+        columns = [pa.array(x, pa.string()) for x in zip(*known)]
+        for a in range(0, len(group), 50_000):
+            part = slice(a, a + 50_000)
+            at = pa.array(group[part])
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in columns), items[part].cast(types[-2]), pa.array(counts[part], types[-1])], names)
+
+    for groups, group, items, counts in runs:
+        if not len(items):
+            continue
+        place = np.array([known.setdefault(g, len(known)) for g in groups], np.int32)
+        held.append((place[group], items, counts))
+        size += _bytes(held[-1])
         if size > limit:
-            yield from out()
-            held, size = {}, 0
-    yield from out()
-
-
-def _by_group(groups: list[tuple], keys: list[bytes], living: list[np.ndarray | None], pairs: np.ndarray, counts: np.ndarray) -> Iterator[tuple[tuple, list[bytes], list[int]]]:
-    """(group, keys, counts) of sorted pairs group * len(keys) + key, without keys that are not ``living`` in the group."""
-    n = len(keys)
-    edges = np.searchsorted(pairs, np.arange(len(groups) + 1) * n)
-    for group, alive, low, high in zip(groups, living, edges[:-1], edges[1:]):
-        key, count = pairs[low:high] % n, counts[low:high]
-        if alive is not None:
-            kept = alive[key]
-            key, count = key[kept], count[kept]
-        if len(key):
-            yield group, [keys[k] for k in key.tolist()], count.tolist()
+            held = [_summed(held)]
+            size = _bytes(held[0])
+            if size > limit // 2:
+                yield from out(*held.pop())
+                known, size = {}, 0
+    if held:
+        yield from out(*_summed(held))
+    del held
+    pa.default_memory_pool().release_unused()  # a worker is kept for later tasks, also of stages without Python
 
 
 def _prefix_counter(short: int, width: int, alive_bits: bytes | None, held_bytes: int) -> Callable:
@@ -190,21 +241,28 @@ def _prefix_counter(short: int, width: int, alive_bits: bytes | None, held_bytes
     A term counts with its end byte, so a prefix that holds the end is a complete term.
     """
     def prefixes(batches):
-        for groups, group_of, words, text, code, _ in _read_tables(batches):
-            index: dict[bytes, int] = {}
-            prefix = np.array([index.setdefault(w[:width] if len(w) >= width else w + END, len(index)) if len(w) >= short else -1 for w in words], np.int64)
-            n, keys = len(index), list(index)
-            if not keys:
+        for run in _read_tables(batches):
+            long = np.flatnonzero(np.diff(np.frombuffer(run.words.buffers()[1], np.int32)) > short)  # with its end
+            if not len(long):
                 continue
-            of_pair = prefix[code]
-            once, _ = _distinct((text * n + of_pair)[of_pair >= 0])  # a prefix counts once in a text
-            langs = list(dict.fromkeys(g[0] for g in groups))
-            lang_of = np.array([langs.index(g[0]) for g in groups], np.int64)[group_of] if groups else group_of
-            living = [None] * len(langs) if alive_bits is None else _alive(alive_bits, (k[:short] for k in keys), langs)
-            yield from _by_group([(lang,) for lang in langs], keys, living, *_distinct(lang_of[once // n] * n + once % n))
+            prefix = pc.binary_slice(run.words.take(pa.array(long)), 0, width).dictionary_encode()
+            keys, n = prefix.dictionary, len(prefix.dictionary)
+            of_word = np.full(len(run.words), -1)
+            of_word[long] = prefix.indices.to_numpy()
+            langs = list(dict.fromkeys(g[0] for g in run.groups))
+            lang_of = np.array([langs.index(g[0]) for g in run.groups])[run.group_of]
+            lang, key = lang_of[run.text], of_word[run.code]
+            counted = key >= 0
+            if alive_bits is not None:
+                heads = pc.binary_slice(keys, 0, short).dictionary_encode()
+                living = np.stack(_alive(alive_bits, heads.dictionary.to_pylist(), langs))[:, heads.indices.to_numpy()]
+                counted &= living[lang, key]
+            once, _ = _distinct(run.text[counted] * n + key[counted])  # a prefix counts once in a text
+            pairs, docs = _distinct(lang_of[once // n] * n + once % n)
+            yield [(x,) for x in langs], pairs // n, keys.take(pa.array(pairs % n)), docs
 
     def run(batches):
-        yield from _counted(prefixes(batches), held_bytes // (width + 100), ["lang", "prefix", "docs"], [pa.string(), pa.binary(), pa.int64()])
+        yield from _counted(prefixes(batches), held_bytes, ["lang", "prefix", "docs"], [pa.string(), pa.binary(), pa.int64()])
 
     return run
 
@@ -220,9 +278,11 @@ def kept_terms(table: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST, g
     """
     complete, bits, short, width = None, None, 0, first
     while True:
-        counted = table.mapInArrow(_prefix_counter(short, width, bits, held_bytes), "lang string, prefix binary, docs long")
+        # Tasks have summed up what they could, so rows go to their range as they are.
+        counted = table.mapInArrow(_prefix_counter(short, width, bits, held_bytes), "lang string, prefix binary, docs long").repartition("lang", "prefix")
         level = counted.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-        level = stored(level.select("lang", "prefix", (F.substring("prefix", -1, 1) == F.lit(bytearray(END))).alias("complete")), "prefixes")
+        with _small_batches(table.sparkSession):
+            level = stored(level.select("lang", "prefix", (F.substring("prefix", -1, 1) == F.lit(bytearray(END))).alias("complete")), "prefixes")
         terms = level.where("complete").select("lang", F.expr("cast(substring(prefix, 1, length(prefix) - 1) as string)").alias("term"))
         complete = terms if complete is None else complete.unionByName(terms)
         alive = level.where("not complete").select("lang", "prefix")
@@ -236,23 +296,28 @@ def term_counts(table: DataFrame, kept: DataFrame, held_bytes: int = HELD_BYTES)
     bits = _filter(kept.select("lang", F.col("term").cast("binary").alias("prefix")))
 
     def counts(batches):
-        for groups, group_of, words, text, code, times in _read_tables(batches):
-            if not words:
+        for run in _read_tables(batches):
+            n = len(run.words)
+            if not n:
                 continue
-            langs = list(dict.fromkeys(g[0] for g in groups))
-            living = dict(zip(langs, _alive(bits, words, langs)))
-            pair = group_of[text] * len(words) + code
-            order = np.argsort(pair, kind="stable")
+            terms = pc.binary_slice(run.words, 0, -1)
+            langs = list(dict.fromkeys(g[0] for g in run.groups))
+            living = np.stack(_alive(bits, terms.to_pylist(), langs))
+            group = run.group_of[run.text]
+            counted = living[np.array([langs.index(g[0]) for g in run.groups])[group], run.code]
+            pair = group[counted] * n + run.code[counted]
+            order = np.argsort(pair)
             found, sizes = _distinct(pair)
-            sums = np.add.reduceat(times[order], np.append(0, np.cumsum(sizes)[:-1]))
-            yield from _by_group(groups, words, [living[g[0]] for g in groups], found, sums)
+            sums = np.add.reduceat(run.times[counted][order], np.append(0, np.cumsum(sizes)[:-1])) if len(found) else sizes
+            yield run.groups, found // n, terms.take(pa.array(found % n)), sums
 
     def run(batches):
-        yield from _counted(counts(batches), held_bytes // 120, ["lang", "source", "term", "n"], [pa.string(), pa.string(), pa.binary(), pa.int64()])
+        yield from _counted(counts(batches), held_bytes, ["lang", "source", "term", "n"], [pa.string(), pa.string(), pa.binary(), pa.int64()])
 
-    counted = table.mapInArrow(run, "lang string, source string, term binary, n long").groupBy("lang", "source", F.col("term").cast("string").alias("term"))
+    # Dealt by term and language, rows are where both the sums and the kept terms need them.
+    counted = table.mapInArrow(run, "lang string, source string, term binary, n long").withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
     known = kept.select(F.col("lang").alias("kept_lang"), F.col("term").alias("kept_term"))
-    found = counted.agg(F.sum("n").alias("n"))
+    found = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     return attach(found, known, (F.col("lang") == F.col("kept_lang")) & (F.col("term") == F.col("kept_term")), "left_semi")
 
 
@@ -293,7 +358,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, held_bytes:
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     table = term_table(docs)
     kept = kept_terms(table, min_docs, held_bytes=held_bytes)
-    counts = stored(term_counts(table, kept, held_bytes), "term-counts")
+    with _small_batches(docs.sparkSession):
+        counts = stored(term_counts(table, kept, held_bytes), "term-counts")
     n_terms = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(n_terms, "lang", "left").select(

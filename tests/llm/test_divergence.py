@@ -1,7 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from schedulesmith.llm import divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, value int"
@@ -76,3 +80,39 @@ def test_shares_are_exact_beyond_doubles(spark):
     big = 4 * 10 ** 15 + 1
     row = spark.createDataFrame([(big, 2 * big + 7, 9)], "n long, total long, v long").select(divergence._share("n", "total", "v").alias("p")).first()
     assert row.p == 1 + 10 ** 9 * (big + 5) // (2 * big + 7 + 45)
+
+
+def test_runs_reach_python_one_after_another(spark):
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(f"w{'abcdefghijklmnop'[i]}x " * 250_000, "en", "s") for i in range(16)], "text string, lang string, source string").coalesce(1)
+    table = divergence.term_table(docs)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in table.inputFiles()]
+    rows = sum(f.num_rows for f in files)
+    assert rows > 2 and sum(f.num_row_groups for f in files) == rows
+    with divergence._small_batches(spark):
+        sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 2 and max(r.n for r in sizes) < 2 * divergence.BATCH_BYTES
+    assert spark.conf.get(key) == before
+
+
+def test_counts_are_held_as_arrays():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=18)) for _ in range(400_000)]
+    texts = [" ".join(words[i:i + 1000]).encode() for i in range(0, len(words), 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(["s"] * len(texts)), pa.array(texts, pa.binary())], ["lang", "source", "text"])
+    runs = list(divergence._tables(iter([batch])))
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in divergence._prefix_counter(0, 24, None, 4 << 20)(iter(runs)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 400_000 and peak < 50e6
+
+
+def test_tasks_without_a_living_term(spark):
+    rows = [(i, "commonest word", "en", "ab"[i % 2]) for i in range(6)] + [(6, "rarest of all", "en", "a"), (7, "another one", "fr", "a"), (8, "- 1", "en", "b")]
+    docs = spark.createDataFrame([(*r, "t", 1) for r in rows], SCHEMA).repartition(9, "doc_id")
+    assert {tuple(r) for r in divergence.audit(docs, min_docs=3, top=7).collect()} == brute([(*r, "t", 1) for r in rows], 3, 7)
+    assert list(divergence._counted(iter([([("en",)], divergence.np.zeros(0, int), pa.array([], pa.binary()), divergence.np.zeros(0, int))]), 10,
+                                    ["lang", "prefix", "docs"], [pa.string(), pa.binary(), pa.int64()])) == []
